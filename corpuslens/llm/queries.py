@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import binary_records, packing, token_counts
+from corpuslens.llm import binary_records, chat, decontaminate, language_id, lm_scoring, media, packing, simhash, token_counts
 from corpuslens.llm.common import table_dir
 
 
@@ -19,21 +19,51 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_read(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.prefix_token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.drop("prefix_changes")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_read(spark, sf_dir, "conversations"))
+
+
 def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = binary_records.encode_to_records(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return index.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.wav_features(media.encode_wav(_read(spark, sf_dir, "documents"))).drop("times", "hashes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_binary_records": op6_binary_records,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_media_columns": op10_media_columns,
 }
 
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_chat_formatting": chat.SQL}
