@@ -126,7 +126,7 @@ def _hits(docs: DataFrame, block: list, window: int, shingle: int, carry: list[s
     seen = {tuple(bytes(r["shingle"]).split(b" ")): r["n"] for r in body.mapInArrow(tally, "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
     filed.file(seen)
     ready = context.broadcast(filed)
-    at = [f"c{i}" for i in range(len(carry))]
+    at = ["body" if c == "text" else f"c{i}" for i, c in enumerate(carry)]  # the text is sent once
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", n_words long, spans array<struct<a:long,b:long>>, items array<string>"
     span_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
@@ -141,7 +141,7 @@ def _hits(docs: DataFrame, block: list, window: int, shingle: int, carry: list[s
                 items.append(sorted(owners))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in at), pa.array(n, pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))], names=[*carry, "n_words", "spans", "items"])
 
-    sent = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(carry, at)], F.col("text").alias("body"))
+    sent = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(carry, at)], *([] if "text" in carry else [F.col("text").alias("body")]))
     return sent.mapInArrow(look_up, schema)
 
 

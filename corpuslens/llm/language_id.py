@@ -153,7 +153,7 @@ def predict(docs: DataFrame, model: ContextTrees, carry: list[str] | None = None
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c].simpleString().split(":", 1)[1] for c in carry]
     schema = ", ".join(f"`{c}` {t}" for c, t in zip(carry, fields)) + ", lang_pred string, score double, bits_per_byte double"
-    at = [f"c{i}" for i in range(len(carry))]
+    at = ["body" if c == "text" else f"c{i}" for i, c in enumerate(carry)]  # the text is sent once
 
     def run(batches):
         trees = held.value
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, model: ContextTrees, carry: list[str] | None = None
             lang, score, rate = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in at), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*carry, "lang_pred", "score", "bits_per_byte"])
 
-    sent = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(carry, at)], F.col("text").alias("body"))
+    sent = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(carry, at)], *([] if "text" in carry else [F.col("text").alias("body")]))
     return sent.mapInArrow(run, schema)
 
 

@@ -281,11 +281,14 @@ def united(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def cut_out(docs: DataFrame, found: DataFrame, carry: list[str]) -> DataFrame:
-    """carry with n_bytes, n_removed, n_spans, kept (bytes left) of each document."""
-    at = [f"c{i}" for i in range(len(carry))]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", n_bytes long, n_removed long, n_spans long, kept binary"
-    left = docs.select(F.col("_key").alias("key"), *[F.col(f"`{c}`").alias(a) for c, a in zip(carry, at)], F.col("text").alias("body"))
+def cut_out(docs: DataFrame, found: DataFrame, carry: list[str], as_text: bool = False) -> DataFrame:
+    """carry with n_bytes, n_removed, n_spans, kept (bytes left) of each document.
+
+    As text, the pieces of a character that a cut split are dropped.
+    """
+    at = ["body" if c == "text" else f"c{i}" for i, c in enumerate(carry)]  # the text is sent once
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary")
+    left = docs.select(F.col("_key").alias("key"), *[F.col(f"`{c}`").alias(a) for c, a in zip(carry, at)], *([] if "text" in carry else [F.col("text").alias("body")]))
 
     def run(batches):
         for batch in small_batches(batches, 256):
@@ -298,15 +301,16 @@ def cut_out(docs: DataFrame, found: DataFrame, carry: list[str]) -> DataFrame:
                     kept.append(data[last:a])
                     last = b
                 kept.append(data[last:])
-                out.append((len(data), sum(b - a for a, b in gone), len(gone), b"".join(kept)))
+                rest = b"".join(kept)
+                out.append((len(data), sum(b - a for a, b in gone), len(gone), rest.decode("utf-8", "ignore") if as_text else rest))
             n, removed, count, kept = zip(*out)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in at), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], names=[*carry, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in at), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())], names=[*carry, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return left.join(found, "key", "left").mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """carry (default: doc_id), n_bytes, n_removed, n_spans and kept, the bytes that are left."""
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """carry (default: doc_id), n_bytes, n_removed, n_spans and kept, what is left as bytes or as text."""
     rows = keyed(docs)
-    return cut_out(rows, repeats(rows.select("_key", "text")), carry or ["doc_id"])
+    return cut_out(rows, repeats(rows.select("_key", "text")), carry or ["doc_id"], as_text)
 
