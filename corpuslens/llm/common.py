@@ -12,13 +12,15 @@ import re
 import tempfile
 import uuid
 from array import array
-from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: With this set, a query's shuffle files go when it ends: a stored table does not need them any more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Chunks that one Python worker remembers; the older half goes when this is reached.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_200_000
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -36,7 +38,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a scratch table and read it back: computed once, cheap to read again, lineage cut."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -82,6 +89,10 @@ class RecentCache:
 SPACE_AFTER_WORD = re.compile(r"(?<=\S) ")
 #: White space before a space: a plain split at spaces would break a run of white space.
 WHITE_RUN = re.compile(r"\s ")
+#: Marks that close a word.
+CLOSING = frozenset(".,;:!?")
+#: Characters whose lower case may depend on their place or on normalization.
+PAST_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Characters that Python splits at and the tokenizers' \s may not.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
 
@@ -116,6 +127,14 @@ class ChunkEncoder:
         self.kind = "spaced" if pre["type"] == "ByteLevel" and not pre["add_prefix_space"] and not spec.get("normalizer") else "dropped"
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.heads, self.tails = RecentCache(), RecentCache()
+        # ids that open (spaced) or end (dropped) a word
+        ends = spec["model"].get("end_of_word_suffix")
+        shows = (lambda t: t[:1] == "Ġ") if self.kind == "spaced" else (lambda t: t.endswith(ends)) if ends else None
+        self.bounded = None
+        if shows:
+            self.bounded = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.bounded[i] = shows(token)
 
     @classmethod
     def of(cls, path: str) -> "ChunkEncoder":
@@ -124,10 +143,33 @@ class ChunkEncoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _ids(self, chunks: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(chunks), 4096):
-            for e in self.tokenizer.encode_batch_fast(chunks[i : i + 4096], add_special_tokens=False):
-                yield array("I", e.ids).tobytes()
+    def _ids(self, chunks: list[str], opening: str = "", have: dict | None = None) -> list[bytes]:
+        """Ids of opening + chunk for each chunk. Pre-tokenization always parts letters from a closing mark,
+        and a word of letters alone shows its bounds in its ids, so such words are encoded many at a time."""
+        marked = [c[-1:] in CLOSING and c[:-1].isalpha() and not PAST_LATIN.search(c) for c in chunks]
+        cores = [c[:-1] if m else c for c, m in zip(chunks, marked)]
+        have = have or {}
+        known: dict[str, bytes] = {c: have[c] for c in cores if c in have}
+        distinct = [c for c in dict.fromkeys(cores) if c not in known]
+        bounded = self.bounded is not None and (opening or self.kind == "dropped")
+        words = [c for c in distinct if c.isalpha() and not PAST_LATIN.search(c)] if bounded else []
+        plain = list(set(distinct).difference(words))
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            found = self.tokenizer.encode_batch_fast([opening + c for c in part], add_special_tokens=False)
+            known.update(zip(part, [array("I", e.ids).tobytes() for e in found]))
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([opening + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(self.bounded[ids])
+            cuts = (np.append(at[1:], len(ids)) if self.kind == "spaced" else at + 1) * 4
+            if len(cuts) != len(part):
+                raise ValueError("the bounds of words do not show in their ids")
+            data, last = ids.tobytes(), 0
+            for word, cut in zip(part, cuts.tolist()):
+                known[word], last = data[last:cut], cut
+        marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in {c[-1] for c, k in zip(chunks, marked) if k}}
+        return [known[core] + marks[c[-1]] if m else known[core] for c, core, m in zip(chunks, cores, marked)]
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -143,12 +185,16 @@ class ChunkEncoder:
             elif (self.special and self.special.search(text)) or (self.kind == "dropped" and ODD_SPACE.search(text)):
                 out[i] = self._whole(text)
             else:
-                parts[i] = p = spaced_chunks(text) if self.kind == "spaced" else text.split()
+                if self.kind == "spaced":
+                    p = spaced_chunks(text)
+                else:  # this vocabulary lower-cases; doing so first leaves fewer distinct chunks
+                    p = (text if PAST_LATIN.search(text) else text.lower()).split()
+                parts[i] = p
                 need.update(p)
         if self.kind == "dropped":
-            known = self.tails.fill(need, self._ids)
+            known = self.tails.fill(need, lambda chunks: self._ids(chunks, "", self.tails.new))
             return [b"".join([known[c] for c in p]) if p is not None else o for p, o in zip(parts, out)]
-        known = self.tails.fill(need, lambda chunks: self._ids([" " + c for c in chunks]))
+        known = self.tails.fill(need, lambda chunks: self._ids(chunks, " ", self.tails.new))
         first = self.heads.fill({p[0] for p in parts if p is not None}, self._ids)
         return [first[p[0]] + b"".join([known[c] for c in p[1:]]) if p is not None else o for p, o in zip(parts, out)]
 
