@@ -58,6 +58,7 @@ class PrefixTable:
         self.words, self.space = regex.compile(WORDS), regex.compile(r"\s+")
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         self.joins, self.heads, self.tails = {}, RecentCache(), RecentCache()
+        self.short, self.before = {}, (b"", [0], [b""])
 
     @classmethod
     def of(cls, path: str) -> "PrefixTable":
@@ -85,17 +86,41 @@ class PrefixTable:
         return known
 
     def counts(self, word: bytes) -> list[int]:
-        """Tokens of each prefix of one pre-token, the empty one included."""
-        n, vocab, longest, neighbours = len(word), self.vocab, self.longest, self.neighbours
-        count, last = [0] * (n + 1), [b""] * (n + 1)
-        for i in range(1, n + 1):
-            for at in range(max(0, i - longest), i):
-                token = word[at:i]
-                if token in vocab and (at == 0 or neighbours(last[at], token)):
-                    count[i], last[i] = count[at] + 1, token
-                    break
+        """Tokens of each prefix of one pre-token, the empty one included.
+
+        Goes on from the prefix that it shares with the word before; short words are remembered.
+        """
+        n = len(word)
+        if n < 4:
+            known = self.short.get(word)
+            if known is None:
+                known = self.short[word] = self._extend(word, 0, [0] * (n + 1), [b""] * (n + 1))[0]
+            return known
+        before, count, last = self.before
+        shared = 0
+        for a, b in zip(before, word):
+            if a != b:
+                break
+            shared += 1
+        count, last = self._extend(word, shared, count[: shared + 1] + [0] * (n - shared), last[: shared + 1] + [b""] * (n - shared))
+        self.before = (word, count, last)
         return count
 
+    def _extend(self, word: bytes, done: int, count: list[int], last: list[bytes]) -> tuple[list[int], list[bytes]]:
+        vocab, longest, joins, neighbours = self.vocab, self.longest, self.joins, self.neighbours
+        for i in range(done + 1, len(word) + 1):
+            for at in range(i - longest if i > longest else 0, i):
+                token = word[at:i]
+                if token in vocab:
+                    if at == 0:
+                        count[i], last[i] = 1, token
+                        break
+                    fits = joins.get((last[at], token))
+                    if fits or (fits is None and neighbours(last[at], token)):
+                        count[i], last[i] = count[at] + 1, token
+                        break
+        return count, last
+
     def changes(self, chunk: str) -> bytes:
         """Changes of the count at each byte of a chunk."""
         out, base, before = [0], 0, ""
@@ -111,13 +136,20 @@ class PrefixTable:
             if word in CONTRACTIONS:  # a prefix that ends before the last letter is no contraction yet
                 out[at + 1] = base + self.counts(data[:1])[-1] + self.counts(data[1:2])[-1]
             base, before = base + count[-1], word
-        return np.diff(out).astype(np.int8).tobytes()
+        return bytes([b - a & 255 for a, b in zip(out, out[1:])])
+
+    def sorted_changes(self, chunks: list[str], opening: str) -> list[bytes]:
+        """Changes of many chunks, made in sorted order so that shared beginnings are done once."""
+        out = [b""] * len(chunks)
+        for i in sorted(range(len(chunks)), key=chunks.__getitem__):
+            out[i] = self.changes(opening + chunks[i])
+        return out
 
     def ordinary(self, texts: list[str]) -> list[bytes]:
         """Changes for texts without special strings."""
         parts = [spaced_chunks(t) for t in texts]
-        tails = self.tails.fill({c for p in parts for c in p[1:]}, lambda cs: (self.changes(" " + c) for c in cs))
-        heads = self.heads.fill({p[0] for p in parts}, lambda cs: map(self.changes, cs))
+        tails = self.tails.fill({c for p in parts for c in p[1:]}, lambda cs: self.sorted_changes(cs, " "))
+        heads = self.heads.fill({p[0] for p in parts}, lambda cs: self.sorted_changes(cs, ""))
         return [heads[p[0]] + b"".join([tails[c] for c in p[1:]]) for p in parts]
 
     def whole(self, text: str) -> bytes:
