@@ -1 +1,131 @@
-"""Queries."""
+"""Queries of the tool-report parsers, over fixed reports, and of payloads and logs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpuslens.operators import payloads
+from corpuslens.plans.registry import query
+from corpuslens.sources import reports, tables
+from corpuslens.sources.tables import DOCS, WORK
+
+GNU = "src/a.c:12: unused variable\nsrc/b.c:7:3: missing ;\nno match here\nbad:x: y"
+FLAT = '[{"file":"a.py","line":3,"message":"m1"},{"filename":"b.py","row":9,"text":"m2"},{"path":"c.py","reason":"m3"},{"line":1,"message":"lost"},{"file":"d.py","line":"x","message":"bad line"}]'
+ESLINT = '[{"filePath":"a.ts","messages":[{"line":1,"message":"x"},{"line":5,"message":"y"}]},{"filePath":"b.ts","messages":[]}]'
+GOLANG = '{"Issues":[{"Text":"err","Pos":{"Filename":"m.go","Line":4}},{"Text":"","Pos":{"Filename":"n.go","Line":1}}]}'
+RUBOCOP = '{"files":[{"path":"a.rb","offenses":[{"message":"long","location":{"line":2}},{"message":"wide","location":{"line":8}}]},{"path":"b.rb","offenses":[]}]}'
+CARGO = '{"reason":"compiler-message","message":{"rendered":"warning: x\\n --> a.rs","spans":[{"file_name":"a.rs","line_start":6},{"file_name":"z.rs","line_start":1}]}}\nnot json\n{"reason":"build-finished"}\n{"reason":"compiler-message","message":{"message":"plain","spans":[{"file_name":"b.rs","line_start":2}]}}'
+CREDO = '{"issues":[{"filename":"a.ex","line_no":3,"message":"m","category":"design","check":"C1"},{"filename":"b.ex","line_no":1,"message":"n"}]}'
+PHPSTAN = '{"files":{"a.php":{"messages":[{"message":"p","line":42}]},"b.php":{"messages":[{"message":"q","line":1},{"message":"r","line":2}]}}}'
+NEXT = 'info\n[{"filePath":"a.tsx","messages":[{"line":0,"message":"l1"},{"line":4,"message":"l2"}]},{"filePath":"b.tsx","messages":[]}]\ndone'
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _raw(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame([(text,)], "raw string")
+
+
+KEPT = "SELECT file, TRY_CAST(line AS INTEGER) AS line, message FROM r WHERE file <> '' AND message <> '' AND TRY_CAST(line AS INTEGER) IS NOT NULL"
+S = lambda e, *path: f"json_extract_string({e}, '$.{'.'.join(path)}')"
+
+
+@query(f"WITH l AS (SELECT unnest(string_split({_lit(GNU)}, chr(10))) AS l), r AS (SELECT trim(regexp_extract(l, '^(.+?):([0-9]+)(:[0-9]+)?:\\s*(.+)$', 1)) AS file, regexp_extract(l, '^(.+?):([0-9]+)(:[0-9]+)?:\\s*(.+)$', 2) AS line, trim(regexp_extract(l, '^(.+?):([0-9]+)(:[0-9]+)?:\\s*(.+)$', 4)) AS message FROM l) {KEPT}")
+def parse_gnu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.gnu(_raw(spark, GNU))
+
+
+@query(f"WITH i AS (SELECT unnest(json_extract({_lit(FLAT)}, '$[*]')) AS x), r AS (SELECT coalesce({S('x', 'file')}, {S('x', 'filename')}, {S('x', 'path')}) AS file, coalesce({S('x', 'line')}, {S('x', 'line_no')}, {S('x', 'row')}, '0') AS line, coalesce({S('x', 'message')}, {S('x', 'text')}, {S('x', 'reason')}) AS message FROM i) {KEPT}")
+def parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.flat_json(_raw(spark, FLAT))
+
+
+@query(f"WITH f AS (SELECT unnest(json_extract({_lit(ESLINT)}, '$[*]')) AS f), m AS (SELECT {S('f', 'filePath')} AS file, unnest(json_extract(f, '$.messages[*]')) AS m FROM f), r AS (SELECT file, {S('m', 'line')} AS line, {S('m', 'message')} AS message FROM m) {KEPT}")
+def parse_eslint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.eslint(_raw(spark, ESLINT))
+
+
+@query(f"WITH i AS (SELECT unnest(json_extract({_lit(GOLANG)}, '$.Issues[*]')) AS x), r AS (SELECT {S('x', 'Pos', 'Filename')} AS file, {S('x', 'Pos', 'Line')} AS line, {S('x', 'Text')} AS message FROM i) {KEPT}")
+def parse_golangci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.golangci(_raw(spark, GOLANG))
+
+
+@query(f"WITH f AS (SELECT unnest(json_extract({_lit(RUBOCOP)}, '$.files[*]')) AS f), m AS (SELECT {S('f', 'path')} AS file, unnest(json_extract(f, '$.offenses[*]')) AS m FROM f), r AS (SELECT file, {S('m', 'location', 'line')} AS line, {S('m', 'message')} AS message FROM m) {KEPT}")
+def parse_rubocop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.rubocop(_raw(spark, RUBOCOP))
+
+
+@query("SELECT * FROM (VALUES ('a.rs', 6, 'warning: x'), ('b.rs', 2, 'plain')) v(file, line, message)")
+def parse_cargo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.cargo(_raw(spark, CARGO))
+
+
+@query(f"WITH i AS (SELECT unnest(json_extract({_lit(CREDO)}, '$.issues[*]')) AS x), r AS (SELECT {S('x', 'filename')} AS file, {S('x', 'line_no')} AS line, coalesce('[' || {S('x', 'category')} || '] ', '') || {S('x', 'message')} || coalesce(' (' || {S('x', 'check')} || ')', '') AS message FROM i) {KEPT}")
+def parse_credo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.credo(_raw(spark, CREDO))
+
+
+@query("SELECT * FROM (VALUES ('a.php', 42, 'p'), ('b.php', 1, 'q'), ('b.php', 2, 'r')) v(file, line, message)")
+def parse_phpstan_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.phpstan(_raw(spark, PHPSTAN))
+
+
+@query("SELECT 'a.tsx' AS file, 1 AS line, 'next lint: l1 (2 issue(s) in file)' AS message")
+def parse_next_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.next_lint(_raw(spark, NEXT))
+
+
+@query(f"WITH {DOCS}, o AS (SELECT doc_id, 40 + octet_length(encode(left(text, 400))) AS bytes, sum(40 + octet_length(encode(left(text, 400)))) OVER (ORDER BY doc_id) AS upto FROM docs) SELECT doc_id, bytes, CAST(upto AS BIGINT) AS upto FROM o WHERE doc_id < 200 AND upto <= 30000")
+def payload_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows, made light, that fit a byte budget (32-34); at most 200 rows are looked at."""
+    return payloads.within_budget(tables.documents(spark, sf_dir), 200, 400, 30_000)
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 2000")
+def event_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 2000 events of the log (37)."""
+    return payloads.retained(tables.table(spark, sf_dir, "events"), 2000).select("event_id", "event_type")
+
+
+@query(f"""WITH {WORK} SELECT file, count(*) AS n, count(*) FILTER (status = 'open') AS n_open, array_to_string(list_slice(list_sort(list(finding_id)), 1, 5), '|') AS first_ids FROM work WHERE starts_with(file, 'area3/') GROUP BY file""")
+def show_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a path grouped by file, with counts and the first ids (43, 252)."""
+    return payloads.by_file(tables.work_items(spark, sf_dir).where(F.col("file").startswith("area3/")), 5)
+
+
+@query(f"WITH {WORK}, r AS (SELECT *, row_number() OVER (PARTITION BY detector ORDER BY tier, finding_id) AS k FROM work WHERE status = 'open' AND NOT suppressed) SELECT detector, '- ' || array_to_string(list(finding_id ORDER BY tier, finding_id), chr(10) || '- ') AS section FROM r WHERE k <= 3 GROUP BY detector")
+def plan_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three open findings of each detector as a Markdown section (42)."""
+    w = tables.work_items(spark, sf_dir).where((F.col("status") == "open") & ~F.col("suppressed"))
+    top = w.withColumn("k", F.row_number().over(Window.partitionBy("detector").orderBy("tier", "finding_id"))).where("k <= 3")
+    return top.groupBy("detector").agg(F.concat(F.lit("- "), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tier", "finding_id"))), lambda x: x["finding_id"]), "\n- ")).alias("section"))
+
+
+STEPS = "1. First step\n   more of it\n2) Second\n\nintro\n10. Last"
+
+
+@query("SELECT * FROM (VALUES (1, 'First step', 2), (2, 'Second', 2), (10, 'Last', 1)) v(number, title, n_lines)")
+def parsed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered steps of a text, with how many lines belong to each (16)."""
+    return payloads.steps(spark.createDataFrame([(1, STEPS)], "doc_id int, text string")).select("number", "title", "n_lines")
+
+
+LOG = ['{"schema_version":1,"event_type":"scan","scan_count":1}', "not json", '{"schema_version":1,"event_type":"plan_checkpoint","scan_count":2,"payload":{"scores":{"strict":81.5}}}', "", '{"event_type":"plan_checkpoint","payload":{"scores":{"strict":83}}}']
+
+
+@query("SELECT * FROM (VALUES ('scan', NULL), ('plan_checkpoint', 81.5), ('plan_checkpoint', 83.0)) v(event_type, strict)")
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines with corrupt ones skipped; the strict score of checkpoints (13, 241)."""
+    return payloads.read_log(spark.createDataFrame([(x,) for x in LOG], "value string"))
+
+
+ENVELOPES = ['{"issues":[{"dimension":"d","identifier":"i","summary":"s"},{"identifier":"x"}],"assessments":{"d":70.5}}', '{"assessments":{"e":1}}', "bad"]
+
+
+@query("SELECT * FROM (VALUES ('d', 'i', 's')) v(dimension, identifier, summary)")
+def review_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of review envelopes that have all required fields (15)."""
+    return payloads.review_issues(spark.createDataFrame([(x,) for x in ENVELOPES], "raw string"))
