@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import small_batches, stored
 from corpuslens.llm.suffix_runs import LENGTH, multikey_order, prefix_sums, runs, segments, span_hash
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 SAMPLE_DOCS = 2_000
 REPEAT, GROUPED, EDGE = 0, 1, 2
 SUFFIX = "bucket int, lead long, gram long, whole long, key long, start long, windows short, before short, repeat boolean"
