@@ -1 +1,47 @@
-"""Queries."""
+"""Queries of the streams, run with all available data and compared with their batch equivalents."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuslens.plans.registry import query
+from corpuslens.streaming import events
+
+
+def _name(kind: str) -> str:
+    return f"{kind}_{uuid.uuid4().hex[:8]}"
+
+
+def _ntz(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_counts_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    found = events.drained(events.tumbling_counts(events.read_events(spark, sf_dir)), _name("tumbling"), "complete")
+    return _ntz(found.drop("total"), "start")
+
+
+@query("WITH w AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start FROM events) SELECT start, count(*) AS n FROM w GROUP BY start")
+def event_counts_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    found = events.drained(events.sliding_counts(events.read_events(spark, sf_dir)), _name("sliding"), "complete")
+    return _ntz(found, "start")
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS end, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    found = events.drained(events.sessions(events.read_events(spark, sf_dir)), _name("sessions"), "complete")
+    return _ntz(found, "start", "end")
+
+
+@query()
+def finding_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of each user's finding (2.11); tested against a loop over the events."""
+    return events.drained(events.finding_states(events.read_events(spark, sf_dir)), _name("states"), "update")
