@@ -69,12 +69,17 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_i
 
 def _knapsack(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[float, list[int]]:
     """The configuration of largest value: how often each size is used."""
+    width, least = np.array(sizes), min(sizes)
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
+    order = np.argsort(width)
+    width, worth = width[order], np.asarray(values)[order]
+    fits = np.searchsorted(width, np.arange(capacity + 1), side="right")
+    for room in range(least, capacity + 1):
         best[room] = best[room - 1]
-        for j, size in enumerate(sizes):
-            if size <= room and best[room - size] + values[j] > best[room] + 1e-12:
-                best[room], choice[room] = best[room - size] + values[j], j
+        gain = best[room - width[: fits[room]]] + worth[: fits[room]]
+        j = int(gain.argmax())
+        if gain[j] > best[room] + 1e-12:
+            best[room], choice[room] = gain[j], order[j]
     uses, room = [0] * len(sizes), capacity
     while room > 0:
         j = choice[room]
@@ -86,7 +91,7 @@ def _knapsack(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), uses
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[list[int], int]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 100) -> list[tuple[list[int], int]]:
     """Configurations and how often each is used, never more of a size than its demand.
 
     Linear relaxation by column generation, rounded down; the caller places what is left over.
@@ -119,11 +124,12 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return plan
 
 
-def plan_runs(histogram: dict[int, int], capacity: int = 1024, groups: int = 32, small: int | None = None) -> list[tuple[int, int, int, int, int, int]]:
+def plan_runs(histogram: dict[int, int], capacity: int = 1024, groups: int = 64, small: int | None = None, tight: float = 0.0) -> list[tuple[int, int, int, int, int, int]]:
     """Runs (length, rank_from, rank_to, first_sequence, per_sequence, offset).
 
     The pieces of ``length`` with ranks in [rank_from, rank_to) go, per_sequence at a time, to consecutive
-    sequences from first_sequence, the first of each at ``offset``.
+    sequences from first_sequence, the first of each at ``offset``. Configurations that fill less than
+    ``tight`` of a sequence are not used; their pieces are left to the best fit.
     """
     small = capacity // 8 if small is None else small
     runs: list[tuple[int, int, int, int, int, int]] = []
@@ -152,6 +158,8 @@ def plan_runs(histogram: dict[int, int], capacity: int = 1024, groups: int = 32,
     demand = [sum(c for _, c in merged[s]) for s in sizes]
     for column, times in configurations(sizes, demand, capacity):
         slots = [s for s, uses in zip(sizes, column) for _ in range(uses)]
+        if sum(slots) < tight * capacity:
+            continue
         # substitution: each slot takes the next members of its group; a segment ends where a length ends
         picks = []
         for s in slots:
@@ -216,16 +224,27 @@ def plan_runs(histogram: dict[int, int], capacity: int = 1024, groups: int = 32,
     return runs
 
 
+def sequences_of(runs: list[tuple[int, int, int, int, int, int]]) -> int:
+    """How many sequences a plan uses."""
+    return max((first - (lo - hi) // per for _, lo, hi, first, per, _ in runs), default=0)
+
+
+def best_plan(histogram: dict[int, int], capacity: int = 1024) -> list[tuple[int, int, int, int, int, int]]:
+    """The plan of fewest sequences over a small grid of group counts and fill bounds of configurations."""
+    plans = [plan_runs(histogram, capacity, groups, tight=tight) for groups in (32, 64) for tight in (0.98, 0.995, 1.0)]
+    return min(plans, key=sequences_of)
+
+
 # ---------------------------------------------------------------- operator
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, groups: int = 32) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece."""
     spark = docs.sparkSession
     pieces = stored(cut_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
-    runs = plan_runs(histogram, capacity, groups)
+    runs = best_plan(histogram, capacity)
     ahead = by_task.withColumn("ahead", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n"))
     ranked = pieces.join(ahead.select("length", "task", "ahead"), ["length", "task"]).withColumn("rank", F.col("local_rank") + F.col("ahead"))
     placed = place(ranked, runs)
