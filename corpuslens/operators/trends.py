@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.orderBy("seq")
+def _order():
+    return Window.orderBy("seq")
 
 
 def numbered(scans: DataFrame) -> DataFrame:
@@ -19,8 +20,8 @@ def last_scans(scans: DataFrame, most: int) -> DataFrame:
 
 def phases(scans: DataFrame) -> DataFrame:
     """The phase after each scan, by ordered rules over the last scores."""
-    last3 = ORDER.rowsBetween(-2, 0)
-    prev, first = F.lag("score").over(ORDER), F.first("score").over(ORDER)
+    last3 = _order().rowsBetween(-2, 0)
+    prev, first = F.lag("score").over(_order()), F.first("score").over(_order())
     spread = F.max("score").over(last3) - F.min("score").over(last3)
     s = F.col("score")
     phase = (
@@ -32,7 +33,7 @@ def phases(scans: DataFrame) -> DataFrame:
 
 def milestones(scans: DataFrame, marks: list[int]) -> DataFrame:
     """Scans at which the score crossed a mark from below; the first mark of the list that fits."""
-    prev, out = F.lag("score").over(ORDER), None
+    prev, out = F.lag("score").over(_order()), None
     for m in marks:
         hit = (F.col("prev") < m) & (F.col("score") >= m)
         out = F.when(hit, f"crossed {m}") if out is None else out.when(hit, f"crossed {m}")
@@ -64,7 +65,7 @@ def stagnant(days: DataFrame, window: int, least: int, spread: float) -> DataFra
 
 
 def smooth(scans: DataFrame) -> DataFrame:
-    return scans.withColumn("smooth", F.avg("score").over(ORDER.rowsBetween(-1, 1)))
+    return scans.withColumn("smooth", F.avg("score").over(_order().rowsBetween(-1, 1)))
 
 
 def resample(scans: DataFrame, width: int) -> DataFrame:
