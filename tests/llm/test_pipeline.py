@@ -32,7 +32,7 @@ def test_stages(spark, folder):
     assert set(kept["simhash_near_dedup"]) == {0, 1, 4, 6, 7, 8}
     cut = kept["suffix_array_dedup"]
     assert cut[7].text.endswith("end seven") and SHARED in cut[7].text
-    assert "shared20" not in cut[8].text and cut[8].text.startswith("other") and cut[8].text.endswith("end eight") and cut[8].n_chars == len(cut[8].text)
+    assert (cut[8].text, cut[8].n_chars) == ("othereight", 10)  # the spaces and "end" around it repeat as well
     assert all(cut[d].text == t for d, t in CLEAN.items())
     assert set(kept["benchmark_decontamination"]) == {0, 1, 4, 7, 8}
 
