@@ -14,13 +14,14 @@ import uuid
 from array import array
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: With this set, a query's shuffle files go when it ends: a stored table does not need them any more.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Chunks that one Python worker remembers; the older half goes when this is reached.
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 1_000_000
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -85,12 +86,32 @@ class RecentCache:
         return self.new
 
 
+_held: dict = {}
+
+
+def held_in_worker(key: object, make):
+    """make(), kept over this worker's tasks until another key is asked for: a worker serves several operators
+    in turn, and the caches of one must not stay beside the working memory of the next."""
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        if make is None:
+            return None
+        _held[key] = make()
+    return _held[key]
+
+
+def drop_held() -> None:
+    """For tasks that keep nothing: give back what earlier tasks of this worker kept."""
+    held_in_worker(None, None)
+
+
 #: A space after a character that no Unicode definition calls white space.
 SPACE_AFTER_WORD = re.compile(r"(?<=\S) ")
 #: White space before a space: a plain split at spaces would break a run of white space.
 WHITE_RUN = re.compile(r"\s ")
-#: Marks that close a word.
-CLOSING = frozenset(".,;:!?")
+#: Marks that close a word: neither letters, digits nor white space.
+CLOSING = re.compile(r"[^\w\s]+$")
 #: Characters whose lower case may depend on their place or on normalization.
 PAST_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Characters that Python splits at and the tokenizers' \s may not.
@@ -111,8 +132,6 @@ class ChunkEncoder:
     little-endian unsigned 32-bit bytes.
     """
 
-    _open: dict = {}
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -139,15 +158,17 @@ class ChunkEncoder:
     @classmethod
     def of(cls, path: str) -> "ChunkEncoder":
         """One encoder a worker process and vocabulary; its cache lasts over the worker's tasks."""
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+        return held_in_worker((cls, path), lambda: cls(path))
 
     def _ids(self, chunks: list[str], opening: str = "", have: dict | None = None) -> list[bytes]:
-        """Ids of opening + chunk for each chunk. Pre-tokenization always parts letters from a closing mark,
+        """Ids of opening + chunk for each chunk. Pre-tokenization always parts letters from closing marks,
         and a word of letters alone shows its bounds in its ids, so such words are encoded many at a time."""
-        marked = [c[-1:] in CLOSING and c[:-1].isalpha() and not PAST_LATIN.search(c) for c in chunks]
-        cores = [c[:-1] if m else c for c, m in zip(chunks, marked)]
+        cores, marks = [], []
+        for c in chunks:
+            mark = CLOSING.search(c)
+            at = mark.start() if mark and not PAST_LATIN.search(c) and c[: mark.start()].isalpha() else len(c)
+            cores.append(c[:at])
+            marks.append(c[at:])
         have = have or {}
         known: dict[str, bytes] = {c: have[c] for c in cores if c in have}
         distinct = [c for c in dict.fromkeys(cores) if c not in known]
@@ -168,8 +189,8 @@ class ChunkEncoder:
             data, last = ids.tobytes(), 0
             for word, cut in zip(part, cuts.tolist()):
                 known[word], last = data[last:cut], cut
-        marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in {c[-1] for c, k in zip(chunks, marked) if k}}
-        return [known[core] + marks[c[-1]] if m else known[core] for c, core, m in zip(chunks, cores, marked)]
+        closing = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() if m else b"" for m in set(marks)}
+        return [known[core] + closing[m] for core, m in zip(cores, marks)]
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

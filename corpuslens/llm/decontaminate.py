@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import small_batches, stored
+from corpuslens.llm.common import drop_held, small_batches, stored
 
 #: Bytes that separate words become spaces, capitals A-Z become small letters.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -116,6 +116,7 @@ def _hits(docs: DataFrame, block: list, window: int, shingle: int, carry: list[s
     held = context.broadcast(filed)
 
     def tally(batches):
+        drop_held()
         seen: Counter = Counter()
         for batch in small_batches(batches):
             for text in batch.column("body").to_pylist():
@@ -131,6 +132,7 @@ def _hits(docs: DataFrame, block: list, window: int, shingle: int, carry: list[s
     span_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def look_up(batches):
+        drop_held()
         for batch in small_batches(batches):
             n, spans, items = [], [], []
             for text in batch.column("body").to_pylist():

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import small_batches, split_bucket
+from corpuslens.llm.common import drop_held, small_batches, split_bucket
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 class ContextTrees:
@@ -156,6 +156,7 @@ def predict(docs: DataFrame, model: ContextTrees, carry: list[str] | None = None
     at = ["body" if c == "text" else f"c{i}" for i, c in enumerate(carry)]  # the text is sent once
 
     def run(batches):
+        drop_held()
         trees = held.value
         for batch in small_batches(batches, 256):
             texts = batch.column("body").to_pylist()

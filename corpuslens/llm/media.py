@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import small_batches
+from corpuslens.llm.common import drop_held, small_batches
 
 FRAME, HOP, PEAKS, FAN, REACH, SKETCH = 128, 64, 2, 4, 12, 8
 BLOCK = 4096
@@ -86,6 +86,7 @@ def encode_wav(docs: DataFrame, unit: int = 576) -> DataFrame:
     """doc_id, n_bytes (of the text, before padding) and media, the text's bytes as a WAV file."""
 
     def run(batches):
+        drop_held()
         for batch in small_batches(batches, 256):
             data = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             media = [to_wav(d.ljust(max(1, -(-len(d) // unit)) * unit, b"\xff")) for d in data]
@@ -99,6 +100,7 @@ def wav_features(media: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times", "hashes"]
 
     def run(batches):
+        drop_held()
         for batch in small_batches(batches, 256):
             rows = []
             for doc_id, n, stored in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist()):

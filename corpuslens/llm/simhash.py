@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import small_batches, stored
+from corpuslens.llm.common import drop_held, small_batches, stored
 from corpuslens.llm.components import components
 
 #: Bounds of the six segments, from the low bit.
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, words: int = 3, carry: list[str] | None = None
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", fp long"
 
     def run(batches):
+        drop_held()
         for batch in small_batches(batches):
             fp = np.array([fingerprint(t, words) for t in batch.column("body").to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in at), pa.array(fp)], names=[*carry, "fp"])
@@ -124,6 +125,7 @@ def links(fp: DataFrame, budget: int = BUDGET) -> DataFrame:
     bucketed = keys(fp).repartition("key").sortWithinPartitions("key")
 
     def run(batches):
+        drop_held()
         def of(key: np.ndarray, fps: np.ndarray):
             cuts = np.flatnonzero(np.diff(key)) + 1
             starts = np.concatenate([[0], cuts])

@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import small_batches, stored
+from corpuslens.llm.common import drop_held, small_batches, stored
 from corpuslens.llm.suffix_runs import LENGTH, multikey_order, prefix_sums, runs, segments, span_hash
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 SAMPLE_DOCS = 2_000
 REPEAT, GROUPED, EDGE = 0, 1, 2
 SUFFIX = "bucket int, lead long, gram long, whole long, key long, start long, windows short, before short, repeat boolean"
@@ -94,6 +94,7 @@ def splitters(docs: DataFrame, buckets: int, sample_docs: int = SAMPLE_DOCS) ->
     chosen = docs.where(F.pmod(F.xxhash64("_key", F.lit("splitter")), F.lit(1 << 30)) <= int(share * (1 << 30)))
 
     def run(batches):
+        drop_held()
         for keys, offsets, parts in _blocks(batches):
             s = _suffixes(keys, offsets, parts)
             pick = np.linspace(0, len(s["lead"]) - 1, min(len(s["lead"]), 20_000)).astype(int) if len(s["lead"]) else []
@@ -123,6 +124,7 @@ def find_suffixes(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bounds)
 
     def run(batches):
+        drop_held()
         for keys, offsets, parts in _blocks(batches):
             s = _suffixes(keys, offsets, parts)
             order = multikey_order([s["gram"], s["whole"], s["key"], s["start"]])
@@ -145,6 +147,7 @@ def sort_buckets(suffixes: DataFrame, buckets: int) -> DataFrame:
     """Marks: whole runs that repeat, suffixes whose group needs comparing, and groups at bucket ends."""
 
     def run(batches):
+        drop_held()
         table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
@@ -193,6 +196,7 @@ def contexts(docs: DataFrame, suffixes: DataFrame) -> DataFrame:
     found = docs.select(F.col("_key").alias("key"), "text").join(wanted, "key")
 
     def run(batches):
+        drop_held()
         for batch in small_batches(batches, 128):
             out = []
             for key, text, wanted in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
@@ -233,6 +237,7 @@ def compare_groups(found: DataFrame) -> DataFrame:
     """key, start, windows of the repeats among grouped suffixes."""
 
     def run(batches):
+        drop_held()
         names = ["gram", "key", "start", "windows", "before"]
         held: list = []
 
@@ -291,6 +296,7 @@ def cut_out(docs: DataFrame, found: DataFrame, carry: list[str], as_text: bool =
     left = docs.select(F.col("_key").alias("key"), *[F.col(f"`{c}`").alias(a) for c, a in zip(carry, at)], *([] if "text" in carry else [F.col("text").alias("body")]))
 
     def run(batches):
+        drop_held()
         for batch in small_batches(batches, 256):
             out = []
             for text, spans in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist()):

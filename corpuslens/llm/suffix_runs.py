@@ -13,7 +13,7 @@ import numpy as np
 LENGTH = 100
 GRAM = 32
 REACH = LENGTH - GRAM + 1  # GRAM-byte strings inside a window
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 PLACE = np.uint64((1 << 24) - 1)
 _rng = np.random.default_rng(20240229)
 _LETTER = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)

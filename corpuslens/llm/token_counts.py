@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import RecentCache, small_batches, spaced_chunks
+from corpuslens.llm.common import RecentCache, held_in_worker, small_batches, spaced_chunks
 
 #: Fixed value: the pre-tokenization pattern of this family of byte-level vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,8 +41,6 @@ def _byte_letters() -> dict[str, int]:
 class PrefixTable:
     """Prefix counts for one byte-level vocabulary file."""
 
-    _open: dict = {}
-
     def __init__(self, path: str):
         import regex
 
@@ -62,9 +60,7 @@ class PrefixTable:
 
     @classmethod
     def of(cls, path: str) -> "PrefixTable":
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+        return held_in_worker((cls, path), lambda: cls(path))
 
     def merged(self, data: bytes) -> list[bytes]:
         """The tokens of a few bytes, by merging the pair of lowest rank first."""
