@@ -148,7 +148,7 @@ def exploded_status_counts(findings: DataFrame) -> DataFrame:
 def first_seen_since(findings: DataFrame, history: DataFrame) -> DataFrame:
     """Findings first seen at or after the last scan of history(ts)."""
     last = history.agg(F.max("ts").alias("last_scan"))
-    return findings.crossJoin(F.broadcast(last)).where(F.col("first_seen") >= F.col("last_scan")).drop("last_scan")
+    return findings.join(F.broadcast(last), F.col("first_seen") >= F.col("last_scan")).drop("last_scan")
 
 
 def noise_budget(findings: DataFrame, budget: int) -> DataFrame:

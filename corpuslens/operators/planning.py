@@ -107,9 +107,8 @@ def reconciled(plan: DataFrame, findings: DataFrame, renamed: DataFrame) -> Data
 
 def new_review_ids(findings: DataFrame, triaged: DataFrame) -> DataFrame:
     """Open review findings that were never triaged; none at all where nothing ever was."""
-    ever = triaged.agg(F.count(F.lit(1)).alias("k"))
     fresh = findings.where("status = 'open' AND detector = 'review'").join(triaged, "finding_id", "left_anti")
-    return fresh.crossJoin(F.broadcast(ever)).where("k > 0").select("finding_id")
+    return fresh.select("finding_id").where(F.lit(not triaged.isEmpty()))
 
 
 def upserted(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:

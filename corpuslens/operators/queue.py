@@ -78,9 +78,10 @@ def purged(order: DataFrame, ids: list[str]) -> DataFrame:
     return order.withColumn("queue_order", F.array_except("queue_order", F.array(*map(F.lit, ids))))
 
 
-def merged_members(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Union of two clusters' members, with the description of the first that has one."""
-    both = a.crossJoin(b.select(F.col("ids").alias("other"), F.col("description").alias("other_text")))
+def merged_members(clusters: DataFrame, merges: DataFrame) -> DataFrame:
+    """Clusters(name, ids, description) after merges(source, name): united members, the first description there is."""
+    source = clusters.select(F.col("name").alias("source"), F.col("ids").alias("other"), F.col("description").alias("other_text"))
+    both = clusters.join(merges, "name").join(source, "source")
     return both.select("name", F.array_union("ids", "other").alias("ids"), F.coalesce("description", "other_text").alias("description"))
 
 

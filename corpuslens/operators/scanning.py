@@ -108,7 +108,7 @@ def census_anomalies(found: DataFrame, competing: int, rare: int) -> DataFrame:
     """Areas with at least ``competing`` patterns of a family, or a pattern that fewer than ``rare`` % of areas adopt."""
     kinds = found.groupBy("area", "family").agg(F.count(F.lit(1)).alias("n_patterns"))
     areas = found.select("area").distinct().agg(F.count(F.lit(1)).alias("all_areas"))
-    adopted = found.groupBy("family", "pattern").agg(F.count(F.lit(1)).alias("n_areas"), F.min("area").alias("first_area")).crossJoin(F.broadcast(areas))
-    few = adopted.where(F.col("n_areas") * 100 < F.col("all_areas") * rare).select(F.col("first_area").alias("area"), "family", F.lit("low_adoption").alias("reason"), F.col("n_areas").alias("n"))
+    adopted = found.groupBy("family", "pattern").agg(F.count(F.lit(1)).alias("n_areas"), F.min("area").alias("first_area"))
+    few = adopted.join(F.broadcast(areas), F.col("n_areas") * 100 < F.col("all_areas") * rare).select(F.col("first_area").alias("area"), "family", F.lit("low_adoption").alias("reason"), F.col("n_areas").alias("n"))
     many = kinds.where(F.col("n_patterns") >= competing).select("area", "family", F.lit("competing").alias("reason"), F.col("n_patterns").alias("n"))
     return many.union(few)

@@ -42,11 +42,11 @@ def milestones(scans: DataFrame, marks: list[int]) -> DataFrame:
 
 def trajectory(scans: DataFrame, window: int) -> DataFrame:
     """Change over the last scans, all-time high, and trend (recovering: improving but 2 below the high)."""
-    high = scans.agg(F.max("score").alias("high"))
-    recent = last_scans(scans, window).agg((F.max_by("score", "seq") - F.min_by("score", "seq")).alias("delta"), F.max_by("score", "seq").alias("last"))
+    marked = scans.withColumn("high", F.max("score").over(Window.partitionBy()))
+    recent = last_scans(marked, window).agg(F.first("high").alias("high"), (F.max_by("score", "seq") - F.min_by("score", "seq")).alias("delta"), F.max_by("score", "seq").alias("last"))
     up = F.col("delta") > 0.5
     trend = F.when(up & (F.col("last") < F.col("high") - 2), "recovering").when(up, "improving").when(F.col("delta") < -0.5, "declining").otherwise("stable")
-    return recent.crossJoin(F.broadcast(high)).withColumn("trend", trend)
+    return recent.withColumn("trend", trend)
 
 
 def _recent(days: DataFrame, window: int) -> DataFrame:

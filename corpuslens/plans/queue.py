@@ -102,5 +102,5 @@ def queue_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'target' AS name, ['a', 'b', 'c'] AS ids, 'from source' AS description")
 def cluster_membership_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "name string, ids array<string>, description string"
-    a, b = spark.createDataFrame([("target", ["a", "b"], None)], schema), spark.createDataFrame([("source", ["b", "c"], "from source")], schema)
-    return queue.merged_members(a, b)
+    clusters = spark.createDataFrame([("target", ["a", "b"], None), ("old", ["b", "c"], "from source")], schema)
+    return queue.merged_members(clusters, spark.createDataFrame([("old", "target")], "source string, name string"))
