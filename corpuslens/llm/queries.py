@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import binary_records, chat, decontaminate, language_id, lm_scoring, media, packing, simhash, suffix_dedup, token_counts
+from corpuslens.llm import binary_records, chat, decontaminate, language_id, lm_scoring, media, oracles, packing, simhash, suffix_dedup, token_counts
 from corpuslens.llm.common import table_dir
 
 
@@ -73,4 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
-SQL: dict[str, str] = {"op5_chat_formatting": chat.SQL}
+SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": oracles.SUFFIX_DEDUP,
+    "op5_chat_formatting": chat.SQL,
+    "op8_benchmark_decontamination": oracles.DECONTAMINATION,
+}
