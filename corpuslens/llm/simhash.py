@@ -35,25 +35,34 @@ SEGMENTS = [(0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64)]
 BUDGET = 3
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Majority bits over the XXH64 (seed 42) of word shingles; bits are taken as an unsigned number."""
+def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
+    """The XXH64 (seed 42) of each word shingle in turn; a shorter text is one shingle, one without words has none."""
     import xxhash
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     k, digest = min(words, len(tokens)), xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist())]
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, as an unsigned number."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[i : i + (1 << 16)], dtype=">u8")
+        part = hashes[i : i + (1 << 16)].astype(">u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Majority bits over the XXH64 (seed 42) of word shingles; bits are taken as an unsigned number."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, carry: list[str] | None = None) -> DataFrame:
     """The columns of ``carry`` (default: doc_id) and fp, the fingerprint as a signed long. No shuffle."""
     carry = carry or ["doc_id"]
@@ -122,6 +131,8 @@ def bucket_links(bucket: np.ndarray, budget: int = BUDGET) -> list[tuple[np.ndar
 
 def links(fp: DataFrame, budget: int = BUDGET) -> DataFrame:
     """u, v: links among the distinct fingerprints of fp(fp) with the components of all pairs within budget."""
+    if budget > BUDGET:
+        raise ValueError(f"three equal of six segments are certain for at most {BUDGET} differing bits")
     bucketed = keys(fp).repartition("key").sortWithinPartitions("key")
 
     def run(batches):
