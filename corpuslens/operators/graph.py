@@ -62,18 +62,18 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.where("src <> dst").select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """node and depth (edges from the nearest seed) by rounds of a frontier; seeds have depth 0."""
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """node and depth (edges from the nearest seed) by rounds until the frontier is empty; seeds have depth 0."""
     e = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
     seen = checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
-    for depth in range(1, most_rounds + 1):
+    frontier, depth = seen, 0
+    while True:
+        depth += 1
         new = frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = checkpointed(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
+            return seen
         seen = checkpointed(seen.union(frontier))
-    return seen
 
 
 def connected_components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -92,18 +92,28 @@ def connected_components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def strongly_connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def trimmed(edges: DataFrame) -> DataFrame:
+    """The edges that are left when those from nodes that no edge enters, or to nodes that none leaves, go again and again."""
+    n = edges.count()
+    while n:
+        entered, left = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = checkpointed(edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"))
+        before, n = n, edges.count()
+        if n == before:
+            break
+    return edges
+
+
+def strongly_connected(edges: DataFrame) -> DataFrame:
     """node and root (smallest node) of the strongly connected groups of at least two nodes.
 
     Forward colours: each node takes the smallest node that reaches it. Within a colour, the nodes that reach
-    the colour's smallest node are one group; they leave, and the rest starts again. A round needs the
-    neighbours' labels only, never the closure.
+    the colour's smallest node are one group; they leave, and the rest starts again until no edge is left.
+    Chains into and out of cycles are trimmed first. A round needs the neighbours' labels only, never the closure.
     """
-    left = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
+    left = trimmed(checkpointed(edges.where("src <> dst").select("src", "dst").distinct()))
     groups = None
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         colour = _spread(left)
         inside = left.join(colour.select(F.col("node").alias("src"), F.col("label").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("cd")), "dst").where("cs = cd")
         inside = checkpointed(inside.select("src", "dst"))
@@ -112,22 +122,22 @@ def strongly_connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         found = checkpointed(back.join(colour, "node").select("node", F.col("label").alias("root")))
         groups = found if groups is None else checkpointed(groups.union(found))
         gone = found.select("node")
-        left = checkpointed(left.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        # every round takes the smallest node of each colour at least, so this ends
+        left = trimmed(checkpointed(left.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")))
     if groups is None:
         return left.select(F.col("src").alias("node"), F.col("dst").alias("root"))
     size = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return groups.join(size.select("root"), "root", "left_semi").select("node", "root")
 
 
-def _spread(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """node and label, the smallest node from which it is reached (itself included)."""
+def _spread(edges: DataFrame) -> DataFrame:
+    """node and label, the smallest node from which it is reached (itself included). Labels only fall, so this ends."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     label = checkpointed(nodes.withColumn("label", F.col("node")))
-    for _ in range(most_rounds):
+    while True:
         into = edges.join(label, edges["src"] == label["node"]).groupBy("dst").agg(F.min("label").alias("from_src"))
         now = checkpointed(label.join(into, label["node"] == into["dst"], "left").select("node", F.least("label", F.coalesce("from_src", "label")).alias("new"), "label"))
         done = now.where("new <> label").isEmpty()
         label = now.select("node", F.col("new").alias("label"))
         if done:
             return label
-    raise RuntimeError("the labels did not settle")
