@@ -6,6 +6,9 @@ complete mode; each has a batch twin with the same rows, which the queries' SQL
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,10 +18,13 @@ from pyspark.sql import functions as F
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream; the time column as an instant, as watermarks need one."""
-    stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(sf_dir)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+def read_events(spark: SparkSession, sf_dir: str, most_files: int | None = 64) -> DataFrame:
+    """The events table (a file or a folder of part files) as a stream; the time column as an instant, as watermarks need one."""
+    reader = spark.readStream.schema(EVENTS)
+    if most_files:
+        reader = reader.option("maxFilesPerTrigger", most_files)
+    # as a pattern, the path may name a file too
+    return reader.parquet(f"{sf_dir.rstrip('/')}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -57,13 +63,34 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.
 
 
 def finding_states(events: DataFrame) -> DataFrame:
-    """user_id, status, reopened after each micro-batch, as a stateful operator."""
-    return events.groupBy("user_id").applyInPandasWithState(_advance, OUT, STATE, "update", "NoTimeout")
+    """user_id, status, reopened after each micro-batch, as a stateful operator; events are ordered within a micro-batch."""
+    return events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(_advance, OUT, STATE, "update", "NoTimeout")
 
 
-def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that is available now, through the stream engine, as a table of the session."""
-    spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir (a local folder only where the setting is absent), removed when the JVM ends."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "corpuslens-checkpoints")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def drained(stream: DataFrame, name: str, mode: str, key: str | None = None) -> DataFrame:
+    """All that is available now, through the stream engine, as a stored table; in update mode the last row of each key."""
+    spark, path, batches = stream.sparkSession, scratch_dir(stream.sparkSession, name), []
+
+    def store(df: DataFrame, batch: int) -> None:
+        at = f"{path}/{batch}"
+        df.withColumn("_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(at)
+        batches[:] = [at] if mode == "complete" else [*batches, at]
+
+    query = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", scratch_dir(spark, f"{name}-progress")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    found = spark.read.parquet(*batches)
+    if key:
+        rest = [c for c in stream.columns if c != key]
+        found = found.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("last")).select(key, "last.*")
+    return found.select(*stream.columns)
