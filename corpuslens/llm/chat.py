@@ -6,13 +6,14 @@ and the order of turns counts) names every turn prefix. A conversation whose who
 another one goes (anti-join), of conversations with equal turns the smallest conv_id stays. Only those left
 are rendered, in the ChatML form ``<|im_start|>role`` line feed text ``<|im_end|>`` line feed.
 
-All steps are DataFrame operations. Texts are hashed before the first shuffle, so that shuffle and its window
-carry numbers only; a window with a running sum streams over a long conversation without holding it. Equal
-prefixes are aggregated before they are joined, so a first turn that very many conversations share is one row.
-
-Turns are ordered by turn, then by their hashes (repeated turn numbers keep a defined order). Null role and
-text count as empty, null turns come first, rows with a null conv_id are one conversation. An empty table
-gives an empty result. Extra columns are ignored.
+All steps are DataFrame operations. Turns are gathered and put in order once, a row for each conversation
+(stored); from these rows the rolling table is made once (stored, numbers only), and from the same rows those
+that stay are rendered. A window with a running sum streams over a long conversation. Equal prefixes are
+aggregated before they are joined, so a first turn that very many conversations share is one row.
+
+Turns are ordered by turn, then role, then text (repeated turn numbers keep a defined order; equal rows are
+turns of their own). Null role and text count as empty, null turns come first, rows with a null conv_id are
+one conversation. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,65 +21,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.llm.common import stored
+
 LANES = 3
 LANE = 1 << 40
+KEY = ["ordinal", *[f"h{i}" for i in range(LANES)]]
 
 
-def _turn_hash(lane: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(f"turn-{lane}"), "role", "text"), F.lit(1 << 62))
-
-
-def _placed(lane: int) -> Column:
-    """The turn's hash with its ordinal mixed in, within a lane."""
-    return F.pmod(F.xxhash64(F.lit(f"place-{lane}"), F.col("ordinal"), F.col(f"t{lane}")), F.lit(LANE))
+def _placed(lane: int, ordinal: Column, turn: Column) -> Column:
+    """A hash of the turn's place, role and text, within a lane."""
+    return F.pmod(F.xxhash64(F.lit(f"turn-{lane}"), ordinal, turn["role"], turn["text"]), F.lit(LANE))
 
 
-def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text with nulls of role and text made empty, and the turn hashes."""
-    clean = conversations.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return clean.withColumns({f"t{i}": _turn_hash(i) for i in range(LANES)})
+def gathered(conversations: DataFrame) -> DataFrame:
+    """conv_id and turns, the array of (turn, role, text) in order; nulls of role and text are made empty."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    item = F.struct("turn", empty("role"), empty("text"))
+    return conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("turns"))
 
 
-def prefixes(conversations: DataFrame) -> DataFrame:
+def prefixes(chats: DataFrame) -> DataFrame:
     """conv_id, ordinal, h0..h2 (rolling hashes) and last (the conversation ends here), a row for each turn."""
-    order = Window.partitionBy("conv_id").orderBy("turn", *[f"t{i}" for i in range(LANES)])
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = turns(conversations).drop("role", "text").withColumns({"ordinal": F.row_number().over(order), "last": F.lead(F.lit(1)).over(order).isNull()})
-    placed = numbered.withColumns({f"p{i}": _placed(i) for i in range(LANES)})
-    return placed.select("conv_id", "ordinal", "last", *[F.sum(f"p{i}").over(running).alias(f"h{i}") for i in range(LANES)])
+    each = chats.select("conv_id", F.size("turns").alias("n"), F.posexplode("turns").alias("at", "turn"))
+    lanes = [_placed(i, F.col("at"), F.col("turn")).alias(f"p{i}") for i in range(LANES)]
+    numbered = each.select("conv_id", (F.col("at") + 1).alias("ordinal"), (F.col("at") + 1 == F.col("n")).alias("last"), *lanes)
+    running = Window.partitionBy("conv_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return numbered.select("conv_id", "ordinal", "last", *[F.sum(f"p{i}").over(running).alias(f"h{i}") for i in range(LANES)])
 
 
-def maximal(conversations: DataFrame) -> DataFrame:
+def maximal(rolling: DataFrame) -> DataFrame:
     """conv_id, n_turns and n_copies of the conversations that prefix no longer one; equal ones are counted."""
-    rolling = prefixes(conversations)
-    key = ["ordinal", *[f"h{i}" for i in range(LANES)]]
-    whole = rolling.where("last").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
-    inner = rolling.where(~F.col("last")).select(*key).distinct()
-    return whole.join(inner, key, "left_anti").select("conv_id", F.col("ordinal").cast("long").alias("n_turns"), "n_copies")
+    whole = rolling.where("last").groupBy(*KEY).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
+    inner = rolling.where(~F.col("last")).select(*KEY).distinct()
+    return whole.join(inner, KEY, "left_anti").select("conv_id", F.col("ordinal").cast("long").alias("n_turns"), "n_copies")
 
 
-def render(conversations: DataFrame, kept: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_copies and rendered for the conversations of kept."""
-    same = lambda a, b: a["conv_id"].eqNullSafe(b["conv_id"])
-    rows = turns(conversations)
-    line = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
-    item = F.struct("turn", *[f"t{i}" for i in range(LANES)], line.alias("line"))
-    chosen = rows.join(kept.select("conv_id"), same(rows, kept), "left_semi")
-    made = chosen.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["line"]), "").alias("rendered"))
-    return kept.join(made, same(kept, made)).select(kept["conv_id"], "n_turns", "n_copies", "rendered")
+def rendered(turns: Column) -> Column:
+    """The turns in ChatML form."""
+    line = lambda t: F.concat(F.lit("<|im_start|>"), t["role"], F.lit("\n"), t["text"], F.lit("<|im_end|>\n"))
+    return F.array_join(F.transform(turns, line), "")
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """Collapse snapshots, then render what is left: conv_id, n_turns, n_copies, rendered."""
-    return render(conversations, maximal(conversations))
+    chats = stored(gathered(conversations), "chats")
+    kept = maximal(stored(prefixes(chats), "rolling"))
+    same = chats["conv_id"].eqNullSafe(kept["conv_id"])
+    return chats.join(kept, same).select(kept["conv_id"], "n_turns", "n_copies", rendered(F.col("turns")).alias("rendered"))
 
 
 #: The same in DuckDB SQL with whole strings for hashes.
 SQL = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-n AS (SELECT *, row_number() OVER w AS ordinal, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-p AS (SELECT conv_id, ordinal, n_turns, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '') OVER (PARTITION BY conv_id ORDER BY ordinal) AS told FROM n),
-whole AS (SELECT min(conv_id) AS conv_id, ordinal, told, count(*) AS n_copies FROM p WHERE ordinal = n_turns GROUP BY ordinal, told)
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (
+  SELECT *, row_number() OVER w AS ordinal, count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+p AS (
+  SELECT conv_id, ordinal, n_turns,
+    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '') OVER (PARTITION BY conv_id ORDER BY ordinal) AS told
+  FROM n),
+whole AS (
+  SELECT min(conv_id) AS conv_id, ordinal, told, count(*) AS n_copies FROM p WHERE ordinal = n_turns GROUP BY ordinal, told)
 SELECT conv_id, CAST(ordinal AS BIGINT) AS n_turns, n_copies, told AS rendered
 FROM whole w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.ordinal < p.n_turns AND p.ordinal = w.ordinal AND p.told = w.told)
 """
