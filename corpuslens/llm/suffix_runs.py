@@ -2,8 +2,12 @@
 
 Every window of ``LENGTH`` bytes has an anchor: the place of its smallest hashed ``GRAM``-byte string (the
 leftmost of equals). Which place that is depends on the window's bytes alone, so equal windows have the same
-anchor at the same distance, and only suffixes that start at anchors need sorting: about one in 35.
+anchor at the same distance, and only suffixes that start at anchors need sorting: about one in 20.
 Neighbouring windows with one anchor form a run; a run of n windows covers n + LENGTH - 1 bytes.
+
+Windows whose anchors stand STRIDE places apart or less share at least LENGTH - STRIDE + 1 bytes around the
+anchor: the windows of a run come in parts (a part a stride of distances), and equal windows are in parts
+whose shared bytes are equal.
 """
 
 from __future__ import annotations
@@ -13,6 +17,9 @@ import numpy as np
 LENGTH = 100
 GRAM = 32
 REACH = LENGTH - GRAM + 1  # GRAM-byte strings inside a window
+LEADS = GRAM // 8  # eight bytes of a suffix are one sort key
+STRIDE = 16
+SHARED = LENGTH - STRIDE + 1
 SEGMENT = 1 << 19
 PLACE = np.uint64((1 << 24) - 1)
 _rng = np.random.default_rng(20240229)
@@ -60,13 +67,14 @@ def segments(data: bytes):
 
 def runs(parts: list[bytes]) -> dict[str, np.ndarray]:
     """The runs of some parts: part (its number), start (of the first window, in the part), windows, before
-    (bytes from the start to the anchor), lead (first eight bytes at the anchor, as an unsigned number),
-    gram (hash of the anchor's GRAM bytes) and whole (hash of all bytes that the run covers)."""
+    (bytes from the start to the anchor), lead0 to lead3 (the GRAM bytes at the anchor, eight to an unsigned number
+    whose order is that of the bytes) and whole (hash of all bytes that the run covers)."""
     sizes = np.array([len(p) for p in parts], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(parts), np.uint8)
     n = len(data)
-    none = {k: np.zeros(0, np.uint64 if k in ("lead", "gram", "whole") else np.int64) for k in ("part", "start", "windows", "before", "lead", "gram", "whole")}
+    leads = [f"lead{i}" for i in range(LEADS)]
+    none = {k: np.zeros(0, np.uint64) for k in (*leads, "whole")} | {k: np.zeros(0, np.int64) for k in ("part", "start", "windows", "before")}
     if n < LENGTH:
         return none
     sums = prefix_sums(data)
@@ -89,11 +97,31 @@ def runs(parts: list[bytes]) -> dict[str, np.ndarray]:
     s, a = starts[first], anchor[first]
     count = np.diff(np.concatenate([first, [len(starts)]]))
     part = np.searchsorted(ends, s, side="right")
-    lead = np.zeros(len(a), np.uint64)
-    for i in range(8):
-        lead = lead << np.uint64(8) | data[a + i].astype(np.uint64)
+    lead = np.lib.stride_tricks.sliding_window_view(data, GRAM)[a].view(">u8").astype(np.uint64)
     whole = span_hash(sums, s, s + count + LENGTH - 1) ^ mix(((a - s) << 8 | count).astype(np.uint64) * _BASE)
-    return {"part": part, "start": s - (ends - sizes)[part], "windows": count, "before": a - s, "lead": lead, "gram": grams[a], "whole": whole}
+    found = {"part": part, "start": s - (ends - sizes)[part], "windows": count, "before": a - s, "whole": whole}
+    return found | {k: np.ascontiguousarray(lead[:, i]) for i, k in enumerate(leads)}
+
+
+def window_parts(windows: np.ndarray, before: np.ndarray, data: list[bytes]) -> dict[str, np.ndarray]:
+    """The windows of runs (their bytes in data) in parts: run (its number), first (number of the part's first
+    window in the run), size, shared (hash of the bytes that all windows of the part share, and its stride), and
+    the hashes of all windows, run by run, with their count before each part."""
+    sums = prefix_sums(np.frombuffer(b"".join(data), np.uint8))
+    sizes = np.array([len(d) for d in data], np.int64)
+    base = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(windows)), windows)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = base[row] + step
+    value = span_hash(sums, at, at + LENGTH)
+    stride = (before[row] - step) // STRIDE
+    head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (stride[1:] != stride[:-1])])) if len(row) else np.zeros(0, np.int64)
+    of, k = row[head], stride[head]
+    left = base[of] + before[of] - k * STRIDE
+    shared = span_hash(sums, left, left + SHARED) ^ mix((k + 1).astype(np.uint64) * _BASE)
+    return {"run": of, "first": step[head], "size": np.diff(np.concatenate([head, [len(row)]])), "shared": shared, "hashes": value, "at": head}
+
+
 
 
 def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
