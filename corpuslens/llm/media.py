@@ -6,9 +6,12 @@ strongest bins; each peak is paired with the next peaks within a few frames, and
 distance in frames) is a hash with the frame of its first peak as time code: two parallel arrays a row.
 ``feature`` is a sketch of the hashes (their smallest mixed values), equal for equal payloads.
 
+``media_columns`` does both with a stored table between: what is read back is what was written.
+
 Null text counts as empty. Payloads are padded with bytes 255 to a positive multiple of ``unit``. A column
 value that is no WAV file raises. Repeated rows give equal values; an empty table gives an empty result.
-Both steps run in the scan's tasks: no shuffle.
+Both steps run in their scans' tasks: no shuffle. A very long text is one value; its spectra are taken in blocks.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import drop_held, small_batches
+from corpuslens.llm.common import drop_held, small_batches, stored
 
 FRAME, HOP, PEAKS, FAN, REACH, SKETCH = 128, 64, 2, 4, 12, 8
 BLOCK = 4096
@@ -111,3 +114,8 @@ def wav_features(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<int>, hashes array<int>")
+
+
+def media_columns(docs: DataFrame, unit: int = 576) -> DataFrame:
+    """The features of docs' media column, which is written as a table and read back."""
+    return wav_features(stored(encode_wav(docs, unit), "media"))

@@ -446,7 +446,7 @@ def test_chat_equals_sql(spark, sf):
 
 
 def test_media(docs, rows, empty):
-    found = {r.doc_id: r for r in media.wav_features(media.encode_wav(docs)).collect()}
+    found = {r.doc_id: r for r in media.media_columns(docs).collect()}
     for d, t, _ in rows:
         data = (t or "").encode()
         payload = data.ljust(max(1, -(-len(data) // 576)) * 576, b"\xff")
@@ -463,3 +463,13 @@ def test_spectral_peaks_find_a_tone():
     _, bins = media.spectral_peaks(tone)
     assert (bins == 16).sum() >= 30
     assert len(media.spectral_peaks(np.full(2048, 255, np.uint8))[0]) == 0
+
+
+def test_media_arrays_are_those_of_the_payload(spark):
+    tone = "".join(chr(97 + i % 8) for i in range(6000))
+    docs = spark.createDataFrame([(1, tone), (2, None), (3, tone)], "doc_id long, text string")
+    found = {r.doc_id: r for r in media.media_columns(docs).collect()}
+    payload = np.frombuffer(tone.encode().ljust(6336, b"\xff"), np.uint8)
+    times, hashes = media.pair_hashes(*media.spectral_peaks(payload))
+    assert len(times) and (found[1].times, found[1].hashes) == (times.tolist(), hashes.tolist())
+    assert (found[3].times, found[3].feature) == (found[1].times, found[1].feature) and found[2].times == []
