@@ -408,11 +408,11 @@ def brute_leaks(rows, items, size=10):
     return out
 
 
-@pytest.mark.parametrize("block", [2_000_000, 15])
+@pytest.mark.parametrize("block", [2_000_000, 100])
 def test_decontamination(spark, docs, rows, empty, block):
     items = [(1, PASSAGE[:200]), (2, "Größe, NIÑO"), (3, None), (4, "..."), (5, PASSAGE), (5, "the the"), (10, LONG[500:560]), (None, "état")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.decontaminate(docs, benchmark, block_words=block).drop("media")
+    found = decontaminate.decontaminate(docs, benchmark, block_bytes=block).drop("media")
     named = [("" if i is None else i, t) for i, t in items]
     assert {r.doc_id: tuple(r)[1:] for r in found.collect()} == brute_leaks([(d, t) for d, t, _ in rows], named)
     assert decontaminate.decontaminate(empty, benchmark).count() == 0
