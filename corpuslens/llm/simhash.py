@@ -1,27 +1,27 @@
 """SimHash near-duplicates with pigeonring filtering.
 
 A fingerprint has 64 bits by majority over the hashes of word shingles. Two fingerprints link when at most
-``budget`` bits differ. Equal fingerprints are one class from the start, so only distinct ones are compared.
+``BUDGET`` bits differ. Equal fingerprints are one class from the start, so only distinct ones are compared.
 
-Candidates: the 64 bits are a ring of six segments. With three differing bits at least three segments are
-equal, so two fingerprints that link share one of the 20 choices of three segments (keys of 32 bits or more,
-which at random hardly meet). Pairs that share a key pass the pigeonring filter: starting from some segment,
-the differing bits of every chain of consecutive segments stay within the chain's share of the budget
-(length / 6 * budget); only then all 64 bits are compared.
+Candidates: the 64 bits are a ring of five segments. If at most three bits differ, the ring has a segment from
+which the differing bits of every chain of consecutive segments stay within the chain's share of the budget
+(length * 3 / 5, rounded down: 0, 1, 1, 2, 3 bits). The index holds the first chains: at each start, the first
+segment must be equal, and the next two differ in one bit at most, so that of their four halves three are
+equal. That makes four keys a start, 20 a fingerprint, of 31 to 33 bits, which at random hardly meet. Two
+fingerprints that meet are taken on chain by chain: the bits of three, of four, and only then of all segments.
 
 Buckets are read in key order; inside one, links are found by search from a start to the fingerprints not
-yet reached, so a bucket of n gives at most n-1 links however many pairs it holds, and a dense bucket costs
-about n comparisons, not their square. The links have the same components as all pairs would have. A
-bucket holds distinct fingerprints only (8 bytes each), never documents.
+yet reached, so a bucket of n gives at most n-1 links however many pairs it holds. The links have the same
+components as all pairs would have. A bucket of more than ``LARGE`` fingerprints is dealt by each half of the
+segments that its key leaves open, as one of these four halves at least is equal: so its cost is not the square
+of its size even if few of them link. A bucket holds distinct fingerprints only (8 bytes each), never documents.
 
-Null and empty texts have no words and fingerprint zero, which links like any other. Repeated rows keep
-their row. An empty table gives an empty result.
+Null and empty texts have no words and fingerprint zero, which links like any other. Repeated rows and ties
+keep their row; very long texts are read whole. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +30,12 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import drop_held, small_batches, stored
 from corpuslens.llm.components import components
 
-#: Bounds of the six segments, from the low bit.
-SEGMENTS = [(0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64)]
+#: Bounds of the five segments, from the low bit.
+SEGMENTS = [(0, 13), (13, 26), (26, 39), (39, 52), (52, 64)]
 BUDGET = 3
+#: The halves of each segment.
+HALVES = [((a, (a + b) // 2), ((a + b) // 2, b)) for a, b in SEGMENTS]
+LARGE = 2_048
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
@@ -78,50 +81,64 @@ def fingerprints(docs: DataFrame, words: int = 3, carry: list[str] | None = None
     return docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(carry, at)], F.col("text").alias("body")).mapInArrow(run, schema)
 
 
-def keys(fp: DataFrame) -> DataFrame:
-    """A row (choice, key, fp) for each of the 20 choices of three equal segments."""
-    part = lambda s: F.shiftrightunsigned("fp", SEGMENTS[s][0]).bitwiseAND(F.lit((1 << (SEGMENTS[s][1] - SEGMENTS[s][0])) - 1))
-    choices = [F.shiftleft(part(a), 22).bitwiseOR(F.shiftleft(part(b), 11)).bitwiseOR(part(c)) + (F.lit(i).cast("long") * (1 << 33)) for i, (a, b, c) in enumerate(combinations(range(6), 3))]
-    return fp.select("fp", F.explode(F.array(*choices)).alias("key"))
+def _choices() -> list[tuple[int, list[tuple[int, int]]]]:
+    """(start, bits that are equal) of each key: the start's segment and three of the halves of the next two."""
+    m, out = len(SEGMENTS), []
+    for start in range(m):
+        halves = [*HALVES[(start + 1) % m], *HALVES[(start + 2) % m]]
+        for left_out in range(4):
+            out.append((start, [SEGMENTS[start], *(h for i, h in enumerate(halves) if i != left_out)]))
+    return out
 
 
-def _within_ring(differ: np.ndarray, budget: int) -> np.ndarray:
-    """Which differences pass the pigeonring filter: some start whose every chain keeps to its share."""
-    parts = np.stack([np.bitwise_count(differ >> np.uint64(a) & np.uint64((1 << (b - a)) - 1)) for a, b in SEGMENTS]).astype(np.int16)
-    m, passes = len(SEGMENTS), np.zeros(differ.shape, bool)
-    for start in range(m):
-        total, ok = np.zeros(differ.shape, np.int16), np.ones(differ.shape, bool)
-        for length in range(1, m + 1):
-            total = total + parts[(start + length - 1) % m]
-            ok &= total * m <= length * budget
-        passes |= ok
-    return passes
-
-
-def _linked(start: np.ndarray, others: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): others[j] links with start[i]; each j once at most."""
-    differ = start[:, None] ^ others[None, :]
-    if differ.size > 64:
-        passes = _within_ring(differ, budget)
-        i, j = np.nonzero(passes)
-        ok = np.bitwise_count(differ[i, j]) <= budget
-    else:
-        i, j = np.nonzero(np.bitwise_count(differ) <= budget)
-        ok = np.ones(len(i), bool)
-    i, j = i[ok], j[ok]
-    _, first = np.unique(j, return_index=True)
-    return i[first], j[first]
-
-
-def bucket_links(bucket: np.ndarray, budget: int = BUDGET) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect a bucket's fingerprints as all its linking pairs would: at most n-1."""
+CHOICES = _choices()
+#: A key is the number of its choice above so many bits.
+KEY_BITS = 34
+
+
+def keys(fp: DataFrame) -> DataFrame:
+    """A row (key, fp) for each choice of equal bits; the key is the number of the choice and these bits."""
+    rows = []
+    for i, (_, parts) in enumerate(CHOICES):
+        key, place = F.lit(i << KEY_BITS).cast("long"), KEY_BITS
+        for a, b in parts:
+            place -= b - a
+            bits = F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+            key = key.bitwiseOR(F.shiftleft(bits, place))
+        rows.append(key)
+    return fp.select("fp", F.explode(F.array(*rows)).alias("key"))
+
+
+def chains(differ: np.ndarray, start: int, budget: int = BUDGET) -> np.ndarray:
+    """Which differences pass the pigeonring filter from a start: every chain from there keeps to its share.
+
+    Chains are taken on one segment at a time, and only where the ones before kept to theirs.
+    """
+    m, flat, at, total = len(SEGMENTS), differ.ravel(), None, np.uint8(0)
+    for length in range(1, m + 1):
+        a, b = SEGMENTS[(start + length - 1) % m]
+        left = flat if at is None else flat[at]
+        total = total + np.bitwise_count(left & np.uint64((1 << b) - (1 << a)))
+        ok = total * m <= length * budget
+        at, total = np.flatnonzero(ok) if at is None else at[ok], total[ok]
+        if not len(at):
+            break
+    passes = np.zeros(flat.shape, bool)
+    passes[at] = True
+    return passes.reshape(differ.shape)
+
+
+def bucket_links(bucket: np.ndarray, start: int, budget: int = BUDGET) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect a bucket's fingerprints as all pairs that pass the filter from start would: at most n-1."""
     left, out = bucket, []
     while len(left) > 1:
         frontier, left = left[:1], left[1:]
         while len(frontier) and len(left):
             block = max(1, (1 << 18) // len(left))
             now, frontier = frontier[:block], frontier[block:]
-            i, j = _linked(now, left, budget)
+            i, j = np.nonzero(chains(now[:, None] ^ left[None, :], start, budget))
+            j, first = np.unique(j, return_index=True)
+            i = i[first]
             if len(j):
                 out.append((now[i], left[j]))
                 frontier = np.concatenate([frontier, left[j]])
@@ -129,28 +146,44 @@ def bucket_links(bucket: np.ndarray, budget: int = BUDGET) -> list[tuple[np.ndar
     return out
 
 
+def dealt_links(bucket: np.ndarray, choice: int, budget: int = BUDGET) -> list[tuple[np.ndarray, np.ndarray]]:
+    """bucket_links; a large bucket is dealt by the four halves of the two last segments, one of which is equal."""
+    start, m = CHOICES[choice][0], len(SEGMENTS)
+    if len(bucket) <= LARGE:
+        return bucket_links(bucket, start, budget)
+    out = []
+    for a, b in (*HALVES[(start + 3) % m], *HALVES[(start + 4) % m]):
+        value = bucket >> np.uint64(a) & np.uint64((1 << (b - a)) - 1)
+        order = np.argsort(value, kind="stable")
+        for part in np.split(bucket[order], np.flatnonzero(np.diff(value[order])) + 1):
+            if len(part) > 1:
+                out += bucket_links(part, start, budget)
+    return out
+
+
 def links(fp: DataFrame, budget: int = BUDGET) -> DataFrame:
     """u, v: links among the distinct fingerprints of fp(fp) with the components of all pairs within budget."""
     if budget > BUDGET:
-        raise ValueError(f"three equal of six segments are certain for at most {BUDGET} differing bits")
+        raise ValueError(f"the index holds the chains of at most {BUDGET} differing bits")
     bucketed = keys(fp).repartition("key").sortWithinPartitions("key")
 
     def run(batches):
         drop_held()
+
         def of(key: np.ndarray, fps: np.ndarray):
-            cuts = np.flatnonzero(np.diff(key)) + 1
-            starts = np.concatenate([[0], cuts])
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
             sizes = np.diff(np.concatenate([starts, [len(key)]]))
             found = []
             pair = starts[sizes == 2]
-            if len(pair):
-                a, b = fps[pair], fps[pair + 1]
-                d = a ^ b
-                ok = _within_ring(d, budget) & (np.bitwise_count(d) <= budget)
-                found.append((a[ok], b[ok]))
-            for at, size in zip(starts[sizes > 2], sizes[sizes > 2]):
-                found += bucket_links(fps[at : at + size], budget)
-            u, v = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (0, 1)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            made = key[pair] >> KEY_BITS
+            for choice in np.unique(made).tolist():
+                here = pair[made == choice]
+                ok = chains(fps[here] ^ fps[here + 1], CHOICES[choice][0], budget)
+                found.append((fps[here[ok]], fps[here[ok] + 1]))
+            more = sizes > 2
+            for at, size, choice in zip(starts[more].tolist(), sizes[more].tolist(), (key[starts[more]] >> KEY_BITS).tolist()):
+                found += dealt_links(fps[at : at + size], choice, budget)
+            u, v = (np.concatenate([np.zeros(0, np.uint64), *(f[k] for f in found)]).view(np.int64) for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         held: list = []  # a bucket may go on in the next batch

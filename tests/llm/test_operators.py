@@ -299,7 +299,9 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_bucket_links_have_the_components_of_all_pairs():
+@pytest.mark.parametrize("large", [20, 2_048])
+def test_keys_and_chains_have_the_components_of_all_pairs(spark, large, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", large)
     some, r = set(), random.Random(5)
     for _ in range(6):
         center = r.getrandbits(64)
@@ -310,9 +312,46 @@ def test_bucket_links_have_the_components_of_all_pairs():
             some.add(x)
     some = sorted(some)
     pairs = [(a, b) for i, a in enumerate(some) for b in some[i + 1 :] if (a ^ b).bit_count() <= 3]
-    assert simhash._within_ring(np.array([a ^ b for a, b in pairs], np.uint64), 3).all()  # the filter loses no link
-    links = [(int(a), int(b)) for u, v in simhash.bucket_links(np.array(some, np.uint64)) for a, b in zip(u, v)]
-    assert brute_components(some, pairs) == brute_components(some, links) and len(links) < len(some)
+    differ = np.array([a ^ b for a, b in pairs], np.uint64)
+    starts = np.stack([simhash.chains(differ, s) for s in range(5)])
+    assert starts.any(axis=0).all() and not starts.all()  # some start passes for each link
+    links, buckets = [], collections.defaultdict(list)
+    signed = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in some], "fp long")
+    for row in simhash.keys(signed).collect():
+        buckets[row.key].append(row.fp % (1 << 64))
+    for key, members in buckets.items():
+        links += [(int(a), int(b)) for u, v in simhash.dealt_links(np.array(members, np.uint64), key >> simhash.KEY_BITS) for a, b in zip(u, v)]
+    assert all((a ^ b).bit_count() <= 3 for a, b in links)
+    assert brute_components(some, pairs) == brute_components(some, links)
+
+
+def test_keys_hold_three_of_four_halves(spark):
+    """Fingerprints meet under a key of a start exactly where its first chain is within the budget."""
+    r, low = random.Random(7), {}
+    some = [r.getrandbits(63)]
+    for _ in range(60):
+        x = some[0]
+        for _ in range(r.randint(0, 4)):
+            x ^= 1 << r.randrange(63)
+        some.append(x)
+    for row in simhash.keys(spark.createDataFrame([(x,) for x in some], "fp long")).collect():
+        low.setdefault(row.fp, set()).add(row.key)
+    segment = lambda d, s: (d >> simhash.SEGMENTS[s % 5][0] & (1 << simhash.SEGMENTS[s % 5][1] - simhash.SEGMENTS[s % 5][0]) - 1).bit_count()
+    for a in some:
+        for b in some:
+            starts = {key >> simhash.KEY_BITS >> 2 for key in low[a] & low[b]}
+            within = {s for s in range(5) if not segment(a ^ b, s) and segment(a ^ b, s + 1) + segment(a ^ b, s + 2) <= 1}
+            assert within <= starts and all(not segment(a ^ b, s) for s in starts)
+
+
+def test_a_large_bucket_without_links_is_no_square():
+    import time
+
+    rng = np.random.default_rng(3)
+    bucket = np.unique(rng.integers(0, 1 << 25, 60_000).astype(np.uint64) << np.uint64(39))  # equal in the first three segments
+    began = time.time()
+    simhash.dealt_links(bucket, 0)
+    assert time.time() - began < 30
 
 
 def test_links_through_keys(spark):
