@@ -206,23 +206,20 @@ def exact_dup_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of distinct units of at least five lines whose line sequences are 0.9 alike (75); tested by brute force."""
-    return duplicates.near_pairs(tables.documents(spark, sf_dir), 0.9, 5)
+    """Pairs of distinct units of at least 15 lines whose line sequences are 0.9 alike (75); tested by brute force."""
+    return duplicates.near_pairs(tables.documents(spark, sf_dir))
 
 
 @query()
 def near_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each unit's cluster over exact and near links: node, root, size (76-78)."""
     docs = tables.documents(spark, sf_dir)
-    links = duplicates.exact_links(docs).union(duplicates.near_pairs(docs, 0.9, 5).select("doc_a", "doc_b"))
-    found = duplicates.clusters(links)
-    return found.join(found.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").select("node", "root", "size")
+    return duplicates.sized_clusters(duplicates.exact_links(docs).union(duplicates.near_links(docs).select("doc_a", "doc_b")))
 
 
 @query(f"""WITH {NORM}, g AS (SELECT digest, min(doc_id) AS root, count(*) AS size FROM norm GROUP BY digest HAVING count(*) > 1) SELECT doc_id AS node, root, size FROM norm JOIN g USING (digest)""")
 def exact_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = duplicates.clusters(duplicates.exact_links(tables.documents(spark, sf_dir)))
-    return found.join(found.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").select("node", "root", "size")
+    return duplicates.exact_clusters(tables.documents(spark, sf_dir))
 
 
 @query(f"""WITH {LINES}, r AS (SELECT path, line_no, trim(line) AS line FROM lines WHERE trim(line) <> ''),

@@ -43,6 +43,51 @@ def test_near_pairs_equal_brute_force(spark):
     assert expected and found == expected
 
 
+def test_lines_are_trimmed_of_blanks_only(spark):
+    texts = ["a\nb 1", "a\nb 11", "  a\nc", "a\nc", "0abc0\n  x  \n22 z2\n   ", "10\n21\n32\n43\n", "a\n\n  c  "] + [f"l{i}\nm{i}" for i in range(200)]
+    plain = [[x.strip(" ") for x in t.split("\n") if x.strip(" ")] for t in texts]
+    docs = docs_of(spark, texts)
+    assert [r.kept for r in duplicates.units(docs).orderBy("doc_id").collect()] == plain
+    first = {}
+    expected = {(first.setdefault(tuple(u), i), i) for i, u in enumerate(plain)}
+    assert {tuple(r) for r in duplicates.exact_links(docs).collect()} == {(a, b) for a, b in expected if a != b} == {(2, 3), (2, 6)}
+
+
+def _alike(x, y):
+    x, y = sorted((x, y), key=len)
+    return difflib.SequenceMatcher(None, x, y, autojunk=len(x) >= 80).ratio() >= 0.9
+
+
+def _components(nodes, links):
+    root = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return {n: r for n, r in root.items() if sum(x == r for x in root.values()) > 1}
+
+
+def test_near_clusters_of_templates(spark):
+    """A template of many texts, and texts of common lines only, give the components of all pairs with far fewer links."""
+    rng = random.Random(6)
+    form, common = [f"field {i}:" for i in range(40)], [f"common {i}" for i in range(22)]
+    texts = ["\n".join([*form[:20], f"name {i}", *form[20:]]) for i in range(120)]
+    texts += ["\n".join(rng.sample(common, rng.randint(15, 22))) for _ in range(40)]
+    texts += ["\n".join([*(f"own {i} {j}" for j in range(150)), *(["rule"] * 90 if i % 2 else ["other"] * 60)]) for i in range(4)]
+    units = [t.split("\n") for t in texts]
+    pairs = [(a, b) for a in range(len(units)) for b in range(a + 1, len(units)) if max(len(units[a]), len(units[b])) <= 1.5 * min(len(units[a]), len(units[b])) and _alike(units[a], units[b])]
+    links = duplicates.near_links(docs_of(spark, texts))
+    found = {r.node: r.root for r in duplicates.clusters(links).collect()}
+    assert found == _components(range(len(units)), pairs) and len(pairs) > 7000 and links.count() < 1500
+
+
+def test_junk_lines_of_long_units(spark):
+    a = [f"line {i}" for i in range(150)] + ["}"] * 150
+    b = ["}"] * 150 + [f"line {i}" for i in range(150)]
+    rows = spark.createDataFrame([(1, 2, a, b), (3, 4, a[:79], a[:79] + ["x"])], "doc_a long, doc_b long, lines_a array<string>, lines_b array<string>")
+    found = {r.doc_a: r.ratio for r in duplicates.sequence_ratio(rows).collect()}
+    assert found[1] == difflib.SequenceMatcher(None, a, b, autojunk=True).ratio() and found[3] == 158 / 159
+
+
 def _brute_scc(edges):
     nodes = {n for e in edges for n in e}
     reach = {n: {n} for n in nodes}
