@@ -139,7 +139,7 @@ def test_quality_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 TIERS = [(25, 0.1, False), (3, 0.9, False), (9, 0.6, False), (5, 0.2, True), (5, 0.2, False)]
 
 
-@query(f"SELECT n, ratio, spread, CASE WHEN n >= 20 OR ratio >= 0.8 THEN 4 WHEN n >= 8 AND ratio >= 0.5 THEN 3 WHEN spread AND n >= 4 THEN 3 END AS tier FROM {_values(TIERS)} v(n, ratio, spread)")
+@query(f"SELECT n, CAST(ratio AS DOUBLE) AS ratio, spread, CASE WHEN n >= 20 OR ratio >= 0.8 THEN 4 WHEN n >= 8 AND ratio >= 0.5 THEN 3 WHEN spread AND n >= 4 THEN 3 END AS tier FROM {_values(TIERS)} v(n, ratio, spread)")
 def passthrough_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(TIERS, "n int, ratio double, spread boolean")
     return rows.withColumn("tier", code.passthrough_tier(F.col("n"), F.col("ratio"), F.col("spread")))

@@ -33,7 +33,7 @@ def carried_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 REDUCED = [("smells", 0.5), ("naming", 0.8), ("security", 0.9)]
 
 
-@query(f"SELECT dimension, min(confidence) AS confidence, array_to_string(list_sort(list_distinct(list(detector))), ',') AS detectors FROM {_values(REDUCED)} r(detector, confidence) JOIN {CATALOG_SQL} USING (detector) GROUP BY dimension")
+@query(f"SELECT dimension, CAST(min(confidence) AS DOUBLE) AS confidence, array_to_string(list_sort(list_distinct(list(detector))), ',') AS detectors FROM {_values(REDUCED)} r(detector, confidence) JOIN {CATALOG_SQL} USING (detector) GROUP BY dimension")
 def coverage_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.coverage_confidence(spark.createDataFrame(REDUCED, "detector string, confidence double"), spark.createDataFrame(CATALOG, "detector string, dimension string"))
 
@@ -109,7 +109,7 @@ def directory_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS = [(1, 2, 0.95), (1, 3, 0.99), (2, 3, 0.99), (7, 8, 0.9)]
 
 
-@query("SELECT * FROM (VALUES (1, CAST(3 AS BIGINT), 1, 3, 0.99), (7, 2, 7, 8, 0.9)) v(root, size, doc_a, doc_b, ratio)")
+@query("SELECT root, size, doc_a, doc_b, CAST(ratio AS DOUBLE) AS ratio FROM (VALUES (1, CAST(3 AS BIGINT), 1, 3, 0.99), (7, 2, 7, 8, 0.9)) v(root, size, doc_a, doc_b, ratio)")
 def duplicate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best pair and the size of each cluster (77)."""
     pairs = spark.createDataFrame(PAIRS, "doc_a int, doc_b int, ratio double")
@@ -190,7 +190,7 @@ def scorecard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("tier").agg(F.count(F.lit(1)).alias("n_open"), F.bool_or(F.col("reopen_count") > 0).alias("any_reopened"), F.avg("loc").alias("mean_loc"))
 
 
-@query("SELECT 40.0 AS age, 0.25 AS change, true AS stale UNION ALL SELECT 10.0, 0.1, false UNION ALL SELECT 10.0, 0.5, true")
+@query("SELECT CAST(age AS DOUBLE) AS age, CAST(change AS DOUBLE) AS change, stale FROM (VALUES (40.0, 0.25, true), (10.0, 0.1, false), (10.0, 0.5, true)) v(age, change, stale)")
 def holistic_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole-corpus review is stale by age or by a change of a fifth of its files (120)."""
     rows = spark.createDataFrame([(40.0, 100, 125), (10.0, 100, 110), (10.0, 100, 150)], "age double, before int, now int")
