@@ -162,3 +162,58 @@ def without_comments(text: Column) -> Column:
     """C-style text without comments; strings keep what looks like one."""
     kept = r"(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*')|//[^\n]*|(?s:/\*.*?\*/)"
     return F.regexp_replace(text, kept, "$1")
+
+
+#: A tag in brackets that opens a log message, or one in a variable of a template.
+LOG_TAG = r"console\.(log|warn|info|debug)\s*\(\s*['\"`].{0,4}\["
+LOG_TAG_VARIABLE = r"(?i)console\.(log|warn|info|debug)\s*\(\s*`\$\{\w*(TAG|DEBUG|LOG)\w*\}"
+
+
+def tagged_logs(files: DataFrame) -> DataFrame:
+    """path, line_no, tag of each log line with a tag; 'unknown' where a variable holds it."""
+    line = F.col("line")
+    hit = lines(files, "path").where(line.rlike(LOG_TAG) | line.rlike(LOG_TAG_VARIABLE))
+    tag = F.regexp_extract("line", r"\[([^\]]+)\]", 1)
+    return hit.select("path", "line_no", F.when(tag == "", "unknown").otherwise(tag).alias("tag"))
+
+
+#: The kinds of concerns that a component file may mix (name, pattern, least number of places).
+CONCERNS = [
+    ("jsx_rendering", r"return\s*\(?\s*<", 1),
+    ("data_fetching", r"useQuery|useMutation|supabase\.|fetch\(|axios", 1),
+    ("direct_supabase", r"supabase\.\w+\.\w+\.\w+", 1),
+    ("data_transforms", r"\.(map|filter|reduce|sort|flatMap)\s*\(", 3),
+    ("handlers", r"(?:const|function)\s+handle\w+", 5),
+]
+
+
+def mixed_concerns(files: DataFrame, least_lines: int = 100, least: int = 3) -> DataFrame:
+    """path, loc, concerns, n_concerns of files of at least so many lines that mix at least so many kinds."""
+    found = [F.when(F.regexp_count("text", F.lit(p)) >= n, F.lit(name)) for name, p, n in CONCERNS]
+    told = files.select("path", T.line_count(F.col("text")).alias("loc"), F.filter(F.array(*found), lambda c: c.isNotNull()).alias("c"))
+    return told.where((F.col("loc") >= least_lines) & (F.size("c") >= least)).select("path", "loc", F.array_join("c", ",").alias("concerns"), F.size("c").alias("n_concerns"))
+
+
+#: An element that provides a context opens, unless its line closes an element at once, or ends.
+PROVIDER_OPENS, PROVIDER_ENDS = r"<(\w+Provider)\b(?!.*/>)", r"</(\w+Provider)\s*>"
+
+
+def context_nesting(files: DataFrame, more_than: int = 5) -> DataFrame:
+    """path, depth and the names at the deepest place of files whose context providers nest deeper than that.
+
+    A fold over the lines keeps the open names as a stack: names that open are pushed, then those that end are
+    popped if they are on top.
+    """
+    state = "struct<stack: array<string>, deepest: array<string>>"
+    opened = lambda s, name: F.concat(s["stack"], F.array(name))
+    deeper = lambda s, now: F.when(F.size(now) > F.size(s["deepest"]), now).otherwise(s["deepest"])
+    push = lambda s, name: F.struct(opened(s, name).alias("stack"), deeper(s, opened(s, name)).alias("deepest"))
+    top = lambda s, name: (F.size(s["stack"]) > 0) & (F.try_element_at(s["stack"], F.lit(-1)) == name)
+    cut = lambda s, name: F.when(top(s, name), F.slice(s["stack"], 1, F.size(s["stack"]) - 1)).otherwise(s["stack"])
+    pop = lambda s, name: F.struct(cut(s, name).alias("stack"), s["deepest"].alias("deepest"))
+    events = F.transform(T.line_array(F.col("text")), lambda x: F.struct(F.regexp_extract_all(x, F.lit(PROVIDER_OPENS), 1).alias("o"), F.regexp_extract_all(x, F.lit(PROVIDER_ENDS), 1).alias("e")))
+    busy = F.filter(events, lambda e: (F.size(e["o"]) > 0) | (F.size(e["e"]) > 0))
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<string>").alias("deepest")).cast(state)
+    end = F.aggregate(busy, start, lambda s, e: F.aggregate(e["e"], F.aggregate(e["o"], s, push), pop))
+    told = files.where(F.col("text").contains("Provider")).select("path", end["deepest"].alias("names"))
+    return told.where(F.size("names") > more_than).select("path", F.size("names").alias("depth"), F.array_join("names", ",").alias("names"))
