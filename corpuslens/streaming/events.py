@@ -12,19 +12,30 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
+def instant(column: str) -> Column:
+    """A time without zone as the instant of its UTC reading, whatever the session's zone: watermarks need instants."""
+    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, {column})"))
+
+
+def without_zone(column: str) -> Column:
+    """The UTC reading of an instant as a time without zone, whatever the session's zone."""
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({column}), {EPOCH})")
+
+
 def read_events(spark: SparkSession, sf_dir: str, most_files: int | None = 64) -> DataFrame:
     """The events table (a file or a folder of part files) as a stream; the time column as an instant, as watermarks need one."""
     reader = spark.readStream.schema(EVENTS)
     if most_files:
         reader = reader.option("maxFilesPerTrigger", most_files)
     # as a pattern, the path may name a file too
-    return reader.parquet(f"{sf_dir.rstrip('/')}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    return reader.parquet(f"{sf_dir.rstrip('/')}/events.parque[t]").withColumn("ts", instant("ts"))
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -94,3 +105,71 @@ def drained(stream: DataFrame, name: str, mode: str, key: str | None = None) ->
         rest = [c for c in stream.columns if c != key]
         found = found.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("last")).select(key, "last.*")
     return found.select(*stream.columns)
+
+
+LOG = "id string, at timestamp_ntz, kind string, unit string, digest string"
+
+
+def read_log(spark: SparkSession, path: str, most_files: int | None = 64) -> DataFrame:
+    """A folder of JSON-lines files as a stream of log rows; lines that do not parse, or lack an id or a time, are skipped."""
+    lines = spark.readStream.option("maxFilesPerTrigger", most_files or 2**31 - 1).text(path)
+    parsed = lines.select(F.from_json("value", LOG).alias("r")).select("r.*")
+    return parsed.where("id is not null and at is not null").withColumn("at", instant("at"))
+
+
+def on_time(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """tumbling_counts for append mode: a window is given out once, when the watermark has passed its end, and rows
+    that come later than that are dropped; the state of closed windows is freed."""
+    return tumbling_counts(events, width, late)
+
+
+def appended(stream: DataFrame, name: str) -> DataFrame:
+    """All that is available now in append mode, as a stored table: the stream's own file sink, nothing at the driver."""
+    spark, path = stream.sparkSession, scratch_dir(stream.sparkSession, name)
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_dir(spark, f"{name}-progress"))
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def recomputed(changes: DataFrame, name: str, result) -> DataFrame:
+    """The snapshot of units after a stream of changes (unit, digest, at, id): each micro-batch recomputes only the
+    units whose digest differs from the snapshot's, and writes the next snapshot.
+
+    ``result`` is a column made from a changed row. A snapshot is a folder named by its batch, so a batch that runs
+    again after a failure writes the same folder again from the same snapshot before it.
+    """
+    spark = changes.sparkSession
+    root, kept = scratch_dir(spark, name), []
+
+    def step(rows: DataFrame, batch: int) -> None:
+        last = rows.groupBy("unit").agg(F.max_by(F.struct("digest"), F.struct("at", "id")).alias("r")).select("unit", "r.digest")
+        before = [b for b in kept if b < batch]
+        if before:
+            old = spark.read.parquet(f"{root}/{before[-1]}")
+            same = old.join(last.select("unit", F.col("digest").alias("now")), "unit", "left")
+            stays = same.where(F.col("now").isNull() | (F.col("now") == F.col("digest"))).select(*old.columns)
+            made = last.join(stays.select("unit"), "unit", "left_anti").select("unit", "digest", result.alias("result"), F.lit(batch).cast("long").alias("batch"))
+            snapshot = stays.union(made)
+        else:
+            snapshot = last.select("unit", "digest", result.alias("result"), F.lit(batch).cast("long").alias("batch"))
+        snapshot.write.mode("overwrite").parquet(f"{root}/{batch}")
+        kept[:] = [*before, batch]
+
+    query = changes.writeStream.foreachBatch(step).option("checkpointLocation", scratch_dir(spark, f"{name}-progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not kept:
+        return spark.createDataFrame([], "unit string, digest string, result string, batch long")
+    return spark.read.parquet(f"{root}/{kept[-1]}")
+
+
+def phase_by_batch(events: DataFrame, name: str, phase) -> DataFrame:
+    """batch, n, n_open, phase: the lifecycle phase after each micro-batch, a column made from its counts."""
+    spark, path = events.sparkSession, scratch_dir(events.sparkSession, name)
+
+    def step(rows: DataFrame, batch: int) -> None:
+        counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("n_open"))
+        counts.select(F.lit(batch).cast("long").alias("batch"), "n", "n_open", phase.alias("phase")).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    query = events.writeStream.foreachBatch(step).option("checkpointLocation", scratch_dir(spark, f"{name}-progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("n long, n_open long, phase string, batch long").parquet(path)
