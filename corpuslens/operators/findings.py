@@ -78,18 +78,18 @@ def confidence_rank(confidence: Column) -> Column:
 
 def standalone(findings: DataFrame, catalog: DataFrame) -> DataFrame:
     """Drop findings weaker than their detector's standalone threshold; catalog has detector and standalone."""
-    joined = findings.join(F.broadcast(catalog), "detector", "left")
+    joined = findings.join(catalog, "detector", "left")
     return joined.where(F.col("standalone").isNull() | (confidence_rank(F.col("confidence")) <= confidence_rank(F.col("standalone"))))
 
 
 def zone_filtered(findings: DataFrame, skips: DataFrame) -> DataFrame:
     """Drop findings whose zone skips their detector; skips(zone, detector) is a small policy table."""
-    return findings.join(F.broadcast(skips), ["zone", "detector"], "left_anti")
+    return findings.join(skips, ["zone", "detector"], "left_anti")
 
 
 def downgraded(findings: DataFrame, policy: DataFrame) -> DataFrame:
     """Confidence replaced where policy(zone, detector, lower_to) says so."""
-    joined = findings.join(F.broadcast(policy), ["zone", "detector"], "left")
+    joined = findings.join(policy, ["zone", "detector"], "left")
     return joined.withColumn("confidence", F.coalesce("lower_to", "confidence")).drop("lower_to")
 
 

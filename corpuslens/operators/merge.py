@@ -37,7 +37,7 @@ def disappeared(existing: DataFrame, current: DataFrame, *, lang: str, suspects:
     In order: other language, suspect detector, out of scope, switched off by zone, still open, verified.
     """
     gone = existing.where(F.col("status").isin("open", "wontfix", "fixed", "false_positive")).join(current.select("finding_id"), "finding_id", "left_anti")
-    gone = gone.join(F.broadcast(skips.withColumn("off", F.lit(True))), ["zone", "detector"], "left")
+    gone = gone.join(skips.withColumn("off", F.lit(True)), ["zone", "detector"], "left")
     inside = F.col("file").startswith(scope + "/") | (F.col("file") == scope)
     verdict = (
         F.when(F.col("lang") != lang, "other_language").when(F.col("detector").isin(suspects), "suspect")
@@ -57,7 +57,7 @@ def suspect_detectors(existing: DataFrame, current: DataFrame, ran: list[str] |
 
 def stale_dimensions(changed: DataFrame, catalog: DataFrame, assessed: DataFrame, now: str) -> DataFrame:
     """Assessed dimensions that a changed detector makes stale, unless assessed at or after now."""
-    touched = changed.join(F.broadcast(catalog), "detector").select("dimension").distinct()
+    touched = changed.join(catalog, "detector").select("dimension").distinct()
     return assessed.join(touched, "dimension", "left_semi").where(F.col("assessed_at") < F.lit(now).cast("timestamp_ntz"))
 
 

@@ -24,7 +24,7 @@ def carried_forward(before: DataFrame, now: DataFrame) -> DataFrame:
 
 def coverage_confidence(reduced: DataFrame, catalog: DataFrame) -> DataFrame:
     """dimension, confidence (least over its reduced detectors), detectors."""
-    return reduced.join(F.broadcast(catalog), "detector").groupBy("dimension").agg(F.min("confidence").alias("confidence"), F.array_join(F.array_sort(F.collect_set("detector")), ",").alias("detectors"))
+    return reduced.join(catalog, "detector").groupBy("dimension").agg(F.min("confidence").alias("confidence"), F.array_join(F.array_sort(F.collect_set("detector")), ",").alias("detectors"))
 
 
 def lowest(dimensions: DataFrame, most: int) -> DataFrame:
@@ -41,7 +41,7 @@ def gaps(dimensions: DataFrame, set_aside: DataFrame, least: float) -> DataFrame
 
 def leverage(open_counts: DataFrame, actions: DataFrame) -> DataFrame:
     """One row: open findings, those that a fixer handles, and their share."""
-    j = open_counts.join(F.broadcast(actions), "detector", "left")
+    j = open_counts.join(actions, "detector", "left")
     fixable = F.sum(F.when(F.col("action") == "auto_fix", F.col("n")).otherwise(0))
     return j.agg(F.sum("n").alias("total"), fixable.alias("fixable")).withColumn("share", F.coalesce(F.try_divide("fixable", "total"), F.lit(0.0)))
 

@@ -11,7 +11,7 @@ from corpuslens.operators.findings import confidence_rank
 def positions(items: DataFrame, order: list[str], known_since: str) -> DataFrame:
     """items with position (in a plan's queue_order, null if absent) and is_new (first seen at or after a time)."""
     plan = items.sparkSession.createDataFrame([(i, p) for p, i in enumerate(order)], "finding_id string, position int")
-    return items.join(F.broadcast(plan), "finding_id", "left").withColumn("is_new", F.col("first_seen") >= F.lit(known_since).cast("timestamp_ntz"))
+    return items.join(plan, "finding_id", "left").withColumn("is_new", F.col("first_seen") >= F.lit(known_since).cast("timestamp_ntz"))
 
 
 def rank_key() -> list:
@@ -28,7 +28,7 @@ def ranked(items: DataFrame, most: int) -> DataFrame:
 
 def with_impact(items: DataFrame, headroom: DataFrame) -> DataFrame:
     """items with impact: points an item gives times its dimension's headroom(detector, per_point, room)."""
-    return items.join(F.broadcast(headroom), "detector", "left").withColumn("impact", F.coalesce(F.col("per_point") * F.col("room"), F.lit(0)))
+    return items.join(headroom, "detector", "left").withColumn("impact", F.coalesce(F.col("per_point") * F.col("room"), F.lit(0)))
 
 
 def collapse_clusters(items: DataFrame, members: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def collapse_clusters(items: DataFrame, members: DataFrame) -> DataFrame:
 
 def auto_clusters(findings: DataFrame, action: DataFrame, least: int = 2) -> DataFrame:
     """key, n, first: open findings grouped by a key made of their detector's action; judgment has none."""
-    joined = findings.where(F.col("status") == "open").join(F.broadcast(action), "detector")
+    joined = findings.where(F.col("status") == "open").join(action, "detector")
     key = F.when(F.col("action") == "auto_fix", F.concat(F.lit("auto::"), "detector")).when(F.col("action") == "reorganize", F.concat(F.lit("move::"), F.element_at(F.split("file", "/"), 1)))
     return joined.withColumn("key", key).where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("finding_id").alias("first")).where(F.col("n") >= least)
 

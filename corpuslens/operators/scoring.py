@@ -61,7 +61,7 @@ def pass_rates(findings: DataFrame, potentials: DataFrame) -> DataFrame:
 
 def dimension_scores(rates: DataFrame, catalog: DataFrame) -> DataFrame:
     """mode, dimension, checks, failing, score (0-100): checks and failures pooled over a dimension's detectors."""
-    pooled = rates.join(F.broadcast(catalog.where("dimension IS NOT NULL")), "detector").where("potential > 0")
+    pooled = rates.join(catalog.where("dimension IS NOT NULL"), "detector").where("potential > 0")
     sums = pooled.groupBy("mode", "dimension").agg(F.sum("potential").alias("checks"), F.sum("n").alias("failing"), F.sum("weighted").alias("weighted"))
     return sums.select("mode", "dimension", "checks", "failing", (F.greatest(F.lit(0.0), (F.col("checks") * 10 - F.col("weighted")) / (F.col("checks") * 10)) * 100).alias("score"))
 

@@ -1,4 +1,5 @@
-"""Queries of the source-text operators over a few fixed files, as the test tables hold no code."""
+"""Queries of the source-text operators over whole documents, taken as Python (even ids) and TypeScript (odd ids)
+files, and a few fixed files of code, as the test tables hold little of it."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from corpuslens.operators import code_rules as code
 from corpuslens.operators import graph
 from corpuslens.plans.findings import _values
 from corpuslens.plans.registry import query
+from corpuslens.sources import tables
 
 FILES = [
     ("app/core.py", "python", "import app.util\nfrom lib.base import _hidden\nimport os\n\ndef run(x=[]):\n    import app.late\n    try:\n        return eval(x)\n    except:\n        pass\n\ndef _unused():\n    return 1\n"),
@@ -30,30 +32,34 @@ def _lit(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-FILE_SQL = "files AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{g}', {_lit(t)})" for p, g, t in FILES) + ") v(path, lang, text))"
+FILE_SQL = "files AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{g}', {_lit(t)})" for p, g, t in FILES) + """) v(path, lang, text)
+  UNION ALL SELECT source || '/' || lang || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.ts' END, CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'typescript' END, text FROM documents)"""
 ROWS = FILE_SQL + ", ls AS (SELECT path, lang, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM files)"
 COMMENTS = " OR ".join(f"(lang = '{g}' AND starts_with(ltrim(line), '{m}'))" for g, m in code.COMMENT.items()) + " OR starts_with(ltrim(line), '/*') OR starts_with(ltrim(line), '* ')"
 HITS = ROWS + ", hits AS (SELECT path, line_no, rule FROM ls JOIN (VALUES " + ", ".join(f"('{g}', '{r}', '{p}')" for g, r, p in code.RULES) + f") r(lang, rule, pattern) USING (lang) WHERE regexp_matches(line, pattern) AND NOT ({COMMENTS}))"
 
 
-def _files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FILES, "path string, lang string, text string")
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.col("doc_id") % 2 == 0
+    path = F.concat(F.regexp_replace("path", r"\.txt$", ""), F.when(even, ".py").otherwise(".ts"))
+    docs = tables.documents(spark, sf_dir).select(path.alias("path"), F.when(even, "python").otherwise("typescript").alias("lang"), "text")
+    return docs.union(spark.createDataFrame(FILES, "path string, lang string, text string"))
 
 
 @query(f"WITH {HITS} SELECT path, line_no, rule FROM hits")
 def language_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line rules by language, comments left out (134-137, 154-156, 159, 160)."""
-    return code.rule_hits(_files(spark))
+    return code.rule_hits(_files(spark, sf_dir))
 
 
 @query(f"WITH {HITS} SELECT rule, count(*) AS n, count(DISTINCT path) AS n_files FROM hits GROUP BY rule")
 def smell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.smell_counts(_files(spark))
+    return code.smell_counts(_files(spark, sf_dir))
 
 
 @query(f"WITH {FILE_SQL} SELECT path, CAST(len(string_split(text, chr(10))) - 1 AS INTEGER) AS loc, len(regexp_extract_all(text, '!important')) AS n_important FROM files WHERE regexp_matches(path, '\\.(css|scss)$') AND len(regexp_extract_all(text, '!important')) >= 8")
 def asset_smells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.asset_smells(_files(spark))
+    return code.asset_smells(_files(spark, sf_dir))
 
 
 IMPORTS = ROWS + """, im AS (SELECT path, greatest(regexp_extract(line, '^(\\s*)(?:from\\s+([\\w.]+)\\s+import|import\\s+([\\w.]+))', 2), regexp_extract(line, '^(\\s*)(?:from\\s+([\\w.]+)\\s+import|import\\s+([\\w.]+))', 3)) AS module, regexp_matches(line, '^\\s') AS deferred
@@ -65,19 +71,19 @@ IMPORTS = ROWS + """, im AS (SELECT path, greatest(regexp_extract(line, '^(\\s*)
 @query(f"WITH {IMPORTS} SELECT * FROM edges")
 def import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import edges among the files, deferred ones marked (168)."""
-    return code.import_edges(_files(spark))
+    return code.import_edges(_files(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {IMPORTS}, r(a, b) AS (SELECT src, dst FROM edges WHERE NOT deferred UNION SELECT r.a, e.dst FROM r JOIN edges e ON e.src = r.b AND NOT e.deferred) SELECT x.a AS node, min(x.b) AS root FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1")
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import cycles without deferred edges (86)."""
-    return graph.strongly_connected(code.import_edges(_files(spark)).where("NOT deferred"))
+    return graph.strongly_connected(code.import_edges(_files(spark, sf_dir)).where("NOT deferred"))
 
 
 @query(f"WITH {IMPORTS} SELECT src, dst FROM edges WHERE src NOT LIKE 'tests/%' AND dst NOT LIKE 'tests/%'")
 def finalised_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges left when excluded nodes go (85)."""
-    files = _files(spark)
+    files = _files(spark, sf_dir)
     nodes = files.where(~F.col("path").startswith("tests/")).select(F.col("path").alias("node"))
     return code.finalised(code.import_edges(files), nodes).select("src", "dst")
 
@@ -87,7 +93,7 @@ TOKENS = ROWS + ", tok AS (SELECT path, unnest(string_split_regex(text, '\\W+'))
 
 @query(f"WITH {TOKENS}, n AS (SELECT name, count(*) AS n FROM tok WHERE name <> '' GROUP BY name) SELECT path, regexp_extract(line, '^def (\\w+)', 1) AS name FROM ls JOIN n ON n.name = regexp_extract(line, '^def (\\w+)', 1) AND n.n = 1 WHERE lang = 'python' AND regexp_matches(line, '^def _[^_]')")
 def uncalled_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.uncalled(_files(spark))
+    return code.uncalled(_files(spark, sf_dir))
 
 
 ENUM = "^class (\\w+)\\((?:str, |int, )?(?:Enum|StrEnum|IntEnum)\\)"
@@ -95,7 +101,7 @@ ENUM = "^class (\\w+)\\((?:str, |int, )?(?:Enum|StrEnum|IntEnum)\\)"
 
 @query(f"WITH {TOKENS}, e AS (SELECT path, regexp_extract(line, '{ENUM}', 1) AS name FROM ls WHERE lang = 'python' AND regexp_matches(line, '{ENUM}')) SELECT path, name FROM e WHERE NOT EXISTS (SELECT 1 FROM tok t WHERE t.name = e.name AND t.path <> e.path)")
 def unused_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.unused_enums(_files(spark))
+    return code.unused_enums(_files(spark, sf_dir))
 
 
 PRIVATE = "^\\s*from\\s+([\\w.]+)\\s+import\\s+(_[a-z]\\w*)"
@@ -103,23 +109,23 @@ PRIVATE = "^\\s*from\\s+([\\w.]+)\\s+import\\s+(_[a-z]\\w*)"
 
 @query(f"WITH {ROWS} SELECT path, regexp_extract(line, '{PRIVATE}', 1) AS module, regexp_extract(line, '{PRIVATE}', 2) AS symbol FROM ls WHERE lang = 'python' AND regexp_matches(line, '{PRIVATE}') AND split_part(path, '/', 1) <> split_part(regexp_extract(line, '{PRIVATE}', 1), '.', 1)")
 def private_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.private_imports(_files(spark))
+    return code.private_imports(_files(spark, sf_dir))
 
 
 @query("SELECT 'app/__init__.py' AS path, CAST(0 AS BIGINT) AS n_users UNION ALL SELECT 'app/late.py', 1")
 def facades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of re-exports only, with their users (123)."""
-    return code.facades(_files(spark))
+    return code.facades(_files(spark, sf_dir))
 
 
 @query(f"WITH {TOKENS}, d AS (SELECT path, unnest(regexp_extract_all(text, '@deprecated[^\\n]*\\n\\s*(?:export )?(?:function|const|class) (\\w+)', 1)) AS symbol FROM files) SELECT d.path, symbol, count(DISTINCT t.path) - 1 AS n_users FROM d JOIN tok t ON t.name = symbol GROUP BY ALL")
 def deprecated_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.deprecated(_files(spark))
+    return code.deprecated(_files(spark, sf_dir))
 
 
 @query(f"""WITH {ROWS} SELECT DISTINCT f AS feature FROM (SELECT unnest(regexp_extract_all(text, 'feature\\s*=\\s*"(\\w+)"', 1)) AS f FROM files WHERE lang = 'rust') WHERE f NOT IN (SELECT regexp_extract(line, '^(\\w+)\\s*=\\s*\\[', 1) FROM ls WHERE ends_with(path, 'Cargo.toml'))""")
 def undeclared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.undeclared_features(_files(spark))
+    return code.undeclared_features(_files(spark, sf_dir))
 
 
 EVIDENCE = [("nextjs", "package.json", '"next"'), ("nextjs", "next.config", "module"), ("react", "package.json", '"react"'), ("vue", "package.json", '"vue"')]
@@ -127,13 +133,13 @@ EVIDENCE = [("nextjs", "package.json", '"next"'), ("nextjs", "next.config", "mod
 
 @query("SELECT * FROM (VALUES ('nextjs', 2), ('react', 1)) v(framework, n)")
 def framework_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.frameworks(_files(spark), EVIDENCE)
+    return code.frameworks(_files(spark, sf_dir), EVIDENCE)
 
 
 @query(f"""WITH {FILE_SQL}, n AS (SELECT path, len(regexp_extract_all(text, '(?m)^\\s*def test_')) AS n_tests, len(regexp_extract_all(text, '\\bassert\\b')) AS n_asserts, len(regexp_extract_all(text, '[Mm]ock')) AS n_mocks FROM files WHERE contains(path, 'test'))
  SELECT *, CASE WHEN n_tests = 0 THEN 'no_tests' WHEN n_asserts = 0 THEN 'assertion_free' WHEN n_mocks > n_asserts THEN 'over_mocked' WHEN n_asserts < n_tests THEN 'smoke' WHEN n_asserts >= 3 * n_tests THEN 'thorough' ELSE 'adequate' END AS quality FROM n""")
 def test_quality_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.test_quality(_files(spark))
+    return code.test_quality(_files(spark, sf_dir))
 
 
 TIERS = [(25, 0.1, False), (3, 0.9, False), (9, 0.6, False), (5, 0.2, True), (5, 0.2, False)]

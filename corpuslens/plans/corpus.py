@@ -103,18 +103,19 @@ RULES_SQL = (
     + ", ".join(f"CASE WHEN regexp_matches(line, '{p.replace(chr(39), chr(39) * 2)}') THEN '{label}' END" for label, p in scanning.WEAK_TLS)
     + f", CASE WHEN regexp_matches(line, '{scanning.LOG_CALL}') AND regexp_matches(line, '{scanning.SENSITIVE_WORD}') THEN 'log_sensitive' END"
 )
-#: A few lines of source text, as the test tables hold no code.
+#: A few lines of source text beside the documents, as the test tables hold little code.
 CODE = [
     (1, "token = random.random()\nx = 1"), (2, "requests.get(u, verify = False)\nlogger.info('password ' + p)"), (3, "brand(3)\nkey = rand (9)"),
     (4, "print(secret)\nreprint(token)"), (5, "ctx = ssl._create_unverified_context()"), (6, "rejectUnauthorized: false"), (7, "env NODE_TLS_REJECT_UNAUTHORIZED='0'"), (8, ""),
 ]
-CODE_SQL = "code AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in CODE) + ") v(path, text))"
+CODE_SQL = "code AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in CODE) + ") v(path, text) UNION ALL SELECT doc_id + 100, text FROM documents)"
 
 
 @query(f"WITH {CODE_SQL}, ls AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM code), hits AS (SELECT path, line_no, unnest([{RULES_SQL}]) AS rule FROM ls) SELECT path, line_no, rule FROM hits WHERE rule IS NOT NULL")
 def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insecure random numbers, weak TLS and sensitive logging over lines of code (107-109)."""
-    return scanning.line_rules(spark.createDataFrame(CODE, "path int, text string"))
+    docs = tables.documents(spark, sf_dir).select((F.col("doc_id") + 100).alias("path"), "text")
+    return scanning.line_rules(docs.union(spark.createDataFrame(CODE, "path long, text string")))
 
 
 @query(f"WITH {DOCS}, n AS (SELECT path, len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END AS loc FROM docs WHERE length(text) > 0) SELECT path, loc FROM n WHERE loc > 20")

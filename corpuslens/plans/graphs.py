@@ -99,6 +99,30 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected_components(_fixed(spark).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
+SALES = """e AS (SELECT DISTINCT o_custkey AS a, 1000000 + l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND l_discount = 0)"""
+
+
+@query(f"""WITH RECURSIVE {SALES}, both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, x.b FROM r JOIN both_ways x ON x.a = r.b) SELECT a AS node, least(min(b), a) AS root FROM r GROUP BY a""")
+def sale_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers joined by large sales without discount, with the smallest of each component (85, 114)."""
+    l = tables.table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_discount = 0")
+    sold = l.join(tables.table(spark, sf_dir, "orders"), l["l_orderkey"] == F.col("o_orderkey"))
+    return graph.connected_components(sold.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b")).distinct())
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  WHERE l_quantity >= 50 AND l_discount = 0 AND c_nationkey <> s_nationkey),
+ r(node, depth) AS (SELECT 0, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 30) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""")
+def trade_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations that sales of a thin trade graph reach from nation 0, with the number of steps (114)."""
+    l = tables.table(spark, sf_dir, "lineitem").where("l_quantity >= 50 AND l_discount = 0")
+    o, c, s = (tables.table(spark, sf_dir, t) for t in ("orders", "customer", "supplier"))
+    e = l.join(o, l["l_orderkey"] == o["o_orderkey"]).join(c, F.col("o_custkey") == c["c_custkey"]).join(s, F.col("l_suppkey") == s["s_suppkey"])
+    edges = e.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))
+    return graph.reachable(edges, spark.createDataFrame([(0,)], "node int"))
+
+
 @query(f"WITH {HREFS}, w AS (SELECT DISTINCT page_id, href FROM links), used AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '>([A-Za-z,.]+)</a>', 1)) AS word FROM pages), f AS (SELECT coalesce(w.page_id, u.page_id) AS page_id, coalesce(substr(w.href, 2), u.word) AS key, w.href IS NOT NULL AS written, u.word IS NOT NULL AS read FROM w FULL JOIN used u ON w.page_id = u.page_id AND substr(w.href, 2) = u.word) SELECT page_id, key, written, read FROM f WHERE NOT (written AND read)")
 def one_sided_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys written but not read, or read but not written, in one scope (128): hrefs against link texts."""

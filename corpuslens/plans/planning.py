@@ -20,7 +20,7 @@ SCORED = [("Security", 120.5), ("Naming", -3.0), ("Extra", 55.0)]
 @query(f"WITH {WORK}, o AS (SELECT dimension, count(*) AS failing FROM work JOIN {CATALOG_SQL} USING (detector) WHERE status = 'open' GROUP BY dimension), j AS (SELECT dimension, score FROM {_values(DEFAULTS)} d(dimension) FULL JOIN {_values(SCORED)} s(dimension, score) USING (dimension)) SELECT dimension, CAST(least(100.0, greatest(0.0, coalesce(score, 0.0))) AS DOUBLE) AS score, score IS NULL AS placeholder, coalesce(failing, 0) AS failing FROM j LEFT JOIN o USING (dimension)")
 def subjective_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Default and assessed dimensions with clamped scores and open reviews (187, 200)."""
-    reviews = tables.work_items(spark, sf_dir).join(F.broadcast(spark.createDataFrame(CATALOG, "detector string, dimension string")), "detector")
+    reviews = tables.work_items(spark, sf_dir).join(spark.createDataFrame(CATALOG, "detector string, dimension string"), "detector")
     return planning.subjective_entries(spark.createDataFrame(DEFAULTS, "dimension string"), spark.createDataFrame(SCORED, "dimension string, score double"), reviews)
 
 
@@ -46,7 +46,7 @@ def lowest_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(DIMS + f", w AS (SELECT dimension, max(score) FILTER (mode = 'lenient') - max(score) FILTER (mode = 'strict') AS gap FROM dims GROUP BY dimension), a AS (SELECT dimension, count(*) AS n FROM work JOIN {CATALOG_SQL} USING (detector) WHERE status = 'wontfix' GROUP BY dimension) SELECT dimension, gap, coalesce(n, 0) AS n FROM w LEFT JOIN a USING (dimension) WHERE gap > 1")
 def biggest_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimensions whose lenient score is over the strict one, with set-aside findings (236)."""
-    catalog = F.broadcast(spark.createDataFrame(CATALOG, "detector string, dimension string"))
+    catalog = spark.createDataFrame(CATALOG, "detector string, dimension string")
     aside = tables.work_items(spark, sf_dir).where("status = 'wontfix'").join(catalog, "detector").groupBy("dimension").agg(F.count(F.lit(1)).alias("n"))
     return planning.gaps(_dims(spark, sf_dir), aside, 1.0)
 
@@ -171,7 +171,7 @@ def open_review_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {WORK}, d AS (SELECT dimension, status FROM work JOIN {CATALOG_SQL} USING (detector)) SELECT dimension, count(*) FILTER (status = 'open') AS open, count(*) FILTER (status = 'fixed') AS resolved FROM d GROUP BY dimension HAVING count(*) FILTER (status = 'open') > 0 AND count(*) FILTER (status = 'fixed') > 0")
 def recurring_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimensions with both resolved and open findings (227)."""
-    d = tables.work_items(spark, sf_dir).join(F.broadcast(spark.createDataFrame(CATALOG, "detector string, dimension string")), "detector")
+    d = tables.work_items(spark, sf_dir).join(spark.createDataFrame(CATALOG, "detector string, dimension string"), "detector")
     return d.groupBy("dimension").agg(F.count_if(F.col("status") == "open").alias("open"), F.count_if(F.col("status") == "fixed").alias("resolved")).where("open > 0 AND resolved > 0")
 
 

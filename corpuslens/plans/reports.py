@@ -104,6 +104,10 @@ def plan_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.groupBy("detector").agg(F.concat(F.lit("- "), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tier", "finding_id"))), lambda x: x["finding_id"]), "\n- ")).alias("section"))
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
 STEPS = "1. First step\n   more of it\n2) Second\n\nintro\n10. Last"
 
 
@@ -113,6 +117,17 @@ def parsed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.steps(spark.createDataFrame([(1, STEPS)], "doc_id int, text string")).select("number", "title", "n_lines")
 
 
+@query(f"""WITH {DOCS}, t AS (SELECT doc_id, text FROM docs UNION ALL SELECT -1, {_text(STEPS)}),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM t)),
+g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[0-9]+[.)] ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS step FROM l),
+k AS (SELECT doc_id, step, arg_min(line, pos) AS head, count(*) AS n FROM g WHERE step > 0 AND trim(line) <> '' GROUP BY ALL)
+SELECT doc_id, CAST(regexp_extract(head, '^([0-9]+)[.)] (.*)$', 1) AS INTEGER) AS number, regexp_extract(head, '^([0-9]+)[.)] (.*)$', 2) AS title, CAST(n AS INTEGER) AS n_lines FROM k""")
+def document_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered steps of all documents, and of a fixed text (16)."""
+    docs = tables.documents(spark, sf_dir).select("doc_id", "text")
+    return payloads.steps(docs.union(spark.createDataFrame([(-1, STEPS)], "doc_id long, text string"))).select("doc_id", "number", "title", "n_lines")
+
+
 LOG = ['{"schema_version":1,"event_type":"scan","scan_count":1}', "not json", '{"schema_version":1,"event_type":"plan_checkpoint","scan_count":2,"payload":{"scores":{"strict":81.5}}}', "", '{"event_type":"plan_checkpoint","payload":{"scores":{"strict":83}}}']
 
 

@@ -131,6 +131,6 @@ def churn_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {WORK}, d AS (SELECT dimension, status, reopen_count FROM work JOIN {CATALOG_SQL} USING (detector)) SELECT dimension, count(*) FILTER (status = 'fixed') AS resolved, count(*) FILTER (status = 'open') AS open, CAST(sum(reopen_count) AS BIGINT) AS reopened FROM d GROUP BY dimension HAVING (count(*) FILTER (status = 'fixed') > 0 AND count(*) FILTER (status = 'open') > 0) OR sum(reopen_count) > 0")
 def rework_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tables.work_items(spark, sf_dir).join(F.broadcast(spark.createDataFrame(CATALOG, "detector string, dimension string")), "detector")
+    d = tables.work_items(spark, sf_dir).join(spark.createDataFrame(CATALOG, "detector string, dimension string"), "detector")
     sums = d.groupBy("dimension").agg(F.count_if(F.col("status") == "fixed").alias("resolved"), F.count_if(F.col("status") == "open").alias("open"), F.sum("reopen_count").alias("reopened"))
     return sums.where("(resolved > 0 AND open > 0) OR reopened > 0")
