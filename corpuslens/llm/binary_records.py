@@ -36,7 +36,7 @@ from corpuslens.llm.common import ChunkEncoder, scratch_dir, small_batches
 MASK = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 KEY = struct.Struct("<?qB")
-FILE_BYTES = 1 << 25
+FILE_BYTES = 1 << 24
 #: Spark's file names: the task that wrote a file and the file's number within the task.
 FILE_NAME = re.compile(r"part-(\d+)-.*?(?:-c(\d+))?(?:\.\w+)?$")
 

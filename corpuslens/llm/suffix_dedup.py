@@ -47,6 +47,8 @@ SAMPLE_BYTES, SAMPLE_BUCKET_BYTES, SAMPLE_STEP = 4 << 20, 5_000, 8
 MANY = 1_000
 #: A group that a bucket shows whole is GROUPED; EDGE and MULTI mark its first and last group (of one run, of several).
 REPEAT, GROUPED, EDGE, MULTI = 0, 1, 2, 3
+#: Runs whose windows a task holds at once: some 25 windows of some 100 bytes of working memory each.
+RUNS = 4_000
 LEAD = [f"lead{i}" for i in range(LEADS)]
 ORDER = [*LEAD, "whole", "key", "start"]
 LEAD_TYPES = ", ".join(f"{c} long" for c in LEAD)
@@ -226,7 +228,7 @@ def parts_of_windows(docs: DataFrame, suffixes: DataFrame) -> DataFrame:
                 for w in wanted:
                     rows.append((key, w["start"], w["windows"], w["before"]))
                     data.append(whole[w["start"] : w["start"] + w["windows"] + LENGTH - 1])
-                    if len(rows) == 20_000:
+                    if len(rows) == RUNS:
                         yield told(rows, data)
                         rows, data = [], []
             if rows:
@@ -272,7 +274,7 @@ def compare_parts(parts: DataFrame) -> DataFrame:
             found = _repeated_windows(shared, key, start, place, table.column("hashes").chunk(0))
             return pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["key", "start", "windows"])
 
-        for batch in small_batches(batches, 20_000):
+        for batch in small_batches(batches, 2 * RUNS):
             shared = batch.column("shared").to_numpy()
             cut = int(np.searchsorted(shared, shared[-1]))  # the last group may go on
             if cut:

@@ -9,15 +9,24 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is not set, a folder of this machine, but in local mode only."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir")
+    if not root and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (root or os.path.join(tempfile.gettempdir(), "corpuslens-checkpoints")).rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once into the shared checkpoint folder (a local one only where the setting is absent)."""
+    """df computed once into the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "corpuslens-checkpoints"))
+        context.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint()
 
 

@@ -12,28 +12,34 @@ from corpuslens.sources.tables import lines
 SECRET_FORMATS = [
     ("AWS access key", "AKIA[0-9A-Z]{16}", "critical"),
     ("GitHub token", "gh[ps]_[A-Za-z0-9_]{36,}", "critical"),
-    ("Private key block", r"-----BEGIN\s+(RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "critical"),
-    ("Stripe key", "[sr]k_(live|test)_[0-9a-zA-Z]{20,}", "high"),
+    ("Private key block", r"-----BEGIN\s+(?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "critical"),
+    ("Stripe key", "[sr]k_(?:live|test)_[0-9a-zA-Z]{20,}", "high"),
     ("Slack token", "xox[bpas]-[0-9a-zA-Z-]+", "high"),
     ("JWT token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", "medium"),
-    ("Database connection string with password", r"(postgres|mysql|mongodb|redis)://\w+:[^@\s]{3,}@", "critical"),
+    ("Database connection string with password", r"(?:postgres|mysql|mongodb|redis)://\w+:[^@\s]{3,}@", "critical"),
 ]
 #: Names that make an assigned literal a secret, and lookups that do not.
-SECRET_NAME = "(?i)(password|passwd|secret|api_key|apikey|token|credentials|auth_token|private_key|access_key|client_secret|secret_key)"
+SECRET_NAME = "(?i)(?:password|passwd|secret|api_key|apikey|token|credentials|auth_token|private_key|access_key|client_secret|secret_key)"
 ENV_LOOKUPS = ["os.environ", "os.getenv", "process.env.", "import.meta.env", "env(", "getenv(", "$_ENV[", "$_SERVER[", "config("]
 #: An assignment of a quoted literal, one pattern a quote, as neither engine's dialect shares back-references.
 ASSIGNED = {q: rf"(?:^|[\s,;(])(?:const|let|var|export)?\s*\$?([A-Za-z_]\w*)\s*[:=]\s*{q}([^{q}]+){q}" for q in ('"', "'", "`")}
-#: Rules on two patterns of one line.
-RANDOM_CALL = r"(Math\.random|random\.random|random\.randint|(^|\W)rand|(^|\W)mt_rand|(^|\W)array_rand)\s*\("
-SECURITY_WORD = "(?i)(token|key|nonce|session|salt|secret|password|otp|csrf|auth)"
+#: Rules on two patterns of one line. ``(^|\W)`` stands for a lookbehind, which not every engine has.
+RANDOM_CALL = r"(?:Math\.random|random\.random|random\.randint|(^|\W)rand|(^|\W)mt_rand|(^|\W)array_rand)\s*\("
+SECURITY_WORD = "(?i)(?:token|key|nonce|session|salt|secret|password|otp|csrf|auth)"
 WEAK_TLS = [
     ("TLS verification disabled", r"verify\s*=\s*False"),
     ("Unverified SSL context", r"ssl\._create_unverified_context\s*\("),
     ("TLS rejection disabled", r"rejectUnauthorized\s*:\s*false"),
     ("TLS rejection disabled via env", r"NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*['\"]0['\"]"),
 ]
-LOG_CALL = r"(console\.(log|warn|error|info|debug)|log(ger)?\.(info|debug|warning|error|critical)|logging\.(info|debug|warning|error|critical)|Log::(info|debug|warning|error|critical|notice|alert|emergency)|\berror_log|\bprint)\s*\("
-SENSITIVE_WORD = "(?i)(password|token|secret|api_key|apikey|credentials|private_key|access_key|authorization)"
+LOG_CALL = (
+    r"(?:console\.(?:log|warn|error|info|debug)|"
+    r"log(?:ger)?\.(?:info|debug|warning|error|critical)|"
+    r"logging\.(?:info|debug|warning|error|critical)|"
+    r"Log::(?:info|debug|warning|error|critical|notice|alert|emergency)|"
+    r"\berror_log|\bprint)\s*\("
+)
+SENSITIVE_WORD = "(?i)(?:password|token|secret|api_key|apikey|credentials|private_key|access_key|authorization)"
 
 
 def grep(docs: DataFrame, pattern: str, *keep: str) -> DataFrame:
@@ -56,7 +62,8 @@ def secret_formats(docs: DataFrame) -> DataFrame:
 
 def secret_names(docs: DataFrame) -> DataFrame:
     """path, line_no, variable, value: literals assigned to secret-like names, placeholders and lookups left out."""
-    wide = lines(docs, "path").where(F.col("line").rlike(SECRET_NAME))
+    # whole texts first: only those with such a name at all are cut into lines
+    wide = lines(docs.where(F.col("text").rlike(SECRET_NAME)), "path").where(F.col("line").rlike(SECRET_NAME))
     for lookup in ENV_LOOKUPS:
         wide = wide.where(~F.col("line").contains(lookup))
     pairs = F.concat(*[F.arrays_zip(F.regexp_extract_all("line", F.lit(p), 1).alias("variable"), F.regexp_extract_all("line", F.lit(p), 2).alias("value")) for p in ASSIGNED.values()])

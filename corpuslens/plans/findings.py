@@ -28,13 +28,15 @@ def scope_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.work_items(spark, sf_dir).where(findings.in_scope(F.col("file"), "area3")).select("finding_id")
 
 
-@query(f"""WITH {WORK}, o AS (SELECT starts_with(file, 'area3/') OR file = 'area3' OR file = '.' AS inside FROM work WHERE status = 'open' AND NOT suppressed)
+@query(f"""WITH {WORK}, o AS (SELECT starts_with(file, 'area3/') OR file = 'area3' OR file = '.' AS inside FROM work
+  WHERE status = 'open' AND NOT suppressed)
  SELECT count(*) FILTER (inside) AS in_scope, count(*) FILTER (NOT inside) AS out_of_scope, count(*) AS global FROM o""")
 def scope_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.scope_breakdown(tables.work_items(spark, sf_dir), "area3")
 
 
-@query(f"WITH {WORK} SELECT finding_id, status FROM work WHERE NOT suppressed AND status = 'open' AND (regexp_matches(finding_id, '^security::area[0-9]*/mod1.*$') OR regexp_matches(file, '^security::area.*$'))")
+@query(f"""WITH {WORK} SELECT finding_id, status FROM work WHERE NOT suppressed AND status = 'open'
+  AND (regexp_matches(finding_id, '^security::area[0-9]*/mod1.*$') OR regexp_matches(file, '^security::area.*$'))""")
 def pattern_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open findings that match a glob over ids (48, 51-53)."""
     return findings.select_matching(tables.work_items(spark, sf_dir), "security::area*/mod1*", "open").select("finding_id", "status")
@@ -43,8 +45,10 @@ def pattern_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 IGNORE = ["smells::area1", "area2/mod2", "*/mod3/*", "dupes::*"]
 
 
-@query(f"""WITH {WORK}, m AS (SELECT *, CASE WHEN starts_with(finding_id, 'smells::area1') THEN 'smells::area1' WHEN file = 'area2/mod2' OR starts_with(file, 'area2/mod2/') THEN 'area2/mod2'
-  WHEN regexp_matches(finding_id, '/mod3/') OR regexp_matches(file, '/mod3/') THEN '*/mod3/*' WHEN starts_with(finding_id, 'dupes::') THEN 'dupes::*' END AS suppression_pattern FROM work)
+@query(f"""WITH {WORK}, m AS (SELECT *, CASE WHEN starts_with(finding_id, 'smells::area1') THEN 'smells::area1'
+  WHEN file = 'area2/mod2' OR starts_with(file, 'area2/mod2/') THEN 'area2/mod2'
+  WHEN regexp_matches(finding_id, '/mod3/') OR regexp_matches(file, '/mod3/') THEN '*/mod3/*'
+  WHEN starts_with(finding_id, 'dupes::') THEN 'dupes::*' END AS suppression_pattern FROM work)
  SELECT finding_id, suppression_pattern, suppressed OR suppression_pattern IS NOT NULL AS suppressed FROM m""")
 def ignored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppression by the first ignore pattern that hits (49, 50)."""
@@ -54,8 +58,10 @@ def ignored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 STANDALONE = [("smells", "medium"), ("structural", "high"), ("naming", "medium"), ("dupes", "medium")]
 
 
-@query(f"""WITH {WORK}, c AS (SELECT * FROM {_values(STANDALONE)} v(detector, standalone)), r AS (SELECT finding_id, CASE confidence WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END AS a,
-  CASE standalone WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END AS b, standalone FROM work LEFT JOIN c USING (detector)) SELECT finding_id FROM r WHERE standalone IS NULL OR a <= b""")
+@query(f"""WITH {WORK}, c AS (SELECT * FROM {_values(STANDALONE)} v(detector, standalone)), r AS (SELECT finding_id,
+  CASE confidence WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END AS a,
+  CASE standalone WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END AS b, standalone FROM work LEFT
+  JOIN c USING (detector)) SELECT finding_id FROM r WHERE standalone IS NULL OR a <= b""")
 def evidence_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = spark.createDataFrame(STANDALONE, "detector string, standalone string")
     return findings.standalone(tables.work_items(spark, sf_dir), catalog).select("finding_id")
@@ -67,12 +73,14 @@ SKIPS += [(z, d) for z in ("vendor", "generated") for d in ("structural", "smell
 LOWER = [("script", "structural", "low"), ("test", "smells", "low"), ("script", "smells", "medium")]
 
 
-@query(f"WITH {WORK} SELECT finding_id, zone FROM work WHERE (zone, detector) NOT IN (SELECT (a, b) FROM {_values(SKIPS)} v(a, b))")
+@query(f"""WITH {WORK} SELECT finding_id, zone FROM work WHERE (zone, detector) NOT IN (SELECT (a, b)
+  FROM {_values(SKIPS)} v(a, b))""")
 def zone_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.zone_filtered(tables.work_items(spark, sf_dir), spark.createDataFrame(SKIPS, "zone string, detector string")).select("finding_id", "zone")
 
 
-@query(f"WITH {WORK} SELECT finding_id, coalesce(lower_to, confidence) AS confidence FROM work LEFT JOIN {_values(LOWER)} v(zone, detector, lower_to) USING (zone, detector)")
+@query(f"""WITH {WORK} SELECT finding_id, coalesce(lower_to, confidence) AS confidence FROM work LEFT
+  JOIN {_values(LOWER)} v(zone, detector, lower_to) USING (zone, detector)""")
 def stamped_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence lowered by zone and detector (61)."""
     policy = spark.createDataFrame(LOWER, "zone string, detector string, lower_to string")
@@ -82,9 +90,13 @@ def stamped_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 VERDICTS = [("review", None), ("concerns", "confirmed"), ("concerns", "dismissed"), ("concerns", None), ("subjective_review", None), ("smells", " Confirmed "), ("smells", None), ("holistic_review", "x")]
 
 
-@query(f"""SELECT detector, verdict, CASE WHEN detector = 'review' THEN 'review_defect' WHEN detector = 'concerns' THEN 'review_concern' WHEN detector IN ('subjective_review', 'subjective_assessment', 'holistic_review') THEN 'assessment_request'
+@query(f"""SELECT detector, verdict, CASE WHEN detector = 'review' THEN 'review_defect'
+  WHEN detector = 'concerns' THEN 'review_concern' WHEN detector IN ('subjective_review', 'subjective_assessment',
+  'holistic_review') THEN 'assessment_request'
   WHEN lower(trim(verdict)) = 'confirmed' THEN 'review_concern' ELSE 'mechanical_defect' END AS kind,
-  CASE WHEN detector = 'review' OR (detector = 'concerns' AND lower(trim(verdict)) = 'confirmed') THEN 'review_import' WHEN detector IN ('subjective_review', 'subjective_assessment', 'holistic_review') THEN 'synthetic_task' ELSE 'scan' END AS origin
+  CASE WHEN detector = 'review' OR (detector = 'concerns'
+  AND lower(trim(verdict)) = 'confirmed') THEN 'review_import' WHEN detector IN ('subjective_review',
+  'subjective_assessment', 'holistic_review') THEN 'synthetic_task' ELSE 'scan' END AS origin
  FROM {_values(VERDICTS)} v(detector, verdict)""")
 def item_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind and origin of work items (63, 64)."""
@@ -95,8 +107,11 @@ def item_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOOSE = [("a::f::1", "open", "2", "1", "high"), ("a::f::2", "FIXED ", "9", "-3", None), ("b::g::3", "bogus", "x", "y", "low"), (None, "open", "1", "0", "high"), ("c::h::4", None, None, None, None)]
 
 
-@query(f"""SELECT finding_id, CASE WHEN lower(trim(status)) IN ('open', 'fixed', 'wontfix', 'false_positive', 'auto_resolved', 'deferred', 'triaged_out') THEN lower(trim(status)) ELSE 'open' END AS status,
-  CASE WHEN TRY_CAST(tier AS INTEGER) BETWEEN 1 AND 4 THEN TRY_CAST(tier AS INTEGER) ELSE 3 END AS tier, greatest(coalesce(TRY_CAST(reopen_count AS INTEGER), 0), 0) AS reopen_count, coalesce(confidence, 'medium') AS confidence
+@query(f"""SELECT finding_id, CASE WHEN lower(trim(status)) IN ('open', 'fixed', 'wontfix', 'false_positive',
+  'auto_resolved', 'deferred', 'triaged_out') THEN lower(trim(status)) ELSE 'open' END AS status,
+  CASE WHEN TRY_CAST(tier AS INTEGER) BETWEEN 1 AND 4 THEN TRY_CAST(tier AS INTEGER) ELSE 3 END AS tier,
+  greatest(coalesce(TRY_CAST(reopen_count AS INTEGER), 0), 0) AS reopen_count, coalesce(confidence,
+  'medium') AS confidence
  FROM {_values(LOOSE)} v(finding_id, status, tier, reopen_count, confidence) WHERE finding_id IS NOT NULL""")
 def coerced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loose rows with defaults filled in and values coerced (12, 65)."""
@@ -106,23 +121,33 @@ def coerced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 BROKEN = [("a::f::x", "a", "f", "x", "open", "high", 1, 0), ("a::f::y", "a", "f", "z", "open", "high", 0, -1), ("b::f", "b", "f", None, "gone", "sure", 5, 2)]
 
 
-@query(f"""WITH b AS (SELECT *, detector || '::' || file || CASE WHEN coalesce(name, '') <> '' THEN '::' || name ELSE '' END AS made FROM {_values(BROKEN)} v(finding_id, detector, file, name, status, confidence, tier, reopen_count))
- SELECT finding_id, 'status' AS rule FROM b WHERE status NOT IN ('open', 'fixed', 'wontfix', 'false_positive', 'auto_resolved', 'deferred', 'triaged_out') UNION ALL SELECT finding_id, 'confidence' FROM b WHERE confidence NOT IN ('high', 'medium', 'low')
- UNION ALL SELECT finding_id, 'tier' FROM b WHERE tier NOT BETWEEN 1 AND 4 UNION ALL SELECT finding_id, 'reopen_count' FROM b WHERE reopen_count < 0 UNION ALL SELECT finding_id, 'id' FROM b WHERE finding_id <> made""")
+@query(f"""WITH b AS (SELECT *, detector || '::' || file || CASE WHEN coalesce(name,
+  '') <> '' THEN '::' || name ELSE '' END AS made FROM {_values(BROKEN)} v(finding_id, detector, file, name, status,
+  confidence, tier, reopen_count))
+ SELECT finding_id, 'status' AS rule FROM b WHERE status NOT IN ('open', 'fixed', 'wontfix', 'false_positive',
+  'auto_resolved', 'deferred', 'triaged_out') UNION ALL SELECT finding_id, 'confidence' FROM b
+  WHERE confidence NOT IN ('high', 'medium', 'low')
+ UNION ALL SELECT finding_id, 'tier' FROM b WHERE tier NOT BETWEEN 1 AND 4 UNION ALL SELECT finding_id,
+  'reopen_count' FROM b WHERE reopen_count < 0 UNION ALL SELECT finding_id, 'id' FROM b WHERE finding_id <> made""")
 def invariant_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.violations(spark.createDataFrame(BROKEN, "finding_id string, detector string, file string, name string, status string, confidence string, tier int, reopen_count int"))
 
 
-@query(f"""WITH {WORK}, s AS (SELECT file, CASE detector WHEN 'structural' THEN 'complexity' WHEN 'smells' THEN 'size' WHEN 'naming' THEN 'god' ELSE 'depth' END AS signal, loc AS score FROM work WHERE status = 'open' AND detector IN ('structural', 'smells', 'naming', 'cycles')),
+@query(f"""WITH {WORK}, s AS (SELECT file, CASE detector WHEN 'structural' THEN 'complexity'
+  WHEN 'smells' THEN 'size' WHEN 'naming' THEN 'god' ELSE 'depth' END AS signal, loc AS score FROM work
+  WHERE status = 'open' AND detector IN ('structural', 'smells', 'naming', 'cycles')),
  m AS (SELECT file, list_sort(list_distinct(list(signal))) AS kinds, max(score) AS score FROM s GROUP BY file)
- SELECT file, array_to_string(kinds, ',') AS signals, CASE WHEN len(kinds) >= 3 THEN 4 ELSE 3 END AS tier, CASE WHEN len(kinds) >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM m WHERE NOT (len(kinds) = 1 AND kinds[1] = 'complexity') OR score >= 50""")
+ SELECT file, array_to_string(kinds, ',') AS signals, CASE WHEN len(kinds) >= 3 THEN 4 ELSE 3 END AS tier, CASE
+  WHEN len(kinds) >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM m WHERE NOT (len(kinds) = 1
+  AND kinds[1] = 'complexity') OR score >= 50""")
 def structural_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tables.work_items(spark, sf_dir).where(F.col("status") == "open").where(F.col("detector").isin("structural", "smells", "naming", "cycles"))
     signal = F.when(F.col("detector") == "structural", "complexity").when(F.col("detector") == "smells", "size").when(F.col("detector") == "naming", "god").otherwise("depth")
     return findings.structural_merge(w.select("file", signal.alias("signal"), F.col("loc").alias("score")))
 
 
-@query(f"WITH {WORK} SELECT CASE WHEN grouping(tier) = 1 THEN NULL ELSE tier END AS tier, status, count(*) AS n FROM work WHERE NOT suppressed GROUP BY GROUPING SETS ((status, tier), (status))")
+@query(f"""WITH {WORK} SELECT CASE WHEN grouping(tier) = 1 THEN NULL ELSE tier END AS tier, status, count(*) AS n
+  FROM work WHERE NOT suppressed GROUP BY GROUPING SETS ((status, tier), (status))""")
 def status_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.exploded_status_counts(tables.work_items(spark, sf_dir)).select("tier", "status", "n")
 
@@ -137,8 +162,11 @@ def new_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.first_seen_since(tables.work_items(spark, sf_dir), history).select("finding_id")
 
 
-RANKED = f"""WITH {WORK}, r AS (SELECT *, row_number() OVER (PARTITION BY detector ORDER BY tier, CASE confidence WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END, finding_id) AS rank, count(*) OVER (PARTITION BY detector) AS total FROM work WHERE status = 'open'),
- b AS (SELECT finding_id, detector, CAST(rank AS INTEGER) AS rank, greatest(total - 20, 0) AS hidden FROM r WHERE rank <= 20)"""
+RANKED = f"""WITH {WORK}, r AS (SELECT *, row_number() OVER (PARTITION BY detector ORDER BY tier, CASE confidence
+  WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END, finding_id) AS rank,
+  count(*) OVER (PARTITION BY detector) AS total FROM work WHERE status = 'open'),
+ b AS (SELECT finding_id, detector, CAST(rank AS INTEGER) AS rank, greatest(total - 20, 0) AS hidden FROM r
+  WHERE rank <= 20)"""
 
 
 def _budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,11 @@ from corpuslens.sources.tables import WORK
 PLAN = ["smells::area8/mod8/f428.py::o8", "no::such", "dupes::area0/mod0/f0.py::o1"]
 SINCE = "1998-06-01 00:00:00"
 ROOM = [("smells", 3, 40), ("dupes", 2, 55), ("security", 5, 20), ("structural", 4, 30), ("cycles", 5, 22)]
-ITEMS = f"""WITH {WORK}, items AS (SELECT w.*, coalesce(pp * room, 0) AS impact, p.position, first_seen >= TIMESTAMP '{SINCE}' AS is_new FROM work w LEFT JOIN {_values(ROOM)} r(detector, pp, room) USING (detector)
-  LEFT JOIN {_values([(i, p) for p, i in enumerate(PLAN)])} p(finding_id, position) USING (finding_id) WHERE status = 'open' AND NOT suppressed)"""
+ITEMS = f"""WITH {WORK}, items AS (SELECT w.*, coalesce(pp * room, 0) AS impact, p.position,
+  first_seen >= TIMESTAMP '{SINCE}' AS is_new FROM work w LEFT JOIN {_values(ROOM)} r(detector, pp,
+  room) USING (detector)
+  LEFT JOIN {_values([(i, p) for p, i in enumerate(PLAN)])} p(finding_id, position) USING (finding_id)
+  WHERE status = 'open' AND NOT suppressed)"""
 KEY = "CASE WHEN position IS NOT NULL THEN 0 WHEN NOT is_new THEN 1 ELSE 2 END, position NULLS LAST, impact DESC, CASE confidence WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END, finding_id"
 
 
@@ -37,8 +40,10 @@ def queue_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.ranked(_items(spark, sf_dir), 25).select("finding_id", "impact", "rank")
 
 
-@query(ITEMS + """, m AS (SELECT *, CASE WHEN tier <= 2 THEN file END AS cluster FROM items), s AS (SELECT cluster, count(*) AS size, max(impact) AS best FROM m WHERE cluster IS NOT NULL GROUP BY cluster)
- SELECT finding_id AS row_id, impact, CAST(1 AS BIGINT) AS size FROM m LEFT JOIN s USING (cluster) WHERE coalesce(size, 0) < 2 UNION ALL SELECT 'cluster::' || cluster, best, size FROM s WHERE size >= 2""")
+@query(ITEMS + """, m AS (SELECT *, CASE WHEN tier <= 2 THEN file END AS cluster FROM items), s AS (SELECT cluster,
+  count(*) AS size, max(impact) AS best FROM m WHERE cluster IS NOT NULL GROUP BY cluster)
+ SELECT finding_id AS row_id, impact, CAST(1 AS BIGINT) AS size FROM m LEFT JOIN s USING (cluster)
+  WHERE coalesce(size, 0) < 2 UNION ALL SELECT 'cluster::' || cluster, best, size FROM s WHERE size >= 2""")
 def collapsed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters (easy findings of one file) as one row each (251)."""
     items = _items(spark, sf_dir)
@@ -47,8 +52,11 @@ def collapsed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ACTIONS = [("smells", "auto_fix"), ("dupes", "refactor"), ("naming", "reorganize"), ("structural", "refactor"), ("cycles", "reorganize")]
-CLUSTERS = f"""WITH {WORK}, k AS (SELECT finding_id, CASE WHEN action = 'auto_fix' THEN 'auto::' || detector WHEN action = 'reorganize' THEN 'move::' || split_part(file, '/', 1) END AS key FROM work JOIN {_values(ACTIONS)} a(detector, action) USING (detector) WHERE status = 'open'),
- made AS (SELECT key, count(*) AS n, min(finding_id) AS first FROM k WHERE key IS NOT NULL GROUP BY key HAVING count(*) >= 2)"""
+CLUSTERS = f"""WITH {WORK}, k AS (SELECT finding_id, CASE WHEN action = 'auto_fix' THEN 'auto::' || detector
+  WHEN action = 'reorganize' THEN 'move::' || split_part(file, '/', 1) END AS key FROM work
+  JOIN {_values(ACTIONS)} a(detector, action) USING (detector) WHERE status = 'open'),
+ made AS (SELECT key, count(*) AS n, min(finding_id) AS first FROM k WHERE key IS NOT NULL GROUP BY key
+  HAVING count(*) >= 2)"""
 EXISTING = [("auto::smells", True, False), ("auto::old", True, False), ("move::gone", True, True), ("mine", False, True)]
 
 
@@ -90,7 +98,8 @@ def queue_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.queue_breakdown(queue.split_skipped(_items(spark, sf_dir), _skipped(spark, sf_dir)))
 
 
-@query("SELECT 'top' AS how, ['c', 'd', 'a', 'b', 'e'] AS queue_order UNION ALL SELECT 'bottom', ['a', 'b', 'e', 'c', 'd'] UNION ALL SELECT 'purge', ['a', 'b', 'e']")
+@query("""SELECT 'top' AS how, ['c', 'd', 'a', 'b', 'e'] AS queue_order UNION ALL SELECT 'bottom', ['a', 'b', 'e',
+  'c', 'd'] UNION ALL SELECT 'purge', ['a', 'b', 'e']""")
 def queue_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids moved to the top or bottom of a queue order, or purged (274, 278)."""
     order = spark.createDataFrame([(["a", "b", "c", "d", "e"],)], "queue_order array<string>")

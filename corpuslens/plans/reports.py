@@ -33,27 +33,38 @@ KEPT = "SELECT file, TRY_CAST(line AS INTEGER) AS line, message FROM r WHERE fil
 S = lambda e, *path: f"json_extract_string({e}, '$.{'.'.join(path)}')"
 
 
-@query(f"WITH l AS (SELECT unnest(string_split({_lit(GNU)}, chr(10))) AS l), r AS (SELECT trim(regexp_extract(l, '^(.+?):([0-9]+)(:[0-9]+)?:\\s*(.+)$', 1)) AS file, regexp_extract(l, '^(.+?):([0-9]+)(:[0-9]+)?:\\s*(.+)$', 2) AS line, trim(regexp_extract(l, '^(.+?):([0-9]+)(:[0-9]+)?:\\s*(.+)$', 4)) AS message FROM l) {KEPT}")
+@query(f"""WITH l AS (SELECT unnest(string_split({_lit(GNU)}, chr(10))) AS l), r AS (SELECT trim(regexp_extract(l,
+  '^(.+?):([0-9]+)(:[0-9]+)?:\\s*(.+)$', 1)) AS file, regexp_extract(l, '^(.+?):([0-9]+)(:[0-9]+)?:\\s*(.+)$',
+  2) AS line, trim(regexp_extract(l, '^(.+?):([0-9]+)(:[0-9]+)?:\\s*(.+)$', 4)) AS message FROM l) {KEPT}""")
 def parse_gnu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.gnu(_raw(spark, GNU))
 
 
-@query(f"WITH i AS (SELECT unnest(json_extract({_lit(FLAT)}, '$[*]')) AS x), r AS (SELECT coalesce({S('x', 'file')}, {S('x', 'filename')}, {S('x', 'path')}) AS file, coalesce({S('x', 'line')}, {S('x', 'line_no')}, {S('x', 'row')}, '0') AS line, coalesce({S('x', 'message')}, {S('x', 'text')}, {S('x', 'reason')}) AS message FROM i) {KEPT}")
+@query(f"""WITH i AS (SELECT unnest(json_extract({_lit(FLAT)}, '$[*]')) AS x),
+  r AS (SELECT coalesce({S('x', 'file')}, {S('x', 'filename')}, {S('x', 'path')}) AS file, coalesce({S('x', 'line')},
+  {S('x', 'line_no')}, {S('x', 'row')}, '0') AS line, coalesce({S('x', 'message')}, {S('x', 'text')},
+  {S('x', 'reason')}) AS message FROM i) {KEPT}""")
 def parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.flat_json(_raw(spark, FLAT))
 
 
-@query(f"WITH f AS (SELECT unnest(json_extract({_lit(ESLINT)}, '$[*]')) AS f), m AS (SELECT {S('f', 'filePath')} AS file, unnest(json_extract(f, '$.messages[*]')) AS m FROM f), r AS (SELECT file, {S('m', 'line')} AS line, {S('m', 'message')} AS message FROM m) {KEPT}")
+@query(f"""WITH f AS (SELECT unnest(json_extract({_lit(ESLINT)}, '$[*]')) AS f),
+  m AS (SELECT {S('f', 'filePath')} AS file, unnest(json_extract(f, '$.messages[*]')) AS m FROM f),
+  r AS (SELECT file, {S('m', 'line')} AS line, {S('m', 'message')} AS message FROM m) {KEPT}""")
 def parse_eslint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.eslint(_raw(spark, ESLINT))
 
 
-@query(f"WITH i AS (SELECT unnest(json_extract({_lit(GOLANG)}, '$.Issues[*]')) AS x), r AS (SELECT {S('x', 'Pos', 'Filename')} AS file, {S('x', 'Pos', 'Line')} AS line, {S('x', 'Text')} AS message FROM i) {KEPT}")
+@query(f"""WITH i AS (SELECT unnest(json_extract({_lit(GOLANG)}, '$.Issues[*]')) AS x),
+  r AS (SELECT {S('x', 'Pos', 'Filename')} AS file, {S('x', 'Pos', 'Line')} AS line, {S('x', 'Text')} AS message
+  FROM i) {KEPT}""")
 def parse_golangci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.golangci(_raw(spark, GOLANG))
 
 
-@query(f"WITH f AS (SELECT unnest(json_extract({_lit(RUBOCOP)}, '$.files[*]')) AS f), m AS (SELECT {S('f', 'path')} AS file, unnest(json_extract(f, '$.offenses[*]')) AS m FROM f), r AS (SELECT file, {S('m', 'location', 'line')} AS line, {S('m', 'message')} AS message FROM m) {KEPT}")
+@query(f"""WITH f AS (SELECT unnest(json_extract({_lit(RUBOCOP)}, '$.files[*]')) AS f),
+  m AS (SELECT {S('f', 'path')} AS file, unnest(json_extract(f, '$.offenses[*]')) AS m FROM f), r AS (SELECT file,
+  {S('m', 'location', 'line')} AS line, {S('m', 'message')} AS message FROM m) {KEPT}""")
 def parse_rubocop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.rubocop(_raw(spark, RUBOCOP))
 
@@ -63,7 +74,10 @@ def parse_cargo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.cargo(_raw(spark, CARGO))
 
 
-@query(f"WITH i AS (SELECT unnest(json_extract({_lit(CREDO)}, '$.issues[*]')) AS x), r AS (SELECT {S('x', 'filename')} AS file, {S('x', 'line_no')} AS line, coalesce('[' || {S('x', 'category')} || '] ', '') || {S('x', 'message')} || coalesce(' (' || {S('x', 'check')} || ')', '') AS message FROM i) {KEPT}")
+@query(f"""WITH i AS (SELECT unnest(json_extract({_lit(CREDO)}, '$.issues[*]')) AS x),
+  r AS (SELECT {S('x', 'filename')} AS file, {S('x', 'line_no')} AS line,
+  coalesce('[' || {S('x', 'category')} || '] ', '') || {S('x', 'message')} || coalesce(' (' || {S('x', 'check')} ||
+  ')', '') AS message FROM i) {KEPT}""")
 def parse_credo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.credo(_raw(spark, CREDO))
 
@@ -78,7 +92,9 @@ def parse_next_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.next_lint(_raw(spark, NEXT))
 
 
-@query(f"WITH {DOCS}, o AS (SELECT doc_id, 40 + octet_length(encode(left(text, 400))) AS bytes, sum(40 + octet_length(encode(left(text, 400)))) OVER (ORDER BY doc_id) AS upto FROM docs) SELECT doc_id, bytes, CAST(upto AS BIGINT) AS upto FROM o WHERE doc_id < 200 AND upto <= 30000")
+@query(f"""WITH {DOCS}, o AS (SELECT doc_id, 40 + octet_length(encode(left(text, 400))) AS bytes,
+  sum(40 + octet_length(encode(left(text, 400)))) OVER (ORDER BY doc_id) AS upto FROM docs) SELECT doc_id, bytes,
+  CAST(upto AS BIGINT) AS upto FROM o WHERE doc_id < 200 AND upto <= 30000""")
 def payload_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows, made light, that fit a byte budget (32-34); at most 200 rows are looked at."""
     return payloads.within_budget(tables.documents(spark, sf_dir), 200, 400, 30_000)
@@ -90,13 +106,17 @@ def event_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.retained(tables.table(spark, sf_dir, "events"), 2000).select("event_id", "event_type")
 
 
-@query(f"""WITH {WORK} SELECT file, count(*) AS n, count(*) FILTER (status = 'open') AS n_open, array_to_string(list_slice(list_sort(list(finding_id)), 1, 5), '|') AS first_ids FROM work WHERE starts_with(file, 'area3/') GROUP BY file""")
+@query(f"""WITH {WORK} SELECT file, count(*) AS n, count(*) FILTER (status = 'open') AS n_open,
+  array_to_string(list_slice(list_sort(list(finding_id)), 1, 5), '|') AS first_ids FROM work WHERE starts_with(file,
+  'area3/') GROUP BY file""")
 def show_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of a path grouped by file, with counts and the first ids (43, 252)."""
     return payloads.by_file(tables.work_items(spark, sf_dir).where(F.col("file").startswith("area3/")), 5)
 
 
-@query(f"WITH {WORK}, r AS (SELECT *, row_number() OVER (PARTITION BY detector ORDER BY tier, finding_id) AS k FROM work WHERE status = 'open' AND NOT suppressed) SELECT detector, '- ' || array_to_string(list(finding_id ORDER BY tier, finding_id), chr(10) || '- ') AS section FROM r WHERE k <= 3 GROUP BY detector")
+@query(f"""WITH {WORK}, r AS (SELECT *, row_number() OVER (PARTITION BY detector ORDER BY tier, finding_id) AS k
+  FROM work WHERE status = 'open' AND NOT suppressed) SELECT detector, '- ' || array_to_string(list(finding_id
+  ORDER BY tier, finding_id), chr(10) || '- ') AS section FROM r WHERE k <= 3 GROUP BY detector""")
 def plan_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three open findings of each detector as a Markdown section (42)."""
     w = tables.work_items(spark, sf_dir).where((F.col("status") == "open") & ~F.col("suppressed"))
@@ -118,10 +138,14 @@ def parsed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DOCS}, t AS (SELECT doc_id, text FROM docs UNION ALL SELECT -1, {_text(STEPS)}),
-l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM t)),
-g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[0-9]+[.)] ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS step FROM l),
-k AS (SELECT doc_id, step, arg_min(line, pos) AS head, count(*) AS n FROM g WHERE step > 0 AND trim(line) <> '' GROUP BY ALL)
-SELECT doc_id, CAST(regexp_extract(head, '^([0-9]+)[.)] (.*)$', 1) AS INTEGER) AS number, regexp_extract(head, '^([0-9]+)[.)] (.*)$', 2) AS title, CAST(n AS INTEGER) AS n_lines FROM k""")
+l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text,
+  chr(10)) AS ls FROM t)),
+g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[0-9]+[.)] ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id
+  ORDER BY pos) AS step FROM l),
+k AS (SELECT doc_id, step, arg_min(line, pos) AS head, count(*) AS n FROM g WHERE step > 0 AND trim(line) <> ''
+  GROUP BY ALL)
+SELECT doc_id, CAST(regexp_extract(head, '^([0-9]+)[.)] (.*)$', 1) AS INTEGER) AS number, regexp_extract(head,
+  '^([0-9]+)[.)] (.*)$', 2) AS title, CAST(n AS INTEGER) AS n_lines FROM k""")
 def document_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered steps of all documents, and of a fixed text (16)."""
     docs = tables.documents(spark, sf_dir).select("doc_id", "text")
@@ -131,7 +155,8 @@ def document_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOG = ['{"schema_version":1,"event_type":"scan","scan_count":1}', "not json", '{"schema_version":1,"event_type":"plan_checkpoint","scan_count":2,"payload":{"scores":{"strict":81.5}}}', "", '{"event_type":"plan_checkpoint","payload":{"scores":{"strict":83}}}']
 
 
-@query("SELECT * FROM (VALUES ('scan', NULL), ('plan_checkpoint', 81.5), ('plan_checkpoint', 83.0)) v(event_type, strict)")
+@query("""SELECT * FROM (VALUES ('scan', NULL), ('plan_checkpoint', 81.5), ('plan_checkpoint', 83.0)) v(event_type,
+  strict)""")
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lines with corrupt ones skipped; the strict score of checkpoints (13, 241)."""
     return payloads.read_log(spark.createDataFrame([(x,) for x in LOG], "value string"))

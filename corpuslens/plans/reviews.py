@@ -14,8 +14,11 @@ from corpuslens.sources.tables import DOCS, WORK
 
 #: Batch scores from events: dimension = type, score = value cut to 0..100, weight by user.
 BATCH = "b AS (SELECT event_type AS dimension, floor(least(value, 100)) AS score, user_id % 5 + 1 AS weight FROM events)"
-FLOOR = BATCH + """, s AS (SELECT dimension, score, CAST(sum(weight) AS BIGINT) AS w FROM b GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY dimension ORDER BY score) - w AS before, sum(w) OVER (PARTITION BY dimension) AS total FROM s),
- f AS (SELECT dimension, sum(score * w) / CAST(sum(w) AS DOUBLE) AS floor FROM r WHERE before * 100 < total * 10 GROUP BY dimension)"""
+FLOOR = BATCH + """, s AS (SELECT dimension, score, CAST(sum(weight) AS BIGINT) AS w FROM b GROUP BY ALL),
+  r AS (SELECT *, sum(w) OVER (PARTITION BY dimension ORDER BY score) - w AS before,
+  sum(w) OVER (PARTITION BY dimension) AS total FROM s),
+ f AS (SELECT dimension, sum(score * w) / CAST(sum(w) AS DOUBLE) AS floor FROM r WHERE before * 100 < total * 10
+  GROUP BY dimension)"""
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +31,9 @@ def weighted_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.weighted_floor(_batch(spark, sf_dir))
 
 
-@query(f"WITH {FLOOR}, m AS (SELECT dimension, sum(score * weight) / CAST(sum(weight) AS DOUBLE) AS mean FROM b GROUP BY dimension) SELECT dimension, mean, floor, least(100.0, greatest(0.0, mean * 0.7 + floor * 0.3)) AS merged FROM m JOIN f USING (dimension)")
+@query(f"""WITH {FLOOR}, m AS (SELECT dimension, sum(score * weight) / CAST(sum(weight) AS DOUBLE) AS mean FROM b
+  GROUP BY dimension) SELECT dimension, mean, floor, least(100.0, greatest(0.0, mean * 0.7 + floor * 0.3)) AS merged
+  FROM m JOIN f USING (dimension)""")
 def batch_score_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.batch_scores(_batch(spark, sf_dir))
 
@@ -41,7 +46,8 @@ ISSUE_SCHEMA = "issue_id long, dimension string, identifier string, summary stri
 WORDS = "array_to_string(list_slice(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(summary), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3))), 1, 8), ',')"
 
 
-@query(f"SELECT issue_id, CASE WHEN coalesce(identifier, '') <> '' THEN dimension || '::' || identifier ELSE dimension || '::' || {WORDS} END AS key FROM {_values(ISSUES)} v(issue_id, dimension, identifier, summary)")
+@query(f"""SELECT issue_id, CASE WHEN coalesce(identifier, '') <> '' THEN dimension || '::' || identifier ELSE
+  dimension || '::' || {WORDS} END AS key FROM {_values(ISSUES)} v(issue_id, dimension, identifier, summary)""")
 def issue_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.identity(spark.createDataFrame(ISSUES, ISSUE_SCHEMA)).select("issue_id", "key")
 
@@ -49,7 +55,11 @@ def issue_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 SETS = f"w AS (SELECT issue_id, dimension, list_distinct(list_filter(string_split(regexp_replace(lower(summary), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3)) AS words FROM {_values(ISSUES)} v(issue_id, dimension, identifier, summary))"
 
 
-@query(f"WITH RECURSIVE {SETS}, l AS (SELECT a.issue_id AS a, b.issue_id AS b FROM w a JOIN w b ON a.dimension = b.dimension AND a.issue_id <> b.issue_id WHERE CAST(len(list_intersect(a.words, b.words)) AS DOUBLE) / len(list_distinct(list_concat(a.words, b.words))) >= 0.45), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b) SELECT issue_id, least(issue_id, coalesce(min(b), issue_id)) AS root FROM w LEFT JOIN r ON a = issue_id GROUP BY issue_id")
+@query(f"""WITH RECURSIVE {SETS}, l AS (SELECT a.issue_id AS a, b.issue_id AS b FROM w a
+  JOIN w b ON a.dimension = b.dimension AND a.issue_id <> b.issue_id WHERE CAST(len(list_intersect(a.words,
+  b.words)) AS DOUBLE) / len(list_distinct(list_concat(a.words, b.words))) >= 0.45), r(a, b) AS (SELECT a, b
+  FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b) SELECT issue_id, least(issue_id, coalesce(min(b),
+  issue_id)) AS root FROM w LEFT JOIN r ON a = issue_id GROUP BY issue_id""")
 def issue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transitive groups of similar issues (205, 206)."""
     return review.merged_groups(spark.createDataFrame(ISSUES, ISSUE_SCHEMA))
@@ -58,7 +68,9 @@ def issue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 CACHE = "cache AS (SELECT doc_id, CASE WHEN quality = 1 THEN md5(text) ELSE 'old' END AS seen_digest, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 60 AS INTEGER)) AS reviewed_at FROM labels JOIN documents USING (doc_id))"
 
 
-@query(f"WITH {DOCS}, {CACHE} SELECT path, CASE WHEN reviewed_at IS NULL THEN 'unreviewed' WHEN md5(text) <> seen_digest THEN 'changed' WHEN floor((epoch(TIMESTAMP '2024-03-15') - epoch(reviewed_at)) / 86400) > 30 THEN 'stale' ELSE 'fresh' END AS state FROM docs LEFT JOIN cache USING (doc_id)")
+@query(f"""WITH {DOCS}, {CACHE} SELECT path, CASE WHEN reviewed_at IS NULL THEN 'unreviewed'
+  WHEN md5(text) <> seen_digest THEN 'changed' WHEN floor((epoch(TIMESTAMP '2024-03-15') - epoch(reviewed_at)) /
+  86400) > 30 THEN 'stale' ELSE 'fresh' END AS state FROM docs LEFT JOIN cache USING (doc_id)""")
 def review_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against their review cache (119, 68)."""
     docs, labels = tables.documents(spark, sf_dir), tables.table(spark, sf_dir, "labels")
@@ -68,9 +80,14 @@ def review_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.staleness(docs.select("path", digest.alias("digest")), cache, "2024-03-15 00:00:00", 30)
 
 
-@query(f"""WITH {WORK}, f AS (SELECT file, max(loc) AS loc, count(*) FILTER (status = 'open') AS n_open, count(*) FILTER (status = 'wontfix' AND detector IN ('structural', 'smells')) AS n_aside, count(DISTINCT lang || zone) AS importers, max(reopen_count) = 0 AS low_value, max(tier) * 30 AS complexity FROM work GROUP BY file),
- s AS (SELECT *, importers * CASE WHEN low_value THEN 2 ELSE 10 END + n_open * 5 + n_aside * 15 + CASE WHEN complexity > 100 THEN 20 ELSE 0 END + loc // 50 AS score FROM f)
- SELECT file, CAST(CASE WHEN loc < 20 THEN -1 WHEN low_value THEN score // 3 ELSE score END AS BIGINT) AS priority FROM s""")
+@query(f"""WITH {WORK}, f AS (SELECT file, max(loc) AS loc, count(*) FILTER (status = 'open') AS n_open,
+  count(*) FILTER (status = 'wontfix' AND detector IN ('structural', 'smells')) AS n_aside,
+  count(DISTINCT lang || zone) AS importers, max(reopen_count) = 0 AS low_value, max(tier) * 30 AS complexity
+  FROM work GROUP BY file),
+ s AS (SELECT *, importers * CASE WHEN low_value THEN 2 ELSE 10 END + n_open * 5 + n_aside * 15 + CASE
+  WHEN complexity > 100 THEN 20 ELSE 0 END + loc // 50 AS score FROM f)
+ SELECT file, CAST(CASE WHEN loc < 20 THEN -1 WHEN low_value THEN score // 3 ELSE score END AS BIGINT) AS priority
+  FROM s""")
 def review_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tables.work_items(spark, sf_dir)
     f = w.groupBy("file").agg(
@@ -80,11 +97,16 @@ def review_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.priority(f).select("file", "priority")
 
 
-COVER = f"""{DOCS}, loc AS (SELECT doc_id, path, source, lang, CASE WHEN length(text) = 0 THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS loc FROM docs),
- direct AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), reached AS (SELECT DISTINCT source, lang FROM loc JOIN direct USING (doc_id))"""
+COVER = f"""{DOCS}, loc AS (SELECT doc_id, path, source, lang, CASE
+  WHEN length(text) = 0 THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text,
+  chr(10)) THEN 1 ELSE 0 END END AS loc FROM docs),
+ direct AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), reached AS (SELECT DISTINCT source, lang FROM loc
+  JOIN direct USING (doc_id))"""
 
 
-@query(f"WITH {COVER} SELECT path, CAST(loc AS INTEGER) AS loc, CASE WHEN d.doc_id IS NOT NULL THEN 'direct' WHEN r.source IS NOT NULL AND l.loc > 3 THEN 'transitive' ELSE 'untested' END AS kind FROM loc l LEFT JOIN direct d USING (doc_id) LEFT JOIN reached r ON r.source = l.source AND r.lang = l.lang")
+@query(f"""WITH {COVER} SELECT path, CAST(loc AS INTEGER) AS loc, CASE WHEN d.doc_id IS NOT NULL THEN 'direct'
+  WHEN r.source IS NOT NULL AND l.loc > 3 THEN 'transitive' ELSE 'untested' END AS kind FROM loc l LEFT
+  JOIN direct d USING (doc_id) LEFT JOIN reached r ON r.source = l.source AND r.lang = l.lang""")
 def coverage_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a good label count as tested, longer ones beside them as reached (111-114)."""
     docs = tables.documents(spark, sf_dir).withColumn("loc", T.line_count(F.col("text")))
@@ -102,8 +124,11 @@ def coverage_potential(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUALITY = ["adequate", "smoke", "placeholder", "assertion_free"]
 
 
-@query("""WITH t AS (SELECT conv_id AS path, turn AS test, (['adequate', 'smoke', 'placeholder', 'assertion_free'])[length(text) % 4 + 1] AS quality FROM conversations), r AS (SELECT *, CASE quality WHEN 'assertion_free' THEN 3 WHEN 'placeholder' THEN 2 WHEN 'smoke' THEN 1 ELSE 0 END AS rank FROM t),
- p AS (SELECT *, bool_or(quality = 'adequate') OVER (PARTITION BY path) AS ok, row_number() OVER (PARTITION BY path ORDER BY rank DESC, test) AS place FROM r) SELECT path, test, quality FROM p WHERE place = 1 AND NOT ok AND rank > 0""")
+@query("""WITH t AS (SELECT conv_id AS path, turn AS test, (['adequate', 'smoke', 'placeholder',
+  'assertion_free'])[length(text) % 4 + 1] AS quality FROM conversations), r AS (SELECT *, CASE quality
+  WHEN 'assertion_free' THEN 3 WHEN 'placeholder' THEN 2 WHEN 'smoke' THEN 1 ELSE 0 END AS rank FROM t),
+ p AS (SELECT *, bool_or(quality = 'adequate') OVER (PARTITION BY path) AS ok, row_number() OVER (PARTITION BY path
+  ORDER BY rank DESC, test) AS place FROM r) SELECT path, test, quality FROM p WHERE place = 1 AND NOT ok AND rank > 0""")
 def worst_test_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The worst test of each path without an adequate one (118): turns stand for tests."""
     c = tables.table(spark, sf_dir, "conversations")
@@ -111,7 +136,9 @@ def worst_test_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.worst_quality(c.select(F.col("conv_id").alias("path"), F.col("turn").alias("test"), kind.alias("quality")))
 
 
-@query("SELECT x AS loc, y AS importers, CASE WHEN y >= 10 OR x >= 500 THEN 'high' WHEN y >= 3 OR x >= 200 THEN 'medium' ELSE 'low' END AS risk FROM (VALUES (50, 1), (250, 0), (10, 4), (600, 0), (20, 12)) v(x, y)")
+@query("""SELECT x AS loc, y AS importers, CASE WHEN y >= 10 OR x >= 500 THEN 'high'
+  WHEN y >= 3 OR x >= 200 THEN 'medium' ELSE 'low' END AS risk FROM (VALUES (50, 1), (250, 0), (10, 4), (600, 0),
+  (20, 12)) v(x, y)""")
 def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk of untested files by importers and size (117)."""
     rows = spark.createDataFrame([(50, 1), (250, 0), (10, 4), (600, 0), (20, 12)], "loc int, importers int")
@@ -121,8 +148,11 @@ def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEYS = [("c1", r, k) for r, ks in enumerate([["name", "value", "kind"], ["name", "value", "kind"], ["name", "value", "knd"], ["name", "value", "kind"], ["name", "value", "other"]]) for k in ks] + [("c2", 1, "x"), ("c2", 2, "y")]
 
 
-@query(f"""WITH k AS (SELECT * FROM {_values(KEYS)} v(cluster, row, key)), s AS (SELECT cluster, count(DISTINCT row) AS size FROM k GROUP BY cluster HAVING count(DISTINCT row) >= 3), u AS (SELECT cluster, key, count(DISTINCT row) AS n, size FROM k JOIN s USING (cluster) GROUP BY ALL),
- b AS (SELECT o.cluster, o.key, o.n, o.size, c.key AS near, levenshtein(o.key, c.key) AS d FROM u o JOIN u c ON c.cluster = o.cluster AND c.n * 100 >= c.size * 30 WHERE o.n * 100 < o.size * 30)
+@query(f"""WITH k AS (SELECT * FROM {_values(KEYS)} v(cluster, row, key)), s AS (SELECT cluster,
+  count(DISTINCT row) AS size FROM k GROUP BY cluster HAVING count(DISTINCT row) >= 3), u AS (SELECT cluster, key,
+  count(DISTINCT row) AS n, size FROM k JOIN s USING (cluster) GROUP BY ALL),
+ b AS (SELECT o.cluster, o.key, o.n, o.size, c.key AS near, levenshtein(o.key, c.key) AS d FROM u o
+  JOIN u c ON c.cluster = o.cluster AND c.n * 100 >= c.size * 30 WHERE o.n * 100 < o.size * 30)
  SELECT cluster, key, n, size, CASE WHEN min(d) <= 2 THEN arg_min(near, d) END AS nearest FROM b GROUP BY ALL""")
 def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that few rows of a cluster use, with the common key they may stand for (126, 127)."""
@@ -132,7 +162,9 @@ def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 PASSED = [("f", "a", "g(a)\nh(a, b)", 2), ("f", "b", "h(a, b)\nb = b + 1", 2), ("f", "c", "k(c)", 2)]
 
 
-@query(f"SELECT name, param, len(regexp_extract_all(body, '[(,] ?' || param || '[,)]')) AS forwarded, len(regexp_extract_all(body, '(?:^|[^A-Za-z0-9_])' || param || '(?:$|[^A-Za-z0-9_])')) AS used FROM {_values(PASSED)} v(name, param, body, k)")
+@query(f"""SELECT name, param, len(regexp_extract_all(body, '[(,] ?' || param || '[,)]')) AS forwarded,
+  len(regexp_extract_all(body, '(?:^|[^A-Za-z0-9_])' || param || '(?:$|[^A-Za-z0-9_])')) AS used
+  FROM {_values(PASSED)} v(name, param, body, k)""")
 def passthrough_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a parameter is only handed on (102)."""
     rows = spark.createDataFrame(PASSED, "name string, param string, body string, k int")
@@ -140,7 +172,9 @@ def passthrough_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", "param", count("[(,] ?", "[,)]").alias("forwarded"), count("(?:^|[^A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])").alias("used"))
 
 
-@query(f"WITH {WORK}, d AS (SELECT finding_id, detector FROM work WHERE status = 'open' AND detector IN ('security', 'cycles')) SELECT finding_id, 'resolved' AS action FROM d WHERE detector = 'security' AND finding_id NOT IN (SELECT finding_id FROM work WHERE tier = 1)")
+@query(f"""WITH {WORK}, d AS (SELECT finding_id, detector FROM work WHERE status = 'open'
+  AND detector IN ('security', 'cycles')) SELECT finding_id, 'resolved' AS action FROM d WHERE detector = 'security'
+  AND finding_id NOT IN (SELECT finding_id FROM work WHERE tier = 1)""")
 def holistic_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open findings of covered dimensions that an import no longer holds (280)."""
     w = tables.work_items(spark, sf_dir)

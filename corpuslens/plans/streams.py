@@ -25,14 +25,17 @@ def event_counts_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(found.drop("total"), "start")
 
 
-@query("WITH w AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start FROM events) SELECT start, count(*) AS n FROM w GROUP BY start")
+@query("""WITH w AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start
+  FROM events) SELECT start, count(*) AS n FROM w GROUP BY start""")
 def event_counts_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = events.drained(events.sliding_counts(events.read_events(spark, sf_dir)), _name("sliding"), "complete")
     return _ntz(found, "start")
 
 
-@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
- s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS end, count(*) AS n FROM s GROUP BY user_id, k""")
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 HOUR OR lag(ts) OVER w IS NULL
+  THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS end, count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = events.drained(events.sessions(events.read_events(spark, sf_dir)), _name("sessions"), "complete")
     return _ntz(found, "start", "end")
@@ -46,7 +49,8 @@ def finding_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
-SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events, w WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark GROUP BY ALL""")
+SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events, w WHERE date_trunc('day',
+  ts) + INTERVAL 1 DAY <= mark GROUP BY ALL""")
 def event_counts_on_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the days that the watermark has closed, in append mode: each day is given out once (2.11)."""
     # one micro-batch: part files are in no order of time, so no row is late
@@ -54,7 +58,9 @@ def event_counts_on_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(found.drop("total"), "start")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS unit, CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) AS digest, CAST(user_id AS VARCHAR) || ':' || CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) AS result FROM events GROUP BY user_id")
+@query("""SELECT CAST(user_id AS VARCHAR) AS unit, CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) AS digest,
+  CAST(user_id AS VARCHAR) || ':' || CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) AS result FROM events
+  GROUP BY user_id""")
 def changed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as units whose content is their last event, recomputed as they change (2.11)."""
     e = events.read_events(spark, sf_dir, None)

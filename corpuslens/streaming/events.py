@@ -6,8 +6,6 @@ complete mode; each has a batch twin with the same rows, which the queries' SQL
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.operators.graph import checkpoint_root
+
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -79,9 +79,8 @@ def finding_states(events: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir (a local folder only where the setting is absent), removed when the JVM ends."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "corpuslens-checkpoints")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the checkpoint folder, removed when the JVM ends."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
