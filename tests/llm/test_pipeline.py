@@ -29,19 +29,19 @@ def test_stages(spark, folder):
         assert docs.columns == corpus_pipeline.COLUMNS
         kept[name] = {r.doc_id: r for r in docs.collect()}
     assert set(kept["language_id"]) == {0, 1, 4, 5, 6, 7, 8} and kept["language_id"][1].lang in ("en", "fr")
-    assert set(kept["simhash_near_dedup"]) == {0, 1, 4, 6, 7, 8}
+    # 7 and 8 share 27 of 32 five-word shingles (0.84): by the stage's rule they are near copies, and 8 goes
+    assert set(kept["simhash_near_dedup"]) == {0, 1, 4, 6, 7}
     cut = kept["suffix_array_dedup"]
     assert cut[7].text.endswith("end seven") and SHARED in cut[7].text
-    assert (cut[8].text, cut[8].n_chars) == ("othereight", 10)  # the spaces and "end" around it repeat as well
     assert all(cut[d].text == t for d, t in CLEAN.items())
-    assert set(kept["benchmark_decontamination"]) == {0, 1, 4, 7, 8}
+    assert set(kept["benchmark_decontamination"]) == {0, 1, 4, 7}
 
 
 def test_run_packs_what_is_left(spark, folder):
     from tokenizers import Tokenizer
 
     pieces = corpus_pipeline.run(spark, folder).collect()
-    assert {r.doc_id for r in pieces} == {0, 1, 4, 7, 8}
+    assert {r.doc_id for r in pieces} == {0, 1, 4, 7}
     ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(CLEAN[0], add_special_tokens=False).ids
     assert [r.length for r in pieces if r.doc_id == 0] == [len(ids) + 1]
 
