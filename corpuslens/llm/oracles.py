@@ -25,3 +25,33 @@ c AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS
 k AS (SELECT c.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, CAST(2 * last + 1 AS BIGINT), CAST(2 * (a - last) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(b) + 1 AS BIGINT)) AS kept FROM c JOIN d USING (doc_id) GROUP BY c.doc_id)
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
+
+
+#: What one round of clustering computes: squared distances to all centroids, the nearest one, and its new place.
+_NEAR = """{a} AS MATERIALIZED (SELECT row_id, min({{'d': d, 'c': c}}) AS b FROM (
+  SELECT row_id, c, list_sum(list_transform(list_zip(kept.v, {c}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM kept, {c}) GROUP BY row_id)"""
+_MOVE = """{m} AS MATERIALIZED (SELECT c, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+  SELECT {a}.b.c AS c, i, sum(kept.v[i]) AS s, count(*) AS n FROM {a} JOIN kept USING (row_id), range(1, 65) AS r(i)
+  GROUP BY ALL) GROUP BY c),
+{next} AS MATERIALIZED (SELECT c, coalesce({m}.v, {c}.v) AS v FROM {c} LEFT JOIN {m} USING (c))"""
+
+#: Three rounds written out: every vector meets every centroid in each.
+SORT_MEANS = (
+    """
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row_id, vec_id,
+  list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (
+  SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT 16)),
+"""
+    + ",\n".join(_NEAR.format(a=f"a{i}", c=f"c{i}") + ",\n" + _MOVE.format(a=f"a{i}", m=f"m{i}", c=f"c{i}", next=f"c{i + 1}") for i in range(3))
+    + ",\n"
+    + _NEAR.format(a="a3", c="c3")
+    + """,
+f AS (SELECT vec_id, a3.b.c AS c, CAST(a3.b.d AS BIGINT) AS distance FROM a3 JOIN kept USING (row_id))
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM f JOIN c3 USING (c)
+"""
+)

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import binary_records, chat, decontaminate, language_id, lm_scoring, media, oracles, packing, simhash, suffix_dedup, token_counts
+from corpuslens.llm import (
+    binary_records, chat, decontaminate, language_id, lm_scoring, media, oracles, packing, simhash, sort_means, spelling,
+    suffix_dedup, token_counts, word_bpe,
+)
 from corpuslens.llm.common import table_dir
 
 
@@ -59,6 +62,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_read(spark, sf_dir, "documents"))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.digests(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -70,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_media_columns": op10_media_columns,
+    "op11_word_bpe": op11_word_bpe,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_sort_means": op13_sort_means,
 }
 
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
@@ -77,4 +95,5 @@ SQL: dict[str, str] = {
     "op1_suffix_array_dedup": oracles.SUFFIX_DEDUP,
     "op5_chat_formatting": chat.SQL,
     "op8_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op13_sort_means": oracles.SORT_MEANS,
 }
