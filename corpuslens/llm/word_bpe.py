@@ -186,10 +186,11 @@ class _Filler:
             found.append(b"".join(parts) if None not in parts else tuple(zip(ws, parts)))
         return found
 
-    def pieces(self, text: str | None) -> list[bytes | tuple]:
-        runs = (text or "").encode("utf-8", "surrogatepass").split()
-        known = self.runs.fill(set(runs), self._look)
-        return [known[r] for r in runs]
+    def pieces(self, texts: list[str | None]) -> list[list[bytes | tuple]]:
+        """For each text, what stands for each of its runs; the runs of all texts are looked up together."""
+        runs = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        known = self.runs.fill({r for rs in runs for r in rs}, self._look)
+        return [[known[r] for r in rs] for rs in runs]
 
 
 def _cold_rows(docs: DataFrame, hot, name: str) -> DataFrame:
@@ -199,9 +200,9 @@ def _cold_rows(docs: DataFrame, hot, name: str) -> DataFrame:
         filler = held_in_worker(("filler", name), lambda: _Filler(hot.value))
         for batch in small_batches(batches):
             words, keys, places = [], [], []
-            for key, text in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist()):
+            for key, pieces in zip(batch.column("_key").to_pylist(), filler.pieces(batch.column("text").to_pylist())):
                 at = 0
-                for piece in filler.pieces(text):
+                for piece in pieces:
                     if type(piece) is tuple:
                         for word, ids in piece:
                             if ids is None:
@@ -222,9 +223,9 @@ def _gapped(docs: DataFrame, hot, name: str) -> DataFrame:
         filler = held_in_worker(("filler", name), lambda: _Filler(hot.value))
         for batch in small_batches(batches):
             made = []
-            for text in batch.column("text").to_pylist():
+            for pieces in filler.pieces(batch.column("text").to_pylist()):
                 parts = []
-                for piece in filler.pieces(text):
+                for piece in pieces:
                     if type(piece) is tuple:
                         parts += [gap if ids is None else ids for _, ids in piece]
                     else:
