@@ -211,6 +211,38 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.near_pairs(tables.documents(spark, sf_dir))
 
 
+COMMON = """WITH k AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '{cut}'), lambda x: trim(x)),
+  lambda x: x <> '') AS kept FROM documents),
+u AS (SELECT min(doc_id) AS doc_id, kept, len(kept) AS loc FROM k WHERE len(kept) >= 15 GROUP BY kept),
+n AS (SELECT doc_id, loc, line, count(*) AS times FROM (SELECT doc_id, loc, unnest(kept) AS line FROM u) GROUP BY ALL)
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, CAST(sum(least(a.times, b.times)) AS BIGINT) AS common
+FROM n a JOIN n b ON a.line = b.line AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.loc, b.loc
+HAVING 20 * sum(least(a.times, b.times)) >= 9 * (a.loc + b.loc)"""
+
+
+@query(COMMON.format(cut="\\n"))
+def near_dup_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of distinct units of at least 15 lines that share enough lines to be 0.9 alike in some order (75)."""
+    return duplicates.common_lines(tables.documents(spark, sf_dir))
+
+
+def _words_as_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a word a line: copies with single changed words are alike as sequences of words."""
+    return tables.documents(spark, sf_dir).withColumn("text", F.regexp_replace("text", "[ \n]+", "\n"))
+
+
+@query(COMMON.format(cut="[ \\n]+"))
+def near_dup_common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of distinct documents of at least 15 words that share enough words to be 0.9 alike in some order (75)."""
+    return duplicates.common_lines(_words_as_lines(spark, sf_dir))
+
+
+@query()
+def near_dup_word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of documents whose word sequences are 0.9 alike: node, root, size (76); tested by brute force."""
+    return duplicates.sized_clusters(duplicates.near_links(_words_as_lines(spark, sf_dir)).select("doc_a", "doc_b"))
+
+
 @query()
 def near_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each unit's cluster over exact and near links: node, root, size (76-78)."""
