@@ -66,13 +66,28 @@ def test_unlike_texts_stay(spark, tmp_path):
     assert corpus_pipeline.near_duplicates(spark, docs.where(F.lit(False)), str(tmp_path)).count() == 0
 
 
-def test_prefix_bounds():
-    for n in range(1, 200):
-        for m in range(n, n + n // 4 + 1):
-            need = (4 * (n + m) + 8) // 9
-            assert 9 * need >= 4 * (n + m) > 9 * (need - 1)
-            # the first common place is at most n - need, within the prefix
-            assert n - need < near_copies.prefix_size(n) and m - need < near_copies.prefix_size(m)
+def test_forms_of_phrases_are_not_all_paired(spark):
+    """Unlike texts of one pool of phrases: candidates stay far below all pairs, and the links are those of all pairs."""
+    rng = random.Random(12)
+    pool = [" ".join(f"p{i}w{j}" for j in range(14)) for i in range(40)]
+    texts = [" ".join(rng.sample(pool, 9)) for _ in range(1_200)]
+    texts += [t.replace("w7", "new", 1) for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_key long, text string")
+    made = near_copies.sketches(docs).cache()
+    met = near_copies.first_round(made, near_copies.SHARE).cache()
+    tried = met.where(F.col("kind") == near_copies.PAIR).select("u", "v").distinct()
+    held = met.where(F.col("kind") == near_copies.HELD).select("token", F.col("u").alias("key"), "n", "place")
+    more = near_copies.remaining(held, made, near_copies.SHARE)
+    assert tried.count() + more.count() < 10 * len(texts)  # of 731,000 pairs
+    assert {r._key for r in near_copies.kept_keys(docs).collect()} == _brute(texts)
+
+
+def test_order_of_long_texts_is_bounded(spark):
+    texts = [" ".join(f"w{i}" for i in range(30_000))] * 4 + ["a b c d e f"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "_key long, text string")
+    token, df = near_copies.common_shingles(docs)
+    assert len(token) == near_copies.SAMPLE_SHINGLES + 2 and set(df.tolist()) == {3, 4}
+    assert len(near_copies.common_shingles(docs, most=5)[0]) == 5
 
 
 def test_budget_beyond_the_keys(spark):
