@@ -19,7 +19,7 @@ text). Words of any length are handled. An empty table gives an empty result.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.common import drop_held, small_batches, stored
@@ -51,40 +51,40 @@ def vocabulary(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: i
     return corpus_words(docs, least_length).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
 
 
-def _part(word: str, start: Column, end_left: Column) -> Column:
-    """The known part of a word: what is before the window (its first code points) and after it (its last ones)."""
-    size = F.length(word)
-    return F.struct(F.substring(word, F.lit(1), start).alias("head"), F.substring(word, size - end_left + 1, end_left).alias("tail"))
-
-
 def _filed(words: DataFrame) -> DataFrame:
-    """Rows of both kinds for the two halves: hold (the word's own windows) and scan (those of near words' lengths).
+    """Rows of both kinds for the two halves: a word under its own windows (hold) and under those of words that are one
+    code point shorter or longer. Words of equal length meet at their own windows.
 
     m: length of the word that holds the window, a and t: code points known before and after the window.
     """
     size = F.length("word")
-    held = words.select("word", "n", F.lit(True).alias("hold"), size.alias("m"))
-    scan = words.select("word", "n", F.lit(False).alias("hold"), F.explode(F.array(size - 1, size, size + 1)).alias("m"))
+    each = words.select("word", "n", F.explode(F.array(size - 1, size, size + 1)).alias("m")).withColumn("hold", F.col("m") == size)
     half = F.floor(F.col("m") / 2).cast("int")
     sides = F.array(
         F.struct(half.alias("a"), F.lit(0).alias("t")),
         F.struct(F.lit(0).alias("a"), (F.col("m") - half).cast("int").alias("t")),
     )
-    return held.union(scan).withColumn("side", F.explode(sides)).select("word", "n", "hold", "m", "side.a", "side.t")
+    return each.withColumn("side", F.explode(sides)).select("word", "n", "hold", "m", "side.a", "side.t")
 
 
 def _keyed(filed: DataFrame) -> DataFrame:
-    return filed.withColumn("part", _part("word", F.col("a"), F.col("t")))
+    """filed with a hash of the window and of the known parts, the word's first and last code points.
 
-
-KEY = ["m", "a", "t", "part"]
+    Words meet by the hash; whether the parts are equal is what the automaton says.
+    """
+    head, tail = F.substring("word", F.lit(1), F.col("a")), F.substring("word", F.length("word") - F.col("t") + 1, F.col("t"))
+    return filed.withColumn("part", F.xxhash64("m", "a", "t", head, tail))
 
 
 def _refined(filed: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """The rows that stay as they are, and those of parts that too many words hold, with half the window each."""
-    counts = filed.groupBy(*KEY).agg(F.count_if("hold").alias("holders"), F.count(F.lit(1)).alias("filed"))
-    # a part without holders cannot match; the scan rows under it go
-    placed = filed.join(counts.where("holders > 0"), KEY)
+    """The rows that stay as they are, and those of parts that too many words have, with half the window each.
+
+    Parts that no word holds, or that one word has alone, cannot match; the rows under them go.
+    """
+    counts = filed.groupBy("part").agg(
+        F.count_if("hold").alias("holders"), F.count(F.lit(1)).alias("filed"), F.min("word").alias("low"), F.max("word").alias("high")
+    )
+    placed = filed.join(counts.where("holders > 0 AND low < high").drop("low", "high"), "part")
     window = F.col("m") - F.col("a") - F.col("t")
     again = ((F.col("holders") > most) | (F.col("filed") > most * MOST_SCANS)) & (window > 1)
     settled = placed.where(~again).drop("holders", "filed")
@@ -120,8 +120,7 @@ def _scan_shards(batches):
         for word, n, hold, m, a, t in zip(*columns):
             if hold:
                 holders.setdefault((m, a, t, word[:a], word[len(word) - t :]), []).append((word, n))
-            else:
-                scans.setdefault(word, set()).add((m, a, t))
+            scans.setdefault(word, set()).add((m, a, t))
     at_start, at_end = {}, {}  # lengths of the windows' parts by segment
     for m, a, t, head, tail in holders:
         for segment, place in ((head, at_start), (tail, at_end)):
@@ -173,7 +172,7 @@ def near_words(words: DataFrame, most_holders: int = MOST_HOLDERS, shard_rows: i
         rows = rows.unionByName(more)
     shards = max(1, -(-rows.count() // shard_rows))
     spread = max(shards, int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartition(spread, *KEY).select("word", "n", "hold", "m", "a", "t")
+    dealt = rows.repartition(spread, "part").select("word", "n", "hold", "m", "a", "t")
     # a pair can meet in two windows (a letter beside its like may stand for either place)
     return dealt.mapInArrow(_scan_shards, PAIRS).distinct()
 
