@@ -1,13 +1,13 @@
 """BPE encoding and decoding through a table of distinct words.
 
-A vocabulary that discards white space encodes the runs between white space independently, and a run of letters
-independently of the closing marks after it. So texts are split into words (:func:`words_of`), each distinct word is
-encoded once into a table (:func:`word_table`), and its ids are joined back by position (:func:`encode`). Decoding is
-a join of ids with the vocabulary's id-to-piece table (:func:`decode`).
+A vocabulary that discards white space encodes the runs between white space independently, and runs of letters, of
+digits and of marks inside them. So texts are split into words (:func:`words_of`), each distinct word is encoded once
+into a table (:func:`word_table`), and its ids are joined back by position (:func:`encode`). Decoding is a join of ids
+with the vocabulary's id-to-piece table (:func:`decode`).
 
 The join has two ways, and both are exact. The most frequent words of the table, as many as fit ``HOT_BYTES``, are
-broadcast. Each other place in a text is a row (text's key, position, word) that is joined with the table by a
-shuffle and comes back to its text, which is sent as ids with gaps. Words that are hot are never a key of that join.
+broadcast. Each other place is a row (block of texts, place, word) that is joined with the table by a shuffle and comes
+back to its block, which is sent as compressed ids with gaps. Hot words are never a key of that join.
 
 Texts are cut at ASCII white space only; white space of other kinds and special strings stay inside a word, which
 the library encodes as it would inside the text. Null and empty texts have no ids. Equal rows are encoded each by
@@ -24,28 +24,76 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import RecentCache, drop_held, held_in_worker, small_batches, stored
+from corpuslens.llm.common import drop_held, held_in_worker, small_batches, stored
 from corpuslens.llm.suffix_dedup import keyed
 
-#: Bytes of the broadcast part of the word table; 20 a word and 4 a token.
-HOT_BYTES = 24 << 20
+#: Bytes of the broadcast part of the word table; 28 a word and 4 a token.
+HOT_BYTES = 32 << 20
+#: Longer words (in bytes) are not broadcast.
+HOT_LENGTH = 64
 #: Distinct runs after which a counting task gives out what it has.
 COUNTED = 200_000
-#: A word of letters and the marks around it; letters are those of ASCII and of Latin-1, as UTF-8.
-LETTERS = re.compile(rb"""([("\[]*)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?)"\]]*)\Z""")
-ENCODED = "key long, at int, ids binary"
-
-
-def words_of(run: bytes) -> tuple[bytes, ...]:
-    """The words of a run between white space: marks, letters (A-Z lower-cased) and marks, or the run as it is."""
-    found = LETTERS.match(run)
-    if not found:
-        return (run,)
-    before, letters, after = found.groups()
-    return tuple(w for w in (before, letters.lower(), after) if w)
+#: Texts and bytes of a block; a longer text is a block of its own.
+BLOCK_TEXTS, BLOCK_BYTES = 512, 2 << 20
+#: Marks that may be parted from letters and digits: no apostrophe (contractions), no part of special strings.
+MARKS = b"""!"#$%&()*+,-./:;=?@[\\]^_`{}~"""
+SIMPLE = re.compile(rb"[A-Za-z0-9" + re.escape(MARKS) + rb"]+\Z")
+PARTS = re.compile(rb"[A-Za-z]+|[0-9]+|[" + re.escape(MARKS) + rb"]+")
+WHITE, LETTER, DIGIT, MARK, ODD = range(5)
+KIND = np.full(256, ODD, np.uint8)
+KIND[list(b" \t\n\r\x0b\x0c")] = WHITE
+KIND[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = LETTER
+KIND[list(b"0123456789")] = DIGIT
+KIND[list(MARKS)] = MARK
+GAP = 0xFFFFFFFF
+BLOCKS = "block long, at int, ids binary"
+
+
+def words_of(run: bytes) -> list[bytes]:
+    """The words of a run between white space: letters (A-Z lower-cased), digits and marks, or the run as it is."""
+    return [w.lower() for w in PARTS.findall(run)] if SIMPLE.match(run) else [run]
+
+
+def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with A-Z lower-cased, and start and end of each word, as ``words_of`` has them."""
+    kind = KIND[data]
+    solid = kind != WHITE
+    edge = np.diff(np.concatenate([[0], solid.view(np.int8), [0]]))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    odd = np.concatenate([[0], np.cumsum(kind == ODD)])
+    whole = odd[ends] > odd[starts]
+    kind[solid] = np.where(np.repeat(whole, ends - starts), ODD, kind[solid])
+    low = data + np.where((kind == LETTER) & (data <= 90), 32, 0).astype(np.uint8)
+    opens, closes = solid.copy(), solid.copy()
+    opens[1:] &= kind[1:] != kind[:-1]
+    closes[:-1] &= kind[:-1] != kind[1:]
+    return low, np.flatnonzero(opens), np.flatnonzero(closes) + 1
+
+
+_random = np.random.default_rng(1123)
+_LANES = [(_random.integers(0, 1 << 64, 256, dtype=np.uint64), np.uint64(int(_random.integers(1 << 62, 1 << 63)) | 1)) for _ in range(2)]
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each span, the same wherever its bytes stand."""
+    found = []
+    for letters, base in _LANES:
+        inverse = _powers(np.uint64(pow(int(base), -1, 1 << 64)), len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(letters[data] * _powers(base, len(data)), out=sums[1:])
+        x = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+        found.append(x ^ x >> np.uint64(29))
+    return found
 
 
 class Vocabulary:
@@ -121,10 +169,9 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
 
 
 def least_hot(table: DataFrame, most_bytes: int = HOT_BYTES) -> float:
-    """The smallest count from which on all words of table fit the bytes (counts in steps of 1/8 power of two)."""
-    cost = F.length("ids") + 20
+    """The smallest count, in steps of 1/8 power of two, from which on all words of table fit the bytes."""
     step = F.floor(F.log2("n") * 8)
-    rows = table.groupBy(step.alias("step")).agg(F.sum(cost).alias("bytes")).collect()  # at most 8 * 63 rows
+    rows = table.groupBy(step.alias("step")).agg(F.sum(F.length("ids") + 28).alias("bytes")).collect()  # at most 8 * 63 rows
     total, least = 0, float("inf")
     for row in sorted(rows, key=lambda r: -r["step"]):
         total += row["bytes"]
@@ -135,156 +182,147 @@ def least_hot(table: DataFrame, most_bytes: int = HOT_BYTES) -> float:
 
 
 class HotWords:
-    """Words by a 128-bit hash in flat arrays: a lookup is a binary search, and no Python object is kept a word."""
+    """Words by two 64-bit hashes in flat arrays: a lookup is a binary search, and no Python object is kept a word."""
 
     def __init__(self, words: list[bytes], ids: list[bytes]):
-        import xxhash
-
-        digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in words]), ">u8").reshape(-1, 2).astype(np.uint64)
-        order = np.lexsort((digest[:, 1], digest[:, 0])) if len(words) else np.zeros(0, np.int64)
-        self.high, self.low = digest[order, 0], digest[order, 1]
-        sizes = np.array([len(ids[i]) for i in order.tolist()], np.int64)
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
-        self.data = b"".join([ids[i] for i in order.tolist()])
-
-    def find(self, words: list[bytes]) -> list[bytes | None]:
-        """The ids of each word, None for words that are not held."""
-        import xxhash
-
-        if not len(self.high) or not words:
-            return [None] * len(words)
-        digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in words]), ">u8").reshape(-1, 2).astype(np.uint64)
-        at = np.minimum(np.searchsorted(self.high, digest[:, 0]), len(self.high) - 1)
-        ok = (self.high[at] == digest[:, 0]) & (self.low[at] == digest[:, 1])
-        return [self.data[s:e] if k else None for k, s, e in zip(ok.tolist(), self.starts[at].tolist(), self.ends[at].tolist())]
-
-
-def hot_words(table: DataFrame, most_bytes: int = HOT_BYTES) -> tuple[HotWords, float]:
-    """The most frequent words of table as far as they fit the bytes, and the count from which on they are held."""
-    least = least_hot(table, most_bytes)
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        sizes = np.array([len(w) for w in words], np.int64)
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        first, second = span_hashes(data, starts, starts + sizes)
+        order = np.argsort(first)
+        self.first, self.second = first[order], second[order]
+        lengths = np.array([len(i) // 4 for i in ids], np.int64)[order]
+        self.ids = np.concatenate([[GAP], np.frombuffer(b"".join([ids[i] for i in order.tolist()]), "<u4")]).astype("<u4")
+        self.lengths, self.starts = lengths, 1 + np.cumsum(lengths) - lengths
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length in ``ids`` of each span's ids; the one gap at 0 for words that are not held."""
+        at, size = np.zeros(len(starts), np.int64), np.ones(len(starts), np.int64)
+        if len(self.first) and len(starts):
+            first, second = span_hashes(data, starts, ends)
+            distinct, back = np.unique(first, return_inverse=True)
+            place = np.minimum(np.searchsorted(self.first, distinct), len(self.first) - 1)[back]
+            ok = (self.first[place] == first) & (self.second[place] == second) & (ends - starts <= HOT_LENGTH)
+            at[ok], size[ok] = self.starts[place[ok]], self.lengths[place[ok]]
+        return at, size
+
+
+def hot_words(table: DataFrame, most_bytes: int = HOT_BYTES) -> tuple[HotWords, Column]:
+    """The most frequent words of table as far as they fit the bytes, and the condition that a word is one of them."""
+    short = F.length(F.col("word").cast("binary")) <= HOT_LENGTH
+    least = least_hot(table.where(short), most_bytes)
     if least == float("inf"):
-        return HotWords([], []), least
-    rows = table.where(F.floor(F.log2("n") * 8) >= least).select(F.col("word").cast("binary").alias("word"), "ids").toArrow()
-    return HotWords(rows.column("word").to_pylist(), rows.column("ids").to_pylist()), least
+        return HotWords([], []), F.lit(False)
+    hot = short & (F.floor(F.log2("n") * 8) >= least)
+    rows = table.where(hot).select(F.col("word").cast("binary").alias("word"), "ids").toArrow()
+    return HotWords(rows.column("word").to_pylist(), rows.column("ids").to_pylist()), hot
+
+
+def text_blocks(batches):
+    """(keys, texts as bytes) of blocks of neighbouring rows, cut in the same way whenever the same rows come."""
+    for batch in small_batches(batches, BLOCK_TEXTS):
+        keys, texts, size = [], [], 0
+        for key, text in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist()):
+            data = (text or "").encode("utf-8", "surrogatepass")
+            if texts and size + len(data) > BLOCK_BYTES:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+            keys.append(key)
+            texts.append(data)
+            size += len(data)
+        if texts:
+            yield keys, texts
+
+
+def _looked_up(batches, hot: HotWords):
+    """For each block: keys, bytes, starts and ends of its words, where their ids are, and the words of each text."""
+    for keys, texts in text_blocks(batches):
+        data, starts, ends = spans(np.frombuffer(b"\n".join(texts), np.uint8))
+        at, size = hot.find(data, starts, ends)
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        yield keys, data, starts, ends, at, size, np.searchsorted(starts, bounds)
 
 
-class _Filler:
-    """Ids of texts from the hot words; remembers the runs that it has looked up."""
-
-    def __init__(self, hot: HotWords):
-        self.hot, self.runs = hot, RecentCache(400_000)
+def _cold_rows(docs: DataFrame, hot, name: str) -> DataFrame:
+    """word, block, at: the words of docs(_key, text) that are not hot, numbered from 0 in each block."""
 
-    def _look(self, runs: list[bytes]) -> list[bytes | tuple]:
-        """Ids of each run, or its words and their ids if one of them is cold."""
-        words = [words_of(r) for r in runs]
-        distinct = list({w for ws in words for w in ws})
-        ids = dict(zip(distinct, self.hot.find(distinct)))
-        found: list[bytes | tuple] = []
-        for ws in words:
-            parts = [ids[w] for w in ws]
-            found.append(b"".join(parts) if None not in parts else tuple(zip(ws, parts)))
-        return found
+    def run(batches):
+        held = held_in_worker(("hot", name), lambda: hot.value)
+        for keys, data, starts, ends, at, _, _ in _looked_up(batches, held):
+            cold, raw = np.flatnonzero(at == 0), data.tobytes()
+            words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[cold].tolist(), ends[cold].tolist())]
+            columns = [pa.array(words, pa.string()), pa.array([keys[0]] * len(cold), pa.int64()), pa.array(np.arange(len(cold), dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "block", "at"])
 
-    def pieces(self, texts: list[str | None]) -> list[list[bytes | tuple]]:
-        """For each text, what stands for each of its runs; the runs of all texts are looked up together."""
-        runs = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.runs.fill({r for rs in runs for r in rs}, self._look)
-        return [[known[r] for r in rs] for rs in runs]
+    return docs.select("_key", "text").mapInArrow(run, "word string, block long, at int")
 
 
-def _cold_rows(docs: DataFrame, hot, name: str) -> DataFrame:
-    """word, key, at: the places of docs(_key, text) whose word is not hot, numbered from 0 in each text."""
+def _gapped(docs: DataFrame, hot, name: str) -> DataFrame:
+    """block, at -1, ids: the ids of a block's texts, packed, with gaps where a word is not hot."""
 
     def run(batches):
-        filler = held_in_worker(("filler", name), lambda: _Filler(hot.value))
-        for batch in small_batches(batches):
-            words, keys, places = [], [], []
-            for key, pieces in zip(batch.column("_key").to_pylist(), filler.pieces(batch.column("text").to_pylist())):
-                at = 0
-                for piece in pieces:
-                    if type(piece) is tuple:
-                        for word, ids in piece:
-                            if ids is None:
-                                words.append(word.decode("utf-8", "surrogatepass"))
-                                keys.append(key)
-                                places.append(at)
-                                at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(keys, pa.int64()), pa.array(places, pa.int32())], names=["word", "key", "at"])
-
-    return docs.select("_key", "text").mapInArrow(run, "word string, key long, at int")
+        held = held_in_worker(("hot", name), lambda: hot.value)
+        for keys, _, _, _, at, size, words in _looked_up(batches, held):
+            ends = np.cumsum(size)
+            ids = held.ids[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            tokens = np.diff(np.concatenate([[0], np.concatenate([[0], ends])[words]]))
+            columns = [pa.array([keys[0]], pa.int64()), pa.array([-1], pa.int32()), pa.array([packed(keys, tokens, ids)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "at", "ids"])
 
+    return docs.select("_key", "text").mapInArrow(run, BLOCKS)
 
-def _gapped(docs: DataFrame, hot, name: str) -> DataFrame:
-    """key, at -1, ids: each text's ids with the number 2^32 - 1 where the word is not hot (no vocabulary has that id)."""
-    gap = b"\xff\xff\xff\xff"
 
-    def run(batches):
-        filler = held_in_worker(("filler", name), lambda: _Filler(hot.value))
-        for batch in small_batches(batches):
-            made = []
-            for pieces in filler.pieces(batch.column("text").to_pylist()):
-                parts = []
-                for piece in pieces:
-                    if type(piece) is tuple:
-                        parts += [gap if ids is None else ids for _, ids in piece]
-                    else:
-                        parts.append(piece)
-                made.append(packed(b"".join(parts)))
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array([-1] * n, pa.int32()), pa.array(made, pa.binary())], names=["key", "at", "ids"])
-
-    return docs.select("_key", "text").mapInArrow(run, ENCODED)
-
-
-def packed(ids: bytes) -> bytes:
-    """Ids for a shuffle: two bytes each where all fit, and a byte that says which."""
-    wide = np.frombuffer(ids, "<u4")
-    if len(wide) and int(wide[wide != 0xFFFFFFFF].max(initial=0)) >= 0xFFFF:
-        return b"\x04" + ids
-    return b"\x02" + wide.astype("<u2").tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    """The ids that ``packed`` took; gaps are 2^32 - 1."""
-    if data[0] == 4:
-        return np.frombuffer(data, "<u4", offset=1)
-    found = np.frombuffer(data, "<u2", offset=1).astype("<u4")
-    found[found == 0xFFFF] = 0xFFFFFFFF
-    return found
+def packed(keys: list[int], tokens: np.ndarray, ids: np.ndarray) -> bytes:
+    """A block for a shuffle: keys, tokens of each text, and ids of two bytes where all fit, compressed."""
+    import zstandard
+
+    narrow = int(ids[ids != GAP].max(initial=0)) < 0xFFFF
+    head = np.array([len(keys), narrow], "<i8").tobytes() + np.array(keys, "<i8").tobytes() + tokens.astype("<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + ids.astype("<u2" if narrow else "<u4").tobytes())
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``packed`` took."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, narrow = np.frombuffer(raw, "<i8", 2).tolist()
+    keys, tokens = np.frombuffer(raw, "<i8", 2 * n, 16).reshape(2, n)
+    ids = np.frombuffer(raw, "<u2" if narrow else "<u4", offset=16 + 16 * n).astype("<u4")
+    if narrow:
+        ids[ids == 0xFFFF] = GAP
+    return keys, tokens, ids
 
 
 def _filled(batches):
-    """key and ids from rows in order of key and place: a text's gapped ids, then the ids for its gaps."""
-    key, data, fills = None, None, []
+    """key and ids from rows in order of block and place: a block's gapped ids, then the ids for its gaps."""
 
-    def whole():
-        gapped = unpacked(data)
-        gaps = np.flatnonzero(gapped == 0xFFFFFFFF)
+    def whole(data: bytes, fills: list[bytes]):
+        keys, tokens, ids = unpacked(data)
+        gaps = np.flatnonzero(ids == GAP)
         if len(gaps) != len(fills):
-            raise ValueError("a text's gaps and the words that fill them differ")
-        ids = gapped.tobytes()
-        if not fills:
-            return ids
-        parts, last = [], 0
-        for at, fill in zip((gaps * 4).tolist(), fills):
-            parts += [ids[last:at], fill]
-            last = at + 4
-        return b"".join([*parts, ids[last:]])
-
+            raise ValueError("a block's gaps and the words that fill them differ")
+        size = np.ones(len(ids), np.int64)
+        size[gaps] = [len(f) // 4 for f in fills]
+        out = np.repeat(ids, size)
+        out[np.repeat(ids == GAP, size)] = np.frombuffer(b"".join(fills), "<u4")
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(tokens)] * 4
+        raw, rows = out.tobytes(), []
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            rows.append(raw[a:b])
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rows, pa.binary())], names=["key", "ids"])
+
+    data, fills = None, []
     for batch in batches:
-        keys, made = [], []
-        for k, at, ids in zip(batch.column("key").to_pylist(), batch.column("at").to_pylist(), batch.column("ids").to_pylist()):
-            if at < 0:
-                if data is not None:
-                    keys.append(key)
-                    made.append(whole())
-                key, data, fills = k, ids, []
-            else:
+        for at, ids in zip(batch.column("at").to_pylist(), batch.column("ids").to_pylist()):
+            if at >= 0:
                 fills.append(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(made, pa.binary())], names=["key", "ids"])
+                continue
+            if data is not None:
+                yield whole(data, fills)
+            data, fills = ids, []
     if data is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([whole()], pa.binary())], names=["key", "ids"])
+        yield whole(data, fills)
 
 
 def encode(docs: DataFrame, path: str, hot_bytes: int = HOT_BYTES) -> DataFrame:
@@ -292,12 +330,12 @@ def encode(docs: DataFrame, path: str, hot_bytes: int = HOT_BYTES) -> DataFrame:
     check_vocabulary(path)
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     table = stored(word_table(rows, path), "words")
-    held, least = hot_words(table, hot_bytes)
+    held, is_hot = hot_words(table, hot_bytes)
     hot, name = rows.sparkSession.sparkContext.broadcast(held), uuid.uuid4().hex
-    cold = table.where(F.floor(F.log2("n") * 8) < least).select("word", "ids")
-    fills = _cold_rows(rows, hot, name).join(cold, "word").select("key", "at", "ids")
+    cold = table.where(~is_hot).select("word", "ids")
+    fills = _cold_rows(rows, hot, name).join(cold, "word").select("block", "at", "ids")
     parts = _gapped(rows, hot, name).unionByName(fills)
-    made = parts.repartition("key").sortWithinPartitions("key", "at").mapInArrow(_filled, "key long, ids binary")
+    made = parts.repartition("block").sortWithinPartitions("block", "at").select("at", "ids").mapInArrow(_filled, "key long, ids binary")
     if rows.schema["doc_id"].dataType == rows.schema["_key"].dataType and _same_key(rows):
         return made.select(F.col("key").alias("doc_id"), "ids")
     return made.join(rows.select(F.col("_key").alias("key"), "doc_id"), "key").select("doc_id", "ids")

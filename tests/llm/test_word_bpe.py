@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -65,6 +66,19 @@ def test_other_vocabularies_raise(spark):
 
 
 def test_packed_ids():
-    for ids in ([], [1, 0xFFFFFFFF, 65534], [65535, 0xFFFFFFFF], [70000]):
-        data = np.array(ids, "<u4").tobytes()
-        assert word_bpe.unpacked(word_bpe.packed(data)).tolist() == ids
+    for ids in ([], [1, word_bpe.GAP, 65534], [65535, word_bpe.GAP], [70000]):
+        keys, tokens, found = word_bpe.unpacked(word_bpe.packed([7, -3], np.array([len(ids), 0]), np.array(ids, "<u4")))
+        assert (keys.tolist(), tokens.tolist(), found.tolist()) == ([7, -3], [len(ids), 0], ids)
+
+
+def test_spans_are_the_words():
+    for text in [(t or "").encode() for t in _texts(11)]:
+        data, starts, ends = word_bpe.spans(np.frombuffer(text, np.uint8))
+        found = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+        assert found == [w for run in text.split() for w in word_bpe.words_of(run)]
+
+
+def test_blocks_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(word_bpe, "BLOCK_BYTES", 100)
+    keys = [k for ks, _ in word_bpe.text_blocks([pa.RecordBatch.from_pydict({"_key": [1, 2, 3, 4], "text": ["a" * 60, "b" * 60, None, "c" * 300]})]) for k in [ks]]
+    assert keys == [[1], [2, 3], [4]]
