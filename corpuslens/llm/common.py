@@ -25,9 +25,11 @@ CACHE_ENTRIES = 1_000_000
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a local folder only where the setting is absent (tests)."""
+    """A new path below spark.checkpoint.dir; a folder of this machine only in local mode without that setting (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "corpuslens-checkpoints")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -35,10 +37,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a scratch table and read it back: computed once, cheap to read again, lineage cut."""
+def stored(df: DataFrame, name: str, paths: list | None = None) -> DataFrame:
+    """Write df as a scratch table and read it back: computed once, cheap to read again, lineage cut.
+
+    ``paths`` gets the table's path, for ``remove_path`` once nothing reads it any more.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
+    if paths is not None:
+        paths.append(path)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

@@ -85,7 +85,8 @@ def test_forms_of_phrases_are_not_all_paired(spark):
 def test_order_of_long_texts_is_bounded(spark):
     texts = [" ".join(f"w{i}" for i in range(30_000))] * 4 + ["a b c d e f"] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "_key long, text string")
-    token, df = near_copies.common_shingles(docs)
+    token, df, share = near_copies.common_shingles(docs)
+    assert share == 1
     assert len(token) == near_copies.SAMPLE_SHINGLES + 2 and set(df.tolist()) == {3, 4}
     assert len(near_copies.common_shingles(docs, most=5)[0]) == 5
 
