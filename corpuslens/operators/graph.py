@@ -1,6 +1,6 @@
 """Graph operators over edge tables: degrees, coupling, reachability, components and cycles.
 
-Iterations are DataFrame loops. Each round is checkpointed (to spark.checkpoint.dir), so lineage stays short
+Iterations are DataFrame loops. Each round is written as a table (below spark.checkpoint.dir), so lineage stays short
 and a lost executor costs one round.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +23,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return (root or os.path.join(tempfile.gettempdir(), "corpuslens-checkpoints")).rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder, removed when the JVM ends."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once into the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_root(df.sparkSession))
-    return df.checkpoint()
+    """df computed once into a table in the shared checkpoint folder: the lineage ends there, and so do the constraints
+    that the optimizer would carry from round to round."""
+    path = scratch_path(df.sparkSession, "checkpoint")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -71,18 +80,65 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.where("src <> dst").select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
 
 
-def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """node and depth (edges from the nearest seed) by rounds until the frontier is empty; seeds have depth 0."""
+#: Rounds by single edges before shortcuts are made: most graphs are done by then.
+PLAIN_ROUNDS = 3
+#: Shortcuts of a node at each length.
+SHORTCUTS = 3
+
+
+def shortcuts(edges: DataFrame, per_node: int = SHORTCUTS, rounds: list | None = None) -> DataFrame:
+    """src, dst, hops: paths of doubled and doubled length, at most so many from each node at each length.
+
+    A path of length 2^i is two of length 2^(i-1). With them a long path has as many steps as its length has binary
+    digits; their number is that of the nodes times that of the lengths. They only speed rounds up: what is reached is
+    decided by the edges, of which the rounds go on until nothing changes.
+    """
+    step = _some(edges.select("src", "dst", F.lit(1).cast("long").alias("hops")), per_node)
+    n, length, found = edges.select("src").distinct().count(), 1, None
+    while length < n:
+        a, b = step.select("src", F.col("dst").alias("via"), "hops"), step.select(F.col("src").alias("via"), "dst", F.col("hops").alias("more"))
+        longer = a.join(b, "via").where("src <> dst").groupBy("src", "dst").agg(F.min(F.col("hops") + F.col("more")).alias("hops"))
+        step = checkpointed(_some(longer, per_node))
+        _count(rounds, "shortcuts")
+        if step.isEmpty():
+            break
+        found, length = step if found is None else found.union(step), length * 2
+    return found if found is not None else step
+
+
+def _some(edges: DataFrame, per_node: int) -> DataFrame:
+    """At most so many of each node's edges, by a hash. The best ones are kept by partial sums, never a node's whole list."""
+    lanes = [F.min(F.struct(F.xxhash64("dst", F.lit(i)).alias("h"), "dst", "hops")).alias(f"k{i}") for i in range(per_node)]
+    kept = F.array_distinct(F.array(*[F.struct(F.col(f"k{i}.dst").alias("dst"), F.col(f"k{i}.hops").alias("hops")) for i in range(per_node)]))
+    return edges.groupBy("src").agg(*lanes).select("src", F.explode(kept).alias("k")).select("src", "k.dst", "k.hops")
+
+
+def _count(rounds: list | None, kind: str) -> None:
+    if rounds is not None:
+        rounds.append(kind)
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, rounds: list | None = None) -> DataFrame:
+    """node and depth (edges from the nearest seed); seeds have depth 0. ``rounds`` gets an entry for each round.
+
+    After a few rounds of single edges, shortcuts take part, so the rounds follow the logarithm of the longest path.
+    Depths only fall, and only nodes whose depth fell go on, until none does: so they are exact.
+    """
     e = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
-    seen = checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
+    steps = e.withColumn("hops", F.lit(1).cast("long"))
+    depth = checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")))
+    changed, done = depth, 0
     while True:
-        depth += 1
-        new = frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        frontier = checkpointed(new.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            return seen
-        seen = checkpointed(seen.union(frontier))
+        _count(rounds, "reach")
+        offer = changed.join(steps, changed["node"] == steps["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("hops")).alias("offer"))
+        now = checkpointed(depth.join(offer, "node", "full").select("node", F.least("depth", "offer").alias("depth"), (F.col("depth").isNull() | (F.col("offer") < F.col("depth"))).alias("fell")))
+        changed = now.where("fell").select("node", "depth")
+        depth, done = now.select("node", "depth"), done + 1
+        if changed.isEmpty():
+            return depth.withColumn("depth", F.col("depth").cast("int"))
+        if done == PLAIN_ROUNDS:
+            steps = checkpointed(steps.union(shortcuts(e, rounds=rounds)).groupBy("src", "dst").agg(F.min("hops").alias("hops")))
+            changed = depth  # what is known takes the shortcuts too
 
 
 def connected_components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -101,52 +157,83 @@ def connected_components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
-    """The edges that are left when those from nodes that no edge enters, or to nodes that none leaves, go again and again."""
-    n = edges.count()
-    while n:
+def trimmed(edges: DataFrame, most_rounds: int = 1, rounds: list | None = None) -> DataFrame:
+    """edges without those from nodes that no edge enters or to nodes that none leaves, so many times over."""
+    for _ in range(most_rounds):
         entered, left = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
         edges = checkpointed(edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"))
-        before, n = n, edges.count()
-        if n == before:
-            break
+        _count(rounds, "trim")
     return edges
 
 
-def strongly_connected(edges: DataFrame) -> DataFrame:
+def strongly_connected(edges: DataFrame, rounds: list | None = None) -> DataFrame:
     """node and root (smallest node) of the strongly connected groups of at least two nodes.
 
-    Forward colours: each node takes the smallest node that reaches it. Within a colour, the nodes that reach
-    the colour's smallest node are one group; they leave, and the rest starts again until no edge is left.
-    Chains into and out of cycles are trimmed first. A round needs the neighbours' labels only, never the closure.
+    Each node takes the least labels, in several random orders, of the nodes that reach it and of those that it reaches.
+    Where both are the same node in the first order, this one is in a cycle with it: a group is found. Other nodes of
+    one group have equal labels in all orders, so only edges between equal labels are left, and these start again. Chains
+    into and out of cycles fall apart this way, without a round for each of their nodes. Labels spread by edges and,
+    after a few rounds, by shortcuts; a shortcut between nodes of equal labels runs among such nodes only, so shortcuts
+    are made once. Every time the least label of what is left is settled, so this ends.
     """
-    left = trimmed(checkpointed(edges.where("src <> dst").select("src", "dst").distinct()))
-    groups = None
+    left = trimmed(checkpointed(edges.where("src <> dst").select("src", "dst").distinct()), rounds=rounds)
+    groups, jumps, time = None, None, 0
     while not left.isEmpty():
-        colour = _spread(left)
-        inside = left.join(colour.select(F.col("node").alias("src"), F.col("label").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("cd")), "dst").where("cs = cd")
-        inside = checkpointed(inside.select("src", "dst"))
-        seeds = colour.where("node = label").select("node")
-        back = reachable(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds)
-        found = checkpointed(back.join(colour, "node").select("node", F.col("label").alias("root")))
+        label, jumps = _labelled(left, jumps, time, rounds)
+        found = checkpointed(label.where(F.col("f0.node") == F.col("b0.node")).select("node", F.col("f0.node").alias("root")))
         groups = found if groups is None else checkpointed(groups.union(found))
-        gone = found.select("node")
-        # every round takes the smallest node of each colour at least, so this ends
-        left = trimmed(checkpointed(left.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")))
+        rest = checkpointed(label.where(F.col("f0.node") != F.col("b0.node")))
+        left = _inside(left, rest)
+        if left.isEmpty():
+            break
+        left, jumps = trimmed(left, rounds=rounds), None if jumps is None else _inside(jumps, rest)
+        time += 1
     if groups is None:
         return left.select(F.col("src").alias("node"), F.col("dst").alias("root"))
-    size = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return groups.join(size.select("root"), "root", "left_semi").select("node", "root")
+    size = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+    return groups.join(size, "root").select("node", F.col("least").alias("root"))
 
 
-def _spread(edges: DataFrame) -> DataFrame:
-    """node and label, the smallest node from which it is reached (itself included). Labels only fall, so this ends."""
+#: Random orders of nodes whose least labels spread at once.
+ORDERS = 5
+
+
+def _inside(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """The edges (src, dst) between nodes of equal labels."""
+    a, b = (label.select(F.col("node").alias(n), F.struct(*label.columns[1:]).alias(f"{n}_label")) for n in ("src", "dst"))
+    return checkpointed(edges.join(a, "src").join(b, "dst").where("src_label = dst_label").select("src", "dst"))
+
+
+def _labelled(edges: DataFrame, jumps: DataFrame | None, time: int, rounds: list | None) -> tuple[DataFrame, DataFrame | None]:
+    """node and f0.., b0..: the least labels of the nodes that reach a node and that it reaches, itself included; the
+    shortcuts. Labels of the first order hold the node itself, those of the others are hashes: two nodes of one hash
+    would only be told apart later."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    label = checkpointed(nodes.withColumn("label", F.col("node")))
+    hashed = lambda i: F.xxhash64("node", F.lit(time * ORDERS + i))
+    # the nodes' own order the first time: chains often follow it
+    rank = F.lit(0).cast("long") if time == 0 else hashed(0)
+    own = [F.struct(rank.alias("rank"), F.col("node")), *[hashed(i) for i in range(1, ORDERS)]]
+    names = [f"{side}{i}" for side in "fb" for i in range(ORDERS)]
+    label = checkpointed(nodes.select("node", *[c.alias(n) for n, c in zip(names, own * 2)], F.lit(True).alias("fell")))
+    ways, done = edges if jumps is None else checkpointed(edges.union(jumps).distinct()), 0
     while True:
-        into = edges.join(label, edges["src"] == label["node"]).groupBy("dst").agg(F.min("label").alias("from_src"))
-        now = checkpointed(label.join(into, label["node"] == into["dst"], "left").select("node", F.least("label", F.coalesce("from_src", "label")).alias("new"), "label"))
-        done = now.where("new <> label").isEmpty()
-        label = now.select("node", F.col("new").alias("label"))
-        if done:
-            return label
+        _count(rounds, "labels")
+        now = label.where("fell")
+
+        def sent(side: str, at: str, to: str) -> DataFrame:
+            kept = [F.col(n) if n[0] == side else F.lit(None).cast(label.schema[n].dataType).alias(n) for n in names]
+            return now.join(ways, now["node"] == ways[at]).select(F.col(to).alias("node"), *kept)
+
+        offers = sent("f", "src", "dst").union(sent("b", "dst", "src")).groupBy("node").agg(*[F.min(n).alias(f"{n}_offer") for n in names])
+        merged = label.drop("fell").join(offers, "node", "left")
+        fell = F.lit(False)
+        for n in names:
+            fell = fell | F.coalesce(F.col(f"{n}_offer") < F.col(n), F.lit(False))
+        label = checkpointed(merged.select("node", *[F.least(n, f"{n}_offer").alias(n) for n in names], fell.alias("fell")))
+        done += 1
+        if label.where("fell").isEmpty():
+            return label.drop("fell"), jumps
+        if done == PLAIN_ROUNDS and jumps is None:
+            jumps = checkpointed(shortcuts(edges, rounds=rounds).select("src", "dst"))
+            ways = checkpointed(edges.union(jumps).distinct())
+            label = label.withColumn("fell", F.lit(True))

@@ -1,8 +1,8 @@
-"""Queries of the graph operators: the trade graph of nations, page links, and small fixed graphs."""
+"""Queries of the graph operators: the trade graph of nations, page links, and long chains of orders."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.operators import graph
@@ -61,24 +61,43 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.orphans(nodes, edges)
 
 
-#: Fixed graph: two cycles joined by a bridge, a self loop, a tail and a part on its own.
-FIXED = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4), (6, 7), (7, 8), (8, 8), (9, 10), (10, 9), (11, 12), (1, 2)]
-FIXED_SQL = "g AS (SELECT * FROM (VALUES " + ", ".join(map(str, FIXED)) + ") v(src, dst))"
+#: Orders in the order of customer and key within blocks of 100 customers.
+ORDER_CHAIN = """o AS (SELECT o_orderkey AS node, o_custkey // 100 AS block, o_custkey % 100 >= 50 AS late,
+  row_number() OVER (PARTITION BY o_custkey // 100 ORDER BY o_custkey, o_orderkey) AS place FROM orders)"""
 
 
-def _fixed(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FIXED, "src int, dst int")
+def _order_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src -> dst: each order and the next one of its customer, or the first one of the next customer of its block; the
+    last one leads back to the block's first order of a customer of its second half. Paths are as long as a block."""
+    o = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("cust"))
+    own = o.select(F.col("node").alias("src"), F.lead("node").over(Window.partitionBy("cust").orderBy("node")).alias("dst")).where("dst IS NOT NULL")
+    ends = o.groupBy("cust").agg(F.min("node").alias("first"), F.max("node").alias("last")).withColumn("block", F.floor(F.col("cust") / 100))
+    near = ends.select(F.col("last").alias("src"), F.lead("first").over(Window.partitionBy("block").orderBy("cust")).alias("dst")).where("dst IS NOT NULL")
+    late = F.col("cust") % 100 >= 50
+    back = ends.groupBy("block").agg(F.max_by("last", "cust").alias("src"), F.min_by("first", F.when(late, F.col("cust"))).alias("dst"), F.count_if(late).alias("n"))
+    return own.union(near).union(back.where("n > 0").select("src", "dst"))
 
 
-@query(f"WITH RECURSIVE {FIXED_SQL}, r(node, depth) AS (SELECT 1, 0 UNION SELECT g.dst, r.depth + 1 FROM r JOIN g ON g.src = r.node WHERE r.depth < 20) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node")
+@query(f"WITH {ORDER_CHAIN} SELECT node, CAST(place - 1 AS INTEGER) AS depth FROM o")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reachable(_fixed(spark), spark.createDataFrame([(1,)], "node int"))
+    """Orders by their distance from the first one of their block, along paths of a thousand orders (114)."""
+    o = tables.table(spark, sf_dir, "orders")
+    first = o.groupBy(F.floor(F.col("o_custkey") / 100)).agg(F.min_by("o_orderkey", F.struct("o_custkey", "o_orderkey")).alias("node"))
+    return graph.reachable(_order_chain(spark, sf_dir), first.select("node"))
 
 
-@query(f"WITH RECURSIVE {FIXED_SQL}, r(a, b) AS (SELECT src, dst FROM g WHERE src <> dst UNION SELECT r.a, g.dst FROM r JOIN g ON g.src = r.b) SELECT x.a AS node, min(x.b) AS root FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1")
+@query(f"""WITH {ORDER_CHAIN}, g AS (SELECT node, min(node) OVER w AS root, count(*) OVER w AS n FROM o WHERE late
+  WINDOW w AS (PARTITION BY block)) SELECT node, root FROM g WHERE n > 1""")
 def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cycles: strongly connected groups of at least two nodes (86)."""
-    return graph.strongly_connected(_fixed(spark))
+    """Cycles: strongly connected groups of at least two orders; each is one long cycle behind a long path (86)."""
+    return graph.strongly_connected(_order_chain(spark, sf_dir))
+
+
+@query(f"WITH {ORDER_CHAIN}, g AS (SELECT node, min(node) OVER w AS root, count(*) OVER w AS n FROM o WINDOW w AS (PARTITION BY block)) SELECT node, root FROM g WHERE n > 1")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected groups of at least two orders."""
+    links = _order_chain(spark, sf_dir).where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return graph.connected_components(links)
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
@@ -94,11 +113,6 @@ def trade_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.strongly_connected(e)
 
 
-@query(f"WITH RECURSIVE {FIXED_SQL}, b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), r(a, b) AS (SELECT src, dst FROM b UNION SELECT r.a, b.dst FROM r JOIN b ON b.src = r.b) SELECT a AS node, least(min(b), a) AS root FROM r GROUP BY a")
-def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.connected_components(_fixed(spark).select(F.col("src").alias("a"), F.col("dst").alias("b")))
-
-
 SALES = """e AS (SELECT DISTINCT o_custkey AS a, 1000000 + l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND l_discount = 0)"""
 
 

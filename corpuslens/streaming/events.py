@@ -6,14 +6,13 @@ complete mode; each has a batch twin with the same rows, which the queries' SQL
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.operators.graph import checkpoint_root
+from corpuslens.operators.graph import scratch_path
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -78,24 +77,16 @@ def finding_states(events: DataFrame) -> DataFrame:
     return events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(_advance, OUT, STATE, "update", "NoTimeout")
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the checkpoint folder, removed when the JVM ends."""
-    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 def drained(stream: DataFrame, name: str, mode: str, key: str | None = None) -> DataFrame:
     """All that is available now, through the stream engine, as a stored table; in update mode the last row of each key."""
-    spark, path, batches = stream.sparkSession, scratch_dir(stream.sparkSession, name), []
+    spark, path, batches = stream.sparkSession, scratch_path(stream.sparkSession, name), []
 
     def store(df: DataFrame, batch: int) -> None:
         at = f"{path}/{batch}"
         df.withColumn("_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(at)
         batches[:] = [at] if mode == "complete" else [*batches, at]
 
-    query = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", scratch_dir(spark, f"{name}-progress")).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", scratch_path(spark, f"{name}-progress")).trigger(availableNow=True).start()
     query.awaitTermination()
     if not batches:
         return spark.createDataFrame([], stream.schema)
@@ -124,8 +115,8 @@ def on_time(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> Da
 
 def appended(stream: DataFrame, name: str) -> DataFrame:
     """All that is available now in append mode, as a stored table: the stream's own file sink, nothing at the driver."""
-    spark, path = stream.sparkSession, scratch_dir(stream.sparkSession, name)
-    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_dir(spark, f"{name}-progress"))
+    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, name)
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_path(spark, f"{name}-progress"))
     writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
@@ -138,7 +129,7 @@ def recomputed(changes: DataFrame, name: str, result) -> DataFrame:
     again after a failure writes the same folder again from the same snapshot before it.
     """
     spark = changes.sparkSession
-    root, kept = scratch_dir(spark, name), []
+    root, kept = scratch_path(spark, name), []
 
     def step(rows: DataFrame, batch: int) -> None:
         last = rows.groupBy("unit").agg(F.max_by(F.struct("digest"), F.struct("at", "id")).alias("r")).select("unit", "r.digest")
@@ -154,7 +145,7 @@ def recomputed(changes: DataFrame, name: str, result) -> DataFrame:
         snapshot.write.mode("overwrite").parquet(f"{root}/{batch}")
         kept[:] = [*before, batch]
 
-    query = changes.writeStream.foreachBatch(step).option("checkpointLocation", scratch_dir(spark, f"{name}-progress")).trigger(availableNow=True).start()
+    query = changes.writeStream.foreachBatch(step).option("checkpointLocation", scratch_path(spark, f"{name}-progress")).trigger(availableNow=True).start()
     query.awaitTermination()
     if not kept:
         return spark.createDataFrame([], "unit string, digest string, result string, batch long")
@@ -163,12 +154,12 @@ def recomputed(changes: DataFrame, name: str, result) -> DataFrame:
 
 def phase_by_batch(events: DataFrame, name: str, phase) -> DataFrame:
     """batch, n, n_open, phase: the lifecycle phase after each micro-batch, a column made from its counts."""
-    spark, path = events.sparkSession, scratch_dir(events.sparkSession, name)
+    spark, path = events.sparkSession, scratch_path(events.sparkSession, name)
 
     def step(rows: DataFrame, batch: int) -> None:
         counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("n_open"))
         counts.select(F.lit(batch).cast("long").alias("batch"), "n", "n_open", phase.alias("phase")).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    query = events.writeStream.foreachBatch(step).option("checkpointLocation", scratch_dir(spark, f"{name}-progress")).trigger(availableNow=True).start()
+    query = events.writeStream.foreachBatch(step).option("checkpointLocation", scratch_path(spark, f"{name}-progress")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("n long, n_open long, phase string, batch long").parquet(path)
