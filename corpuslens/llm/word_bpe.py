@@ -35,7 +35,7 @@ HOT_BYTES = 32 << 20
 #: Longer words (in bytes) are not broadcast.
 HOT_LENGTH = 64
 #: Distinct runs after which a counting task gives out what it has.
-COUNTED = 200_000
+COUNTED = 400_000
 #: Texts and bytes of a block; a longer text is a block of its own.
 BLOCK_TEXTS, BLOCK_BYTES = 512, 2 << 20
 #: Marks that may be parted from letters and digits: no apostrophe (contractions), no part of special strings.
@@ -273,12 +273,18 @@ def _gapped(docs: DataFrame, hot, name: str) -> DataFrame:
 
 
 def packed(keys: list[int], tokens: np.ndarray, ids: np.ndarray) -> bytes:
-    """A block for a shuffle: keys, tokens of each text, and ids of two bytes where all fit, compressed."""
+    """A block for a shuffle: keys, tokens of each text, its distinct ids from the most frequent one on, and the places
+    of its ids among these, low bytes apart from high ones, compressed."""
     import zstandard
 
-    narrow = int(ids[ids != GAP].max(initial=0)) < 0xFFFF
-    head = np.array([len(keys), narrow], "<i8").tobytes() + np.array(keys, "<i8").tobytes() + tokens.astype("<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + ids.astype("<u2" if narrow else "<u4").tobytes())
+    distinct, back, times = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), "<u4")
+    rank[order] = np.arange(len(order))
+    width = 2 if len(order) <= 1 << 16 else 4
+    planes = rank[back].astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    head = np.array([len(keys), len(order), len(ids), width], "<i8").tobytes() + np.array(keys, "<i8").tobytes() + tokens.astype("<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + distinct[order].astype("<u4").tobytes() + planes.tobytes())
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,12 +292,11 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(data)
-    n, narrow = np.frombuffer(raw, "<i8", 2).tolist()
-    keys, tokens = np.frombuffer(raw, "<i8", 2 * n, 16).reshape(2, n)
-    ids = np.frombuffer(raw, "<u2" if narrow else "<u4", offset=16 + 16 * n).astype("<u4")
-    if narrow:
-        ids[ids == 0xFFFF] = GAP
-    return keys, tokens, ids
+    n, kinds, size, width = np.frombuffer(raw, "<i8", 4).tolist()
+    keys, tokens = np.frombuffer(raw, "<i8", 2 * n, 32).reshape(2, n)
+    distinct = np.frombuffer(raw, "<u4", kinds, 32 + 16 * n)
+    planes = np.frombuffer(raw, np.uint8, size * width, 32 + 16 * n + 4 * kinds).reshape(width, size)
+    return keys, tokens, distinct[planes.T.copy().view(f"<u{width}").ravel()]
 
 
 def _filled(batches):
