@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.operators.graph import scratch_path
 from corpuslens.plans.registry import query
-from corpuslens.streaming import events
+from corpuslens.streaming import events, logs
 
 
 def _name(kind: str) -> str:
@@ -41,11 +42,21 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(found, "start", "end")
 
 
-@query()
+MACHINE = """e AS (SELECT user_id, event_type AS kind, row_number() OVER w AS k, lag(event_type) OVER w AS before,
+    count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS errors
+  FROM events WHERE event_type IN ('error', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, arg_max(CASE WHEN kind = 'error' THEN 'open' WHEN errors > 0 THEN 'resolved' ELSE 'new' END, k) AS status,
+    count(*) FILTER (kind = 'error' AND before = 'purchase' AND errors > 1) AS reopened FROM e GROUP BY user_id)"""
+
+
+@query(f"""WITH {MACHINE} SELECT user_id, coalesce(status, 'new') AS status, CAST(coalesce(reopened, 0) AS INTEGER) AS reopened
+FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN s USING (user_id)""")
 def finding_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last state of each user's finding (2.11); tested against a loop over the events."""
-    # one micro-batch: part files are in no order of time
-    return events.drained(events.finding_states(events.read_events(spark, sf_dir, None)), _name("states"), "update", "user_id")
+    """The last state of each user's finding (2.11), over micro-batches that hold late events."""
+    path = events.as_files(events.table(spark, sf_dir), 6, _name("log"))
+    stream = events.in_order_of_name(spark, path, events.EVENTS, "log").withColumn("ts", events.instant("ts"))
+    with events.rocksdb(spark):
+        return events.drained(events.finding_states(stream, "1 day"), _name("states"), "update", "user_id")
 
 
 @query("""WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
@@ -58,11 +69,45 @@ def event_counts_on_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(found.drop("total"), "start")
 
 
-@query("""SELECT CAST(user_id AS VARCHAR) AS unit, CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) AS digest,
-  CAST(user_id AS VARCHAR) || ':' || CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) AS result FROM events
+@query("""SELECT CAST(user_id AS VARCHAR) AS unit, CAST(arg_max(event_id, (ts, CAST(event_id AS VARCHAR))) AS VARCHAR) AS digest,
+  CAST(user_id AS VARCHAR) || ':' || CAST(arg_max(event_id, (ts, CAST(event_id AS VARCHAR))) AS VARCHAR) AS result FROM events
   GROUP BY user_id""")
 def changed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as units whose content is their last event, recomputed as they change (2.11)."""
-    e = events.read_events(spark, sf_dir, None)
-    log = e.select(F.col("user_id").cast("string").alias("unit"), F.col("event_id").cast("string").alias("digest"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
-    return events.recomputed(log, _name("units"), F.concat("unit", F.lit(":"), "digest")).select("unit", "digest", "result")
+    """Users as units whose content is their last event, recomputed as they change, over batches with late rows (2.11)."""
+    path = events.as_files(events.table(spark, sf_dir), 6, _name("log"))
+    e = events.in_order_of_name(spark, path, events.EVENTS, "log")
+    log = e.select(F.col("user_id").cast("string").alias("unit"), F.col("event_id").cast("string").alias("digest"), events.instant("ts").alias("at"), F.col("event_id").cast("string").alias("id"))
+    made = events.recomputed(log, scratch_path(spark, "units"), scratch_path(spark, "units-progress"), F.concat("unit", F.lit(":"), "digest"))
+    return made.select("unit", "digest", "result")
+
+
+def _as_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as lines of JSON; every 50th is cut short, every 70th has no time."""
+    e = events.table(spark, sf_dir)
+    at = F.when(F.col("event_id") % 70 == 3, F.lit(None)).otherwise(F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    row = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), at.alias("at"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("unit"), F.sha2(F.col("props"), 256).alias("digest")))
+    cut = F.when(F.col("event_id") % 50 == 7, F.expr("left(line, length(line) - 3)")).otherwise(F.col("line"))
+    return e.withColumn("line", row).select("event_id", cut.alias("value"))
+
+
+GOOD = "(event_id % 50 <> 7 AND event_id % 70 <> 3)"
+
+
+@query(f"""SELECT CASE WHEN {GOOD} THEN event_type ELSE 'damaged' END AS kind, count(*) AS n FROM events GROUP BY ALL""")
+def log_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a log of JSON lines by kind, read as a stream of files; damaged lines are counted, not lost (13)."""
+    path = scratch_path(spark, "lines")
+    _as_lines(spark, sf_dir).repartition(8, "event_id").select("value").write.text(path)
+    kind = F.when(F.col("damaged"), "damaged").otherwise(F.col("kind"))
+    counts = logs.read_log(spark, path, 2, damaged=True).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return events.drained(counts, _name("kinds"), "complete")
+
+
+@query(f"SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind FROM events WHERE {GOOD} ORDER BY ts DESC, id DESC LIMIT 2000")
+def log_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log appended in parts, one of them twice, then compacted to its last 2000 rows behind a manifest (13, 37)."""
+    root, lines = scratch_path(spark, "log"), _as_lines(spark, sf_dir)
+    for part in (0, 1, 2, 1):
+        logs.append(lines.where(F.col("event_id") % 3 == part), root)
+    logs.compacted(spark, root, 2000)
+    return logs.read(spark, root).select("id", "kind")

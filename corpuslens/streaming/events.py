@@ -7,10 +7,12 @@ complete mode; each has a batch twin with the same rows, which the queries' SQL
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpuslens.operators.graph import scratch_path
 
@@ -37,6 +39,11 @@ def read_events(spark: SparkSession, sf_dir: str, most_files: int | None = 64) -
     return reader.parquet(f"{sf_dir.rstrip('/')}/events.parque[t]").withColumn("ts", instant("ts"))
 
 
+def table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table, time without zone."""
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+
+
 def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """start, event_type, n and total of each window; rows later than the watermark are dropped in append mode."""
     windows = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
@@ -54,27 +61,104 @@ def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 hour") -> D
     return found.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-STATE = "status string, reopened int"
 OUT = "user_id long, status string, reopened int"
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """An error opens or reopens a user's finding, a purchase resolves it; only two values are kept a key."""
-    status, reopened = state.get if state.exists else ("new", 0)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for kind in rows["event_type"]:
+def advanced(status: str, reopened: int, kinds) -> tuple[str, int]:
+    """A finding after events in order: an error opens or reopens it, a purchase resolves it."""
+    for kind in kinds:
         if kind == "error":
             reopened += status == "resolved"
             status = "open"
         elif kind == "purchase" and status == "open":
             status = "resolved"
-    state.update((status, int(reopened)))
-    yield pd.DataFrame({"user_id": [key[0]], "status": [status], "reopened": [int(reopened)]})
+    return status, reopened
+
+
+class FindingMachine(StatefulProcessor):
+    """One user's finding: what is settled, and the events that a late one may still come before, in a map by time.
+
+    Each batch puts its events into the map and gives out the finding with all of them in order. A timer on event time
+    folds the events that the watermark has passed into the settled part and frees them, so the state holds what can
+    still be late, not the history. Events that come twice (same time and id) count once.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", "status string, reopened int")
+        self.waiting = handle.getMapState("waiting", "at long, event_id long", "kind string")
+
+    def _settled(self) -> tuple[str, int]:
+        return tuple(self.settled.get()) if self.settled.exists() else ("new", 0)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = 0
+        for part in rows:
+            for at, event_id, kind in zip(part["at"].tolist(), part["event_id"].tolist(), part["event_type"].tolist()):
+                if kind in ("error", "purchase"):
+                    self.waiting.updateValue((at, event_id), (kind,))
+                    last = max(last, at)
+        if last:
+            self.handle.registerTimer(last // 1000 + 1)
+        status, reopened = advanced(*self._settled(), (v[0] for _, v in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator())))
+        yield pd.DataFrame({"user_id": [key[0]], "status": [status], "reopened": [int(reopened)]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        passed = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator() if k[0] < mark)
+        status, reopened = advanced(*self._settled(), (v[0] for _, v in passed))
+        self.settled.update((status, int(reopened)))
+        for k, _ in passed:
+            self.waiting.removeKey(k)
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def finding_states(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """user_id, status, reopened after each micro-batch, with events in order of time whatever batch they come in.
+
+    Events may be late by as much as ``late`` behind the latest one; later ones are dropped. Needs the RocksDB store:
+    see ``rocksdb``.
+    """
+    rows = events.withWatermark("ts", late).select("user_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "event_type")
+    return rows.groupBy("user_id").transformWithStateInPandas(FindingMachine(), OUT, "Update", "EventTime")
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
 
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """The state store that timers and maps of state need, while queries are started inside."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before) if before is not None else spark.conf.unset(STORE)
+
+
+def as_files(events: DataFrame, files: int, name: str, late: str = "12 hours") -> str:
+    """The events as a folder of so many files in about the order of time, as a log that is written over time: an
+    event is in the file of its time or, for a part of them, in that of up to ``late`` later. Times are kept."""
+    spark, path = events.sparkSession, scratch_path(events.sparkSession, name)
+    delay = F.expr(f"INTERVAL {late}") * F.when(F.pmod(F.xxhash64("event_id"), F.lit(4)) == 0, F.pmod(F.xxhash64("event_id", F.lit(1)), F.lit(100)) / 100.0).otherwise(0.0)
+    arrives = events.withColumn("_arrives", F.col("ts") + delay)
+    arrives.repartitionByRange(files, "_arrives").drop("_arrives").write.parquet(path)
+    return path
 
-def finding_states(events: DataFrame) -> DataFrame:
-    """user_id, status, reopened after each micro-batch, as a stateful operator; events are ordered within a micro-batch."""
-    return events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(_advance, OUT, STATE, "update", "NoTimeout")
+
+def in_order_of_name(spark: SparkSession, path: str, schema: str, name: str) -> DataFrame:
+    """The part files of a folder as a stream, one a micro-batch, in the order of their names."""
+    listed = sorted(r["p"] for r in spark.read.schema(schema).parquet(path).select(F.input_file_name().alias("p")).distinct().collect())
+    fs = spark._jvm.org.apache.hadoop.fs
+    for i, file in enumerate(listed):
+        at = fs.Path(file)
+        # the stream takes files from the oldest one on
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).setTimes(at, 1_000_000_000_000 + 1000 * i, -1)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def drained(stream: DataFrame, name: str, mode: str, key: str | None = None) -> DataFrame:
@@ -97,16 +181,6 @@ def drained(stream: DataFrame, name: str, mode: str, key: str | None = None) ->
     return found.select(*stream.columns)
 
 
-LOG = "id string, at timestamp_ntz, kind string, unit string, digest string"
-
-
-def read_log(spark: SparkSession, path: str, most_files: int | None = 64) -> DataFrame:
-    """A folder of JSON-lines files as a stream of log rows; lines that do not parse, or lack an id or a time, are skipped."""
-    lines = spark.readStream.option("maxFilesPerTrigger", most_files or 2**31 - 1).text(path)
-    parsed = lines.select(F.from_json("value", LOG).alias("r")).select("r.*")
-    return parsed.where("id is not null and at is not null").withColumn("at", instant("at"))
-
-
 def on_time(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """tumbling_counts for append mode: a window is given out once, when the watermark has passed its end, and rows
     that come later than that are dropped; the state of closed windows is freed."""
@@ -121,35 +195,58 @@ def appended(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def recomputed(changes: DataFrame, name: str, result) -> DataFrame:
-    """The snapshot of units after a stream of changes (unit, digest, at, id): each micro-batch recomputes only the
-    units whose digest differs from the snapshot's, and writes the next snapshot.
+SNAPSHOT = "unit string, digest string, at timestamp, id string, result string, batch long"
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of the complete snapshots below root, from storage."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path)]
+    done = [p.getName() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n.removeprefix("v")) for n in done if n.startswith("v"))
 
-    ``result`` is a column made from a changed row. A snapshot is a folder named by its batch, so a batch that runs
-    again after a failure writes the same folder again from the same snapshot before it.
+
+def snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """The last complete snapshot below root."""
+    done = versions(spark, root)
+    return spark.read.schema(SNAPSHOT).parquet(f"{root}/v{done[-1]}") if done else spark.createDataFrame([], SNAPSHOT)
+
+
+def recomputed(changes: DataFrame, root: str, progress: str, result: Column) -> DataFrame:
+    """The snapshot of units after a stream of changes (unit, digest, at, id): a unit's content is that of its greatest
+    (at, id), whatever batch that comes in, and only units whose digest differs from the snapshot's are recomputed.
+
+    ``result`` is a column made from unit and digest. A batch reads the last complete snapshot before it, from
+    storage, and writes the next one, which is complete when its success mark is. A batch that runs again, after a
+    failure or a restart with the same folders, finds its own snapshot and does nothing, or makes the same one. Only
+    the last two snapshots are kept. Nothing is held at the driver.
     """
     spark = changes.sparkSession
-    root, kept = scratch_path(spark, name), []
 
     def step(rows: DataFrame, batch: int) -> None:
-        last = rows.groupBy("unit").agg(F.max_by(F.struct("digest"), F.struct("at", "id")).alias("r")).select("unit", "r.digest")
-        before = [b for b in kept if b < batch]
+        done = versions(spark, root)
+        if batch in done:
+            return
+        before = [v for v in done if v < batch]
+        last = rows.groupBy("unit").agg(F.max(F.struct("at", F.col("id").cast("string").alias("id"), "digest")).alias("new"))
         if before:
-            old = spark.read.parquet(f"{root}/{before[-1]}")
-            same = old.join(last.select("unit", F.col("digest").alias("now")), "unit", "left")
-            stays = same.where(F.col("now").isNull() | (F.col("now") == F.col("digest"))).select(*old.columns)
-            made = last.join(stays.select("unit"), "unit", "left_anti").select("unit", "digest", result.alias("result"), F.lit(batch).cast("long").alias("batch"))
-            snapshot = stays.union(made)
+            old = spark.read.schema(SNAPSHOT).parquet(f"{root}/v{before[-1]}").select("unit", F.struct("at", "id", "digest").alias("old"), "result", "batch")
         else:
-            snapshot = last.select("unit", "digest", result.alias("result"), F.lit(batch).cast("long").alias("batch"))
-        snapshot.write.mode("overwrite").parquet(f"{root}/{batch}")
-        kept[:] = [*before, batch]
-
-    query = changes.writeStream.foreachBatch(step).option("checkpointLocation", scratch_path(spark, f"{name}-progress")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if not kept:
-        return spark.createDataFrame([], "unit string, digest string, result string, batch long")
-    return spark.read.parquet(f"{root}/{kept[-1]}")
+            old = spark.createDataFrame([], "unit string, old struct<at:timestamp,id:string,digest:string>, result string, batch long")
+        both = old.join(last, "unit", "full").withColumn("now", F.greatest("old", "new"))
+        same = F.col("old.digest").eqNullSafe(F.col("now.digest")) & F.col("old").isNotNull()
+        flat = both.select("unit", "now.digest", "now.at", "now.id", F.col("result").alias("_result"), F.col("batch").alias("_batch"), same.alias("_same"))
+        made = flat.withColumn("result", F.when(F.col("_same"), F.col("_result")).otherwise(result)).withColumn("batch", F.when(F.col("_same"), F.col("_batch")).otherwise(batch))
+        made.select("unit", "digest", "at", "id", "result", F.col("batch").cast("long").alias("batch")).write.mode("overwrite").parquet(f"{root}/v{batch}")
+        for v in before[:-1]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{v}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+    changes.writeStream.foreachBatch(step).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return snapshot(spark, root)
 
 
 def phase_by_batch(events: DataFrame, name: str, phase) -> DataFrame:

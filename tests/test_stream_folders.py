@@ -21,5 +21,7 @@ def test_folder_gives_the_rows_of_the_file(spark, sf, folder, name):
 
 
 def test_one_last_row_a_user_over_many_batches(spark, folder):
-    found = events.drained(events.finding_states(events.read_events(spark, folder, 35)), "states", "update", "user_id").collect()
+    with events.rocksdb(spark):
+        states = events.finding_states(events.read_events(spark, folder, 35), "4000 days")
+        found = events.drained(states, "states", "update", "user_id").collect()
     assert found and len({r.user_id for r in found}) == len(found)
