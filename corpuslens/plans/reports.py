@@ -1,95 +1,105 @@
-"""Queries of the tool-report parsers, over fixed reports, and of payloads and logs."""
+"""Queries of the tool-report parsers, over reports made of the findings, and of payloads and logs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.operators import payloads
 from corpuslens.plans.registry import query
 from corpuslens.sources import reports, tables
-from corpuslens.sources.tables import DOCS, WORK
+from corpuslens.sources.tables import DOCS, LINES, WORK
 
-GNU = "src/a.c:12: unused variable\nsrc/b.c:7:3: missing ;\nno match here\nbad:x: y"
-FLAT = '[{"file":"a.py","line":3,"message":"m1"},{"filename":"b.py","row":9,"text":"m2"},{"path":"c.py","reason":"m3"},{"line":1,"message":"lost"},{"file":"d.py","line":"x","message":"bad line"}]'
-ESLINT = '[{"filePath":"a.ts","messages":[{"line":1,"message":"x"},{"line":5,"message":"y"}]},{"filePath":"b.ts","messages":[]}]'
-GOLANG = '{"Issues":[{"Text":"err","Pos":{"Filename":"m.go","Line":4}},{"Text":"","Pos":{"Filename":"n.go","Line":1}}]}'
-RUBOCOP = '{"files":[{"path":"a.rb","offenses":[{"message":"long","location":{"line":2}},{"message":"wide","location":{"line":8}}]},{"path":"b.rb","offenses":[]}]}'
-CARGO = '{"reason":"compiler-message","message":{"rendered":"warning: x\\n --> a.rs","spans":[{"file_name":"a.rs","line_start":6},{"file_name":"z.rs","line_start":1}]}}\nnot json\n{"reason":"build-finished"}\n{"reason":"compiler-message","message":{"message":"plain","spans":[{"file_name":"b.rs","line_start":2}]}}'
-CREDO = '{"issues":[{"filename":"a.ex","line_no":3,"message":"m","category":"design","check":"C1"},{"filename":"b.ex","line_no":1,"message":"n"}]}'
-PHPSTAN = '{"files":{"a.php":{"messages":[{"message":"p","line":42}]},"b.php":{"messages":[{"message":"q","line":1},{"message":"r","line":2}]}}}'
-NEXT = 'info\n[{"filePath":"a.tsx","messages":[{"line":0,"message":"l1"},{"line":4,"message":"l2"}]},{"filePath":"b.tsx","messages":[]}]\ndone'
+#: Findings as rows of a report; every 11th has a line that is no number, every 13th no message.
+FOUND = f"""{WORK}, f AS (SELECT ord, file, CAST(loc AS INTEGER) AS line, detector, name, ord % 13 = 0 AS mute,
+  CASE WHEN ord % 13 = 0 THEN '' ELSE detector || ' ' || name END AS message FROM work WHERE ord % 11 <> 0)"""
+KEPT = f"WITH {FOUND} SELECT file, line, message FROM f WHERE NOT mute"
 
 
-def _lit(text: str) -> str:
-    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+def _reports(spark: SparkSession, sf_dir: str, entry, whole) -> DataFrame:
+    """One report (a column raw) for each file: ``entry`` makes what stands for a finding, ``whole`` the text of them all."""
+    w = tables.work_items(spark, sf_dir)
+    line = F.when(F.col("ord") % 11 == 0, "x").otherwise(F.col("loc").cast("string"))
+    message = F.when(F.col("ord") % 13 == 0, "").otherwise(F.concat_ws(" ", "detector", "name"))
+    rows = w.select("file", "ord", "detector", line.alias("line"), message.alias("message"))
+    listed = rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("ord", entry.alias("e")))).alias("es"))
+    return listed.select(whole(F.transform("es", lambda x: x["e"])).alias("raw"))
 
 
-def _raw(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame([(text,)], "raw string")
+def _messages(*more: Column) -> Column:
+    return F.struct("line", "message", *more)
 
 
-KEPT = "SELECT file, TRY_CAST(line AS INTEGER) AS line, message FROM r WHERE file <> '' AND message <> '' AND TRY_CAST(line AS INTEGER) IS NOT NULL"
-S = lambda e, *path: f"json_extract_string({e}, '$.{'.'.join(path)}')"
-
-
-@query(f"""WITH l AS (SELECT unnest(string_split({_lit(GNU)}, chr(10))) AS l), r AS (SELECT trim(regexp_extract(l,
-  '^(.+?):([0-9]+)(:[0-9]+)?:\\s*(.+)$', 1)) AS file, regexp_extract(l, '^(.+?):([0-9]+)(:[0-9]+)?:\\s*(.+)$',
-  2) AS line, trim(regexp_extract(l, '^(.+?):([0-9]+)(:[0-9]+)?:\\s*(.+)$', 4)) AS message FROM l) {KEPT}""")
+@query(KEPT)
 def parse_gnu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.gnu(_raw(spark, GNU))
+    entry = F.concat(F.col("file"), F.lit(":"), "line", F.when((F.col("ord") % 2 == 0) & (F.col("ord") % 13 != 0) & (F.col("ord") % 11 != 0), ":7").otherwise(""), F.lit(": "), "message")
+    return reports.gnu(_reports(spark, sf_dir, entry, lambda es: F.array_join(es, "\n")))
 
 
-@query(f"""WITH i AS (SELECT unnest(json_extract({_lit(FLAT)}, '$[*]')) AS x),
-  r AS (SELECT coalesce({S('x', 'file')}, {S('x', 'filename')}, {S('x', 'path')}) AS file, coalesce({S('x', 'line')},
-  {S('x', 'line_no')}, {S('x', 'row')}, '0') AS line, coalesce({S('x', 'message')}, {S('x', 'text')},
-  {S('x', 'reason')}) AS message FROM i) {KEPT}""")
+@query(KEPT)
 def parse_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.flat_json(_raw(spark, FLAT))
+    """Files, lines and messages under three sets of names."""
+    kind = F.col("ord") % 3
+    names = [("file", "line", "message"), ("filename", "row", "text"), ("path", "line_no", "reason")]
+    fields = [F.when(kind == i, F.col(c)).alias(n) for i, group in enumerate(names) for n, c in zip(group, ("file", "line", "message"))]
+    return reports.flat_json(_reports(spark, sf_dir, F.struct(*fields), F.to_json))
+
 
+def _file_of(es: Column) -> Column:
+    """The file that all entries of a report share."""
+    return es[0]["file"]
 
-@query(f"""WITH f AS (SELECT unnest(json_extract({_lit(ESLINT)}, '$[*]')) AS f),
-  m AS (SELECT {S('f', 'filePath')} AS file, unnest(json_extract(f, '$.messages[*]')) AS m FROM f),
-  r AS (SELECT file, {S('m', 'line')} AS line, {S('m', 'message')} AS message FROM m) {KEPT}""")
+
+@query(KEPT)
 def parse_eslint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.eslint(_raw(spark, ESLINT))
+    whole = lambda es: F.to_json(F.array(F.struct(_file_of(es).alias("filePath"), es.alias("messages"))))
+    return reports.eslint(_reports(spark, sf_dir, _messages(F.col("file")), whole))
 
 
-@query(f"""WITH i AS (SELECT unnest(json_extract({_lit(GOLANG)}, '$.Issues[*]')) AS x),
-  r AS (SELECT {S('x', 'Pos', 'Filename')} AS file, {S('x', 'Pos', 'Line')} AS line, {S('x', 'Text')} AS message
-  FROM i) {KEPT}""")
+@query(KEPT)
 def parse_golangci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.golangci(_raw(spark, GOLANG))
+    entry = F.struct(F.col("message").alias("Text"), F.struct(F.col("file").alias("Filename"), F.col("line").alias("Line")).alias("Pos"))
+    return reports.golangci(_reports(spark, sf_dir, entry, lambda es: F.to_json(F.struct(es.alias("Issues")))))
 
 
-@query(f"""WITH f AS (SELECT unnest(json_extract({_lit(RUBOCOP)}, '$.files[*]')) AS f),
-  m AS (SELECT {S('f', 'path')} AS file, unnest(json_extract(f, '$.offenses[*]')) AS m FROM f), r AS (SELECT file,
-  {S('m', 'location', 'line')} AS line, {S('m', 'message')} AS message FROM m) {KEPT}""")
+@query(KEPT)
 def parse_rubocop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.rubocop(_raw(spark, RUBOCOP))
+    entry = F.struct("file", "message", F.struct("line").alias("location"))
+    whole = lambda es: F.to_json(F.struct(F.array(F.struct(_file_of(es).alias("path"), es.alias("offenses"))).alias("files")))
+    return reports.rubocop(_reports(spark, sf_dir, entry, whole))
 
 
-@query("SELECT * FROM (VALUES ('a.rs', 6, 'warning: x'), ('b.rs', 2, 'plain')) v(file, line, message)")
+@query(KEPT)
 def parse_cargo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.cargo(_raw(spark, CARGO))
+    """A line of JSON a finding, with its message as the first line of what the compiler shows, and lines that are no JSON."""
+    shown = F.when(F.col("message") != "", F.concat("message", F.lit("\n --> "), "file"))
+    spans = F.array(F.struct(F.col("file").alias("file_name"), F.col("line").alias("line_start")))
+    message = F.struct(F.lit("compiler-message").alias("reason"), F.struct(shown.alias("rendered"), spans.alias("spans")).alias("message"))
+    lines = lambda es: F.concat(F.array_join(F.transform(es, lambda x: F.to_json(x)), "\nnot json\n"), F.lit('\n{"reason":"build-finished"}'))
+    return reports.cargo(_reports(spark, sf_dir, message, lines))
 
 
-@query(f"""WITH i AS (SELECT unnest(json_extract({_lit(CREDO)}, '$.issues[*]')) AS x),
-  r AS (SELECT {S('x', 'filename')} AS file, {S('x', 'line_no')} AS line,
-  coalesce('[' || {S('x', 'category')} || '] ', '') || {S('x', 'message')} || coalesce(' (' || {S('x', 'check')} ||
-  ')', '') AS message FROM i) {KEPT}""")
+@query(f"""WITH {FOUND} SELECT file, line, CASE WHEN mute THEN '' ELSE '[' || detector || '] ' || message END || ' (C' || ord % 5 || ')' AS message
+  FROM f""")
 def parse_credo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.credo(_raw(spark, CREDO))
+    check = F.concat(F.lit("C"), (F.col("ord") % 5).cast("string"))
+    entry = F.struct(F.col("file").alias("filename"), F.col("line").alias("line_no"), "message", F.col("detector").alias("category"), check.alias("check"))
+    return reports.credo(_reports(spark, sf_dir, entry, lambda es: F.to_json(F.struct(es.alias("issues")))))
 
 
-@query("SELECT * FROM (VALUES ('a.php', 42, 'p'), ('b.php', 1, 'q'), ('b.php', 2, 'r')) v(file, line, message)")
+@query(KEPT)
 def parse_phpstan_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.phpstan(_raw(spark, PHPSTAN))
+    whole = lambda es: F.to_json(F.struct(F.create_map(_file_of(es), F.struct(es.alias("messages"))).alias("files")))
+    return reports.phpstan(_reports(spark, sf_dir, _messages(F.col("file")), whole))
 
 
-@query("SELECT 'a.tsx' AS file, 1 AS line, 'next lint: l1 (2 issue(s) in file)' AS message")
+@query(f"""WITH {WORK}, g AS (SELECT file, arg_min(CASE WHEN ord % 11 = 0 THEN 1 ELSE CAST(loc AS INTEGER) END, ord) AS line,
+  arg_min(CASE WHEN ord % 13 = 0 THEN '' ELSE detector || ' ' || name END, ord) AS message, count(*) AS n FROM work GROUP BY file)
+SELECT file, line, 'next lint: ' || message || ' (' || n || ' issue(s) in file)' AS message FROM g""")
 def parse_next_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.next_lint(_raw(spark, NEXT))
+    """Text around an array of JSON; a file's first message, and how many there are."""
+    whole = lambda es: F.concat(F.lit("info\n"), F.to_json(F.array(F.struct(_file_of(es).alias("filePath"), es.alias("messages")))), F.lit("\ndone"))
+    return reports.next_lint(_reports(spark, sf_dir, _messages(F.col("file")), whole))
 
 
 @query(f"""WITH {DOCS}, o AS (SELECT doc_id, 40 + octet_length(encode(left(text, 400))) AS bytes,
@@ -131,10 +141,15 @@ def _text(value: str) -> str:
 STEPS = "1. First step\n   more of it\n2) Second\n\nintro\n10. Last"
 
 
-@query("SELECT * FROM (VALUES (1, 'First step', 2), (2, 'Second', 2), (10, 'Last', 1)) v(number, title, n_lines)")
+@query(f"""WITH {LINES}, n AS (SELECT doc_id, line_no, trim(line) AS line, (line_no - 1) // 3 + 1 AS number FROM lines)
+SELECT doc_id, CAST(number AS INTEGER) AS number, arg_min(line, line_no) AS title, CAST(count(*) FILTER (line <> '' OR line_no % 3 = 1)
+  AS INTEGER) AS n_lines FROM n GROUP BY doc_id, number""")
 def parsed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered steps of a text, with how many lines belong to each (16)."""
-    return payloads.steps(spark.createDataFrame([(1, STEPS)], "doc_id int, text string")).select("number", "title", "n_lines")
+    """Documents as steps of three lines: the first one numbered, with how many lines belong to each (16)."""
+    number = lambda i: F.floor(i / 3) + 1
+    mark = lambda x, i: F.when(i % 3 == 0, F.concat(number(i).cast("string"), F.lit(". "), F.trim(x))).otherwise(F.concat(F.lit("   "), F.trim(x)))
+    text = F.array_join(F.transform(F.split("text", "\n"), mark), "\n")
+    return payloads.steps(tables.documents(spark, sf_dir).select("doc_id", text.alias("text"))).select("doc_id", "number", "title", "n_lines")
 
 
 @query(f"""WITH {DOCS}, t AS (SELECT doc_id, text FROM docs UNION ALL SELECT -1, {_text(STEPS)}),
@@ -152,20 +167,35 @@ def document_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.steps(docs.union(spark.createDataFrame([(-1, STEPS)], "doc_id long, text string"))).select("doc_id", "number", "title", "n_lines")
 
 
-LOG = ['{"schema_version":1,"event_type":"scan","scan_count":1}', "not json", '{"schema_version":1,"event_type":"plan_checkpoint","scan_count":2,"payload":{"scores":{"strict":81.5}}}', "", '{"event_type":"plan_checkpoint","payload":{"scores":{"strict":83}}}']
-
-
-@query("""SELECT * FROM (VALUES ('scan', NULL), ('plan_checkpoint', 81.5), ('plan_checkpoint', 83.0)) v(event_type,
-  strict)""")
+@query("""SELECT event_type, CASE WHEN event_type = 'purchase' THEN value END AS strict FROM events WHERE event_id % 9 <> 4""")
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON lines with corrupt ones skipped; the strict score of checkpoints (13, 241)."""
-    return payloads.read_log(spark.createDataFrame([(x,) for x in LOG], "value string"))
-
-
-ENVELOPES = ['{"issues":[{"dimension":"d","identifier":"i","summary":"s"},{"identifier":"x"}],"assessments":{"d":70.5}}', '{"assessments":{"e":1}}', "bad"]
-
-
-@query("SELECT * FROM (VALUES ('d', 'i', 's')) v(dimension, identifier, summary)")
+    """Events as JSON lines, damaged ones skipped; the strict score of those that carry scores (13, 241)."""
+    e = tables.table(spark, sf_dir, "events")
+    scores = F.when(F.col("event_type") == "purchase", F.struct(F.struct(F.col("value").alias("strict")).alias("scores")))
+    line = F.to_json(F.struct(F.lit(1).alias("schema_version"), "event_type", scores.alias("payload")))
+    damaged = F.when(F.col("event_id") % 2 == 0, "not json").otherwise(F.expr("left(line, 20)"))
+    lines = e.withColumn("line", line).select(F.when(F.col("event_id") % 9 == 4, damaged).otherwise(F.col("line")).alias("value"))
+    return payloads.read_log(lines)
+
+
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS mean FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT day, mean, mean - lag(mean) OVER (ORDER BY day) AS change FROM d""")
+def strict_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean strict score of each day, and its change from the day before that has one (241)."""
+    e = tables.table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    daily = e.groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("mean"))
+    # a row a day: the window sees as many rows as there are days
+    return daily.withColumn("change", F.col("mean") - F.lag("mean").over(Window.orderBy("day")))
+
+
+@query(f"""WITH {WORK} SELECT detector AS dimension, name AS identifier, 'tier ' || tier AS summary FROM work
+  WHERE ord % 7 <> 0 AND ord % 10 <> 3""")
 def review_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues of review envelopes that have all required fields (15)."""
-    return payloads.review_issues(spark.createDataFrame([(x,) for x in ENVELOPES], "raw string"))
+    """Issues of review envelopes, one a file, that have all required fields; every tenth envelope is damaged (15)."""
+    w = tables.work_items(spark, sf_dir)
+    summary = F.when(F.col("ord") % 7 != 0, F.concat(F.lit("tier "), F.col("tier").cast("string")))
+    issue = F.struct(F.col("detector").alias("dimension"), F.col("name").alias("identifier"), summary.alias("summary"))
+    # findings of a file are in ten envelopes by the last digit of their number; those of the third are cut short
+    rows = w.groupBy("file", (F.col("ord") % 10).alias("digit")).agg(F.collect_list(issue).alias("issues"))
+    whole = F.to_json(F.struct("issues", F.create_map(F.lit("d"), F.lit(70.5)).alias("assessments")))
+    return payloads.review_issues(rows.withColumn("raw", whole).select(F.when(F.col("digit") == 3, F.expr("left(raw, 30)")).otherwise(F.col("raw")).alias("raw")))
