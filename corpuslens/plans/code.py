@@ -149,17 +149,3 @@ TIERS = [(25, 0.1, False), (3, 0.9, False), (9, 0.6, False), (5, 0.2, True), (5,
 def passthrough_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(TIERS, "n int, ratio double, spread boolean")
     return rows.withColumn("tier", code.passthrough_tier(F.col("n"), F.col("ratio"), F.col("spread")))
-
-
-BODIES = [(1, 'def f():\n    """Doc\n    string."""\n    # note\n    x = 1  # one\n\n    print(x)\n    logger.info(x)\n    return x'), (2, "a = '// no'; // yes\n/* block\n more */ b = 2")]
-
-
-@query("SELECT * FROM (VALUES (1, 'def f():' || chr(10) || '    x = 1' || chr(10) || '    return x'), (2, 'a = ''// no''; // yes' || chr(10) || '/* block' || chr(10) || ' more */ b = 2')) v(id, body)")
-def normalised_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies without docstrings, comments and logging (171)."""
-    return spark.createDataFrame(BODIES, "id int, text string").select("id", code.normalised_body(F.col("text")).alias("body"))
-
-
-@query("SELECT 2 AS id, 'a = ''// no''; ' || chr(10) || ' b = 2' AS body")
-def stripped_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(BODIES[1:], "id int, text string").select("id", code.without_comments(F.col("text")).alias("body"))

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from corpuslens.plans import boards, code, corpus, findings, graphs, history, planning, queue, reports, reviews, scores, streams  # noqa: F401
+    from corpuslens.plans import blocks, boards, code, corpus, findings, graphs, history, planning, queue, reports, reviews, scores, streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
