@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from corpuslens.operators import code_rules as code
 from corpuslens.operators import graph
-from corpuslens.plans.findings import _values
 from corpuslens.plans.registry import query
 from corpuslens.sources import tables
 
@@ -142,10 +141,12 @@ def test_quality_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.test_quality(_files(spark, sf_dir))
 
 
-TIERS = [(25, 0.1, False), (3, 0.9, False), (9, 0.6, False), (5, 0.2, True), (5, 0.2, False)]
-
-
-@query(f"SELECT n, CAST(ratio AS DOUBLE) AS ratio, spread, CASE WHEN n >= 20 OR ratio >= 0.8 THEN 4 WHEN n >= 8 AND ratio >= 0.5 THEN 3 WHEN spread AND n >= 4 THEN 3 END AS tier FROM {_values(TIERS)} v(n, ratio, spread)")
+@query("""WITH n AS (SELECT o_custkey AS cust, count(*) AS n, CAST(count(*) FILTER (o_orderstatus = 'F') AS DOUBLE) / count(*) AS ratio,
+  count(DISTINCT o_orderpriority) >= 4 AS spread FROM orders GROUP BY 1)
+SELECT *, CASE WHEN n >= 20 OR ratio >= 0.8 THEN 4 WHEN n >= 8 AND ratio >= 0.5 THEN 3 WHEN spread AND n >= 4 THEN 3 END AS tier FROM n""")
 def passthrough_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(TIERS, "n int, ratio double, spread boolean")
+    """Tiers by the number and share of parameters handed on (103): customers by their orders."""
+    n, ratio = F.count(F.lit(1)), F.count_if(F.col("o_orderstatus") == "F").cast("double") / F.count(F.lit(1))
+    spread = F.count_distinct("o_orderpriority") >= 4
+    rows = tables.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("cust")).agg(n.alias("n"), ratio.alias("ratio"), spread.alias("spread"))
     return rows.withColumn("tier", code.passthrough_tier(F.col("n"), F.col("ratio"), F.col("spread")))

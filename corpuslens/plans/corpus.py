@@ -288,17 +288,27 @@ def flat_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.flat_dirs(layout.dir_stats(tables.documents(spark, sf_dir)))
 
 
-NAMED = [(f"area{i % 4}/{n}", i) for i, n in enumerate(["my-file.py", "MyFile.py", "myFile.py", "my_file.py", "flat.py", "other.py", "third.py", "x-y.py", "a_b.py", "c_d.py", "Ab.py", "Zz.py", "noext", "UPPER-case.py", ".hidden", "1st.py"] * 3)]
-NAMED_SQL = "named AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', {i})" for p, i in NAMED) + ") v(path, i))"
+#: Parts as files named in seven ways, in four directories.
+NAMED_SQL = """named AS (SELECT 'area' || p_size % 4 || '/' || CASE p_partkey % 11 WHEN 0 THEN replace(p_name, ' ', '-') || '.py' WHEN 1 THEN 'Part' || p_partkey || '.py'
+  WHEN 2 THEN 'partX' || p_partkey || '.py' WHEN 3 THEN '.hidden' WHEN 4 THEN 'UPPER-case.py' WHEN 5 THEN '1st.py' WHEN 6 THEN 'part' || p_partkey
+  ELSE replace(p_name, ' ', '_') || '.py' END AS path, p_partkey AS i FROM part)"""
 CONVENTION = """conv AS (SELECT split_part(path, '/', 1) AS dir, regexp_replace(split_part(path, '/', 2), '\\.[^.]*$', '') AS stem FROM named),
  kinds AS (SELECT dir, stem, CASE WHEN length(stem) = 0 THEN NULL WHEN contains(stem, '-') AND stem = lower(stem) THEN 'kebab-case' WHEN NOT contains(stem, '-') AND regexp_matches(stem, '^[A-Z]') THEN 'PascalCase'
   WHEN NOT contains(stem, '-') AND regexp_matches(stem, '^[a-z]') AND regexp_matches(stem, '[A-Z]') THEN 'camelCase' WHEN contains(stem, '_') AND stem = lower(stem) THEN 'snake_case'
   WHEN NOT contains(stem, '-') AND stem = lower(stem) AND regexp_matches(stem, '[a-z]') THEN 'flat_lower' END AS kind FROM conv)"""
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, turn, key = tables.table(spark, sf_dir, "part"), F.col("p_partkey") % 11, F.col("p_partkey").cast("string")
+    dashed, snake = (F.concat(F.replace("p_name", F.lit(" "), F.lit(c)), F.lit(".py")) for c in "-_")
+    names = [dashed, F.concat(F.lit("Part"), key, F.lit(".py")), F.concat(F.lit("partX"), key, F.lit(".py")), F.lit(".hidden"), F.lit("UPPER-case.py"), F.lit("1st.py"), F.concat(F.lit("part"), key)]
+    name = F.element_at(F.array(*names, *[snake] * 4), (turn + 1).cast("int"))
+    return p.select(F.concat(F.lit("area"), (F.col("p_size") % 4).cast("string"), F.lit("/"), name).alias("path"), F.col("p_partkey").alias("i"))
+
+
 @query(f"WITH {NAMED_SQL}, {CONVENTION} SELECT dir, stem, kind FROM kinds")
 def convention_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = spark.createDataFrame(NAMED, "path string, i int")
+    named = _named(spark, sf_dir)
     name = T.base_name(F.col("path"))
     return named.select(T.area(F.col("path"), 1).alias("dir"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), T.naming_convention(name).alias("kind"))
 
@@ -308,7 +318,7 @@ def convention_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT a.dir, b.kind AS majority, b.n AS majority_count, a.kind AS minority, a.n AS minority_count, CAST(a.total AS BIGINT) AS total FROM r a JOIN r b ON a.dir = b.dir AND b.place = 1 WHERE a.place > 1 AND a.n >= 2 AND a.n * 100 >= a.total * 15""")
 def naming_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minority conventions of a directory with at least two files and 15 % (95, 96)."""
-    return layout.naming(spark.createDataFrame(NAMED, "path string, i int"), 2, 15)
+    return layout.naming(_named(spark, sf_dir), 2, 15)
 
 
 ZONE_RULES = [(1, "vendor", "/src1/"), (2, "generated", ".9"), (3, "test", "1_"), (4, "config", "17.txt"), (5, "script", "src5/"), (6, "test", "_3.txt"), (7, "config", "/fr/")]

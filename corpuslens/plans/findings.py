@@ -87,50 +87,73 @@ def stamped_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.downgraded(tables.work_items(spark, sf_dir), policy).select("finding_id", "confidence")
 
 
-VERDICTS = [("review", None), ("concerns", "confirmed"), ("concerns", "dismissed"), ("concerns", None), ("subjective_review", None), ("smells", " Confirmed "), ("smells", None), ("holistic_review", "x")]
+#: Findings with verdicts: some as concerns, as assessments or as reviews of the whole.
+JUDGED = f"""{WORK}, j AS (SELECT finding_id, CASE ord % 9 WHEN 1 THEN 'concerns' WHEN 2 THEN 'subjective_review' WHEN 3 THEN 'holistic_review'
+  ELSE detector END AS detector, CASE ord % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN ' Confirmed ' WHEN 2 THEN 'dismissed' END AS verdict FROM work)"""
 
 
-@query(f"""SELECT detector, verdict, CASE WHEN detector = 'review' THEN 'review_defect'
+@query(f"""WITH {JUDGED} SELECT finding_id, detector, verdict, CASE WHEN detector = 'review' THEN 'review_defect'
   WHEN detector = 'concerns' THEN 'review_concern' WHEN detector IN ('subjective_review', 'subjective_assessment',
   'holistic_review') THEN 'assessment_request'
   WHEN lower(trim(verdict)) = 'confirmed' THEN 'review_concern' ELSE 'mechanical_defect' END AS kind,
   CASE WHEN detector = 'review' OR (detector = 'concerns'
   AND lower(trim(verdict)) = 'confirmed') THEN 'review_import' WHEN detector IN ('subjective_review',
   'subjective_assessment', 'holistic_review') THEN 'synthetic_task' ELSE 'scan' END AS origin
- FROM {_values(VERDICTS)} v(detector, verdict)""")
+ FROM j""")
 def item_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind and origin of work items (63, 64)."""
-    rows = spark.createDataFrame(VERDICTS, "detector string, verdict string")
-    return rows.select("detector", "verdict", findings.kind_of(F.col("detector"), F.col("verdict")).alias("kind"), findings.origin_of(F.col("detector"), F.col("verdict")).alias("origin"))
+    w, turn = tables.work_items(spark, sf_dir), F.col("ord") % 9
+    detector = F.when(turn == 1, "concerns").when(turn == 2, "subjective_review").when(turn == 3, "holistic_review").otherwise(F.col("detector"))
+    verdict = F.when(F.col("ord") % 4 == 0, "confirmed").when(F.col("ord") % 4 == 1, " Confirmed ").when(F.col("ord") % 4 == 2, "dismissed")
+    rows = w.select("finding_id", detector.alias("detector"), verdict.alias("verdict"))
+    return rows.select("finding_id", "detector", "verdict", findings.kind_of(F.col("detector"), F.col("verdict")).alias("kind"), findings.origin_of(F.col("detector"), F.col("verdict")).alias("origin"))
 
 
-LOOSE = [("a::f::1", "open", "2", "1", "high"), ("a::f::2", "FIXED ", "9", "-3", None), ("b::g::3", "bogus", "x", "y", "low"), (None, "open", "1", "0", "high"), ("c::h::4", None, None, None, None)]
+#: Findings as loose text rows, some without an id, with statuses, tiers and counts that are none.
+LOOSE = f"""{WORK}, v AS (SELECT CASE WHEN ord % 41 <> 0 THEN finding_id END AS finding_id, CASE ord % 5 WHEN 0 THEN upper(status) || ' ' WHEN 1 THEN 'bogus'
+  WHEN 2 THEN NULL ELSE status END AS status, CASE WHEN ord % 7 = 6 THEN 'x' ELSE CAST(ord % 7 AS VARCHAR) END AS tier,
+  CASE WHEN ord % 6 = 5 THEN 'y' ELSE CAST(ord % 6 - 2 AS VARCHAR) END AS reopen_count, CASE WHEN ord % 3 <> 0 THEN confidence END AS confidence FROM work)"""
 
 
-@query(f"""SELECT finding_id, CASE WHEN lower(trim(status)) IN ('open', 'fixed', 'wontfix', 'false_positive',
+@query(f"""WITH {LOOSE} SELECT finding_id, CASE WHEN lower(trim(status)) IN ('open', 'fixed', 'wontfix', 'false_positive',
   'auto_resolved', 'deferred', 'triaged_out') THEN lower(trim(status)) ELSE 'open' END AS status,
   CASE WHEN TRY_CAST(tier AS INTEGER) BETWEEN 1 AND 4 THEN TRY_CAST(tier AS INTEGER) ELSE 3 END AS tier,
   greatest(coalesce(TRY_CAST(reopen_count AS INTEGER), 0), 0) AS reopen_count, coalesce(confidence,
   'medium') AS confidence
- FROM {_values(LOOSE)} v(finding_id, status, tier, reopen_count, confidence) WHERE finding_id IS NOT NULL""")
+ FROM v WHERE finding_id IS NOT NULL""")
 def coerced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loose rows with defaults filled in and values coerced (12, 65)."""
-    return findings.with_defaults(spark.createDataFrame(LOOSE, "finding_id string, status string, tier string, reopen_count string, confidence string"))
+    w, ord_ = tables.work_items(spark, sf_dir), F.col("ord")
+    status = F.when(ord_ % 5 == 0, F.concat(F.upper("status"), F.lit(" "))).when(ord_ % 5 == 1, "bogus").when(ord_ % 5 != 2, F.col("status"))
+    loose = w.select(
+        F.when(ord_ % 41 != 0, F.col("finding_id")).alias("finding_id"), status.alias("status"),
+        F.when(ord_ % 7 == 6, "x").otherwise((ord_ % 7).cast("string")).alias("tier"),
+        F.when(ord_ % 6 == 5, "y").otherwise((ord_ % 6 - 2).cast("string")).alias("reopen_count"), F.when(ord_ % 3 != 0, F.col("confidence")).alias("confidence"),
+    )
+    return findings.with_defaults(loose)
 
 
-BROKEN = [("a::f::x", "a", "f", "x", "open", "high", 1, 0), ("a::f::y", "a", "f", "z", "open", "high", 0, -1), ("b::f", "b", "f", None, "gone", "sure", 5, 2)]
+#: Findings of which some break an invariant.
+BROKEN = f"""{WORK}, v AS (SELECT CASE WHEN ord % 90 = 5 THEN finding_id || 'x' ELSE finding_id END AS finding_id, detector, file, CASE WHEN ord % 4 = 1 THEN name END AS name,
+  CASE WHEN ord % 50 = 1 THEN 'gone' ELSE status END AS status, CASE WHEN ord % 60 = 2 THEN 'sure' ELSE confidence END AS confidence,
+  CASE WHEN ord % 70 = 3 THEN 5 ELSE tier END AS tier, CASE WHEN ord % 80 = 4 THEN -1 ELSE reopen_count END AS reopen_count FROM work)"""
 
 
-@query(f"""WITH b AS (SELECT *, detector || '::' || file || CASE WHEN coalesce(name,
-  '') <> '' THEN '::' || name ELSE '' END AS made FROM {_values(BROKEN)} v(finding_id, detector, file, name, status,
-  confidence, tier, reopen_count))
+@query(f"""WITH {BROKEN}, b AS (SELECT *, detector || '::' || file || CASE WHEN coalesce(name,
+  '') <> '' THEN '::' || name ELSE '' END AS made FROM v)
  SELECT finding_id, 'status' AS rule FROM b WHERE status NOT IN ('open', 'fixed', 'wontfix', 'false_positive',
   'auto_resolved', 'deferred', 'triaged_out') UNION ALL SELECT finding_id, 'confidence' FROM b
   WHERE confidence NOT IN ('high', 'medium', 'low')
  UNION ALL SELECT finding_id, 'tier' FROM b WHERE tier NOT BETWEEN 1 AND 4 UNION ALL SELECT finding_id,
   'reopen_count' FROM b WHERE reopen_count < 0 UNION ALL SELECT finding_id, 'id' FROM b WHERE finding_id <> made""")
 def invariant_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.violations(spark.createDataFrame(BROKEN, "finding_id string, detector string, file string, name string, status string, confidence string, tier int, reopen_count int"))
+    w, ord_ = tables.work_items(spark, sf_dir), F.col("ord")
+    broken = w.withColumns({
+        "finding_id": F.when(ord_ % 90 == 5, F.concat("finding_id", F.lit("x"))).otherwise(F.col("finding_id")), "name": F.when(ord_ % 4 == 1, F.col("name")),
+        "status": F.when(ord_ % 50 == 1, "gone").otherwise(F.col("status")), "confidence": F.when(ord_ % 60 == 2, "sure").otherwise(F.col("confidence")),
+        "tier": F.when(ord_ % 70 == 3, 5).otherwise(F.col("tier")), "reopen_count": F.when(ord_ % 80 == 4, -1).otherwise(F.col("reopen_count")),
+    })
+    return findings.violations(broken)
 
 
 @query(f"""WITH {WORK}, s AS (SELECT file, CASE detector WHEN 'structural' THEN 'complexity'

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
 from corpuslens.operators import duplicates, planning
+from corpuslens.operators.graph import checkpointed
+from corpuslens.plans.corpus import COMMON
 from corpuslens.plans.findings import _values
 from corpuslens.plans.registry import query
 from corpuslens.plans.scores import CATALOG, CATALOG_SQL, DIMS, _dims
@@ -30,12 +32,12 @@ def carried_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.carried_forward(before, _dims(spark, sf_dir).where("mode = 'strict'"))
 
 
-REDUCED = [("smells", 0.5), ("naming", 0.8), ("security", 0.9)]
-
-
-@query(f"SELECT dimension, CAST(min(confidence) AS DOUBLE) AS confidence, array_to_string(list_sort(list_distinct(list(detector))), ',') AS detectors FROM {_values(REDUCED)} r(detector, confidence) JOIN {CATALOG_SQL} USING (detector) GROUP BY dimension")
+@query(f"WITH {WORK}, r AS (SELECT detector, CAST(count(*) FILTER (status = 'open') AS DOUBLE) / count(*) AS confidence FROM work GROUP BY detector) SELECT dimension, min(confidence) AS confidence, array_to_string(list_sort(list_distinct(list(detector))), ',') AS detectors FROM r JOIN {CATALOG_SQL} USING (detector) GROUP BY dimension")
 def coverage_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.coverage_confidence(spark.createDataFrame(REDUCED, "detector string, confidence double"), spark.createDataFrame(CATALOG, "detector string, dimension string"))
+    """Dimensions whose detectors see less: the share of open findings stands for what a detector could cover (191)."""
+    seen = F.count_if(F.col("status") == "open").cast("double") / F.count(F.lit(1))
+    reduced = tables.work_items(spark, sf_dir).groupBy("detector").agg(seen.alias("confidence"))
+    return planning.coverage_confidence(reduced, spark.createDataFrame(CATALOG, "detector string, dimension string"))
 
 
 @query(DIMS + " SELECT dimension, score FROM dims WHERE mode = 'strict' ORDER BY score, dimension LIMIT 3")
@@ -87,13 +89,17 @@ def concern_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.concern_set(parts, mark(w.where("tier = 1"), "file", "file").select("fingerprint").distinct())
 
 
-LANES = [("a1", "f1"), ("a2", "f2"), ("a3", "f1"), ("a3", "f3"), ("a4", "f3"), ("a5", "f9"), ("a6", "f2")]
+LANES = """e AS (SELECT DISTINCT o_custkey AS action, l_partkey AS file FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  WHERE l_quantity >= 46 AND l_discount = 0)"""
 
 
-@query("SELECT * FROM (VALUES ('a1', 'a1'), ('a3', 'a1'), ('a4', 'a1'), ('a2', 'a2'), ('a6', 'a2'), ('a5', 'a5')) v(action, lane)")
+@query(f"""WITH RECURSIVE {LANES}, l AS (SELECT DISTINCT x.action AS a, y.action AS b FROM e x JOIN e y USING (file)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b) SELECT a AS action, min(b) AS lane FROM r GROUP BY a""")
 def overlap_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actions joined into lanes by shared files (228)."""
-    return planning.lanes(spark.createDataFrame(LANES, "action string, file string"))
+    """Actions joined into lanes by shared files (228): customers and the parts of their large sales."""
+    l = tables.table(spark, sf_dir, "lineitem").where("l_quantity >= 46 AND l_discount = 0")
+    sold = l.join(tables.table(spark, sf_dir, "orders"), l["l_orderkey"] == F.col("o_orderkey"))
+    return planning.lanes(sold.select(F.col("o_custkey").alias("action"), F.col("l_partkey").alias("file")).distinct())
 
 
 @query(f"""WITH {EDGES}, s AS (SELECT n_nationkey AS dir, count(c_custkey) AS n_files, CAST(coalesce(sum(length(c_name)), 0) AS BIGINT) AS loc FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1),
@@ -106,13 +112,15 @@ def directory_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.directory_profiles(files, tables.trade_edges(spark, sf_dir), 3)
 
 
-PAIRS = [(1, 2, 0.95), (1, 3, 0.99), (2, 3, 0.99), (7, 8, 0.9)]
-
-
-@query("SELECT root, size, doc_a, doc_b, CAST(ratio AS DOUBLE) AS ratio FROM (VALUES (1, CAST(3 AS BIGINT), 1, 3, 0.99), (7, 2, 7, 8, 0.9)) v(root, size, doc_a, doc_b, ratio)")
+@query(f"""WITH RECURSIVE p AS ({COMMON.format(cut="[ \\n]+")}), b AS (SELECT doc_a AS x, doc_b AS y FROM p UNION SELECT doc_b, doc_a FROM p),
+r(x, y) AS (SELECT x, y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON b.x = r.y), m AS (SELECT x AS node, least(x, min(y)) AS root FROM r GROUP BY x),
+s AS (SELECT root, count(*) AS size FROM m GROUP BY root), o AS (SELECT root, doc_a, doc_b, common, row_number() OVER (PARTITION BY root
+  ORDER BY common DESC, doc_a, doc_b) AS k FROM p JOIN m ON node = doc_a)
+SELECT root, size, doc_a, doc_b, CAST(common AS DOUBLE) AS ratio FROM o JOIN s USING (root) WHERE k = 1""")
 def duplicate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best pair and the size of each cluster (77)."""
-    pairs = spark.createDataFrame(PAIRS, "doc_a int, doc_b int, ratio double")
+    """The best pair and the size of each cluster of documents that share most of their words (77)."""
+    words = tables.documents(spark, sf_dir).withColumn("text", F.regexp_replace("text", "[ \n]+", "\n"))
+    pairs = checkpointed(duplicates.common_lines(words).withColumn("ratio", F.col("common").cast("double")))
     return planning.best_pair(pairs, duplicates.clusters(pairs))
 
 
@@ -153,11 +161,14 @@ def upserted_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.upserted(cached, labels.where("quality = 1").select("doc_id", F.lit("imported").alias("origin")), "doc_id")
 
 
-@query("SELECT ['b', 'a', 'c'] AS evidence, 'the longer one' AS summary")
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN [p_brand, p_type] ELSE [p_brand, p_type, 'size ' || p_size] END AS evidence,
+  CASE WHEN length(p_type) > length(p_name) THEN p_type ELSE p_name END AS summary FROM part""")
 def merged_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists merged in order, the longer text kept (284, 285)."""
-    rows = spark.createDataFrame([(["b", "a"], ["a", "c"], "short", "the longer one")], "a array<string>, b array<string>, s string, t string")
-    return rows.select(planning.merged_lists(F.col("a"), F.col("b")).alias("evidence"), planning.longer(F.col("s"), F.col("t")).alias("summary"))
+    """Lists merged in order, a missing one empty, the longer text kept (284, 285)."""
+    p = tables.table(spark, sf_dir, "part")
+    other = F.when(F.col("p_size") % 3 != 0, F.array("p_type", F.concat(F.lit("size "), F.col("p_size").cast("string")), "p_brand"))
+    merged = planning.merged_lists(F.array("p_brand", "p_type", "p_brand"), other)
+    return p.select(F.col("p_partkey").alias("id"), merged.alias("evidence"), planning.longer(F.col("p_name"), F.col("p_type")).alias("summary"))
 
 
 @query(f"WITH {WORK} SELECT tier, CASE WHEN grouping(tier) = 0 THEN 'tier' WHEN grouping(lang) = 0 THEN 'lang' ELSE 'all' END AS level, lang, count(*) AS n FROM work WHERE status = 'open' AND detector = 'review' GROUP BY GROUPING SETS ((), (tier), (lang))")
@@ -190,9 +201,15 @@ def scorecard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("tier").agg(F.count(F.lit(1)).alias("n_open"), F.bool_or(F.col("reopen_count") > 0).alias("any_reopened"), F.avg("loc").alias("mean_loc"))
 
 
-@query("SELECT CAST(age AS DOUBLE) AS age, CAST(change AS DOUBLE) AS change, stale FROM (VALUES (40.0, 0.25, true), (10.0, 0.1, false), (10.0, 0.5, true)) v(age, change, stale)")
+@query("""WITH n AS (SELECT o_custkey AS cust, count(*) FILTER (o_orderdate < TIMESTAMP '1997-01-01') AS before, count(*) AS now,
+  date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '1998-08-02') AS age FROM orders GROUP BY 1)
+SELECT cust, CAST(age AS DOUBLE) AS age, CAST(now - before AS DOUBLE) / before AS change, age > 30 OR CAST(now - before AS DOUBLE) / before > 0.2 AS stale
+FROM n WHERE before > 0""")
 def holistic_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole-corpus review is stale by age or by a change of a fifth of its files (120)."""
-    rows = spark.createDataFrame([(40.0, 100, 125), (10.0, 100, 110), (10.0, 100, 150)], "age double, before int, now int")
+    """A review of the whole is stale by age or by a change of a fifth of its files (120): customers and their orders."""
+    o = tables.table(spark, sf_dir, "orders")
+    before, now = F.count_if(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")), F.count(F.lit(1))
+    age = F.date_diff(F.lit("1998-08-02").cast("date"), F.max(F.to_date("o_orderdate"))).cast("double")
+    rows = o.groupBy(F.col("o_custkey").alias("cust")).agg(before.alias("before"), now.alias("now"), age.alias("age")).where("before > 0")
     change = F.abs(F.col("now") - F.col("before")) / F.col("before")
-    return rows.select("age", change.alias("change"), ((F.col("age") > 30) | (change > 0.2)).alias("stale"))
+    return rows.select("cust", "age", change.alias("change"), ((F.col("age") > 30) | (change > 0.2)).alias("stale"))

@@ -98,18 +98,29 @@ def queue_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.queue_breakdown(queue.split_skipped(_items(spark, sf_dir), _skipped(spark, sf_dir)))
 
 
-@query("""SELECT 'top' AS how, ['c', 'd', 'a', 'b', 'e'] AS queue_order UNION ALL SELECT 'bottom', ['a', 'b', 'e',
-  'c', 'd'] UNION ALL SELECT 'purge', ['a', 'b', 'e']""")
+QUEUES = """q AS (SELECT l_orderkey AS k, list(CAST(l_linenumber AS VARCHAR) ORDER BY l_linenumber) AS ids
+  FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1),
+m AS (SELECT k, list_filter(ids, lambda x: x IN ('2', '4')) AS picked, list_filter(ids, lambda x: x NOT IN ('2', '4')) AS rest FROM q)"""
+
+
+@query(f"""WITH {QUEUES} SELECT k, 'top' AS how, list_concat(picked, rest) AS queue_order FROM m UNION ALL SELECT k, 'bottom',
+  list_concat(rest, picked) FROM m UNION ALL SELECT k, 'purge', rest FROM m""")
 def queue_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids moved to the top or bottom of a queue order, or purged (274, 278)."""
-    order = spark.createDataFrame([(["a", "b", "c", "d", "e"],)], "queue_order array<string>")
-    tag = lambda how, df: df.select(F.lit(how).alias("how"), "queue_order")
-    ids = ["d", "c"]
+    """Ids moved to the top or bottom of a queue order, or purged (274, 278): the lines of each order."""
+    l = tables.table(spark, sf_dir, "lineitem")
+    order = l.groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.sort_array(F.collect_set("l_linenumber")), lambda x: x.cast("string")).alias("queue_order"))
+    tag = lambda how, df: df.select("k", F.lit(how).alias("how"), "queue_order")
+    ids = ["4", "2"]
     return tag("top", queue.moved(order, ids, "top")).union(tag("bottom", queue.moved(order, ids, "bottom"))).union(tag("purge", queue.purged(order, ids)))
 
 
-@query("SELECT 'target' AS name, ['a', 'b', 'c'] AS ids, 'from source' AS description")
+@query("""WITH c AS (SELECT p_partkey AS k, 'c' || p_partkey AS name, [p_brand, p_type] AS ids, CASE WHEN p_size % 2 = 0 THEN p_name END AS description FROM part)
+SELECT a.name, list_concat(a.ids, list_filter(b.ids, lambda x: NOT list_contains(a.ids, x))) AS ids, coalesce(a.description, b.description) AS description
+FROM c a JOIN c b ON b.k = a.k + 1 WHERE a.k % 2 = 0""")
 def cluster_membership_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = "name string, ids array<string>, description string"
-    clusters = spark.createDataFrame([("target", ["a", "b"], None), ("old", ["b", "c"], "from source")], schema)
-    return queue.merged_members(clusters, spark.createDataFrame([("old", "target")], "source string, name string"))
+    """Clusters merged with the one after them: united members, the first description there is (277)."""
+    p = tables.table(spark, sf_dir, "part")
+    name = F.concat(F.lit("c"), F.col("p_partkey").cast("string"))
+    clusters = p.select(name.alias("name"), F.array("p_brand", "p_type").alias("ids"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("description"))
+    merges = p.where("p_partkey % 2 = 0").select(F.concat(F.lit("c"), (F.col("p_partkey") + 1).cast("string")).alias("source"), name.alias("name"))
+    return queue.merged_members(clusters, merges)

@@ -38,31 +38,38 @@ def batch_score_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.batch_scores(_batch(spark, sf_dir))
 
 
-ISSUES = [
-    (1, "naming", "dup_name", "Helper names repeat across the module"), (2, "naming", None, "helper names repeat in module files"), (3, "naming", "", "Helper names repeat module"),
-    (4, "errors", None, "errors are swallowed silently"), (5, "errors", None, "Errors swallowed silently everywhere"), (6, "errors", None, "unrelated text on logging"), (7, "naming", None, ""),
-]
-ISSUE_SCHEMA = "issue_id long, dimension string, identifier string, summary string"
+#: Parts as issues of a review: some with an identifier, some without words.
+ISSUES = """issues AS (SELECT p_partkey AS issue_id, p_brand AS dimension, CASE WHEN p_partkey % 5 = 0 THEN 'id' || p_size WHEN p_partkey % 5 = 1 THEN '' END AS identifier,
+  CASE WHEN p_partkey % 97 = 0 THEN '' ELSE p_name || ' of type ' || p_type || ' and size ' || (100 + p_size) END AS summary FROM part)"""
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, key = tables.table(spark, sf_dir, "part"), F.col("p_partkey")
+    identifier = F.when(key % 5 == 0, F.concat(F.lit("id"), F.col("p_size").cast("string"))).when(key % 5 == 1, "")
+    summary = F.concat("p_name", F.lit(" of type "), "p_type", F.lit(" and size "), (F.col("p_size") + 100).cast("string"))
+    return p.select(key.alias("issue_id"), F.col("p_brand").alias("dimension"), identifier.alias("identifier"), F.when(key % 97 == 0, "").otherwise(summary).alias("summary"))
+
+
 WORDS = "array_to_string(list_slice(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(summary), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3))), 1, 8), ',')"
 
 
-@query(f"""SELECT issue_id, CASE WHEN coalesce(identifier, '') <> '' THEN dimension || '::' || identifier ELSE
-  dimension || '::' || {WORDS} END AS key FROM {_values(ISSUES)} v(issue_id, dimension, identifier, summary)""")
+@query(f"""WITH {ISSUES} SELECT issue_id, CASE WHEN coalesce(identifier, '') <> '' THEN dimension || '::' || identifier ELSE
+  dimension || '::' || {WORDS} END AS key FROM issues""")
 def issue_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.identity(spark.createDataFrame(ISSUES, ISSUE_SCHEMA)).select("issue_id", "key")
+    return review.identity(_issues(spark, sf_dir)).select("issue_id", "key")
 
 
-SETS = f"w AS (SELECT issue_id, dimension, list_distinct(list_filter(string_split(regexp_replace(lower(summary), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3)) AS words FROM {_values(ISSUES)} v(issue_id, dimension, identifier, summary))"
+SETS = f"{ISSUES}, w AS (SELECT issue_id, dimension, list_distinct(list_filter(string_split(regexp_replace(lower(summary), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3)) AS words FROM issues)"
 
 
 @query(f"""WITH RECURSIVE {SETS}, l AS (SELECT a.issue_id AS a, b.issue_id AS b FROM w a
-  JOIN w b ON a.dimension = b.dimension AND a.issue_id <> b.issue_id WHERE CAST(len(list_intersect(a.words,
+  JOIN w b ON a.dimension = b.dimension AND a.issue_id <> b.issue_id WHERE len(a.words) > 0 AND len(b.words) > 0 AND CAST(len(list_intersect(a.words,
   b.words)) AS DOUBLE) / len(list_distinct(list_concat(a.words, b.words))) >= 0.45), r(a, b) AS (SELECT a, b
   FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b) SELECT issue_id, least(issue_id, coalesce(min(b),
   issue_id)) AS root FROM w LEFT JOIN r ON a = issue_id GROUP BY issue_id""")
 def issue_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transitive groups of similar issues (205, 206)."""
-    return review.merged_groups(spark.createDataFrame(ISSUES, ISSUE_SCHEMA))
+    return review.merged_groups(_issues(spark, sf_dir))
 
 
 CACHE = "cache AS (SELECT doc_id, CASE WHEN quality = 1 THEN md5(text) ELSE 'old' END AS seen_digest, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 60 AS INTEGER)) AS reviewed_at FROM labels JOIN documents USING (doc_id))"
@@ -136,19 +143,23 @@ def worst_test_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.worst_quality(c.select(F.col("conv_id").alias("path"), F.col("turn").alias("test"), kind.alias("quality")))
 
 
-@query("""SELECT x AS loc, y AS importers, CASE WHEN y >= 10 OR x >= 500 THEN 'high'
-  WHEN y >= 3 OR x >= 200 THEN 'medium' ELSE 'low' END AS risk FROM (VALUES (50, 1), (250, 0), (10, 4), (600, 0),
-  (20, 12)) v(x, y)""")
+@query("""WITH f AS (SELECT c_custkey AS file, CAST(10 + c_custkey * 7 % 600 AS INTEGER) AS loc, count(o_orderkey) AS importers FROM customer
+  LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+SELECT file, loc, importers, CASE WHEN importers >= 10 OR loc >= 500 THEN 'high' WHEN importers >= 3 OR loc >= 200 THEN 'medium' ELSE 'low' END AS risk FROM f""")
 def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Risk of untested files by importers and size (117)."""
-    rows = spark.createDataFrame([(50, 1), (250, 0), (10, 4), (600, 0), (20, 12)], "loc int, importers int")
+    """Risk of untested files by importers and size (117): customers and their orders."""
+    users = tables.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("file")).agg(F.count(F.lit(1)).alias("importers"))
+    files = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file"), (F.col("c_custkey") * 7 % 600 + 10).cast("int").alias("loc"))
+    rows = files.join(users, "file", "left").fillna(0, ["importers"])
     return rows.withColumn("risk", F.when((F.col("importers") >= 10) | (F.col("loc") >= 500), "high").when((F.col("importers") >= 3) | (F.col("loc") >= 200), "medium").otherwise("low"))
 
 
-KEYS = [("c1", r, k) for r, ks in enumerate([["name", "value", "kind"], ["name", "value", "kind"], ["name", "value", "knd"], ["name", "value", "kind"], ["name", "value", "other"]]) for k in ks] + [("c2", 1, "x"), ("c2", 2, "y")]
+#: Parts of a brand as rows with three keys each, of which one is spelled otherwise in few rows.
+KEYS = """k AS (SELECT p_brand AS cluster, p_partkey AS row, unnest(['name', CASE WHEN p_size % 25 = 3 THEN 'valeu' ELSE 'value' END,
+  CASE p_size % 25 WHEN 1 THEN 'knd' WHEN 2 THEN 'other' ELSE 'kind' END]) AS key FROM part)"""
 
 
-@query(f"""WITH k AS (SELECT * FROM {_values(KEYS)} v(cluster, row, key)), s AS (SELECT cluster,
+@query(f"""WITH {KEYS}, s AS (SELECT cluster,
   count(DISTINCT row) AS size FROM k GROUP BY cluster HAVING count(DISTINCT row) >= 3), u AS (SELECT cluster, key,
   count(DISTINCT row) AS n, size FROM k JOIN s USING (cluster) GROUP BY ALL),
  b AS (SELECT o.cluster, o.key, o.n, o.size, c.key AS near, levenshtein(o.key, c.key) AS d FROM u o
@@ -156,20 +167,21 @@ KEYS = [("c1", r, k) for r, ks in enumerate([["name", "value", "kind"], ["name",
  SELECT cluster, key, n, size, CASE WHEN min(d) <= 2 THEN arg_min(near, d) END AS nearest FROM b GROUP BY ALL""")
 def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that few rows of a cluster use, with the common key they may stand for (126, 127)."""
-    return review.outlier_keys(spark.createDataFrame(KEYS, "cluster string, row int, key string"))
-
-
-PASSED = [("f", "a", "g(a)\nh(a, b)", 2), ("f", "b", "h(a, b)\nb = b + 1", 2), ("f", "c", "k(c)", 2)]
+    turn = F.col("p_size") % 25
+    keys = F.array(F.lit("name"), F.when(turn == 3, "valeu").otherwise("value"), F.when(turn == 1, "knd").when(turn == 2, "other").otherwise("kind"))
+    p = tables.table(spark, sf_dir, "part")
+    return review.outlier_keys(p.select(F.col("p_brand").alias("cluster"), F.col("p_partkey").alias("row"), F.explode(keys).alias("key")))
 
 
-@query(f"""SELECT name, param, len(regexp_extract_all(body, '[(,] ?' || param || '[,)]')) AS forwarded,
-  len(regexp_extract_all(body, '(?:^|[^A-Za-z0-9_])' || param || '(?:$|[^A-Za-z0-9_])')) AS used
-  FROM {_values(PASSED)} v(name, param, body, k)""")
+@query("""SELECT p_partkey AS id, 'a' AS param, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS forwarded, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 3 END AS used FROM part
+  UNION ALL SELECT p_partkey, 'b', 1, CASE WHEN p_size % 3 = 0 THEN 3 ELSE 1 END FROM part""")
 def passthrough_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often a parameter is only handed on (102)."""
-    rows = spark.createDataFrame(PASSED, "name string, param string, body string, k int")
+    """How often a parameter is only handed on (102), in a function for each part."""
+    first = F.when(F.col("p_size") % 2 == 0, "g(a)\n").otherwise("a = a + 1\n")
+    body = F.concat(first, F.lit("h(a, b)\n"), F.when(F.col("p_size") % 3 == 0, "b = b + 1").otherwise("k(c)"))
+    rows = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), body.alias("body"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("param"))
     count = lambda a, b: F.size(F.regexp_extract_all("body", F.concat(F.lit(a), "param", F.lit(b)), 0))
-    return rows.select("name", "param", count("[(,] ?", "[,)]").alias("forwarded"), count("(?:^|[^A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])").alias("used"))
+    return rows.select("id", "param", count("[(,] ?", "[,)]").alias("forwarded"), count("(?:^|[^A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])").alias("used"))
 
 
 @query(f"""WITH {WORK}, d AS (SELECT finding_id, detector FROM work WHERE status = 'open'
