@@ -10,7 +10,7 @@ from corpuslens.plans.findings import _values
 from corpuslens.plans.queue import ITEMS, KEY, SKIPPED, _items, _skipped
 from corpuslens.plans.registry import query
 from corpuslens.plans.scores import DIMS, _dims
-from corpuslens.sources import tables
+from corpuslens.sources import made, tables
 from corpuslens.sources.tables import WORK
 
 BOARD = ITEMS + f""", s AS ({SKIPPED}),
@@ -269,18 +269,18 @@ def phase_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _nested = "\n".join(["<AProvider>", "<BProvider x={1}>", "<CProvider>", "<DProvider />", "<DProvider>", "</XProvider>", "<EProvider><FProvider>", "</FProvider></EProvider>", "</DProvider>"])
 _busy = "return (\n<div>\nfetch('/a')\nx.map(f)\ny.filter(g)\nz.sort()\n" + "const handleA = 1\n" * 5 + "\n" * 100
 COMPONENTS = [
-    ("web/app.tsx", "typescript", _nested), ("web/busy.tsx", "typescript", _busy), ("web/short.tsx", "typescript", _busy.strip()),
-    ("web/log.ts", "typescript", "console.log('[Auth] in')\nconsole.info(`${DebugTag} x [y]`)\nconsole.warn(`${LOG} x`)\nconsole.log('plain')\nconsole.debug(\"🔍 [Net] x\")"),
+    ("web{k}/app.tsx", "typescript", _nested), ("web{k}/busy.tsx", "typescript", _busy), ("web{k}/short.tsx", "typescript", _busy.strip()),
+    ("web{k}/log.ts", "typescript", "console.log('[Auth] in')\nconsole.info(`${DebugTag} x [y]`)\nconsole.warn(`${LOG} x`)\nconsole.log('plain')\nconsole.debug(\"🔍 [Net] x\")"),
 ]
 
 
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents, and a few component files, as the tables hold none."""
+    """Whole documents, and a few component files for each part, as the tables hold none."""
     docs = tables.documents(spark, sf_dir).select("path", F.lit("text").alias("lang"), "text")
-    return docs.union(spark.createDataFrame(COMPONENTS, "path string, lang string, text string"))
+    return docs.union(made.projects(spark, sf_dir, COMPONENTS))
 
 
-_files_sql = "(SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, text FROM documents UNION ALL SELECT path, text FROM " + _values([(p, t) for p, _, t in COMPONENTS]) + " v(path, text))"
+_files_sql = "(SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, text FROM documents UNION ALL SELECT replace(path, '{k}', CAST(p_partkey AS VARCHAR)), text FROM part, " + _values([(p, t) for p, _, t in COMPONENTS]) + " v(path, text))"
 _q = "'" + code_rules.LOG_TAG.replace("'", "''") + "'"
 _v = "'" + code_rules.LOG_TAG_VARIABLE.replace("'", "''") + "'"
 
@@ -308,7 +308,7 @@ def component_concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_rules.mixed_concerns(_components(spark, sf_dir))
 
 
-@query()
+@query("SELECT 'web' || p_partkey || '/app.tsx' AS path, 6 AS depth, 'AProvider,BProvider,CProvider,DProvider,EProvider,FProvider' AS names FROM part")
 def context_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with more than five nested context providers (143); tested against a loop."""
+    """Files with more than five nested context providers (143); also tested against a loop."""
     return code_rules.context_nesting(_components(spark, sf_dir))

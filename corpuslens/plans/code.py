@@ -1,5 +1,5 @@
 """Queries of the source-text operators over whole documents, taken as Python (even ids) and TypeScript (odd ids)
-files, and a few fixed files of code, as the test tables hold little of it."""
+files, and over a small project of code for each part, as the test tables hold little of it."""
 
 from __future__ import annotations
 
@@ -9,21 +9,21 @@ from pyspark.sql import functions as F
 from corpuslens.operators import code_rules as code
 from corpuslens.operators import graph
 from corpuslens.plans.registry import query
-from corpuslens.sources import tables
+from corpuslens.sources import made, tables
 
 FILES = [
-    ("app/core.py", "python", "import app.util\nfrom lib.base import _hidden\nimport os\n\ndef run(x=[]):\n    import app.late\n    try:\n        return eval(x)\n    except:\n        pass\n\ndef _unused():\n    return 1\n"),
-    ("app/util.py", "python", "from app.core import run\nfrom lib.base import Color\n\ndef _helper():\n    return _helper\n# except:\n"),
-    ("app/late.py", "python", "from app.util import *\n"),
-    ("app/__init__.py", "python", "from app.core import run\n\n__all__ = ['run']\n"),
-    ("lib/base.py", "python", "from enum import Enum\n\nclass Color(Enum):\n    RED = 1\n\nclass Lost(str, Enum):\n    A = 'a'\n\ndef _hidden():\n    return 2\n"),
-    ("tests/test_core.py", "python", "import app.core\n\ndef test_a():\n    assert 1\n\ndef test_b():\n    mock()\n"),
-    ("tests/test_free.py", "python", "def test_c():\n    pass\n"), ("tests/test_full.py", "python", "def test_d():\n    assert 1\n    assert 2\n    assert 3\n"),
-    ("web/a.ts", "typescript", "let x: any = 1; // @ts-ignore\nconsole.log(x)\n// console.log(y)\nel.innerHTML = x\n/** @deprecated use b */\nexport function oldOne() {}\n"),
-    ("web/b.ts", "typescript", "import { oldOne } from './a'\noldOne()\n"), ("web/s.css", "css", "a { color: red !important }\n" * 9),
-    ("svc/Main.cs", "csharp", "var r = new Random();\nvar c = new SqlCommand(\"a\" + b);\n"), ("src/lib.rs", "rust", "use crate::x;\n#[cfg(feature = \"fast\")]\nlet y = v.get_unchecked(0);\nz.unwrap();\n#[cfg(feature = \"slow\")]\n"),
-    ("Cargo.toml", "toml", "[features]\nfast = []\n"), ("stat/a.R", "r", "setwd('x')\ny <<- 3\nf(a = T)\n"), ("native/m.cpp", "cpp", "strcpy(a, b); /* system( */\nsystem(\"ls\");\n"),
-    ("package.json", "json", "{\"dependencies\": {\"next\": \"14\", \"react\": \"18\"}}"), ("next.config.js", "js", "module.exports = {}"),
+    ("app{k}/core.py", "python", "import app{k}.util\nfrom lib{k}.base import _hidden\nimport os\n\ndef run(x=[]):\n    import app{k}.late\n    try:\n        return eval(x)\n    except:\n        pass\n\ndef _unused{k}():\n    return 1\n"),
+    ("app{k}/util.py", "python", "from app{k}.core import run\nfrom lib{k}.base import Color{k}\n\ndef _helper{k}():\n    return _helper{k}\n# except:\n"),
+    ("app{k}/late.py", "python", "from app{k}.util import *\n"),
+    ("app{k}/__init__.py", "python", "from app{k}.core import run\n\n__all__ = ['run']\n"),
+    ("lib{k}/base.py", "python", "from enum import Enum\n\nclass Color{k}(Enum):\n    RED = 1\n\nclass Lost{k}(str, Enum):\n    A = 'a'\n\ndef _hidden():\n    return 2\n"),
+    ("tests/test_core{k}.py", "python", "import app{k}.core\n\ndef test_a():\n    assert 1\n\ndef test_b():\n    mock()\n"),
+    ("tests/test_free{k}.py", "python", "def test_c():\n    pass\n"), ("tests/test_full{k}.py", "python", "def test_d():\n    assert 1\n    assert 2\n    assert 3\n"),
+    ("web{k}/a.ts", "typescript", "let x: any = 1; // @ts-ignore\nconsole.log(x)\n// console.log(y)\nel.innerHTML = x\n/** @deprecated use b */\nexport function oldOne{k}() {}\n"),
+    ("web{k}/b.ts", "typescript", "import { oldOne{k} } from './a'\noldOne{k}()\n"), ("web{k}/s.css", "css", "a { color: red !important }\n" * 9),
+    ("svc{k}/Main.cs", "csharp", "var r = new Random();\nvar c = new SqlCommand(\"a\" + b);\n"), ("src{k}/lib.rs", "rust", "use crate::x;\n#[cfg(feature = \"fast{k}\")]\nlet y = v.get_unchecked(0);\nz.unwrap();\n#[cfg(feature = \"slow{k}\")]\n"),
+    ("src{k}/Cargo.toml", "toml", "[features]\nfast{k} = []\n"), ("stat{k}/a.R", "r", "setwd('x')\ny <<- 3\nf(a = T)\n"), ("native{k}/m.cpp", "cpp", "strcpy(a, b); /* system( */\nsystem(\"ls\");\n"),
+    ("web{k}/package.json", "json", "{\"dependencies\": {\"next\": \"14\", \"react\": \"18\"}}"), ("web{k}/next.config.js", "js", "module.exports = {}"),
 ]
 
 
@@ -31,7 +31,7 @@ def _lit(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-FILE_SQL = "files AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{g}', {_lit(t)})" for p, g, t in FILES) + """) v(path, lang, text)
+FILE_SQL = "files AS (SELECT replace(path, '{k}', CAST(p_partkey AS VARCHAR)) AS path, lang, replace(text, '{k}', CAST(p_partkey AS VARCHAR)) AS text FROM part, (VALUES " + ", ".join(f"('{p}', '{g}', {_lit(t)})" for p, g, t in FILES) + """) v(path, lang, text)
   UNION ALL SELECT source || '/' || lang || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.ts' END, CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'typescript' END, text FROM documents)"""
 ROWS = FILE_SQL + ", ls AS (SELECT path, lang, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM files)"
 COMMENTS = " OR ".join(f"(lang = '{g}' AND starts_with(ltrim(line), '{m}'))" for g, m in code.COMMENT.items()) + " OR starts_with(ltrim(line), '/*') OR starts_with(ltrim(line), '* ')"
@@ -42,7 +42,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("doc_id") % 2 == 0
     path = F.concat(F.regexp_replace("path", r"\.txt$", ""), F.when(even, ".py").otherwise(".ts"))
     docs = tables.documents(spark, sf_dir).select(path.alias("path"), F.when(even, "python").otherwise("typescript").alias("lang"), "text")
-    return docs.union(spark.createDataFrame(FILES, "path string, lang string, text string"))
+    return docs.union(made.projects(spark, sf_dir, FILES))
 
 
 @query(f"WITH {HITS} SELECT path, line_no, rule FROM hits")
@@ -111,7 +111,7 @@ def private_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.private_imports(_files(spark, sf_dir))
 
 
-@query("SELECT 'app/__init__.py' AS path, CAST(0 AS BIGINT) AS n_users UNION ALL SELECT 'app/late.py', 1")
+@query("SELECT 'app' || p_partkey || '/__init__.py' AS path, CAST(0 AS BIGINT) AS n_users FROM part UNION ALL SELECT 'app' || p_partkey || '/late.py', 1 FROM part")
 def facades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of re-exports only, with their users (123)."""
     return code.facades(_files(spark, sf_dir))
@@ -130,7 +130,7 @@ def undeclared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVIDENCE = [("nextjs", "package.json", '"next"'), ("nextjs", "next.config", "module"), ("react", "package.json", '"react"'), ("vue", "package.json", '"vue"')]
 
 
-@query("SELECT * FROM (VALUES ('nextjs', 2), ('react', 1)) v(framework, n)")
+@query("SELECT 'nextjs' AS framework, 2 * count(*) AS n FROM part UNION ALL SELECT 'react', count(*) FROM part")
 def framework_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.frameworks(_files(spark, sf_dir), EVIDENCE)
 

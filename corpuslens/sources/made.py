@@ -31,6 +31,14 @@ def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(_text("parts/f", k.cast("string"), ".py").alias("path"), text.alias("text"))
 
 
+def projects(spark: SparkSession, sf_dir: str, files: list[tuple[str, str, str]]) -> DataFrame:
+    """path, lang and text of the given files for each part, with its number in place of ``{k}``."""
+    each = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("path", "lang", "text"), f)]) for f in files])
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"), F.explode(each).alias("f"))
+    put = lambda c: F.replace(F.col(f"f.{c}"), F.lit("{k}"), F.col("k")).alias(c)
+    return rows.select(put("path"), "f.lang", put("text"))
+
+
 def order_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path and text of a Python file for each customer: a function for each order, every one but each third calls the
     one before, names are of seven families, and functions use one of five modules."""
