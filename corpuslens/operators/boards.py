@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.operators.findings import confidence_rank
+from corpuslens.operators.graph import checkpointed
 from corpuslens.operators.layout import prefixes
 from corpuslens.operators.queue import rank_key
 
@@ -77,10 +78,29 @@ def matching(items: DataFrame, scope: str | None = None, status: str | None = "o
     return items.where(wanted)
 
 
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with rank from 1 in the given order: ranges are sorted each by itself and numbered from where the ranges
+    before them end, so no task sorts all rows. At the driver is a count for each range."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # written once: the ranges of a second evaluation could be others
+    placed = checkpointed(sorted_.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    counts, before, starts = sorted(placed.groupBy("_range").count().collect()), 0, []
+    for number, n in counts:
+        starts.append((number, before))
+        before += n
+    offsets = rows.sparkSession.createDataFrame(starts, "_range int, _before long")
+    return placed.join(F.broadcast(offsets), "_range").withColumn("rank", F.col("_before") + F.col("_place") + 1).drop("_range", "_place", "_before")
+
+
 def execution(items: DataFrame) -> DataFrame:
-    """Planned items that are not skipped, by the plan's order: as many rows as the plan has at most."""
-    planned = items.where(F.col("position").isNotNull() & ~F.col("is_skipped"))
-    return planned.withColumn("rank", F.row_number().over(Window.orderBy("position", "finding_id")))
+    """Planned items that are not skipped, ranked by the plan's order."""
+    return ranked(items.where(F.col("position").isNotNull() & ~F.col("is_skipped")), "position", "finding_id")
+
+
+def annotations(items: DataFrame) -> DataFrame:
+    """described, noted and n: items whose description, and whose note, is not blank, and all."""
+    there = lambda c: F.count_if(F.trim(F.coalesce(F.col(c), F.lit(""))) != "")
+    return items.agg(there("description").alias("described"), there("note").alias("noted"), F.count(F.lit(1)).alias("n"))
 
 
 def backlog(items: DataFrame, most: int) -> DataFrame:

@@ -101,3 +101,11 @@ def outlier_keys(rows: DataFrame, percent: int = 30, least: int = 3) -> DataFram
     both = odd.join(common, "cluster", "left").withColumn("d", F.levenshtein("key", "near"))
     best = F.min(F.struct("d", "near"))
     return both.groupBy("cluster", "key", "n", "size").agg(best.alias("b")).select("cluster", "key", "n", "size", F.when(F.col("b.d") <= 2, F.col("b.near")).alias("nearest"))
+
+
+def auto_resolved(findings: DataFrame, imported: DataFrame, holistic: list[str], dimensions: list[str], full_sweep: bool, now: str | None = None) -> DataFrame:
+    """findings that an import resolves: open ones of the holistic detectors whose id it does not hold, with their new
+    status (and time). Without a full sweep only those of the dimensions that the import covers are resolved."""
+    covered = holistic if full_sweep else [d for d in holistic if d in dimensions]
+    rows = findings.where((F.col("status") == "open") & F.col("detector").isin(covered)).join(imported.select("finding_id"), "finding_id", "left_anti")
+    return rows.withColumns({"status": F.lit("auto_resolved"), "resolved_at": F.lit(now).cast("timestamp")})

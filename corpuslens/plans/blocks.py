@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.operators import blocks
+from corpuslens.operators import blocks, crates
 from corpuslens.operators import code_rules as code
 from corpuslens.plans.registry import query
 from corpuslens.sources import made, tables
@@ -124,3 +124,52 @@ SELECT * FROM h WHERE kind IS NOT NULL""")
 def async_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locks held across an await, or that block (157)."""
     return blocks.async_locks(_blocks(spark, sf_dir, ".rs"))
+
+
+#: A crate and a web package for each part; each third crate has the second list too.
+PACKAGE = [
+    ("web{k}/c.ts", "ts", "export const used{k} = 1\nexport async function dead{k}() {}\nconst inner{k} = 2\nexport type Shape{k} = string\n"),
+    ("web{k}/d.ts", "ts", "import { used{k}, other as mine } from './c'\nexport { Shape{k} } from './c'\n"),
+    ("crate{k}/src/lib.rs", "rs", "unsafe impl Send for Held{k} {}\nunsafe impl<T> Sync for Free{k} {}\nimpl Held{k} {\n    pub fn into_parts(&self) -> u8 {\n        1\n    }\n    pub fn as_raw(self) -> u8 {\n        2\n    }\n"
+     "    pub fn get_name(&self) -> &str {\n        self.name\n    }\n    pub fn to_list(&self) -> Vec<u8> {\n        vec![]\n    }\n}\npub fn load{k}(p: &str) -> Result<u8, Box<dyn Error>> {\n    let x = p.parse().unwrap();\n    Ok(x)\n}\n"
+     "pub fn fine{k}() -> Result<u8, MyError> {\n    Ok(1)\n}\nfn hidden{k}() -> Result<u8, String> {\n    panic!(\"x\")\n}\n"),
+    ("crate{k}/tests/threads.rs", "rs", "assert_send::<Held{k}>();\n"),
+    ("crate{k}/README.md", "md", "# Title\n```rust\nlet a = 1;\n```\ntext\n```rust\nlet b = 2;\n```\n"),
+]
+WIRED = [("crate{k}/src/docs.rs", "rs", '#![doc = include_str!("../README.md")]\n')]
+
+
+def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wired = made.projects(spark, sf_dir, WIRED).where(F.regexp_extract("path", r"^crate(\d+)/", 1).cast("long") % 3 == 0)
+    return made.projects(spark, sf_dir, PACKAGE).union(wired).select("path", "text")
+
+
+@query("SELECT 'web' || p_partkey || '/c.ts' AS path, 'dead' || p_partkey AS name FROM part")
+def dead_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported names that nothing imports (147)."""
+    return crates.dead_exports(_packages(spark, sf_dir))
+
+
+@query("""SELECT 'crate' || p_partkey || '/src/lib.rs' AS path, n AS line_no, name, kind FROM part, (VALUES (4, 'into_parts', 'into_by_reference'),
+  (7, 'as_raw', 'as_by_value'), (10, 'get_name', 'getter_prefix')) v(n, name, kind)""")
+def api_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public methods whose names and receivers do not fit (161)."""
+    return crates.api_conventions(_packages(spark, sf_dir))
+
+
+@query("SELECT 'crate' || p_partkey || '/src/lib.rs' AS path, 'load' || p_partkey AS name, kind FROM part, (VALUES ('untyped_error'), ('panics')) v(kind)")
+def error_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public functions with untyped errors or panics (162)."""
+    return crates.error_boundaries(blocks.brace_blocks(_packages(spark, sf_dir).where(F.col("path").endswith(".rs"))))
+
+
+@query("SELECT 'crate' || p_partkey || '/src/lib.rs' AS path, 'Free' || p_partkey AS type, 'Sync' AS trait FROM part")
+def thread_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types declared Send or Sync by hand, without an assertion (164)."""
+    return crates.thread_contracts(_packages(spark, sf_dir))
+
+
+@query("SELECT 'crate' || p_partkey || '/README.md' AS path, 2 AS n FROM part WHERE p_partkey % 3 <> 0")
+def unwired_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples that no documentation test runs (166)."""
+    return crates.unwired_examples(_packages(spark, sf_dir))

@@ -78,10 +78,21 @@ def queue_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boards.matching(tables.work_items(spark, sf_dir), "area3", "open", 2).select("finding_id", "reopen_count")
 
 
-@query(BOARD + " SELECT finding_id, CAST(row_number() OVER (ORDER BY position, finding_id) AS INTEGER) AS rank FROM board WHERE position IS NOT NULL AND NOT is_skipped")
+@query(f"""WITH {WORK} SELECT finding_id, row_number() OVER (ORDER BY ord * 7 % 1000, finding_id) AS rank FROM work
+  WHERE status = 'open' AND NOT suppressed AND ord % 3 = 0 AND ord % 5 <> 0""")
 def execution_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan's items in its order (255)."""
-    return boards.execution(_board(spark, sf_dir)).select("finding_id", "rank")
+    """The plan's items in its order (255): a third of the open findings are planned, some of them skipped."""
+    w = tables.work_items(spark, sf_dir).where((F.col("status") == "open") & ~F.col("suppressed"))
+    planned = w.withColumns({"position": F.when(F.col("ord") % 3 == 0, F.col("ord") * 7 % 1000), "is_skipped": F.col("ord") % 5 == 0})
+    return boards.execution(planned).select("finding_id", "rank")
+
+
+@query(f"""WITH {WORK} SELECT count(*) FILTER (ord % 4 = 0) AS described, count(*) FILTER (ord % 6 = 0) AS noted, count(*) AS n FROM work WHERE ord % 3 = 0""")
+def annotation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planned items with a description and with a note; blanks are none (220)."""
+    plan = tables.work_items(spark, sf_dir).where("ord % 3 = 0")
+    text = F.when(F.col("ord") % 4 == 0, F.concat(F.lit("see "), "name")).when(F.col("ord") % 4 == 1, "  ")
+    return boards.annotations(plan.select(text.alias("description"), F.when(F.col("ord") % 6 == 0, F.col("file")).alias("note")))
 
 
 @query(BOARD + f", b AS (SELECT finding_id, impact, CAST(row_number() OVER (ORDER BY {KEY}) AS INTEGER) AS rank FROM board WHERE position IS NULL AND NOT is_skipped) SELECT * FROM b WHERE rank <= 50")

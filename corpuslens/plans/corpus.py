@@ -93,9 +93,31 @@ def _format_cases() -> str:
     return ", ".join(f"CASE WHEN regexp_matches(line, '{p}') THEN {{'label': '{label}', 'severity': '{s}'}} END" for label, p, s in scanning.SECRET_FORMATS)
 
 
-@query(f"WITH {LINES}, hits AS (SELECT path, line_no, unnest([{_format_cases()}]) AS r FROM lines) SELECT path, line_no, r.label AS label, r.severity AS severity FROM hits WHERE r IS NOT NULL")
+#: A text with a line in one of the formats for each part, made of its digest.
+LEAKS = """leaks AS (SELECT 'leaks/p' || p_partkey || '.txt' AS path, 'first' || chr(10) || CASE p_partkey % 8 WHEN 0 THEN 'AKIA' || upper(substr(h, 1, 16))
+  WHEN 1 THEN 'x ghp_' || h || h WHEN 2 THEN '-----BEGIN ' || 'RSA PRIVATE KEY-----' WHEN 3 THEN 'sk_live_' || h WHEN 4 THEN 'xoxb-' || h
+  WHEN 5 THEN 'eyJ' || substr(h, 1, 12) || '.eyJ' || substr(h, 1, 14) || '.' || h WHEN 6 THEN 'postgres://user:' || h || '@host' ELSE h END AS text
+  FROM (SELECT p_partkey, md5(CAST(p_partkey AS VARCHAR)) AS h FROM part))"""
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, h = F.col("p_partkey"), F.col("h")
+    forms = [
+        F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16))), F.concat(F.lit("x ghp_"), h, h), F.lit("-----BEGIN " + "RSA PRIVATE KEY-----"), F.concat(F.lit("sk_live_"), h),
+        F.concat(F.lit("xoxb-"), h), F.concat(F.lit("eyJ"), F.substring(h, 1, 12), F.lit(".eyJ"), F.substring(h, 1, 14), F.lit("."), h), F.concat(F.lit("postgres://user:"), h, F.lit("@host")), h,
+    ]
+    p = tables.table(spark, sf_dir, "part").select("p_partkey", F.md5(key.cast("string").cast("binary")).alias("h"))
+    line = F.element_at(F.array(*forms), (key % 8 + 1).cast("int"))
+    return p.select(F.concat(F.lit("leaks/p"), key.cast("string"), F.lit(".txt")).alias("path"), F.concat(F.lit("first\n"), line).alias("text"))
+
+
+@query(f"""WITH {DOCS}, {LEAKS}, lines AS (SELECT path, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS line
+  FROM (SELECT path, string_split(text, chr(10)) AS ls FROM docs UNION ALL SELECT path, string_split(text, chr(10)) FROM leaks)),
+hits AS (SELECT path, line_no, unnest([{_format_cases()}]) AS r FROM lines) SELECT path, line_no, r.label AS label, r.severity AS severity FROM hits WHERE r IS NOT NULL""")
 def secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanning.secret_formats(tables.documents(spark, sf_dir))
+    """Lines in the formats of secrets, in the documents and in texts made of the parts (104, 105)."""
+    docs = tables.documents(spark, sf_dir).select("path", "text")
+    return scanning.secret_formats(docs.union(_leaks(spark, sf_dir)))
 
 
 RULES_SQL = (
@@ -347,9 +369,9 @@ def adjusted_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zoned(spark, sf_dir).groupBy("lang").agg(F.greatest(F.count(F.lit(1)) - F.count_if(out), F.lit(0).cast("long")).alias("potential"))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3))) AS words FROM docs WHERE length(text) < 400")
+@query(f"WITH {DOCS} SELECT doc_id, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3))) AS words FROM docs")
 def word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.documents(spark, sf_dir).where(F.length("text") < 400).select("doc_id", T.word_set(F.col("text")).alias("words"))
+    return tables.documents(spark, sf_dir).select("doc_id", T.word_set(F.col("text")).alias("words"))
 
 
 @query(f"WITH {DOCS} SELECT doc_id, CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END AS short, regexp_replace(regexp_replace(lower(source || ' ' || lang), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM docs")

@@ -184,11 +184,15 @@ def passthrough_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "param", count("[(,] ?", "[,)]").alias("forwarded"), count("(?:^|[^A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])").alias("used"))
 
 
-@query(f"""WITH {WORK}, d AS (SELECT finding_id, detector FROM work WHERE status = 'open'
-  AND detector IN ('security', 'cycles')) SELECT finding_id, 'resolved' AS action FROM d WHERE detector = 'security'
-  AND finding_id NOT IN (SELECT finding_id FROM work WHERE tier = 1)""")
+IMPORTED = "imported AS (SELECT finding_id FROM work WHERE tier = 1)"
+
+
+@query(f"""WITH {WORK}, {IMPORTED}, c AS (SELECT finding_id, detector, unnest([false, true]) AS full_sweep FROM work WHERE status = 'open')
+SELECT finding_id, full_sweep, 'auto_resolved' AS status FROM c WHERE (CASE WHEN full_sweep THEN detector IN ('security', 'cycles', 'review')
+  ELSE detector IN ('security', 'cycles') END) AND finding_id NOT IN (SELECT finding_id FROM imported)""")
 def holistic_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open findings of covered dimensions that an import no longer holds (280)."""
+    """Open findings of covered dimensions that an import no longer holds, without and with a full sweep (280)."""
     w = tables.work_items(spark, sf_dir)
-    covered = w.where("status = 'open' AND detector = 'security'")
-    return covered.join(w.where("tier = 1").select("finding_id"), "finding_id", "left_anti").select("finding_id", F.lit("resolved").alias("action"))
+    imported, kinds = w.where("tier = 1").select("finding_id"), ["security", "cycles", "review"]
+    runs = [review.auto_resolved(w, imported, kinds, kinds[:2], sweep).select("finding_id", F.lit(sweep).alias("full_sweep"), "status") for sweep in (False, True)]
+    return runs[0].union(runs[1])
