@@ -37,6 +37,8 @@ MASK = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 KEY = struct.Struct("<?qB")
 FILE_BYTES = 1 << 24
+#: Bytes of text in a range of ids, which one task encodes.
+RANGE_BYTES = 256 << 20
 #: Spark's file names: the task that wrote a file and the file's number within the task.
 FILE_NAME = re.compile(r"part-(\d+)-.*?(?:-c(\d+))?(?:\.\w+)?$")
 
@@ -103,8 +105,11 @@ def write_records(
             yield content()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(spread, "doc_id").sortWithinPartitions("doc_id", "text")
+    # ranges follow the bytes of text; equal and null ids are parted by how their texts begin, in the order of texts
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    begins = F.substring("text", 1, 64)
+    ordered = rows.repartitionByRange(spread, F.col("doc_id"), begins).sortWithinPartitions("doc_id", "text")
     files = ordered.mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value"))
     files.write.options(lineSep="\n", maxRecordsPerFile=1, compression="none").text(out)
 

@@ -43,3 +43,19 @@ def test_files_are_cut_by_bytes(spark, tmp_path):
     ids = [*Tokenizer.from_file(WORD).encode(long, add_special_tokens=False).ids, 2]
     assert (found[1].n_tokens, found[1].ids_crc32) == (len(ids), zlib.crc32(array("I", ids).tobytes()))
     assert found[2].start == found[1].start + len(ids)
+
+
+def test_many_null_ids_are_parted(spark, tmp_path, monkeypatch):
+    """Rows without an id, and of one id, go to several ranges and stay in the order of their texts."""
+    monkeypatch.setattr(binary_records, "RANGE_BYTES", 4_000)
+    texts = [f"text {i * 7919 % 1000} of many" for i in range(900)]
+    rows = [(None, t) for t in texts] + [(5, t) for t in texts[:300]] + [(None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    index = binary_records.encode_to_records(docs, WORD, str(tmp_path / "out")).orderBy("start").collect()
+    assert len({(r.task, r.doc_id) for r in index if r.doc_id is None}) > 3
+    library, start = Tokenizer.from_file(WORD), 0
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    for r, (doc_id, text) in zip(index, ordered, strict=True):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, r.ids_crc32) == (doc_id, start, zlib.crc32(array("I", ids).tobytes()))
+        start += len(ids)
