@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.operators.boards import ranked
 from corpuslens.operators.graph import connected_components
 
 
@@ -105,6 +106,24 @@ def reconciled(plan: DataFrame, findings: DataFrame, renamed: DataFrame) -> Data
     return j.select("finding_id", F.when(F.col("live"), "kept").when(F.col("new_id").isNotNull(), "renamed").otherwise("dead").alias("state"), "new_id")
 
 
+def reconcile(plan: DataFrame, findings: DataFrame, renamed: DataFrame, triaged: DataFrame) -> DataFrame:
+    """finding_id, rank and step of a plan (finding_id, position) after a scan, in ordered passes.
+
+    Renamed ids are followed, if the new one is there; ids that no finding has go; an id that then stands twice keeps
+    its first place; open reviews that were never triaged are appended in the order of their ids. Ranks are from 1.
+    """
+    state = reconciled(plan, findings, renamed).join(plan.groupBy("finding_id").agg(F.min("position").alias("position")), "finding_id")
+    live = findings.select("finding_id").distinct()
+    moved = state.where("state = 'renamed'").select(F.col("new_id").alias("finding_id"), "position", "state").join(live, "finding_id", "left_semi")
+    kept = state.where("state = 'kept'").select("finding_id", "position", "state").unionByName(moved)
+    first = kept.groupBy("finding_id").agg(F.min(F.struct("position", "state")).alias("f")).select("finding_id", "f.position", F.col("f.state").alias("step"))
+    fresh = new_review_ids(findings, triaged).join(first.select("finding_id"), "finding_id", "left_anti")
+    appended = fresh.select("finding_id", F.lit(None).cast("long").alias("position"), F.lit("appended").alias("step"))
+    whole = first.select("finding_id", F.col("position").cast("long").alias("position"), "step").unionByName(appended)
+    placed = whole.withColumns({"_new": F.col("position").isNull(), "_place": F.coalesce("position", F.lit(0))})
+    return ranked(placed, "_new", "_place", "finding_id").select("finding_id", "rank", "step")
+
+
 def new_review_ids(findings: DataFrame, triaged: DataFrame) -> DataFrame:
     """Open review findings that were never triaged; none at all where nothing ever was."""
     fresh = findings.where("status = 'open' AND detector = 'review'").join(triaged, "finding_id", "left_anti")

@@ -147,6 +147,23 @@ def reconciled_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.reconciled(plan, w, spark.createDataFrame(RENAMED, "finding_id string, new_id string"))
 
 
+@query(f"""WITH {WORK}, p AS (SELECT finding_id, ord * 7 % 1000 AS position, CASE WHEN ord % 10 = 0 THEN 'renamed' ELSE 'kept' END AS step FROM work
+    WHERE tier = 1 AND status = 'open'),
+n AS (SELECT finding_id, NULL AS position, 'appended' AS step FROM work WHERE status = 'open' AND detector = 'review' AND tier > 2),
+a AS (SELECT * FROM p UNION ALL SELECT * FROM n)
+SELECT finding_id, row_number() OVER (ORDER BY position NULLS LAST, finding_id) AS rank, step FROM a""")
+def reconciled_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan after a scan, in ordered passes (271): some of its ids are old ones, some twice, some without a finding."""
+    w = tables.work_items(spark, sf_dir)
+    planned, turn, place = w.where("tier = 1 AND status = 'open'"), F.col("ord") % 10, F.col("ord") * 7 % 1000
+    old = F.concat(F.lit("old::"), "finding_id")
+    plan = planned.select(F.when(turn == 0, old).otherwise(F.col("finding_id")).alias("finding_id"), place.alias("position"))
+    again = planned.where(turn == 5).select("finding_id", (place + 5).alias("position"))
+    gone = planned.where(turn == 3).select(F.concat(F.lit("gone::"), "finding_id").alias("finding_id"), place.alias("position"))
+    renamed = planned.where(turn == 0).select(old.alias("finding_id"), F.col("finding_id").alias("new_id"))
+    return planning.reconcile(plan.union(again).union(gone), w, renamed, w.where("tier <= 2").select("finding_id"))
+
+
 @query(f"WITH {WORK} SELECT finding_id FROM work WHERE status = 'open' AND detector = 'review' AND finding_id NOT IN (SELECT finding_id FROM work WHERE tier <= 2)")
 def new_review_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tables.work_items(spark, sf_dir)

@@ -16,20 +16,26 @@ def _name(kind: str) -> str:
     return f"{kind}_{uuid.uuid4().hex[:8]}"
 
 
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a log of six files, a micro-batch each, in which a quarter come up to half a day late."""
+    path = events.as_files(events.table(spark, sf_dir), 6, _name("log"))
+    return events.in_order_of_name(spark, path, events.EVENTS, "log").withColumn("ts", events.instant("ts"))
+
+
 def _ntz(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: events.without_zone(c) for c in columns})
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_counts_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = events.drained(events.tumbling_counts(events.read_events(spark, sf_dir)), _name("tumbling"), "complete")
+    found = events.drained(events.tumbling_counts(_batches(spark, sf_dir)), _name("tumbling"), "complete")
     return _ntz(found.drop("total"), "start")
 
 
 @query("""WITH w AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start
   FROM events) SELECT start, count(*) AS n FROM w GROUP BY start""")
 def event_counts_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = events.drained(events.sliding_counts(events.read_events(spark, sf_dir)), _name("sliding"), "complete")
+    found = events.drained(events.sliding_counts(_batches(spark, sf_dir)), _name("sliding"), "complete")
     return _ntz(found, "start")
 
 
@@ -38,7 +44,7 @@ def event_counts_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
  s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
   SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS end, count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = events.drained(events.sessions(events.read_events(spark, sf_dir)), _name("sessions"), "complete")
+    found = events.drained(events.sessions(_batches(spark, sf_dir)), _name("sessions"), "complete")
     return _ntz(found, "start", "end")
 
 
@@ -53,19 +59,16 @@ s AS (SELECT user_id, arg_max(CASE WHEN kind = 'error' THEN 'open' WHEN errors >
 FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN s USING (user_id)""")
 def finding_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last state of each user's finding (2.11), over micro-batches that hold late events."""
-    path = events.as_files(events.table(spark, sf_dir), 6, _name("log"))
-    stream = events.in_order_of_name(spark, path, events.EVENTS, "log").withColumn("ts", events.instant("ts"))
     with events.rocksdb(spark):
-        return events.drained(events.finding_states(stream, "1 day"), _name("states"), "update", "user_id")
+        return events.drained(events.finding_states(_batches(spark, sf_dir), "1 day"), _name("states"), "update", "user_id")
 
 
-@query("""WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+@query("""WITH w AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
 SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events, w WHERE date_trunc('day',
   ts) + INTERVAL 1 DAY <= mark GROUP BY ALL""")
 def event_counts_on_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the days that the watermark has closed, in append mode: each day is given out once (2.11)."""
-    # one micro-batch: part files are in no order of time, so no row is late
-    found = events.appended(events.on_time(events.read_events(spark, sf_dir, None)), _name("on_time"))
+    found = events.appended(events.on_time(_batches(spark, sf_dir), late="1 day"), _name("on_time"))
     return _ntz(found.drop("total"), "start")
 
 
@@ -74,9 +77,8 @@ def event_counts_on_time(spark: SparkSession, sf_dir: str) -> DataFrame:
   GROUP BY user_id""")
 def changed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as units whose content is their last event, recomputed as they change, over batches with late rows (2.11)."""
-    path = events.as_files(events.table(spark, sf_dir), 6, _name("log"))
-    e = events.in_order_of_name(spark, path, events.EVENTS, "log")
-    log = e.select(F.col("user_id").cast("string").alias("unit"), F.col("event_id").cast("string").alias("digest"), events.instant("ts").alias("at"), F.col("event_id").cast("string").alias("id"))
+    e = _batches(spark, sf_dir)
+    log = e.select(F.col("user_id").cast("string").alias("unit"), F.col("event_id").cast("string").alias("digest"), F.col("ts").alias("at"), F.col("event_id").cast("string").alias("id"))
     made = events.recomputed(log, scratch_path(spark, "units"), scratch_path(spark, "units-progress"), F.concat("unit", F.lit(":"), "digest"))
     return made.select("unit", "digest", "result")
 
