@@ -141,20 +141,26 @@ def reachable(edges: DataFrame, seeds: DataFrame, rounds: list | None = None) ->
             changed = depth  # what is known takes the shortcuts too
 
 
-def connected_components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """node and root (smallest node of its component) of links(a, b), by smallest labels with shortcuts."""
-    both = checkpointed(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    for _ in range(most_rounds):
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        low = label.join(near, label["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("low"))
-        jump = label.select(F.col("node").alias("low"), F.col("root").alias("next"))
-        now = checkpointed(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("next", "low")).alias("root"), F.col("root").alias("was")))
-        changed = not now.where("root <> was").isEmpty()
-        label = now.select("node", "root")
-        if not changed:
-            return label
-    raise RuntimeError("the components did not settle")
+def connected_components(links: DataFrame) -> DataFrame:
+    """node and root (smallest node of its component) of links(a, b), also of nodes that are linked with themselves only.
+
+    Rounds of large and small stars: larger neighbours of a node go to its smallest one, then smaller ones do; the rounds
+    follow the logarithm of the longest path. It ends when the links are stars and stay the same.
+    """
+    nodes = checkpointed(links.select(F.col("a").alias("node")).union(links.select("b")).distinct())
+    now = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    while True:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = checkpointed(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 30))).alias("x"), F.bit_xor(F.xxhash64("v", "u")).alias("y")).first()
+        if state == before:
+            return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        before = state
 
 
 def trimmed(edges: DataFrame, most_rounds: int = 1, rounds: list | None = None) -> DataFrame:
