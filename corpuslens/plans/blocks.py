@@ -51,7 +51,7 @@ def stripped_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), code.without_comments(text).alias("body"))
 
 
-@query(f"WITH {PARTS} SELECT path, 'CACHE_' || k AS name, 'beta_two' AS unit, CAST(1 AS BIGINT) AS n FROM p WHERE k % 4 = 0")
+@query(f"""WITH {PARTS} SELECT path, 'CACHE_' || k AS name, 'beta_two' AS unit, CAST(1 AS BIGINT) AS n FROM p WHERE k % 4 = 0""")
 def mutable_globals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Module-level lists that a function changes (133)."""
     files = made.python_files(spark, sf_dir)
@@ -87,7 +87,8 @@ def brace_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", F.regexp_extract("head", r"(interface|function|if|return)[^\n]*$", 1).alias("head"), "line", "depth")
 
 
-@query(f"WITH {CUST} SELECT ts AS path, 'Card' || k || 'Props' AS name, 1 AS line, CAST(k % 20 AS INTEGER) AS n FROM c WHERE k % 20 > 14")
+@query(f"""WITH {CUST} SELECT ts AS path, 'Card' || k || 'Props' AS name, 1 AS line, CAST(k % 20 AS INTEGER) AS n FROM c WHERE
+  k % 20 > 14""")
 def prop_bloat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interfaces of more than 14 properties (142)."""
     return blocks.prop_bloat(_blocks(spark, sf_dir, ".ts"))
@@ -105,7 +106,8 @@ def boolean_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.boolean_states(_blocks(spark, sf_dir, ".ts"))
 
 
-@query(f"WITH {CUST} SELECT rs AS path, 'S' || k AS name, 'unwrap' AS kind FROM c WHERE k % 3 = 0 UNION ALL SELECT rs, 'S' || k, 'panic' FROM c WHERE k % 5 = 0")
+@query(f"""WITH {CUST} SELECT rs AS path, 'S' || k AS name, 'unwrap' AS kind FROM c WHERE k % 3 = 0 UNION ALL SELECT rs, 'S' ||
+  k, 'panic' FROM c WHERE k % 5 = 0""")
 def drop_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Destructors that can panic (158)."""
     return blocks.drop_hazards(_blocks(spark, sf_dir, ".rs"))
@@ -157,7 +159,8 @@ def api_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crates.api_conventions(_packages(spark, sf_dir))
 
 
-@query("SELECT 'crate' || p_partkey || '/src/lib.rs' AS path, 'load' || p_partkey AS name, kind FROM part, (VALUES ('untyped_error'), ('panics')) v(kind)")
+@query("""SELECT 'crate' || p_partkey || '/src/lib.rs' AS path, 'load' || p_partkey AS name, kind FROM part, (VALUES
+  ('untyped_error'), ('panics')) v(kind)""")
 def error_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Public functions with untyped errors or panics (162)."""
     return crates.error_boundaries(blocks.brace_blocks(_packages(spark, sf_dir).where(F.col("path").endswith(".rs"))))

@@ -319,7 +319,8 @@ def component_concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_rules.mixed_concerns(_components(spark, sf_dir))
 
 
-@query("SELECT 'web' || p_partkey || '/app.tsx' AS path, 6 AS depth, 'AProvider,BProvider,CProvider,DProvider,EProvider,FProvider' AS names FROM part")
+@query("""SELECT 'web' || p_partkey || '/app.tsx' AS path, 6 AS depth,
+  'AProvider,BProvider,CProvider,DProvider,EProvider,FProvider' AS names FROM part""")
 def context_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with more than five nested context providers (143); also tested against a loop."""
     return code_rules.context_nesting(_components(spark, sf_dir))

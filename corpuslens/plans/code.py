@@ -56,7 +56,9 @@ def smell_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.smell_counts(_files(spark, sf_dir))
 
 
-@query(f"WITH {FILE_SQL} SELECT path, CAST(len(string_split(text, chr(10))) - 1 AS INTEGER) AS loc, len(regexp_extract_all(text, '!important')) AS n_important FROM files WHERE regexp_matches(path, '\\.(css|scss)$') AND len(regexp_extract_all(text, '!important')) >= 8")
+@query(f"""WITH {FILE_SQL} SELECT path, CAST(len(string_split(text, chr(10))) - 1 AS INTEGER) AS loc,
+  len(regexp_extract_all(text, '!important')) AS n_important FROM files WHERE regexp_matches(path, '\\.(css|scss)$')
+  AND len(regexp_extract_all(text, '!important')) >= 8""")
 def asset_smells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.asset_smells(_files(spark, sf_dir))
 
@@ -73,7 +75,9 @@ def import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.import_edges(_files(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {IMPORTS}, r(a, b) AS (SELECT src, dst FROM edges WHERE NOT deferred UNION SELECT r.a, e.dst FROM r JOIN edges e ON e.src = r.b AND NOT e.deferred) SELECT x.a AS node, min(x.b) AS root FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1")
+@query(f"""WITH RECURSIVE {IMPORTS}, r(a, b) AS (SELECT src, dst FROM edges WHERE NOT deferred UNION SELECT r.a, e.dst FROM r
+  JOIN edges e ON e.src = r.b AND NOT e.deferred) SELECT x.a AS node, min(x.b) AS root FROM r x JOIN r y ON x.a =
+  y.b AND x.b = y.a GROUP BY x.a HAVING count(DISTINCT x.b) > 1""")
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Import cycles without deferred edges (86)."""
     return graph.strongly_connected(code.import_edges(_files(spark, sf_dir)).where("NOT deferred"))
@@ -90,7 +94,9 @@ def finalised_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS = ROWS + ", tok AS (SELECT path, unnest(string_split_regex(text, '\\W+')) AS name FROM files)"
 
 
-@query(f"WITH {TOKENS}, n AS (SELECT name, count(*) AS n FROM tok WHERE name <> '' GROUP BY name) SELECT path, regexp_extract(line, '^def (\\w+)', 1) AS name FROM ls JOIN n ON n.name = regexp_extract(line, '^def (\\w+)', 1) AND n.n = 1 WHERE lang = 'python' AND regexp_matches(line, '^def _[^_]')")
+@query(f"""WITH {TOKENS}, n AS (SELECT name, count(*) AS n FROM tok WHERE name <> '' GROUP BY name) SELECT path,
+  regexp_extract(line, '^def (\\w+)', 1) AS name FROM ls JOIN n ON n.name = regexp_extract(line, '^def (\\w+)', 1)
+  AND n.n = 1 WHERE lang = 'python' AND regexp_matches(line, '^def _[^_]')""")
 def uncalled_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.uncalled(_files(spark, sf_dir))
 
@@ -98,7 +104,9 @@ def uncalled_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENUM = "^class (\\w+)\\((?:str, |int, )?(?:Enum|StrEnum|IntEnum)\\)"
 
 
-@query(f"WITH {TOKENS}, e AS (SELECT path, regexp_extract(line, '{ENUM}', 1) AS name FROM ls WHERE lang = 'python' AND regexp_matches(line, '{ENUM}')) SELECT path, name FROM e WHERE NOT EXISTS (SELECT 1 FROM tok t WHERE t.name = e.name AND t.path <> e.path)")
+@query(f"""WITH {TOKENS}, e AS (SELECT path, regexp_extract(line, '{ENUM}', 1) AS name FROM ls WHERE lang = 'python' AND
+  regexp_matches(line, '{ENUM}')) SELECT path, name FROM e WHERE NOT EXISTS (SELECT 1 FROM tok t WHERE t.name =
+  e.name AND t.path <> e.path)""")
 def unused_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.unused_enums(_files(spark, sf_dir))
 
@@ -106,18 +114,23 @@ def unused_enums(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRIVATE = "^\\s*from\\s+([\\w.]+)\\s+import\\s+(_[a-z]\\w*)"
 
 
-@query(f"WITH {ROWS} SELECT path, regexp_extract(line, '{PRIVATE}', 1) AS module, regexp_extract(line, '{PRIVATE}', 2) AS symbol FROM ls WHERE lang = 'python' AND regexp_matches(line, '{PRIVATE}') AND split_part(path, '/', 1) <> split_part(regexp_extract(line, '{PRIVATE}', 1), '.', 1)")
+@query(f"""WITH {ROWS} SELECT path, regexp_extract(line, '{PRIVATE}', 1) AS module, regexp_extract(line, '{PRIVATE}', 2) AS
+  symbol FROM ls WHERE lang = 'python' AND regexp_matches(line, '{PRIVATE}') AND split_part(path, '/', 1) <>
+  split_part(regexp_extract(line, '{PRIVATE}', 1), '.', 1)""")
 def private_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.private_imports(_files(spark, sf_dir))
 
 
-@query("SELECT 'app' || p_partkey || '/__init__.py' AS path, CAST(0 AS BIGINT) AS n_users FROM part UNION ALL SELECT 'app' || p_partkey || '/late.py', 1 FROM part")
+@query("""SELECT 'app' || p_partkey || '/__init__.py' AS path, CAST(0 AS BIGINT) AS n_users FROM part UNION ALL SELECT 'app'
+  || p_partkey || '/late.py', 1 FROM part""")
 def facades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of re-exports only, with their users (123)."""
     return code.facades(_files(spark, sf_dir))
 
 
-@query(f"WITH {TOKENS}, d AS (SELECT path, unnest(regexp_extract_all(text, '@deprecated[^\\n]*\\n\\s*(?:export )?(?:function|const|class) (\\w+)', 1)) AS symbol FROM files) SELECT d.path, symbol, count(DISTINCT t.path) - 1 AS n_users FROM d JOIN tok t ON t.name = symbol GROUP BY ALL")
+@query(f"""WITH {TOKENS}, d AS (SELECT path, unnest(regexp_extract_all(text,
+  '@deprecated[^\\n]*\\n\\s*(?:export )?(?:function|const|class) (\\w+)', 1)) AS symbol FROM files) SELECT d.path,
+  symbol, count(DISTINCT t.path) - 1 AS n_users FROM d JOIN tok t ON t.name = symbol GROUP BY ALL""")
 def deprecated_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.deprecated(_files(spark, sf_dir))
 

@@ -19,7 +19,8 @@ def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.file_scan(docs, [".txt"], ["de", "src1*"]).select("path")
 
 
-@query(f"WITH {DOCS} SELECT path, (lang = 'fr') AS is_dir, length(source) = 5 AS is_glob, starts_with(path, 'src2/en/') AS is_prefix FROM docs")
+@query(f"""WITH {DOCS} SELECT path, (lang = 'fr') AS is_dir, length(source) = 5 AS is_glob, starts_with(path, 'src2/en/') AS
+  is_prefix FROM docs""")
 def exclusion_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.documents(spark, sf_dir)
     p = F.col("path")
@@ -31,19 +32,22 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.lines(tables.documents(spark, sf_dir), "path")
 
 
-@query(f"WITH {DOCS} SELECT path, CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS loc FROM docs")
+@query(f"""WITH {DOCS} SELECT path, CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE len(string_split(text, chr(10))) -
+  CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS loc FROM docs""")
 def loc_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.documents(spark, sf_dir).select("path", T.line_count(F.col("text")).alias("loc"))
 
 
-@query(f"WITH {DOCS} SELECT path, array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)) AS around FROM docs WHERE len(string_split(text, chr(10))) >= 2")
+@query(f"""WITH {DOCS} SELECT path, array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)) AS around FROM docs
+  WHERE len(string_split(text, chr(10))) >= 2""")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line of context around the second line."""
     out = tables.documents(spark, sf_dir).select("path", T.snippet(F.col("text"), F.lit(2), 1).alias("around"))
     return out.where(F.col("around").isNotNull())
 
 
-@query(f"WITH {DOCS} SELECT source || '/' || lang AS area, count(*) AS n_files, sum(length(text)) AS n_chars FROM docs GROUP BY ALL")
+@query(f"""WITH {DOCS} SELECT source || '/' || lang AS area, count(*) AS n_files, sum(length(text)) AS n_chars FROM docs GROUP
+  BY ALL""")
 def area_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.documents(spark, sf_dir).groupBy(T.area(F.col("path")).alias("area")).agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length("text")).alias("n_chars"))
 
@@ -56,7 +60,8 @@ def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = ["the", "token", "License", "der", "que"]
 
 
-@query(f"WITH {DOCS}, m AS (SELECT path, unnest(list_intersect(string_split_regex(text, '[^\\p{{L}}\\p{{N}}_]+'), {NAMES})) AS name FROM docs) SELECT name, count(*) AS n_files, min(path) AS first_file FROM m GROUP BY name")
+@query(f"""WITH {DOCS}, m AS (SELECT path, unnest(list_intersect(string_split_regex(text, '[^\\p{{L}}\\p{{N}}_]+'), {NAMES}))
+  AS name FROM docs) SELECT name, count(*) AS n_files, min(path) AS first_file FROM m GROUP BY name""")
 def multi_name_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanning.files_by_name(tables.documents(spark, sf_dir), NAMES)
 
@@ -133,14 +138,17 @@ CODE = [
 CODE_SQL = "code AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in CODE) + ") v(path, text) UNION ALL SELECT doc_id + 100, text FROM documents)"
 
 
-@query(f"WITH {CODE_SQL}, ls AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM code), hits AS (SELECT path, line_no, unnest([{RULES_SQL}]) AS rule FROM ls) SELECT path, line_no, rule FROM hits WHERE rule IS NOT NULL")
+@query(f"""WITH {CODE_SQL}, ls AS (SELECT path, unnest(string_split(text, chr(10))) AS line,
+  generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM code), hits AS (SELECT path, line_no,
+  unnest([{RULES_SQL}]) AS rule FROM ls) SELECT path, line_no, rule FROM hits WHERE rule IS NOT NULL""")
 def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insecure random numbers, weak TLS and sensitive logging over lines of code (107-109)."""
     docs = tables.documents(spark, sf_dir).select((F.col("doc_id") + 100).alias("path"), "text")
     return scanning.line_rules(docs.union(spark.createDataFrame(CODE, "path long, text string")))
 
 
-@query(f"WITH {DOCS}, n AS (SELECT path, len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END AS loc FROM docs WHERE length(text) > 0) SELECT path, loc FROM n WHERE loc > 20")
+@query(f"""WITH {DOCS}, n AS (SELECT path, len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0
+  END AS loc FROM docs WHERE length(text) > 0) SELECT path, loc FROM n WHERE loc > 20""")
 def large_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.documents(spark, sf_dir).select("path", T.line_count(F.col("text")).alias("loc"))
     return docs.where(F.col("loc") > 20).orderBy(F.desc("loc"), "path")
@@ -189,7 +197,9 @@ def pattern_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanning.census_anomalies(_census(spark, sf_dir), 3, 90)
 
 
-@query(f"WITH {DOCS}, m AS (SELECT path, CAST(regexp_matches(text, '\\|') AS INTEGER) + CAST(regexp_matches(text, '@[a-z]') AS INTEGER) + CAST(regexp_matches(text, '[0-9]{{5,}}') AS INTEGER) + CAST(regexp_matches(text, '=') AS INTEGER) AS n_concerns FROM docs) SELECT * FROM m WHERE n_concerns >= 2")
+@query(f"""WITH {DOCS}, m AS (SELECT path, CAST(regexp_matches(text, '\\|') AS INTEGER) + CAST(regexp_matches(text, '@[a-z]')
+  AS INTEGER) + CAST(regexp_matches(text, '[0-9]{{5,}}') AS INTEGER) + CAST(regexp_matches(text, '=') AS INTEGER) AS
+  n_concerns FROM docs) SELECT * FROM m WHERE n_concerns >= 2""")
 def mixed_concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that show at least two of four families of content (141)."""
     t = F.col("text")
@@ -197,7 +207,9 @@ def mixed_concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.documents(spark, sf_dir).select("path", n.alias("n_concerns")).where("n_concerns >= 2")
 
 
-@query(f"WITH {LINES} SELECT DISTINCT path, line_no, CASE WHEN regexp_matches(line, '[a-z]+@[a-z.]+') THEN regexp_extract(line, '([a-z]+)@[a-z.]+', 1) ELSE 'unknown' END AS tag FROM lines WHERE regexp_matches(line, '[a-z]+@[a-z.]+') OR regexp_matches(line, '[0-9]{{10,}}')")
+@query(f"""WITH {LINES} SELECT DISTINCT path, line_no, CASE WHEN regexp_matches(line, '[a-z]+@[a-z.]+') THEN
+  regexp_extract(line, '([a-z]+)@[a-z.]+', 1) ELSE 'unknown' END AS tag FROM lines WHERE regexp_matches(line,
+  '[a-z]+@[a-z.]+') OR regexp_matches(line, '[0-9]{{10,}}')""")
 def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a line that either of two patterns tags (140)."""
     rows = tables.lines(tables.documents(spark, sf_dir), "path")
@@ -205,7 +217,9 @@ def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(mail | F.col("line").rlike("[0-9]{10,}")).select("path", "line_no", F.when(mail, F.regexp_extract("line", "([a-z]+)@[a-z.]+", 1)).otherwise("unknown").alias("tag")).dropDuplicates(["path", "line_no"])
 
 
-@query(f"WITH {LINES}, steps AS (SELECT path, line_no, CASE WHEN contains(line, '|') THEN 1 ELSE -1 END AS step FROM lines), run AS (SELECT path, greatest(sum(step) OVER (PARTITION BY path ORDER BY line_no), 0) AS depth FROM steps) SELECT path, CAST(max(depth) AS BIGINT) AS depth FROM run GROUP BY path HAVING max(depth) >= 1")
+@query(f"""WITH {LINES}, steps AS (SELECT path, line_no, CASE WHEN contains(line, '|') THEN 1 ELSE -1 END AS step FROM lines),
+  run AS (SELECT path, greatest(sum(step) OVER (PARTITION BY path ORDER BY line_no), 0) AS depth FROM steps) SELECT
+  path, CAST(max(depth) AS BIGINT) AS depth FROM run GROUP BY path HAVING max(depth) >= 1""")
 def nesting_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest running depth of opening over closing lines (143)."""
     step = F.when(F.col("line").contains("|"), 1).otherwise(-1)
@@ -221,7 +235,8 @@ def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.exact_groups(tables.documents(spark, sf_dir))
 
 
-@query(f"WITH {NORM}, g AS (SELECT digest, min(doc_id) AS first FROM norm GROUP BY digest) SELECT first AS doc_a, doc_id AS doc_b FROM norm JOIN g USING (digest) WHERE doc_id > first")
+@query(f"""WITH {NORM}, g AS (SELECT digest, min(doc_id) AS first FROM norm GROUP BY digest) SELECT first AS doc_a, doc_id AS
+  doc_b FROM norm JOIN g USING (digest) WHERE doc_id > first""")
 def exact_dup_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal units, each linked with the first of its group (74)."""
     return duplicates.exact_links(tables.documents(spark, sf_dir))
@@ -363,24 +378,30 @@ def zone_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zoned(spark, sf_dir).groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {ZONED} SELECT lang, greatest(count(*) - count(*) FILTER (zone IN ('test', 'config', 'generated', 'vendor')), 0) AS potential FROM zoned GROUP BY lang")
+@query(f"""WITH {ZONED} SELECT lang, greatest(count(*) - count(*) FILTER (zone IN ('test', 'config', 'generated', 'vendor')),
+  0) AS potential FROM zoned GROUP BY lang""")
 def adjusted_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = F.col("zone").isin("test", "config", "generated", "vendor")
     return _zoned(spark, sf_dir).groupBy("lang").agg(F.greatest(F.count(F.lit(1)) - F.count_if(out), F.lit(0).cast("long")).alias("potential"))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3))) AS words FROM docs")
+@query(f"""WITH {DOCS} SELECT doc_id, list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text),
+  '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3))) AS words FROM docs""")
 def word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.documents(spark, sf_dir).select("doc_id", T.word_set(F.col("text")).alias("words"))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END AS short, regexp_replace(regexp_replace(lower(source || ' ' || lang), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM docs")
+@query(f"""WITH {DOCS} SELECT doc_id, CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END AS short,
+  regexp_replace(regexp_replace(lower(source || ' ' || lang), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
+  FROM docs""")
 def light_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows made light: shortened texts and slugs (34, scalar functions)."""
     return tables.documents(spark, sf_dir).select("doc_id", T.shortened(F.col("text"), 40).alias("short"), T.slug(F.concat_ws(" ", "source", "lang")).alias("slug"))
 
 
-@query(f"WITH {DOCS} SELECT count(*) AS n_files, CAST(sum(CASE WHEN length(text) = 0 THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END) AS BIGINT) AS loc, count(DISTINCT source || '/' || lang) AS n_dirs FROM docs")
+@query(f"""WITH {DOCS} SELECT count(*) AS n_files, CAST(sum(CASE WHEN length(text) = 0 THEN 0 ELSE len(string_split(text,
+  chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END) AS BIGINT) AS loc, count(DISTINCT source ||
+  '/' || lang) AS n_dirs FROM docs""")
 def corpus_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.documents(spark, sf_dir)
     return docs.agg(F.count(F.lit(1)).alias("n_files"), F.sum(T.line_count(F.col("text")).cast("long")).alias("loc"), F.count_distinct(T.area(F.col("path"))).alias("n_dirs"))

@@ -17,28 +17,37 @@ def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("area"))
 
 
-@query(f"WITH {EDGES}, {SIMPLE}, i AS (SELECT dst AS node, count(*) AS fan_in FROM e GROUP BY 1), o AS (SELECT src AS node, count(*) AS fan_out FROM e GROUP BY 1) SELECT node, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM i FULL JOIN o USING (node)")
+@query(f"""WITH {EDGES}, {SIMPLE}, i AS (SELECT dst AS node, count(*) AS fan_in FROM e GROUP BY 1), o AS (SELECT src AS node,
+  count(*) AS fan_out FROM e GROUP BY 1) SELECT node, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out
+  FROM i FULL JOIN o USING (node)""")
 def fan_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(tables.trade_edges(spark, sf_dir))
 
 
-@query(f"WITH {EDGES}, {SIMPLE}, i AS (SELECT dst AS node, count(*) AS fan_in FROM e GROUP BY 1), o AS (SELECT src AS node, count(*) AS fan_out FROM e GROUP BY 1), d AS (SELECT node, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM i FULL JOIN o USING (node)) SELECT node, fan_in, fan_out, CAST(fan_out AS DOUBLE) / (fan_in + fan_out) AS instability FROM d")
+@query(f"""WITH {EDGES}, {SIMPLE}, i AS (SELECT dst AS node, count(*) AS fan_in FROM e GROUP BY 1), o AS (SELECT src AS node,
+  count(*) AS fan_out FROM e GROUP BY 1), d AS (SELECT node, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS
+  fan_out FROM i FULL JOIN o USING (node)) SELECT node, fan_in, fan_out, CAST(fan_out AS DOUBLE) / (fan_in +
+  fan_out) AS instability FROM d""")
 def instability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.instability(graph.degrees(tables.trade_edges(spark, sf_dir)))
 
 
-@query(f"WITH {EDGES} SELECT src, dst, n, a.n_regionkey AS src_area, b.n_regionkey AS dst_area FROM edges JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst WHERE a.n_regionkey <> b.n_regionkey")
+@query(f"""WITH {EDGES} SELECT src, dst, n, a.n_regionkey AS src_area, b.n_regionkey AS dst_area FROM edges JOIN nation a ON
+  a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst WHERE a.n_regionkey <> b.n_regionkey""")
 def cross_area_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.cross_area(tables.trade_edges(spark, sf_dir), _nations(spark, sf_dir))
     return found.select("src", "dst", "n", "src_area", "dst_area")
 
 
-@query(f"WITH {EDGES} SELECT count(*) FILTER (src < 5 AND dst >= 20) AS violating, count(*) FILTER (src < 5 AND (dst >= 20 OR dst < 5)) AS eligible FROM edges")
+@query(f"""WITH {EDGES} SELECT count(*) FILTER (src < 5 AND dst >= 20) AS violating, count(*) FILTER (src < 5 AND (dst >= 20 OR
+  dst < 5)) AS eligible FROM edges""")
 def backward_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.backward(tables.trade_edges(spark, sf_dir), lambda c: F.col(c) < 5, lambda c: F.col(c) >= 20)
 
 
-@query(f"WITH {HREFS}, u AS (SELECT href, regexp_extract(url, 'example.com/([a-z]+)/', 1) AS area, page_id FROM links JOIN pages USING (page_id)) SELECT href AS node, min(area) AS area, count(DISTINCT page_id) AS n_users FROM u GROUP BY href HAVING min(area) = max(area)")
+@query(f"""WITH {HREFS}, u AS (SELECT href, regexp_extract(url, 'example.com/([a-z]+)/', 1) AS area, page_id FROM links JOIN
+  pages USING (page_id)) SELECT href AS node, min(area) AS area, count(DISTINCT page_id) AS n_users FROM u GROUP BY
+  href HAVING min(area) = max(area)""")
 def boundary_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links that only pages of one area (the language in their address) use."""
     users = tables.page_links(spark, sf_dir).select(F.col("page_id").cast("string").alias("src"), F.col("href").alias("dst"))
@@ -46,14 +55,16 @@ def boundary_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.boundary_candidates(users, areas)
 
 
-@query("SELECT l_partkey AS node, min(l_orderkey) AS user FROM lineitem WHERE l_quantity >= 50 AND l_partkey <> l_orderkey GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) = 1")
+@query("""SELECT l_partkey AS node, min(l_orderkey) AS user FROM lineitem WHERE l_quantity >= 50 AND l_partkey <> l_orderkey
+  GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) = 1""")
 def single_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that exactly one order takes in a large quantity."""
     l = tables.table(spark, sf_dir, "lineitem").where("l_quantity >= 50")
     return graph.single_use(l.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
 
 
-@query("SELECT c_custkey AS node FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000 AND o_custkey <> o_orderkey)")
+@query("""SELECT c_custkey AS node FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND
+  o_totalprice > 300000 AND o_custkey <> o_orderkey)""")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers that no large order enters."""
     nodes = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
@@ -93,7 +104,8 @@ def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.strongly_connected(_order_chain(spark, sf_dir))
 
 
-@query(f"WITH {ORDER_CHAIN}, g AS (SELECT node, min(node) OVER w AS root, count(*) OVER w AS n FROM o WINDOW w AS (PARTITION BY block)) SELECT node, root FROM g WHERE n > 1")
+@query(f"""WITH {ORDER_CHAIN}, g AS (SELECT node, min(node) OVER w AS root, count(*) OVER w AS n FROM o WINDOW w AS (PARTITION
+  BY block)) SELECT node, root FROM g WHERE n > 1""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected groups of at least two orders."""
     links = _order_chain(spark, sf_dir).where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
@@ -137,7 +149,11 @@ def trade_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(edges, spark.createDataFrame([(0,)], "node int"))
 
 
-@query(f"WITH {HREFS}, w AS (SELECT DISTINCT page_id, href FROM links), used AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '>([A-Za-z,.]+)</a>', 1)) AS word FROM pages), f AS (SELECT coalesce(w.page_id, u.page_id) AS page_id, coalesce(substr(w.href, 2), u.word) AS key, w.href IS NOT NULL AS written, u.word IS NOT NULL AS read FROM w FULL JOIN used u ON w.page_id = u.page_id AND substr(w.href, 2) = u.word) SELECT page_id, key, written, read FROM f WHERE NOT (written AND read)")
+@query(f"""WITH {HREFS}, w AS (SELECT DISTINCT page_id, href FROM links), used AS (SELECT DISTINCT page_id,
+  unnest(regexp_extract_all(html, '>([A-Za-z,.]+)</a>', 1)) AS word FROM pages), f AS (SELECT coalesce(w.page_id,
+  u.page_id) AS page_id, coalesce(substr(w.href, 2), u.word) AS key, w.href IS NOT NULL AS written, u.word IS NOT
+  NULL AS read FROM w FULL JOIN used u ON w.page_id = u.page_id AND substr(w.href, 2) = u.word) SELECT page_id, key,
+  written, read FROM f WHERE NOT (written AND read)""")
 def one_sided_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys written but not read, or read but not written, in one scope (128): hrefs against link texts."""
     pages = tables.table(spark, sf_dir, "pages")
@@ -147,14 +163,17 @@ def one_sided_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where("NOT (written AND read)")
 
 
-@query("SELECT p_name AS name, p_size AS value, count(DISTINCT p_brand) AS n_files FROM part GROUP BY ALL HAVING count(DISTINCT p_brand) > 1")
+@query("""SELECT p_name AS name, p_size AS value, count(DISTINCT p_brand) AS n_files FROM part GROUP BY ALL HAVING
+  count(DISTINCT p_brand) > 1""")
 def duplicate_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same (name, value) in several files (129): part names and sizes over brands."""
     part = tables.table(spark, sf_dir, "part")
     return part.groupBy(F.col("p_name").alias("name"), F.col("p_size").alias("value")).agg(F.count_distinct("p_brand").alias("n_files")).where("n_files > 1")
 
 
-@query("SELECT p_name AS name, count(*) AS n, count(DISTINCT p_brand) AS n_files, count(DISTINCT p_type) AS n_signatures, count(DISTINCT p_size) AS n_returns FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) >= 3 AND (count(DISTINCT p_type) >= 2 OR count(DISTINCT p_size) >= 2)")
+@query("""SELECT p_name AS name, count(*) AS n, count(DISTINCT p_brand) AS n_files, count(DISTINCT p_type) AS n_signatures,
+  count(DISTINCT p_size) AS n_returns FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) >= 3 AND
+  (count(DISTINCT p_type) >= 2 OR count(DISTINCT p_size) >= 2)""")
 def signature_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in at least three files with at least two signatures or return kinds (101)."""
     part = tables.table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name"))

@@ -19,7 +19,11 @@ DEFAULTS = [("Code quality",), ("Security",), ("Duplication",), ("Naming",)]
 SCORED = [("Security", 120.5), ("Naming", -3.0), ("Extra", 55.0)]
 
 
-@query(f"WITH {WORK}, o AS (SELECT dimension, count(*) AS failing FROM work JOIN {CATALOG_SQL} USING (detector) WHERE status = 'open' GROUP BY dimension), j AS (SELECT dimension, score FROM {_values(DEFAULTS)} d(dimension) FULL JOIN {_values(SCORED)} s(dimension, score) USING (dimension)) SELECT dimension, CAST(least(100.0, greatest(0.0, coalesce(score, 0.0))) AS DOUBLE) AS score, score IS NULL AS placeholder, coalesce(failing, 0) AS failing FROM j LEFT JOIN o USING (dimension)")
+@query(f"""WITH {WORK}, o AS (SELECT dimension, count(*) AS failing FROM work JOIN {CATALOG_SQL} USING (detector) WHERE status
+  = 'open' GROUP BY dimension), j AS (SELECT dimension, score FROM {_values(DEFAULTS)} d(dimension) FULL JOIN
+  {_values(SCORED)} s(dimension, score) USING (dimension)) SELECT dimension, CAST(least(100.0, greatest(0.0,
+  coalesce(score, 0.0))) AS DOUBLE) AS score, score IS NULL AS placeholder, coalesce(failing, 0) AS failing FROM j
+  LEFT JOIN o USING (dimension)""")
 def subjective_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Default and assessed dimensions with clamped scores and open reviews (187, 200)."""
     reviews = tables.work_items(spark, sf_dir).join(spark.createDataFrame(CATALOG, "detector string, dimension string"), "detector")
@@ -32,7 +36,10 @@ def carried_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.carried_forward(before, _dims(spark, sf_dir).where("mode = 'strict'"))
 
 
-@query(f"WITH {WORK}, r AS (SELECT detector, CAST(count(*) FILTER (status = 'open') AS DOUBLE) / count(*) AS confidence FROM work GROUP BY detector) SELECT dimension, min(confidence) AS confidence, array_to_string(list_sort(list_distinct(list(detector))), ',') AS detectors FROM r JOIN {CATALOG_SQL} USING (detector) GROUP BY dimension")
+@query(f"""WITH {WORK}, r AS (SELECT detector, CAST(count(*) FILTER (status = 'open') AS DOUBLE) / count(*) AS confidence FROM
+  work GROUP BY detector) SELECT dimension, min(confidence) AS confidence,
+  array_to_string(list_sort(list_distinct(list(detector))), ',') AS detectors FROM r JOIN {CATALOG_SQL} USING
+  (detector) GROUP BY dimension""")
 def coverage_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimensions whose detectors see less: the share of open findings stands for what a detector could cover (191)."""
     seen = F.count_if(F.col("status") == "open").cast("double") / F.count(F.lit(1))
@@ -56,7 +63,10 @@ def biggest_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 ACTIONS = [("smells", "auto_fix"), ("naming", "reorganize"), ("security", "manual_fix")]
 
 
-@query(f"WITH {WORK}, o AS (SELECT detector, count(*) AS n FROM work WHERE status = 'open' GROUP BY detector), s AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(CASE WHEN action = 'auto_fix' THEN n ELSE 0 END) AS BIGINT) AS fixable FROM o LEFT JOIN {_values(ACTIONS)} a(detector, action) USING (detector)) SELECT total, fixable, CAST(fixable AS DOUBLE) / total AS share FROM s")
+@query(f"""WITH {WORK}, o AS (SELECT detector, count(*) AS n FROM work WHERE status = 'open' GROUP BY detector), s AS (SELECT
+  CAST(sum(n) AS BIGINT) AS total, CAST(sum(CASE WHEN action = 'auto_fix' THEN n ELSE 0 END) AS BIGINT) AS fixable
+  FROM o LEFT JOIN {_values(ACTIONS)} a(detector, action) USING (detector)) SELECT total, fixable, CAST(fixable AS
+  DOUBLE) / total AS share FROM s""")
 def fixer_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tables.work_items(spark, sf_dir).where("status = 'open'").groupBy("detector").agg(F.count(F.lit(1)).alias("n"))
     return planning.leverage(counts, spark.createDataFrame(ACTIONS, "detector string, action string"))
@@ -65,14 +75,18 @@ def fixer_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 RISKS = [("much_debt", "debt", 0.2, 2), ("many_reopened", "reopened", 0.9, 1), ("suppression", "hidden", 0.01, 3)]
 
 
-@query(f"WITH {WORK}, t AS (SELECT CAST(count(*) FILTER (status = 'wontfix') AS DOUBLE) / count(*) AS debt, CAST(count(*) FILTER (reopen_count > 0) AS DOUBLE) / count(*) AS reopened, CAST(count(*) FILTER (suppressed) AS DOUBLE) / count(*) AS hidden FROM work) SELECT 'much_debt' AS flag, 2 AS severity FROM t WHERE debt > 0.2 UNION ALL SELECT 'many_reopened', 1 FROM t WHERE reopened > 0.9 UNION ALL SELECT 'suppression', 3 FROM t WHERE hidden > 0.01")
+@query(f"""WITH {WORK}, t AS (SELECT CAST(count(*) FILTER (status = 'wontfix') AS DOUBLE) / count(*) AS debt, CAST(count(*)
+  FILTER (reopen_count > 0) AS DOUBLE) / count(*) AS reopened, CAST(count(*) FILTER (suppressed) AS DOUBLE) /
+  count(*) AS hidden FROM work) SELECT 'much_debt' AS flag, 2 AS severity FROM t WHERE debt > 0.2 UNION ALL SELECT
+  'many_reopened', 1 FROM t WHERE reopened > 0.9 UNION ALL SELECT 'suppression', 3 FROM t WHERE hidden > 0.01""")
 def risk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = lambda c: F.count_if(c) / F.count(F.lit(1))
     totals = tables.work_items(spark, sf_dir).agg(share(F.col("status") == "wontfix").alias("debt"), share(F.col("reopen_count") > 0).alias("reopened"), share(F.col("suppressed")).alias("hidden"))
     return planning.risk_flags(totals, RISKS)
 
 
-@query(f"WITH {WORK}, d AS (SELECT file AS fingerprint, count(*) AS n, count(*) FILTER (status = 'open') AS k FROM work WHERE tier = 1 GROUP BY file) SELECT fingerprint, n FROM d WHERE k > 0")
+@query(f"""WITH {WORK}, d AS (SELECT file AS fingerprint, count(*) AS n, count(*) FILTER (status = 'open') AS k FROM work WHERE
+  tier = 1 GROUP BY file) SELECT fingerprint, n FROM d WHERE k > 0""")
 def live_dismissals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dismissals that still have an open source (215)."""
     w = tables.work_items(spark, sf_dir)
@@ -80,7 +94,10 @@ def live_dismissals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.live_dismissals(dismissed, w).select("fingerprint", F.size("sources").cast("long").alias("n"))
 
 
-@query(f"WITH {WORK}, c AS (SELECT DISTINCT 'file::' || file AS fingerprint, 'file' AS kind FROM work WHERE status = 'open' AND detector = 'smells' UNION ALL SELECT DISTINCT 'detector::' || detector, 'systemic' FROM work WHERE status = 'open') SELECT fingerprint, min(kind) AS kind FROM c WHERE fingerprint NOT IN (SELECT 'file::' || file FROM work WHERE tier = 1) GROUP BY fingerprint")
+@query(f"""WITH {WORK}, c AS (SELECT DISTINCT 'file::' || file AS fingerprint, 'file' AS kind FROM work WHERE status = 'open'
+  AND detector = 'smells' UNION ALL SELECT DISTINCT 'detector::' || detector, 'systemic' FROM work WHERE status =
+  'open') SELECT fingerprint, min(kind) AS kind FROM c WHERE fingerprint NOT IN (SELECT 'file::' || file FROM work
+  WHERE tier = 1) GROUP BY fingerprint""")
 def concern_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concerns of files and detectors without repeats and dismissed ones (214)."""
     w = tables.work_items(spark, sf_dir)
@@ -124,7 +141,10 @@ def duplicate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.best_pair(pairs, duplicates.clusters(pairs))
 
 
-@query(f"WITH {DOCS}, same AS (SELECT doc_id FROM docs WHERE lang <> 'fr'), f AS (SELECT md5(text) AS digest, min(doc_id) AS doc_a FROM docs GROUP BY 1), p AS (SELECT doc_a, doc_id AS doc_b FROM docs JOIN f ON md5(text) = digest WHERE doc_id > doc_a) SELECT doc_a, doc_b FROM p WHERE doc_a IN (SELECT doc_id FROM same) AND doc_b IN (SELECT doc_id FROM same)")
+@query(f"""WITH {DOCS}, same AS (SELECT doc_id FROM docs WHERE lang <> 'fr'), f AS (SELECT md5(text) AS digest, min(doc_id) AS
+  doc_a FROM docs GROUP BY 1), p AS (SELECT doc_a, doc_id AS doc_b FROM docs JOIN f ON md5(text) = digest WHERE
+  doc_id > doc_a) SELECT doc_a, doc_b FROM p WHERE doc_a IN (SELECT doc_id FROM same) AND doc_b IN (SELECT doc_id
+  FROM same)""")
 def reused_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cached pairs whose units did not change; French texts stand for changed ones (79)."""
     docs = tables.documents(spark, sf_dir)
@@ -139,7 +159,10 @@ def reused_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 RENAMED = [("gone::1", "smells::area8/mod8/f428.py::o8"), ("gone::2", None)]
 
 
-@query(f"WITH {WORK}, p AS (SELECT finding_id FROM work WHERE tier = 1 AND status = 'open' UNION ALL SELECT 'gone::1' UNION ALL SELECT 'gone::2') SELECT finding_id, CASE WHEN finding_id IN (SELECT finding_id FROM work) THEN 'kept' WHEN new_id IS NOT NULL THEN 'renamed' ELSE 'dead' END AS state, new_id FROM p LEFT JOIN {_values(RENAMED)} r(finding_id, new_id) USING (finding_id)")
+@query(f"""WITH {WORK}, p AS (SELECT finding_id FROM work WHERE tier = 1 AND status = 'open' UNION ALL SELECT 'gone::1' UNION
+  ALL SELECT 'gone::2') SELECT finding_id, CASE WHEN finding_id IN (SELECT finding_id FROM work) THEN 'kept' WHEN
+  new_id IS NOT NULL THEN 'renamed' ELSE 'dead' END AS state, new_id FROM p LEFT JOIN {_values(RENAMED)}
+  r(finding_id, new_id) USING (finding_id)""")
 def reconciled_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planned ids after a scan: kept, renamed or dead (270)."""
     w = tables.work_items(spark, sf_dir)
@@ -164,7 +187,8 @@ def reconciled_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.reconcile(plan.union(again).union(gone), w, renamed, w.where("tier <= 2").select("finding_id"))
 
 
-@query(f"WITH {WORK} SELECT finding_id FROM work WHERE status = 'open' AND detector = 'review' AND finding_id NOT IN (SELECT finding_id FROM work WHERE tier <= 2)")
+@query(f"""WITH {WORK} SELECT finding_id FROM work WHERE status = 'open' AND detector = 'review' AND finding_id NOT IN (SELECT
+  finding_id FROM work WHERE tier <= 2)""")
 def new_review_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tables.work_items(spark, sf_dir)
     return planning.new_review_ids(w, w.where("tier <= 2").select("finding_id"))
@@ -188,7 +212,9 @@ def merged_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), merged.alias("evidence"), planning.longer(F.col("p_name"), F.col("p_type")).alias("summary"))
 
 
-@query(f"WITH {WORK} SELECT tier, CASE WHEN grouping(tier) = 0 THEN 'tier' WHEN grouping(lang) = 0 THEN 'lang' ELSE 'all' END AS level, lang, count(*) AS n FROM work WHERE status = 'open' AND detector = 'review' GROUP BY GROUPING SETS ((), (tier), (lang))")
+@query(f"""WITH {WORK} SELECT tier, CASE WHEN grouping(tier) = 0 THEN 'tier' WHEN grouping(lang) = 0 THEN 'lang' ELSE 'all' END
+  AS level, lang, count(*) AS n FROM work WHERE status = 'open' AND detector = 'review' GROUP BY GROUPING SETS ((),
+  (tier), (lang))""")
 def open_review_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open reviews in all, by tier and by language, in one pass (199)."""
     w = tables.work_items(spark, sf_dir).where("status = 'open' AND detector = 'review'")
@@ -196,14 +222,17 @@ def open_review_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupingSets([[], ["tier"], ["lang"]], "tier", "lang").agg(F.count(F.lit(1)).alias("n"), level.alias("level")).select("tier", "level", "lang", "n")
 
 
-@query(f"WITH {WORK}, d AS (SELECT dimension, status FROM work JOIN {CATALOG_SQL} USING (detector)) SELECT dimension, count(*) FILTER (status = 'open') AS open, count(*) FILTER (status = 'fixed') AS resolved FROM d GROUP BY dimension HAVING count(*) FILTER (status = 'open') > 0 AND count(*) FILTER (status = 'fixed') > 0")
+@query(f"""WITH {WORK}, d AS (SELECT dimension, status FROM work JOIN {CATALOG_SQL} USING (detector)) SELECT dimension,
+  count(*) FILTER (status = 'open') AS open, count(*) FILTER (status = 'fixed') AS resolved FROM d GROUP BY
+  dimension HAVING count(*) FILTER (status = 'open') > 0 AND count(*) FILTER (status = 'fixed') > 0""")
 def recurring_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimensions with both resolved and open findings (227)."""
     d = tables.work_items(spark, sf_dir).join(spark.createDataFrame(CATALOG, "detector string, dimension string"), "detector")
     return d.groupBy("dimension").agg(F.count_if(F.col("status") == "open").alias("open"), F.count_if(F.col("status") == "fixed").alias("resolved")).where("open > 0 AND resolved > 0")
 
 
-@query("SELECT count(*) FILTER (event_type = 'purchase') AS committed, count(*) FILTER (event_type <> 'purchase') AS uncommitted, count(*) AS total, count(*) FILTER (props <> '{\"k\": 0}') AS annotated FROM events")
+@query("""SELECT count(*) FILTER (event_type = 'purchase') AS committed, count(*) FILTER (event_type <> 'purchase') AS
+  uncommitted, count(*) AS total, count(*) FILTER (props <> '{\"k\": 0}') AS annotated FROM events""")
 def commit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of a commit log and its annotations (219, 220)."""
     e = tables.table(spark, sf_dir, "events")
@@ -211,7 +240,8 @@ def commit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.agg(F.count_if(done).alias("committed"), F.count_if(~done).alias("uncommitted"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("props") != '{"k": 0}').alias("annotated"))
 
 
-@query(f"WITH {WORK} SELECT tier, count(*) AS n_open, max(CASE WHEN reopen_count > 0 THEN 1 ELSE 0 END) = 1 AS any_reopened, avg(loc) AS mean_loc FROM work WHERE status = 'open' GROUP BY tier")
+@query(f"""WITH {WORK} SELECT tier, count(*) AS n_open, max(CASE WHEN reopen_count > 0 THEN 1 ELSE 0 END) = 1 AS any_reopened,
+  avg(loc) AS mean_loc FROM work WHERE status = 'open' GROUP BY tier""")
 def scorecard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a scorecard by tier: counts, means and whether any reopened (259-261)."""
     w = tables.work_items(spark, sf_dir).where("status = 'open'")

@@ -105,7 +105,8 @@ def log_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.drained(counts, _name("kinds"), "complete")
 
 
-@query(f"SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind FROM events WHERE {GOOD} ORDER BY ts DESC, id DESC LIMIT 2000")
+@query(f"""SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind FROM events WHERE {GOOD} ORDER BY ts DESC, id DESC LIMIT
+  2000""")
 def log_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log appended in parts, one of them twice, then compacted to its last 2000 rows behind a manifest (13, 37)."""
     root, lines = scratch_path(spark, "log"), _as_lines(spark, sf_dir)
