@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.operators.code_rules import normalised_body
 from corpuslens.operators.graph import connected_components
+from corpuslens.sources.tables import unsized
 
 HEADER = r"^\s*(?:async\s+)?def\s+(\w+)"
 UNIT = "array<struct<name:string,parent:string,start:int,end:int,indent:int>>"
@@ -66,9 +67,9 @@ def mutated_globals(files: DataFrame, units: DataFrame) -> DataFrame:
     made = r"^(\w+)\s*(?::[^=]+)?=\s*(?:\[|\{|(?:list|dict|set|defaultdict)\()"
     names = lines.where(F.col("line").rlike(made)).select("path", F.regexp_extract("line", made, 1).alias("name")).distinct()
     change = r"^\s+(\w+)(?:\.(?:append|add|update|extend|insert|pop|remove|clear|setdefault)\(|\[[^\]]*\]\s*=[^=])"
-    changed = lines.where(F.col("line").rlike(change)).select("path", "no", F.regexp_extract("line", change, 1).alias("name")).join(names, ["path", "name"])
+    changed = lines.where(F.col("line").rlike(change)).select("path", "no", F.regexp_extract("line", change, 1).alias("name")).join(unsized(names), ["path", "name"])
     binned = units.select("path", F.col("name").alias("unit"), "start_line", "end_line", F.explode(F.sequence(F.floor(F.col("start_line") / BIN), F.floor(F.col("end_line") / BIN))).alias("bin"))
-    met = changed.withColumn("bin", F.floor(F.col("no") / BIN)).join(binned, ["path", "bin"]).where("no > start_line AND no <= end_line")
+    met = changed.withColumn("bin", F.floor(F.col("no") / BIN)).join(unsized(binned), ["path", "bin"]).where("no > start_line AND no <= end_line")
     inner = met.groupBy("path", "name", "no").agg(F.max_by("unit", "start_line").alias("unit"))
     return inner.groupBy("path", "name", "unit").agg(F.count(F.lit(1)).alias("n"))
 
@@ -77,7 +78,7 @@ def unit_calls(units: DataFrame) -> DataFrame:
     """path, src, dst: calls between the top-level units of a file, by name."""
     top = units.where("parent IS NULL")
     words = top.select("path", F.col("name").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)\("), 1))).alias("dst"))
-    return words.where("src <> dst").join(top.select("path", F.col("name").alias("dst")).distinct(), ["path", "dst"], "left_semi").select("path", "src", "dst")
+    return words.where("src <> dst").join(unsized(top.select("path", F.col("name").alias("dst")).distinct()), ["path", "dst"], "left_semi").select("path", "src", "dst")
 
 
 def cohesion(units: DataFrame, calls: DataFrame, imports: DataFrame, least: int = 10) -> DataFrame:
@@ -91,14 +92,14 @@ def cohesion(units: DataFrame, calls: DataFrame, imports: DataFrame, least: int
     top = units.select("path", "name").distinct()
     key = lambda c: F.concat_ws("\x1f", "path", c)
     root = connected_components(calls.select(key("src").alias("a"), key("dst").alias("b")).where("a <> b"))
-    parts = top.withColumn("node", key("name")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = top.withColumn("node", key("name")).join(unsized(root), "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = parts.groupBy("path", "root").agg(F.count(F.lit(1)).alias("size"))
     whole = sizes.groupBy("path").agg(F.sum("size").alias("n_units"), F.count(F.lit(1)).alias("n_components"), F.max("size").alias("largest"))
-    some = sizes.join(whole.select("path", "n_units"), "path").where(F.col("size") >= F.greatest(F.lit(2), F.floor(F.col("n_units") / 10)))
+    some = sizes.join(unsized(whole.select("path", "n_units")), "path").where(F.col("size") >= F.greatest(F.lit(2), F.floor(F.col("n_units") / 10)))
     significant = some.groupBy("path").agg(F.count(F.lit(1)).alias("significant"))
     families = top.groupBy("path").agg(F.count_distinct(F.split_part("name", F.lit("_"), F.lit(1))).alias("n_families"))
     sets = imports.groupBy("path", "name").agg(F.array_sort(F.collect_set("root")).alias("roots")).groupBy("path").agg(F.count_distinct("roots").alias("n_imports"))
-    all_ = whole.where(F.col("n_units") >= least).join(significant, "path", "left").join(families, "path").join(sets, "path", "left")
+    all_ = whole.where(F.col("n_units") >= least).join(unsized(significant), "path", "left").join(unsized(families), "path").join(unsized(sets), "path", "left")
     filled = all_.fillna(0, ["significant", "n_imports"])
     split = (F.col("n_components") >= 3) & (F.col("largest") <= F.floor(F.col("n_units") / 2))
     mixed = (F.col("significant") >= 3) & ((F.col("n_families") >= 5) | (F.col("n_imports") >= 4))
@@ -106,11 +107,12 @@ def cohesion(units: DataFrame, calls: DataFrame, imports: DataFrame, least: int
 
 
 def brace_blocks(files: DataFrame) -> DataFrame:
-    """path, block, parent, depth, head, line, own of the blocks in braces of files(path, text).
+    """path, block, parent, depth, head, line, own, outer of the blocks in braces of files(path, text).
 
     block: number of the opening brace in the file, parent: that of the block around it (null: none), head: the text
     between the brace before and this one, line: that of the opening brace, own: the text inside without that of inner
-    blocks (but with their heads).
+    blocks (but with their heads), outer: the head of the parent. Pieces are shuffled by file once; every window and
+    group after it holds within a file, so nothing is joined.
     """
     order = Window.partitionBy("path").orderBy("k")
     pieces = files.select("path", F.posexplode(F.split("text", r"(?<=[{}])")).alias("k", "piece"))
@@ -118,22 +120,28 @@ def brace_blocks(files: DataFrame) -> DataFrame:
     step = F.when(last == "{", 1).when(last == "}", -1).otherwise(0)
     lines = F.size(F.split("piece", "\n")) - 1
     placed = pieces.withColumns({"step": step, "after": F.sum(step).over(order), "line": F.sum(lines).over(order) + 1})
-    opens = placed.where("step = 1")
-    # a piece lies in the block that was last opened at the depth before its brace
-    inside = placed.select("path", (F.col("after") - F.col("step")).alias("level"), "k", "piece", F.lit(None).cast("int").alias("opened"))
-    marks = opens.select("path", F.col("after").alias("level"), "k", F.lit(None).cast("string").alias("piece"), F.col("k").alias("opened"))
-    around = F.last("opened", ignorenulls=True).over(Window.partitionBy("path", "level").orderBy("k"))
-    owned = inside.union(marks).withColumn("block", around).where("piece IS NOT NULL")
-    own = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "")
-    texts = owned.where("block IS NOT NULL").groupBy("path", "block").agg(own.alias("own"))
-    parents = owned.select("path", F.col("k").alias("block"), F.col("block").alias("parent"))
-    heads = opens.select("path", F.col("k").alias("block"), F.col("after").cast("int").alias("depth"), F.col("piece").alias("head"), F.col("line").cast("int").alias("line"))
-    return heads.join(parents, ["path", "block"], "left").join(texts, ["path", "block"], "left").select("path", "block", "parent", "depth", "head", "line", "own")
+    # a piece lies in the block that was last opened at the depth before its brace; an opening one is a mark at the depth after it
+    marks = F.array((F.col("after") - F.col("step")).alias("level"), F.when(F.col("step") == 1, F.col("after")))
+    each = placed.select("*", F.posexplode(F.filter(marks, lambda level: level.isNotNull())).alias("mark", "level"))
+    opened = F.when(F.col("mark") == 1, F.struct(F.col("k").alias("k"), F.col("piece").alias("head")))
+    around = F.last(opened, ignorenulls=True).over(Window.partitionBy("path", "level").orderBy("k"))
+    owned = each.withColumn("around", around).where("mark = 0")
+    inside = F.struct(F.col("around.k").alias("block"), F.struct("k", "piece").alias("part"), F.lit(None).cast(OPENED).alias("opened"))
+    head = F.struct(F.col("around.k").alias("parent"), F.col("after").cast("int").alias("depth"), F.col("piece").alias("head"), F.col("line").cast("int").alias("line"), F.col("around.head").alias("outer"))
+    opens = F.struct(F.col("k").alias("block"), F.lit(None).cast("struct<k:int,piece:string>").alias("part"), head.cast(OPENED).alias("opened"))
+    both = F.array(F.when(F.col("around").isNotNull(), inside), F.when(F.col("step") == 1, opens))
+    rows = owned.select("path", F.explode(F.filter(both, lambda r: r.isNotNull())).alias("r")).select("path", "r.*")
+    parts = F.sort_array(F.collect_list("part"))
+    found = rows.groupBy("path", "block").agg(F.first("opened", ignorenulls=True).alias("o"), parts.alias("parts"))
+    own = F.when(F.size("parts") > 0, F.array_join(F.transform("parts", lambda x: x["piece"]), ""))
+    return found.select("path", "block", "o.parent", "o.depth", "o.head", "o.line", own.alias("own"), "o.outer")
+
+
+OPENED = "struct<parent:int,depth:int,head:string,line:int,outer:string>"
 
 
 def _with_parent(blocks: DataFrame) -> DataFrame:
-    outer = blocks.select("path", F.col("block").alias("parent"), F.col("head").alias("outer"))
-    return blocks.join(outer, ["path", "parent"])
+    return blocks.where("parent IS NOT NULL")
 
 
 def _named(pattern: str, column: str = "head") -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.sources.tables import lines
+from corpuslens.sources.tables import lines, unsized
 
 #: Line rules by language.
 RULES = [
@@ -65,13 +65,14 @@ def imports(files: DataFrame) -> DataFrame:
 def import_edges(files: DataFrame) -> DataFrame:
     """src, dst, deferred among the files themselves; an edge is deferred if all its imports are."""
     known = files.where(F.col("lang") == "python").select(F.col("path").alias("dst"), module_of(F.col("path")).alias("module"))
-    return imports(files).join(known, "module").where("path <> dst").groupBy(F.col("path").alias("src"), "dst").agg(F.bool_and("deferred").alias("deferred"))
+    return imports(files).join(unsized(known), "module").where("path <> dst").groupBy(F.col("path").alias("src"), "dst").agg(F.bool_and("deferred").alias("deferred"))
 
 
 def finalised(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose ends both are nodes: dangling references go."""
     known = nodes.select("node").distinct()
-    return edges.join(known.select(F.col("node").alias("src")), "src", "left_semi").join(known.select(F.col("node").alias("dst")), "dst", "left_semi")
+    src, dst = (unsized(known.select(F.col("node").alias(c))) for c in ("src", "dst"))
+    return edges.join(src, "src", "left_semi").join(dst, "dst", "left_semi")
 
 
 def definitions(files: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def tokens(files: DataFrame) -> DataFrame:
 def uncalled(files: DataFrame) -> DataFrame:
     """Private top-level functions whose name occurs nowhere but in their definition."""
     private = definitions(files).where(F.col("name").startswith("_") & ~F.col("name").startswith("__"))
-    return private.join(tokens(files).where("n = 1"), "name", "left_semi").select("path", "name")
+    return private.join(unsized(tokens(files).where("n = 1")), "name", "left_semi").select("path", "name")
 
 
 def unused_enums(files: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def unused_enums(files: DataFrame) -> DataFrame:
     p = r"^class (\w+)\((?:str, |int, )?(?:Enum|StrEnum|IntEnum)\)"
     made = lines(files.where(F.col("lang") == "python"), "path").where(F.col("line").rlike(p)).select("path", F.regexp_extract("line", p, 1).alias("name"))
     used = files.select(F.col("path").alias("user"), F.explode(F.array_distinct(F.split("text", r"\W+"))).alias("name"))
-    return made.join(used, ["name"]).groupBy("path", "name").agg(F.count_if(F.col("user") != F.col("path")).alias("n")).where("n = 0").select("path", "name")
+    return made.join(unsized(used), ["name"]).groupBy("path", "name").agg(F.count_if(F.col("user") != F.col("path")).alias("n")).where("n = 0").select("path", "name")
 
 
 def private_imports(files: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def facades(files: DataFrame, most_users: int = 20) -> DataFrame:
     kept = F.filter(T.line_array(F.col("text")), lambda x: (F.trim(x) != "") & ~x.rlike(r"^(from|import|__all__|#|\s|\)|\])"))
     pure = files.where((F.col("lang") == "python") & F.col("text").rlike(r"(?m)^(from|import) ")).where(F.size(kept) == 0).select(F.col("path").alias("dst"))
     users = import_edges(files).groupBy("dst").agg(F.count(F.lit(1)).alias("n_users"))
-    return pure.join(users, "dst", "left").select(F.col("dst").alias("path"), F.coalesce("n_users", F.lit(0)).alias("n_users")).where(F.col("n_users") <= most_users)
+    return pure.join(unsized(users), "dst", "left").select(F.col("dst").alias("path"), F.coalesce("n_users", F.lit(0)).alias("n_users")).where(F.col("n_users") <= most_users)
 
 
 def deprecated(files: DataFrame) -> DataFrame:
@@ -119,14 +120,14 @@ def deprecated(files: DataFrame) -> DataFrame:
     p = r"@deprecated[^\n]*\n\s*(?:export )?(?:function|const|class) (\w+)"
     made = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(p), 1)).alias("symbol"))
     used = files.select(F.col("path").alias("user"), F.explode(F.array_distinct(F.split("text", r"\W+"))).alias("symbol"))
-    return made.join(used, "symbol").groupBy("path", "symbol").agg(F.count_if(F.col("user") != F.col("path")).alias("n_users"))
+    return made.join(unsized(used), "symbol").groupBy("path", "symbol").agg(F.count_if(F.col("user") != F.col("path")).alias("n_users"))
 
 
 def undeclared_features(files: DataFrame) -> DataFrame:
     """feature: cfg features that Rust files use and no manifest declares."""
     used = files.where(F.col("lang") == "rust").select(F.explode(F.regexp_extract_all("text", F.lit(r'feature\s*=\s*"(\w+)"'), 1)).alias("feature")).distinct()
     declared = lines(files.where(F.col("path").endswith("Cargo.toml")), "path").select(F.regexp_extract("line", r"^(\w+)\s*=\s*\[", 1).alias("feature"))
-    return used.join(declared, "feature", "left_anti")
+    return used.join(unsized(declared), "feature", "left_anti")
 
 
 def frameworks(files: DataFrame, evidence: list[tuple[str, str, str]]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.sources.tables import lines
+from corpuslens.sources.tables import lines, unsized
 
 EXPORT = r"^export\s+(?:default\s+)?(?:async\s+)?(?:function|const|let|class|interface|type|enum)\s+(\w+)"
 IMPORTED = r"(?:import|export)\s+(?:type\s+)?\{([^}]*)\}\s*from"
@@ -20,8 +20,8 @@ def dead_exports(files: DataFrame) -> DataFrame:
     made = lines(files, "path").where(F.col("line").rlike(EXPORT)).select("path", F.regexp_extract("line", EXPORT, 1).alias("name"))
     lists = files.select(F.col("path").alias("user"), F.explode(F.regexp_extract_all("text", F.lit(IMPORTED), 1)).alias("names"))
     each = lists.select("user", F.explode(F.split("names", ",")).alias("n")).select("user", F.regexp_extract(F.trim("n"), r"^(?:type\s+)?(\w+)", 1).alias("name"))
-    used = made.join(each, "name").where("user <> path").select("path", "name").distinct()
-    return made.distinct().join(used, ["path", "name"], "left_anti")
+    used = made.join(unsized(each), "name").where("user <> path").select("path", "name").distinct()
+    return made.distinct().join(unsized(used), ["path", "name"], "left_anti")
 
 
 def api_conventions(files: DataFrame) -> DataFrame:
@@ -57,11 +57,11 @@ def thread_contracts(files: DataFrame) -> DataFrame:
     rows = lines(files, "path").where(F.col("line").rlike(p))
     made = rows.select("path", _crate().alias("crate"), F.regexp_extract("line", p, 2).alias("type"), F.regexp_extract("line", p, 1).alias("trait"))
     tests = files.where(F.col("path").contains("/tests/")).select(_crate().alias("crate"), F.explode(F.regexp_extract_all("text", F.lit(r"assert_(?:send|sync)\w*::<(\w+)>"), 1)).alias("type"))
-    return made.join(tests.distinct(), ["crate", "type"], "left_anti").select("path", "type", "trait").distinct()
+    return made.join(unsized(tests.distinct()), ["crate", "type"], "left_anti").select("path", "type", "trait").distinct()
 
 
 def unwired_examples(files: DataFrame) -> DataFrame:
     """path, n: README files with examples in code blocks that no source file of their crate includes as documentation."""
     examples = files.where(F.col("path").endswith("README.md")).select("path", _crate().alias("crate"), F.regexp_count("text", F.lit(r"(?m)^```(?:rust|rs)\b")).alias("n")).where("n > 0")
     wired = files.where(F.col("path").endswith(".rs") & F.col("text").rlike(r'include_str!\(\s*"[^"]*README\.md"')).select(_crate().alias("crate")).distinct()
-    return examples.join(wired, "crate", "left_anti").select("path", "n")
+    return examples.join(unsized(wired), "crate", "left_anti").select("path", "n")

@@ -75,7 +75,7 @@ CUST = "c AS (SELECT c_custkey AS k, 'web/c' || c_custkey || '.ts' AS ts, 'src/c
 
 
 def _blocks(spark: SparkSession, sf_dir: str, ending: str) -> DataFrame:
-    return blocks.brace_blocks(made.brace_files(spark, sf_dir).where(F.col("path").endswith(ending)))
+    return blocks.brace_blocks(made.spread(made.brace_files(spark, sf_dir).where(F.col("path").endswith(ending)), "path"))
 
 
 @query(f"""WITH {CUST}, b AS (SELECT ts AS path, 'interface' AS head, 1 AS line, 1 AS depth FROM c
@@ -163,7 +163,7 @@ def api_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
   ('untyped_error'), ('panics')) v(kind)""")
 def error_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Public functions with untyped errors or panics (162)."""
-    return crates.error_boundaries(blocks.brace_blocks(_packages(spark, sf_dir).where(F.col("path").endswith(".rs"))))
+    return crates.error_boundaries(blocks.brace_blocks(made.spread(_packages(spark, sf_dir).where(F.col("path").endswith(".rs")), "path")))
 
 
 @query("SELECT 'crate' || p_partkey || '/src/lib.rs' AS path, 'Free' || p_partkey AS type, 'Sync' AS trait FROM part")

@@ -17,9 +17,20 @@ def _repeat(n: Column, line) -> Column:
     return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: line(i.cast("string"))), "")).otherwise("")
 
 
+#: Rows of a table that one task makes files from.
+ROWS_A_TASK = 20_000
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt to tasks by their key, so many to each. Files are far larger than the rows that they are made from: a
+    task for so many bytes of the table would hold ever more text, on few cores."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+    return rows.repartition(tasks, key)
+
+
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path and text of a Python file for each part: four functions, one of them nested, and a module-level name."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
     name = _text("CACHE_", k.cast("string"))
     text = _text(
@@ -34,7 +45,8 @@ def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def projects(spark: SparkSession, sf_dir: str, files: list[tuple[str, str, str]]) -> DataFrame:
     """path, lang and text of the given files for each part, with its number in place of ``{k}``."""
     each = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("path", "lang", "text"), f)]) for f in files])
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"), F.explode(each).alias("f"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    rows = parts.select(F.col("p_partkey").cast("string").alias("k"), F.explode(each).alias("f"))
     put = lambda c: F.replace(F.col(f"f.{c}"), F.lit("{k}"), F.col("k")).alias(c)
     return rows.select(put("path"), "f.lang", put("text"))
 
@@ -54,7 +66,7 @@ def order_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brace_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path and text of a TypeScript and a Rust file for each customer."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     k = F.col("c_custkey")
     n, s = k.cast("int"), k.cast("string")
     ts = _text(
