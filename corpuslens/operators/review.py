@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.operators.graph import connected_components
+from corpuslens.operators.graph import checkpointed, connected_components
+from corpuslens.sources.tables import unsized
 
 
 def weighted_floor(scores: DataFrame, percent: int = 10) -> DataFrame:
@@ -46,17 +47,25 @@ def similar_links(issues: DataFrame, least: float = 0.45) -> DataFrame:
     each = sets.select("issue_id", "dimension", F.size("words").alias("n"), F.explode("words").alias("word"))
     rare = each.groupBy("dimension", "word").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("issue_id").orderBy("df", "word"))
-    prefix = each.join(rare, ["dimension", "word"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    prefix = each.join(unsized(rare), ["dimension", "word"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
     a, b = (prefix.select("dimension", "word", F.col("issue_id").alias(x)) for x in "ab")
-    met = a.join(b, ["dimension", "word"]).where("a < b").select("a", "b").distinct()
+    met = a.join(unsized(b), ["dimension", "word"]).where("a < b").select("a", "b").distinct()
     wa, wb = (sets.select(F.col("issue_id").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
-    return met.join(wa, "a").join(wb, "b").where(T.jaccard(F.col("wa"), F.col("wb")) >= least).select("a", "b")
+    return met.join(unsized(wa), "a").join(unsized(wb), "b").where(T.jaccard(F.col("wa"), F.col("wb")) >= least).select("a", "b")
 
 
 def merged_groups(issues: DataFrame, least: float = 0.45) -> DataFrame:
-    """issue_id and root of transitive groups of similar issues."""
-    found = connected_components(similar_links(issues, least))
-    return issues.join(found, F.col("issue_id") == F.col("node"), "left").select("issue_id", F.coalesce("root", "issue_id").alias("root"))
+    """issue_id and root of transitive groups of similar issues.
+
+    Issues of a dimension with the same words are one class, whose smallest issue stands for it: only these meet, and
+    the others have their class's root. Issues without words are groups of their own.
+    """
+    words = F.array_join(T.word_set(F.col("summary")), " ")
+    keyed = issues.select("issue_id", "dimension", words.alias("words"))
+    first = checkpointed(keyed.where("words <> ''").groupBy("dimension", "words").agg(F.min("issue_id").alias("first")))
+    found = connected_components(similar_links(first.select(F.col("first").alias("issue_id"), "dimension", F.col("words").alias("summary")), least))
+    roots = first.join(unsized(found), F.col("first") == F.col("node"), "left").select("dimension", "words", F.coalesce("root", "first").alias("root"))
+    return keyed.join(unsized(roots), ["dimension", "words"], "left").select("issue_id", F.coalesce("root", "issue_id").alias("root"))
 
 
 def staleness(files: DataFrame, cache: DataFrame, now: str, most_days: int) -> DataFrame:
