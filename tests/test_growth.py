@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpuslens.operators import blocks, code_rules, crates, review
+from corpuslens.operators import blocks, code_rules, crates, graph, review
 from corpuslens.sources import made
 
 
@@ -42,3 +42,15 @@ def test_equal_issues_are_one_class(spark, monkeypatch):
     found = review.merged_groups(spark.createDataFrame(rows, "issue_id long, dimension string, identifier string, summary string"))
     assert dict(map(tuple, found.collect())) == {**dict.fromkeys(range(40), 0), 100: 0, 101: 101, 102: 102, 103: 103}
     assert met == [3]
+
+
+def test_chains_are_contracted(spark, monkeypatch):
+    """A chain of 60 into a cycle of 30, whose rounds shrink; components and depths by the same rounds."""
+    monkeypatch.setattr(graph, "FEW_EDGES", 12)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(89)] + [(89, 60)], "src int, dst int").coalesce(1)
+    rounds = []
+    assert {tuple(r) for r in graph.strongly_connected(edges, rounds).collect()} == {(i, 60) for i in range(60, 90)}
+    assert "contract" in rounds
+    found = graph.reachable(edges, spark.createDataFrame([(0,), (70,)], "node int"), rounds := [])
+    assert {tuple(r) for r in found.collect()} == {(i, min(i, (i - 70) % 30) if i >= 60 else i) for i in range(90)}
+    assert "contract" in rounds
