@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from corpuslens.operators import graph
 
 
@@ -77,3 +79,18 @@ def test_fixed_graph(spark):
     links = edges.selectExpr("src AS a", "dst AS b")
     assert {tuple(r) for r in graph.connected_components(links).collect()} == {*((i, 1) for i in range(1, 9)), (9, 9), (10, 9), (11, 11), (12, 11)}
     assert graph.strongly_connected(edges.where("src > 90")).count() == 0 and graph.reachable(edges, spark.createDataFrame([], "node int")).count() == 0
+
+
+def test_few_links_are_joined_in_one_task(spark, monkeypatch):
+    """Components by the rounds and at once agree, also of texts; few links take no rounds."""
+    rng = random.Random(9)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(300)] + [(7, 7), (5000, 5000)]
+    df = spark.createDataFrame(links, "a long, b long")
+    drawn = []
+    monkeypatch.setattr(graph, "_draw", lambda node, time: drawn.append(time) or F.xxhash64(node, F.lit(time)))
+    at_once = {tuple(r) for r in graph.connected_components(df).collect()}
+    assert not drawn
+    names = df.select(*[F.format_string("n%06d", c).alias(c) for c in "ab"])
+    assert {(int(n[1:]), int(r[1:])) for n, r in graph.connected_components(names).collect()} == at_once
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    assert {tuple(r) for r in graph.connected_components(df).collect()} == at_once and drawn
