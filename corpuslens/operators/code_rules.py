@@ -32,10 +32,16 @@ def is_comment(lang: Column, line: Column) -> Column:
 
 
 def rule_hits(files: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """path, line_no, rule for lines that are no comments."""
-    marks = F.array(*[F.when((F.col("lang") == lang) & F.col("line").rlike(p), F.lit(rule)) for lang, rule, p in rules])
-    rows = lines(files, "path", "lang").where(~is_comment(F.col("lang"), F.col("line")))
-    return rows.select("path", "line_no", F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("rule"))
+    """path, line_no, rule for lines that are no comments.
+
+    A line is held against the rules of its own language, in columns without a lambda, which Spark would interpret.
+    """
+    langs = list(dict.fromkeys(lang for lang, _, _ in rules))
+    marks = F.lit(None).cast("array<string>")
+    for own in langs:
+        marks = F.when(F.col("lang") == own, F.array(*[F.when(F.col("line").rlike(p), F.lit(rule)) for lang, rule, p in rules if lang == own])).otherwise(marks)
+    rows = lines(files.where(F.col("lang").isin(langs)), "path", "lang").where(~is_comment(F.col("lang"), F.col("line")))
+    return rows.select("path", "line_no", F.explode(marks).alias("rule")).where("rule IS NOT NULL")
 
 
 #: Files whose hits one task counts.

@@ -7,6 +7,10 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_hits_of_files_are_dealt_by_path(spark, monkeypatch):
     """Repeated paths count once, and the tasks follow the number of files."""
     monkeypatch.setattr(code_rules, "FILES_A_TASK", 10)
@@ -14,3 +18,10 @@ def test_hits_of_files_are_dealt_by_path(spark, monkeypatch):
     found = code_rules.smell_counts(spark.createDataFrame(rows, "path string, lang string, text string"))
     assert {tuple(r) for r in found.collect()} == {("eval_call", 121, 60), ("bare_except", 1, 1)}
     assert "hashpartitioning(path#" in _plan(found) and ", 7), REPARTITION_BY_NUM" in _plan(found)
+
+
+def test_rules_are_not_interpreted(spark):
+    files = spark.createDataFrame([("a.py", "python", "x = eval(y)\n# eval(z)\nfrom a import *\n"), ("b.ts", "typescript", "eval(y)\nlet a: any; // @ts-ignore\n")], "path string, lang string, text string")
+    found = code_rules.rule_hits(files)
+    assert sorted(map(tuple, found.collect())) == [("a.py", 1, "eval_call"), ("a.py", 3, "star_import"), ("b.ts", 2, "any_type"), ("b.ts", 2, "ts_ignore")]
+    assert "lambda" not in _optimized(found)
