@@ -108,11 +108,17 @@ def uncalled(files: DataFrame) -> DataFrame:
 
 
 def unused_enums(files: DataFrame) -> DataFrame:
-    """Enum classes that no other file names."""
+    """Enum classes that no other file names.
+
+    A name's users are told by the least and the greatest hash of their paths: both are the class's own if no other file
+    names it. So words are combined before their shuffle, and one that all files hold is one row in the join.
+    """
     p = r"^class (\w+)\((?:str, |int, )?(?:Enum|StrEnum|IntEnum)\)"
-    made = lines(files.where(F.col("lang") == "python"), "path").where(F.col("line").rlike(p)).select("path", F.regexp_extract("line", p, 1).alias("name"))
-    used = files.select(F.col("path").alias("user"), F.explode(F.array_distinct(F.split("text", r"\W+"))).alias("name"))
-    return made.join(unsized(used), ["name"]).groupBy("path", "name").agg(F.count_if(F.col("user") != F.col("path")).alias("n")).where("n = 0").select("path", "name")
+    own = F.xxhash64("path")
+    made = lines(files.where(F.col("lang") == "python"), "path").where(F.col("line").rlike(p)).select("path", own.alias("own"), F.regexp_extract("line", p, 1).alias("name"))
+    words = files.select(own.alias("user"), F.explode(F.split("text", r"\W+")).alias("name"))
+    users = words.groupBy("name").agg(F.min("user").alias("low"), F.max("user").alias("high"))
+    return made.join(unsized(users), ["name"]).where("low = own AND high = own").select("path", "name").distinct()
 
 
 def private_imports(files: DataFrame) -> DataFrame:

@@ -25,3 +25,12 @@ def test_rules_are_not_interpreted(spark):
     found = code_rules.rule_hits(files)
     assert sorted(map(tuple, found.collect())) == [("a.py", 1, "eval_call"), ("a.py", 3, "star_import"), ("b.ts", 2, "any_type"), ("b.ts", 2, "ts_ignore")]
     assert "lambda" not in _optimized(found)
+
+
+def test_words_are_combined_before_they_meet_enums(spark):
+    enum = "from enum import Enum\nclass {}(Enum):\n    A = 1\n"
+    rows = [("a.py", "python", enum.format("Used")), ("b.py", "python", enum.format("Alone") + "Alone Alone\n"), ("c.ts", "typescript", "Used.A Enum class")]
+    rows += [("d.py", "python", enum.format("Twice")), ("d.py", "python", "Twice.A\n"), ("e.py", "python", None)]
+    found = code_rules.unused_enums(spark.createDataFrame(rows, "path string, lang string, text string"))
+    assert {tuple(r) for r in found.collect()} == {("b.py", "Alone"), ("d.py", "Twice")}
+    assert "partial_min" in _plan(found)
