@@ -53,9 +53,9 @@ def indent_units(files: DataFrame, header: str = HEADER) -> DataFrame:
 def unit_digests(units: DataFrame, least_lines: int = 3) -> DataFrame:
     """path, name, start_line, n_lines and digest of the units whose normalised body has at least so many lines."""
     body = F.transform(F.split(normalised_body(F.col("text")), "\n"), lambda x: F.trim(x))
-    made = units.select("path", "name", "start_line", body.alias("body"))
-    kept = made.withColumn("n_lines", F.size("body")).where(F.col("n_lines") >= least_lines)
-    return kept.select("path", "name", "start_line", "n_lines", F.md5(F.array_join("body", "\n").cast("binary")).alias("digest"))
+    # kept as a list of one or none: a filter on the body would be pushed below it and make every body twice
+    kept = units.select("path", "name", "start_line", F.explode(F.filter(F.array(body), lambda x: F.size(x) >= least_lines)).alias("body"))
+    return kept.select("path", "name", "start_line", F.size("body").alias("n_lines"), F.md5(F.array_join("body", "\n").cast("binary")).alias("digest"))
 
 
 def mutated_globals(files: DataFrame, units: DataFrame) -> DataFrame:

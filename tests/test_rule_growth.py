@@ -1,6 +1,8 @@
 """Rules over files: what is shuffled and held by a task must not grow faster than the input."""
 
-from corpuslens.operators import code_rules
+import hashlib
+
+from corpuslens.operators import blocks, code_rules
 
 
 def _plan(df):
@@ -34,3 +36,11 @@ def test_words_are_combined_before_they_meet_enums(spark):
     found = code_rules.unused_enums(spark.createDataFrame(rows, "path string, lang string, text string"))
     assert {tuple(r) for r in found.collect()} == {("b.py", "Alone"), ("d.py", "Twice")}
     assert "partial_min" in _plan(found)
+
+
+def test_bodies_are_made_once(spark):
+    files = spark.createDataFrame([("a.py", "def f(a):\n    x = 1  # note\n    return x\n\ndef g():\n    pass\n"), ("b.py", None)], "path string, text string")
+    found = blocks.unit_digests(blocks.indent_units(files))
+    body = "def f(a):\nx = 1\nreturn x"
+    assert [tuple(r) for r in found.collect()] == [("a.py", "f", 1, 3, hashlib.md5(body.encode()).hexdigest())]
+    assert _optimized(found).count("log(ger|ging)") == 1
