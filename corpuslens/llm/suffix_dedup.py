@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import drop_held, small_batches, stored
+from corpuslens.llm.common import drop_held, small_batches, stored, tidied
 from corpuslens.llm.suffix_runs import LEADS, LENGTH, SEGMENT, multikey_order, runs, segments, window_parts
 
 BLOCK_BYTES = 1 << 19
@@ -67,7 +67,8 @@ def _bytes(text: str | None) -> bytes:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with ``_key``: doc_id where ids are unique, else the row's place in (doc_id, text) order."""
-    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    with tidied(docs.sparkSession):
+        ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     if (ids["most"] or 0) <= 1 and not ids["nulls"]:
         return docs.withColumn("_key", F.col("doc_id").cast("long"))
     ordered = docs.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
