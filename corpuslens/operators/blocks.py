@@ -7,11 +7,13 @@ others: strip comments first where that matters. Null texts have no lines; an un
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.operators.code_rules import normalised_body
-from corpuslens.operators.graph import connected_components
 from corpuslens.sources.tables import unsized
 
 HEADER = r"^\s*(?:async\s+)?def\s+(\w+)"
@@ -85,25 +87,62 @@ def cohesion(units: DataFrame, calls: DataFrame, imports: DataFrame, least: int
     """path, n_units, n_components, largest, n_families, n_imports of files that fall into unrelated parts.
 
     units(path, name), calls(path, src, dst), imports(path, name, root): what a unit uses of the file's imports. Parts
-    are components of calls, those of all files at once, keyed by file and unit. A file is listed if no part holds more
-    than half of at least three, or if three parts are of some size and there are five families of names or four sets
-    of imports.
+    are components of calls. A file is listed if no part holds more than half of at least three, or if three parts are of
+    some size and there are five families of names or four sets of imports. Calls stay within a file, so one shuffle by
+    file brings all rows of one together, whose names a task holds one file at a time.
     """
-    top = units.select("path", "name").distinct()
-    key = lambda c: F.concat_ws("\x1f", "path", c)
-    root = connected_components(calls.select(key("src").alias("a"), key("dst").alias("b")).where("a <> b"))
-    parts = top.withColumn("node", key("name")).join(unsized(root), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = parts.groupBy("path", "root").agg(F.count(F.lit(1)).alias("size"))
-    whole = sizes.groupBy("path").agg(F.sum("size").alias("n_units"), F.count(F.lit(1)).alias("n_components"), F.max("size").alias("largest"))
-    some = sizes.join(unsized(whole.select("path", "n_units")), "path").where(F.col("size") >= F.greatest(F.lit(2), F.floor(F.col("n_units") / 10)))
-    significant = some.groupBy("path").agg(F.count(F.lit(1)).alias("significant"))
-    families = top.groupBy("path").agg(F.count_distinct(F.split_part("name", F.lit("_"), F.lit(1))).alias("n_families"))
-    sets = imports.groupBy("path", "name").agg(F.array_sort(F.collect_set("root")).alias("roots")).groupBy("path").agg(F.count_distinct("roots").alias("n_imports"))
-    all_ = whole.where(F.col("n_units") >= least).join(unsized(significant), "path", "left").join(unsized(families), "path").join(unsized(sets), "path", "left")
-    filled = all_.fillna(0, ["significant", "n_imports"])
-    split = (F.col("n_components") >= 3) & (F.col("largest") <= F.floor(F.col("n_units") / 2))
-    mixed = (F.col("significant") >= 3) & ((F.col("n_families") >= 5) | (F.col("n_imports") >= 4))
-    return filled.where(split | mixed).select("path", "n_units", "n_components", "largest", "n_families", "n_imports")
+    none = F.lit(None).cast("string")
+    rows = units.select("path", F.lit(0).alias("kind"), F.col("name").alias("a"), none.alias("b"))
+    rows = rows.union(calls.select("path", F.lit(1), "src", "dst")).union(imports.select("path", F.lit(2), "name", "root"))
+
+    def run(batches):
+        path, held = None, []
+        for batch in batches:
+            out = []
+            for p, *row in zip(*(batch.column(c).to_pylist() for c in ("path", "kind", "a", "b"))):
+                if p != path:
+                    out += _unrelated_parts(path, held, least)
+                    path, held = p, []
+                held.append(row)
+            yield _cohesion_rows(out)
+        yield _cohesion_rows(_unrelated_parts(path, held, least))
+
+    return rows.where("path IS NOT NULL").repartition("path").sortWithinPartitions("path").mapInArrow(run, COHESION)
+
+
+COHESION = "path string, n_units long, n_components long, largest long, n_families long, n_imports long"
+
+
+def _cohesion_rows(rows: list[tuple]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in COHESION.split(", ")]
+    kinds = [pa.string(), *[pa.int64()] * (len(names) - 1)]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * len(names), kinds)], names=names)
+
+
+def _unrelated_parts(path: str | None, rows: list, least: int) -> list[tuple]:
+    """The row of ``cohesion`` of a file's rows (kind, a, b), or none."""
+    units = {a for kind, a, _ in rows if kind == 0}
+    if len(units) < max(1, least):
+        return []
+    root: dict = {}
+
+    def top(name):
+        while root.setdefault(name, name) != name:
+            root[name] = name = root[root[name]]
+        return name
+
+    uses: dict = {}
+    for kind, a, b in rows:
+        if kind == 1:
+            root[top(a)] = top(b)
+        elif kind == 2:
+            uses.setdefault(a, set()).update(() if b is None else (b,))
+    sizes = Counter(map(top, units)).values()
+    significant = sum(size >= max(2, len(units) // 10) for size in sizes)
+    families, imports = len({name.split("_")[0] for name in units if name is not None}), len(set(map(frozenset, uses.values())))
+    split = len(sizes) >= 3 and max(sizes) <= len(units) // 2
+    mixed = significant >= 3 and (families >= 5 or imports >= 4)
+    return [(path, len(units), len(sizes), max(sizes), families, imports)] if split or mixed else []
 
 
 def brace_blocks(files: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.operators import blocks, crates
 from corpuslens.operators import code_rules as code
+from corpuslens.operators.graph import checkpointed
 from corpuslens.plans.registry import query
 from corpuslens.sources import made, tables
 
@@ -66,7 +67,8 @@ SELECT 'customers/f' || c || '.py' AS path, n_units, n_components, largest, n_fa
 WHERE n_units >= 10 AND ((n_components >= 3 AND largest <= n_units // 2) OR (coalesce(significant, 0) >= 3 AND (n_families >= 5 OR n_imports >= 4)))""")
 def cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose functions fall into unrelated parts (121)."""
-    units = blocks.indent_units(made.order_modules(spark, sf_dir))
+    # stored: calls and imports read the units too, and their fold over lines costs most
+    units = checkpointed(blocks.indent_units(made.order_modules(spark, sf_dir)).select("path", "name", "parent", "text"))
     imports = units.select("path", "name", F.explode(F.regexp_extract_all("text", F.lit(r"\b(m\d)\.run"), 1)).alias("root"))
     return blocks.cohesion(units, blocks.unit_calls(units), imports)
 
