@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as T
-from corpuslens.operators.graph import checkpointed, connected_components
+from corpuslens.operators import overlap
+from corpuslens.operators.graph import checkpointed, connected_components, freed
+from corpuslens.operators.overlap import Share
 from corpuslens.sources.tables import unsized
 
 
@@ -37,21 +44,75 @@ def identity(issues: DataFrame) -> DataFrame:
     return issues.withColumn("key", F.when(F.coalesce("identifier", F.lit("")) != "", F.concat_ws("::", "dimension", "identifier")).otherwise(F.concat_ws("::", "dimension", words)))
 
 
-def similar_links(issues: DataFrame, least: float = 0.45) -> DataFrame:
-    """a, b: issues of a dimension that share a word and are at least so similar by their word sets.
-
-    Candidates meet at a shared word, rarest first: at a Jaccard of ``least`` two sets of n and m words share
-    at least least * n of them, so one of the n - ceil(least * n) + 1 rarest is common (prefix filter).
+def linked_sets(texts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of texts (distinct words with a blank between) that join what all pairs of a Jaccard of ``least`` or
+    more would: each text that is reached is held against those that are not yet, by the texts of its words."""
+    lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    offsets, code = lists.offsets.to_numpy(), lists.values.dictionary_encode().indices.to_numpy()
+    n = np.diff(offsets)
+    holders = np.repeat(np.arange(len(n)), n)[np.argsort(code, kind="stable")]
+    begin = np.append(0, np.cumsum(np.bincount(code)))
+    left, out = np.ones(len(n), bool), []
+    for start in range(len(n)):
+        if not left[start]:
+            continue
+        left[start], reached = False, [start]
+        while reached and left.any():
+            at = reached.pop()
+            common = np.bincount(np.concatenate([holders[begin[c] : begin[c + 1]] for c in code[offsets[at] : offsets[at + 1]]]), minlength=len(n))
+            found = np.flatnonzero(left & (common / (n[at] + n - common) >= least))
+            left[found] = False
+            out.append(np.stack([np.full(len(found), start), found]))
+            reached += found.tolist()
+    return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 2
+
+
+def _block_links(sets: DataFrame, made: DataFrame, share: Share, least: float) -> DataFrame:
+    """a, b: links that join all similar sets(key, dimension, words) of each block of a word."""
+    first = F.col("n") - share.least_column(F.col("n")) + 1
+    each = F.explode(F.arrays_zip(F.slice("tokens", F.lit(1), first).alias("t"), F.slice("blocks", F.lit(1), first).alias("b")))
+    filed = made.select("key", each.alias("e")).select("key", F.col("e.t").alias("token"), F.col("e.b").alias("b"))
+    block = F.when(F.col("b") > 1, F.pmod(F.xxhash64("token", "key"), "b")).otherwise(0).cast("int")
+    dealt = filed.select("key", "token", block.alias("block")).join(unsized(sets), "key")
+
+    def run(batches):
+        for token, block, dimension, key, words in overlap.groups(batches, ["token", "block", "dimension"], ["key", "words"]):
+            starts, sizes = overlap.cuts(token, block, dimension)
+            some = [(at, *linked_sets(words[at : at + size], least)) for at, size in zip(starts.tolist(), sizes.tolist()) if size > 1]
+            a, b = (np.concatenate([key[:0], *[key[x[0] + x[k]] for x in some]]) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    ordered = dealt.repartition("token", "block", "dimension").sortWithinPartitions("token", "block", "dimension")
+    return ordered.select("token", "block", "dimension", "key", "words").mapInArrow(run, "a long, b long")
+
+
+def similar_links(issues: DataFrame, least: float = 0.45, block: int = overlap.BLOCK) -> DataFrame:
+    """a, b: links that join the issues(issue_id, dimension, summary) of a dimension whose word sets are at least so similar,
+    as all such pairs would; far fewer than these in large groups.
+
+    At a Jaccard of ``least`` two sets of n and m words share one of the rarest n - ceil(least * n) + 1 words of each (prefix
+    filter). The sets of a word are joined in blocks of bounded size, within a task and without a row a pair. Where a
+    word has several blocks, pairs that all these links leave in different groups are looked for and verified.
     """
-    sets = issues.select("issue_id", "dimension", T.word_set(F.col("summary")).alias("words")).where(F.size("words") > 0)
-    each = sets.select("issue_id", "dimension", F.size("words").alias("n"), F.explode("words").alias("word"))
-    rare = each.groupBy("dimension", "word").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("issue_id").orderBy("df", "word"))
-    prefix = each.join(unsized(rare), ["dimension", "word"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    a, b = (prefix.select("dimension", "word", F.col("issue_id").alias(x)) for x in "ab")
-    met = a.join(unsized(b), ["dimension", "word"]).where("a < b").select("a", "b").distinct()
-    wa, wb = (sets.select(F.col("issue_id").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
-    return met.join(unsized(wa), "a").join(unsized(wb), "b").where(T.jaccard(F.col("wa"), F.col("wb")) >= least).select("a", "b")
+    sets = issues.select(F.col("issue_id").alias("key"), "dimension", F.array_join(T.word_set(F.col("summary")), " ").alias("words")).where("words <> ''")
+    part = Fraction(str(least))
+    share, paths = Share(part.numerator, part.numerator + part.denominator), []
+    tokens = sets.select("key", F.explode(F.split("words", " ")).alias("word"), "dimension").select("key", F.xxhash64("dimension", "word").alias("token"))
+    made = checkpointed(overlap.sets_of(overlap.rarest_first(tokens, block), share), paths)
+    links = checkpointed(_block_links(sets, made, share, least).distinct())
+    each = F.posexplode(F.arrays_zip("tokens", "blocks"))
+    places = made.select("key", "n", each.alias("place", "e")).where(F.col("place") <= F.col("n") - share.least_column(F.col("n")))
+    many = places.where("e.blocks > 1").select(F.col("e.tokens").alias("token"), "key", "n", "place")
+    for nearest_only in (True, False):
+        if many.isEmpty():
+            break
+        roots = checkpointed(connected_components(links), paths)
+        pairs = checkpointed(overlap.remaining(many, made, share, roots, block, nearest_only=nearest_only), paths)
+        u, v = (sets.select(F.col("key").alias(k), F.col("dimension").alias(f"d{k}"), F.split("words", " ").alias(f"w{k}")) for k in "uv")
+        alike = pairs.join(unsized(u), "u").join(unsized(v), "v").where((F.col("du") == F.col("dv")) & (T.jaccard(F.col("wu"), F.col("wv")) >= least))
+        links = links.union(checkpointed(alike.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+    freed(issues.sparkSession, paths)
+    return links
 
 
 def merged_groups(issues: DataFrame, least: float = 0.45) -> DataFrame:

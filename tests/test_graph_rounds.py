@@ -94,3 +94,18 @@ def test_few_links_are_joined_in_one_task(spark, monkeypatch):
     assert {(int(n[1:]), int(r[1:])) for n, r in graph.connected_components(names).collect()} == at_once
     monkeypatch.setattr(graph, "FEW_EDGES", 0)
     assert {tuple(r) for r in graph.connected_components(df).collect()} == at_once and drawn
+
+
+def test_stars_take_few_rounds(spark, monkeypatch):
+    """Nodes that are linked with a few hubs: a round joins a share of them, not one a hub."""
+    monkeypatch.setattr(graph, "FEW_EDGES", 100)
+    rounds, draw = set(), graph._draw
+    monkeypatch.setattr(graph, "_draw", lambda node, time: _counted(rounds, time) or draw(node, time))
+    links = spark.createDataFrame([(i, 10_000 + (i * 7 + k) % 9) for i in range(1_200) for k in range(2)], "a long, b long").coalesce(2)
+    found = {r.root for r in graph.connected_components(links).collect()}
+    assert found == {0} and len(rounds) < 25
+
+
+def _counted(rounds, time):
+    rounds.add(time)
+    assert time < 25, "the rounds do not end"
